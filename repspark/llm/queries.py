@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repspark.functions.missing import present
+from repspark.llm.bpe import encode_texts
+from repspark.llm.leaks import find_leaks
 from repspark.llm.term_counts import TermCountStore, marked
 from repspark.llm.top_n import latest_per_item, top_n
 from repspark.runtime import scratch, table
@@ -42,7 +46,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(latest_per_item(df, "sample", "ClonotypeID", "Clonotype_freq", "reported_at"), "sample", "ClonotypeID", "Clonotype_freq", 5).select("sample", "ClonotypeID")
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found}
+def vocabulary_path() -> str:
+    """Place of the vocabulary: REPSPARK_TOKENIZERS or the installed package of public tokenizers."""
+    folder = os.environ.get("REPSPARK_TOKENIZERS")
+    if not folder:
+        import public_tokenizers
+
+        return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return f"{folder}/byte_bpe_50k.tiktoken"
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_texts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 _COUNTS = """rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM tidy_contigs),
 terms AS (
