@@ -10,15 +10,50 @@ from pyspark.sql import functions as F
 from repspark.functions.missing import present
 from repspark.llm.bpe import encode_texts
 from repspark.llm.leaks import find_leaks
+from repspark.llm.quantiles import daily_sketches, group_percentiles, total_percentiles
 from repspark.llm.term_counts import TermCountStore, marked
 from repspark.llm.top_n import latest_per_item, top_n
-from repspark.runtime import scratch, table
+from repspark.runtime import scratch, table, written
 
+PERMILLE = [50, 250, 500, 750, 950]
 TERM_FIELDS = {"v_call": ",", "junction_aa": None}
 #: The rows loaded in the last so many days stand for the day's delta; all before them are the counts kept so far.
 DELTA_DAYS = 30
 
 
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of V_identity for each sample, and for all rows together (a null SampleID, scope 'all').
+
+    max_rank_error is the proven bound of the rank error, in rows. A row whose SampleID is null, '' or NA
+    counts in 'all' only. Every row counts, copies too.
+    """
+    df = table(spark, sf_dir, "annotated_contigs").select(present("SampleID").alias("SampleID"), "V_identity", "loaded_at")
+    days = written(daily_sketches(df, "V_identity", "SampleID", "loaded_at", 0.0, 100.0), "sketches")
+    each = group_percentiles(days, PERMILLE).withColumn("scope", F.lit("sample"))
+    whole = total_percentiles(days, PERMILLE).withColumn("scope", F.lit("all")).withColumn("grp", F.lit(None).cast("string"))
+    cols = [F.col("grp").alias("SampleID"), "scope", "n_values", F.col("rank_error").alias("max_rank_error"), *[F.col(f"q{q}").alias(f"p{q // 10:02d}") for q in PERMILLE]]
+    return each.unionByName(whole).select(*cols)
+
+
+def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, SampleID, percentile, n_values, within): whether each estimate's true rank lies within its bound."""
+    got = written(p1_percentiles(spark, sf_dir), "percentiles")
+    v = F.col("V_identity")
+    values = table(spark, sf_dir, "annotated_contigs").select(present("SampleID").alias("SampleID"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v) & v.between(0.0, 100.0))
+    ps = [q // 10 for q in PERMILLE]
+    ranks = [F.count_if(F.col("v") < F.col(f"p{p:02d}")).alias(f"lt{p}") for p in ps] + [F.count_if(F.col("v") <= F.col(f"p{p:02d}")).alias(f"le{p}") for p in ps]
+    first = [F.any_value(c).alias(c) for c in ("n_values", "max_rank_error")]
+    per = got.where("scope = 'sample'").join(values, "SampleID").groupBy("SampleID").agg(*ranks, *first).withColumn("scope", F.lit("sample"))
+    row = got.where("scope = 'all'").drop("SampleID", "scope").first()
+    if row is None:
+        return spark.createDataFrame([], "scope string, SampleID string, percentile int, n_values bigint, within boolean")
+    whole = values.select("v", *[F.lit(row[c]).alias(c) for c in row.__fields__]).agg(*ranks, *first).withColumn("scope", F.lit("all")).withColumn("SampleID", F.lit(None).cast("string"))
+    checks = F.explode(
+        F.array(*[F.struct(F.lit(p).alias("percentile"), ((F.col(f"lt{p}") < F.ceil(F.col("n_values") * p / 100) + F.col("max_rank_error")) & (F.col(f"le{p}") >= F.ceil(F.col("n_values") * p / 100) - F.col("max_rank_error"))).alias("within")) for p in ps])
+    ).alias("c")
+    return per.unionByName(whole).select("scope", "SampleID", "n_values", checks).select("scope", "SampleID", "c.percentile", "n_values", "c.within")
+
+
 def term_store(spark: SparkSession, sf_dir: str) -> TermCountStore:
     """Counts of tidy_contigs: the earlier rows first, then those of the last days as a delta."""
     rows = table(spark, sf_dir, "tidy_contigs").select(*TERM_FIELDS, "loaded_at")
@@ -66,7 +101,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 _COUNTS = """rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM tidy_contigs),
 terms AS (
@@ -78,6 +113,9 @@ counts AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT rid)
 marks AS (SELECT field_name, term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.02 * n THEN 'common' END AS mark FROM counts JOIN total USING (field_name))"""
 
 ORACLE = {
+    "p1_within_bound": """WITH v AS (SELECT CASE WHEN SampleID NOT IN ('', 'NA') THEN SampleID END AS SampleID FROM annotated_contigs WHERE NOT isnan(V_identity) AND V_identity BETWEEN 0 AND 100),
+n AS (SELECT 'sample' AS scope, SampleID, count(*) AS n_values FROM v WHERE SampleID IS NOT NULL GROUP BY SampleID UNION ALL SELECT 'all', NULL, count(*) FROM v)
+SELECT scope, SampleID, percentile, n_values, true AS within FROM n, (VALUES (5), (25), (50), (75), (95)) p (percentile)""",
     "p2_counts": f"WITH {_COUNTS} SELECT * FROM marks",
     "p2_found": f"WITH {_COUNTS} SELECT field_name, term, mark FROM marks WHERE mark IS NOT NULL",
     "p5_found": """WITH latest AS (
