@@ -11,6 +11,7 @@ from repspark.functions.missing import present
 from repspark.llm.bpe import encode_texts
 from repspark.llm.leaks import find_leaks
 from repspark.llm.quantiles import daily_sketches, group_percentiles, total_percentiles
+from repspark.llm.sentences import find_sentences
 from repspark.llm.term_counts import TermCountStore, marked
 from repspark.llm.top_n import latest_per_item, top_n
 from repspark.runtime import scratch, table, written
@@ -101,7 +102,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document."""
+    return find_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 _COUNTS = """rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM tidy_contigs),
 terms AS (
