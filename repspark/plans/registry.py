@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from repspark.plans import scale_queries
+from repspark.plans import domain_queries, scale_queries, sequence_queries
 
-FLAGSHIP = "p3_per_key"
-QUERIES = {**scale_queries.QUERIES}
-ORACLE = {**scale_queries.ORACLE}
+FLAGSHIP = "clonotype_freq_by_sample"
+QUERIES = {**scale_queries.QUERIES, **sequence_queries.QUERIES, **domain_queries.QUERIES}
+ORACLE = {**scale_queries.ORACLE, **sequence_queries.ORACLE, **domain_queries.ORACLE}
