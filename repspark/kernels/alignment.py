@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from repspark.kernels.graph import components
+
 #: Scores: a deviation of the aligner's own defaults shows in these only.
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 1.0, -1.0, 10.0, 4.0
 
@@ -20,12 +22,17 @@ def align(a: str, b: str, match: float = MATCH, mismatch: float = MISMATCH, gap_
         gap_b[i, 0] = -gap_open - gap_extend * i
     for j in range(1, m + 1):
         gap_a[0, j] = -gap_open - gap_extend * j
+    x = np.array(list(a), dtype="U1")
+    y = np.array(list(b), dtype="U1")
+    free = np.isin(y, list(wild)) if wild else np.zeros(m, dtype=bool)
+    steps = gap_extend * np.arange(m + 1)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            s = match if a[i - 1] == b[j - 1] or a[i - 1] in wild or b[j - 1] in wild else mismatch
-            pair[i, j] = s + max(pair[i - 1, j - 1], gap_b[i - 1, j - 1], gap_a[i - 1, j - 1])
-            gap_b[i, j] = max(max(pair[i - 1, j], gap_a[i - 1, j]) - gap_open - gap_extend, gap_b[i - 1, j] - gap_extend)
-            gap_a[i, j] = max(max(pair[i, j - 1], gap_b[i, j - 1]) - gap_open - gap_extend, gap_a[i, j - 1] - gap_extend)
+        fits = np.ones(m, dtype=bool) if a[i - 1] in wild else (y == x[i - 1]) | free
+        pair[i, 1:] = np.where(fits, match, mismatch) + np.maximum(np.maximum(pair[i - 1, :-1], gap_b[i - 1, :-1]), gap_a[i - 1, :-1])
+        gap_b[i, 1:] = np.maximum(np.maximum(pair[i - 1, 1:], gap_a[i - 1, 1:]) - gap_open - gap_extend, gap_b[i - 1, 1:] - gap_extend)
+        # a gap in a opens after a pair or a gap in b and runs on: the best opening so far, less the steps since
+        opened = np.maximum.accumulate(np.maximum(pair[i], gap_b[i]) + steps)
+        gap_a[i, 1:] = opened[:-1] - gap_open - steps[1:]
     tables = (pair, gap_b, gap_a)
     i, j = n, m
     at = int(np.argmax([t[n, m] for t in tables]))
@@ -66,25 +73,60 @@ def indel_distance(a: str, b: str) -> float:
     return 1.0 - (same - gap_runs(y)) / len(x)
 
 
+def _mismatches(a: bytes, b: bytes) -> np.ndarray:
+    return np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)
+
+
+def within(a: str, b: str, cutoff: float) -> bool:
+    """Whether indel_distance(a, b) <= cutoff, without aligning where a bound decides."""
+    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+    n, m = len(longer), len(shorter)
+    d = n - m
+    if d == 0 or m - GAP_OPEN - GAP_EXTEND * d <= 0:
+        return indel_distance(a, b) <= cutoff if d == 0 else cutoff >= 1.0
+    allowed = int(cutoff * n + 1e-9) - 1  # mismatches, with one gap
+    if allowed < 0:
+        return False
+    # of allowed + 2 pieces of the shorter, mismatches spoil so many and the gap one, so one stands unchanged within d places of its own
+    if allowed + 2 <= m:
+        step = m // (allowed + 2)
+        if not any(shorter[p : p + step] in longer[p : p + step + d] for p in range(0, step * (allowed + 2), step)):
+            return False
+    x, y = longer.encode(), shorter.encode()
+    before = np.concatenate([[0], np.cumsum(_mismatches(x[:m], y))])
+    after = np.concatenate([np.cumsum(_mismatches(x[d:], y)[::-1])[::-1], [0]])
+    one = int((before + after).min())
+    # a second gap must save more than its opening, a gap in the longer more than both it then needs
+    if 2 * one <= GAP_OPEN:
+        return (m - 2 * one - GAP_OPEN - GAP_EXTEND * d) > 0 and (one + 1) / n <= cutoff + 1e-9
+    least = np.zeros(d + 1)
+    for i in range(m):
+        least = np.minimum.accumulate(least) + (np.frombuffer(x[i : i + d + 1], np.uint8) != y[i])
+    if least.min() > allowed:
+        return False
+    return indel_distance(a, b) <= cutoff
+
+
 def merge_by_indels(members: dict[str, list[str]], lengths: dict[str, int], cutoff: float) -> dict[str, str]:
     """Composite name of each clonotype that merges with others of another CDR3 length.
 
     In name order each clonotype not yet in a composite gathers all whose farthest pair of sequences is
     within the cutoff; composites that share a member are one. Names join by '.'.
     """
-    from repspark.kernels.graph import components
-
+    names = sorted(members)
     taken: set[str] = set()
+    done: set[str] = set()
     edges = []
-    for c in sorted(members):
+    for c in names:
         if c in taken:
             continue
-        for o in sorted(members):
-            if o == c or lengths[o] == lengths[c]:
+        for o in names:
+            if o == c or o in done or lengths[o] == lengths[c]:
                 continue
-            if all(indel_distance(s, t) <= cutoff for s in members[c] for t in members[o]):
+            if all(within(s, t, cutoff) for s in members[c] for t in members[o]):
                 edges.append((c, o))
                 taken |= {c, o}
+        done.add(c)
     root = components(edges)
     groups: dict[str, list[str]] = {}
     for c, r in root.items():

@@ -21,6 +21,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing positions over the length, for all pairs of rows."""
     if a.shape[1] == 0:
         return np.zeros((len(a), len(b)))
+    if len(a) * len(b) <= 4096:
+        return (a[:, None, :] != b[None, :, :]).sum(axis=2, dtype=np.float32) / np.float32(a.shape[1])
     same = np.zeros((len(a), len(b)), dtype=np.float32)
     for c in np.unique(a):
         same += (a == c).astype(np.float32) @ (b == c).astype(np.float32).T
@@ -79,8 +81,8 @@ def clusters(seqs: list[str], cutoff: float, mode: str = "average", largest: int
     """Cluster number from 1 of each distinct string, in order of first appearance."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    if not seqs:
-        return []
+    if len(seqs) < 2:
+        return [1] * len(seqs)
     codes = encode(seqs)
     linked = _linked(codes, cutoff)
     out = linked.copy()
@@ -98,6 +100,8 @@ def clusters(seqs: list[str], cutoff: float, mode: str = "average", largest: int
 
 def nearest(seqs: list[str]) -> list[float | None]:
     """Smallest distance above 0 of each string to another, or None if there is none."""
+    if len(seqs) < 2:
+        return [None] * len(seqs)
     codes = encode(seqs)
     best = np.full(len(seqs), np.inf)
     for lo in range(0, len(seqs), BLOCK):

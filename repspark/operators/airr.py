@@ -31,15 +31,16 @@ def to_airr(df: DataFrame, germline: str = "masked", sample: str = "SampleID", m
     if not bulk and not single:
         raise ValueError("neither bulk (Subclone_nReads) nor single-cell (completeBCR) fields")
     seq, germ = F.col("VDJ_sequence_correctedCDR3"), F.col("IgBlast_Germline_alignment" if germline == "masked" else "Consensus_Germline")
-    aa = translate_nt(seq)
+    # columns of their own, so that the regions are cut from them and don't translate again
+    df = df.withColumns({"_aa": translate_nt(seq), "_germ_aa": translate_nt(germ), "_arch": F.transform(F.split("VDJ_positions", "-"), lambda x: x.try_cast("int"))})
+    aa, arch = F.col("_aa"), F.col("_arch")
     calls = F.split(F.regexp_replace("VDJ_genes", r"\[.*$", ""), "/")
     second, third = F.try_element_at(calls, F.lit(2)), F.try_element_at(calls, F.lit(3))
     short = F.coalesce(second.rlike("IG[HKL]J"), F.lit(False))
-    arch = F.transform(F.split("VDJ_positions", "-"), lambda x: x.try_cast("int"))
     out = {
         "sequence_id": F.col("contig_id"), "sequence": F.col("Raw_sequence"), "locus": locus("VDJ_genes"), "productive": F.when(F.col("Functionality") == "productive", "T").otherwise("F"), "rev_comp": F.lit("F"),
         "junction_aa": F.col("Junction_aa"), "v_call": calls[0], "d_call": F.when(short, F.lit("")).otherwise(F.coalesce(second, F.lit(""))), "j_call": F.when(short, second).otherwise(F.coalesce(third, F.lit(""))),
-        "c_call": F.col("C_gene"), "sequence_alignment": seq, "sequence_alignment_aa": aa, "germline_alignment": germ, "germline_alignment_aa": translate_nt(germ),
+        "c_call": F.col("C_gene"), "sequence_alignment": seq, "sequence_alignment_aa": aa, "germline_alignment": germ, "germline_alignment_aa": F.col("_germ_aa"),
         "v_cigar": F.lit(""), "d_cigar": F.lit(""), "j_cigar": F.lit(""), "sample_id": F.col(sample),
     }
     bounds = region_bounds(arch)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repspark.functions.sequences import sorted_join
 from repspark.kernels.cells import resolve
-from repspark.operators.clonotypes import dotted, rank_ids
+from repspark.operators.clonotypes import dotted, rank_set
 from repspark.operators.tidy import first_per_key
-from repspark.runtime import ship
+from repspark.runtime import map_groups
 
 
 def drop_repeated_chains(df: DataFrame, unit: str = "unit", order: str = "sequence_id") -> DataFrame:
@@ -45,13 +44,11 @@ def resolve_classes(cells: DataFrame, unit: str = "unit", mission_bio: bool = Fa
     """Cells with the final completeBCR and igclonotypeID; only the distinct combinations of a unit, with their contig counts, reach Python."""
     combos = cells.groupBy(unit, "merge_clonotypeID", "completeBCR").agg(F.sum("n_chains").alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = resolve(list(zip(pdf["merge_clonotypeID"], pdf["completeBCR"], pdf["n"])), mission_bio)
-        keys = sorted(got)
-        return pd.DataFrame({unit: [pdf[unit].iloc[0]] * len(keys), "merge_clonotypeID": [k[0] for k in keys], "completeBCR": [k[1] for k in keys], "igclonotypeID": [got[k][0] for k in keys], "_final": [got[k][1] for k in keys]})
+    def run(g: dict[str, list]) -> list[tuple]:
+        got = resolve(list(zip(g["merge_clonotypeID"], g["completeBCR"], g["n"])), mission_bio)
+        return [(g[unit][0], *k, *got[k]) for k in sorted(got)]
 
-    ship(cells.sparkSession)
-    out = combos.groupBy(unit).applyInPandas(run, f"{unit} string, merge_clonotypeID string, completeBCR string, igclonotypeID string, _final string")
+    out = map_groups(combos, [unit], run, f"{unit} string, merge_clonotypeID string, completeBCR string, igclonotypeID string, _final string")
     return cells.join(out, [unit, "merge_clonotypeID", "completeBCR"], "left").withColumn("completeBCR", F.coalesce("_final", "completeBCR")).drop("_final")
 
 
@@ -85,9 +82,10 @@ def numbered(df: DataFrame, unit: str = "unit") -> DataFrame:
     has = F.col("igclonotypeID").isNotNull()
     key = lambda c: F.when(has, F.col(c))
     df = df.withColumn("_v", key("merge_clonotypeVariantID")).withColumn("_s", key("merge_subcloneID"))
-    df = rank_ids(df, [unit, "igclonotypeID"], "_v", "_cv", "CV").withColumn("igclonotypeVariantID", F.when(has, dotted("igclonotypeID", "_cv")))
-    df = rank_ids(df, [unit, "igclonotypeVariantID"], "_s", "_sc", "S").withColumn("igsubcloneID_in_clonotypeVariant", F.when(has, dotted("igclonotypeVariantID", "_sc")))
-    df = rank_ids(df, [unit, "igclonotypeID"], "_s", "_sn", "").withColumn("igsubcloneID_in_clonotype", F.when(has, dotted("igclonotypeID", "_sn")))
+    top = [unit, "igclonotypeID"]
+    df = rank_set(df, [(top, "_v", "_cv", "CV"), ([*top, "_v"], "_s", "_sc", "S"), (top, "_s", "_sn", "")])
+    df = df.withColumn("igclonotypeVariantID", dotted("igclonotypeID", "_cv"))
+    df = df.withColumn("igsubcloneID_in_clonotypeVariant", dotted("igclonotypeVariantID", "_sc")).withColumn("igsubcloneID_in_clonotype", dotted("igclonotypeID", "_sn"))
     return df.drop("_v", "_s", "_cv", "_sc", "_sn")
 
 

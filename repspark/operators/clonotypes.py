@@ -5,7 +5,6 @@ Python sees only distinct CDR3 of one pre-clonotype, or distinct genes of one un
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +12,7 @@ from repspark.functions.sequences import v_genes
 from repspark.kernels.alignment import merge_by_indels
 from repspark.kernels.graph import components
 from repspark.kernels.linkage import clusters, density_valley, nearest
-from repspark.runtime import ship
-
-
-def _apply(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+from repspark.runtime import map_groups
 
 
 def v_cluster_map(df: DataFrame, unit: str = "unit", v_call: str = "v_call") -> DataFrame:
@@ -31,16 +25,15 @@ def v_cluster_map(df: DataFrame, unit: str = "unit", v_call: str = "v_call") ->
         .select(unit, F.explode("g").alias("b"), F.col("g")[0].alias("a")).distinct()
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = components(zip(pdf["a"], pdf["b"]))
+    def run(g: dict[str, list]) -> list[tuple]:
+        root = components(zip(g["a"], g["b"]))
         groups: dict[str, list[str]] = {}
-        for g, r in root.items():
-            groups.setdefault(r, []).append(g)
+        for gene, r in root.items():
+            groups.setdefault(r, []).append(gene)
         names = {r: ",".join(sorted(m)) for r, m in groups.items()}
-        genes = sorted(root)
-        return pd.DataFrame({unit: [pdf[unit].iloc[0]] * len(genes), "gene": genes, "v_cluster": [names[root[g]] for g in genes]})
+        return [(g[unit][0], gene, names[root[gene]]) for gene in sorted(root)]
 
-    return _apply(pairs, [unit], run, f"{unit} string, gene string, v_cluster string")
+    return map_groups(pairs, [unit], run, f"{unit} string, gene string, v_cluster string")
 
 
 def with_v_cluster(df: DataFrame, unit: str = "unit", v_call: str = "v_call") -> DataFrame:
@@ -54,11 +47,12 @@ def cdr3_clusters(df: DataFrame, keys: list[str], cdr3: str, cutoff: float = 0.2
     distinct = df.where(F.col(cdr3).isNotNull()).groupBy(*keys, cdr3).agg(F.min(order).alias("_first"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_first", cdr3])
-        return pdf.assign(cluster=clusters(pdf[cdr3].tolist(), cutoff, mode))[[*keys, cdr3, "cluster"]]
+    def run(g: dict[str, list]) -> list[tuple]:
+        seqs = [s for _, s in sorted(zip(g["_first"], g[cdr3]))]
+        key = [g[k][0] for k in keys]
+        return [(*key, s, c) for s, c in zip(seqs, clusters(seqs, cutoff, mode))]
 
-    return _apply(distinct, keys, run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", cluster int")
+    return map_groups(distinct, keys, run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", cluster int")
 
 
 def with_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3", cutoff: float = 0.2, mode: str = "average", by_v_length: bool = True) -> DataFrame:
@@ -84,14 +78,16 @@ def merge_indel_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3"
         seqs = seqs.groupBy(*keys, "Clonotype").agg(F.max_by(cdr3, F.struct("n", F.reverse(cdr3))).alias(cdr3))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = pdf.groupby("Clonotype")[cdr3].apply(list).to_dict()
+    def run(g: dict[str, list]) -> list[tuple]:
+        members: dict[str, list[str]] = {}
+        for c, s in sorted(zip(g["Clonotype"], g[cdr3])):
+            members.setdefault(c, []).append(s)
         if len(members) > largest:
             raise ValueError(f"{len(members)} clonotypes in one V group; raise the limit or skip the step")
         merged = merge_by_indels(members, {c: len(m[0]) for c, m in members.items()}, cutoff)
-        return pd.DataFrame({unit: [pdf[unit].iloc[0]] * len(merged), "Clonotype": list(merged), "_joined": list(merged.values())})
+        return [(g[unit][0], c, name) for c, name in merged.items()]
 
-    joined = _apply(seqs, keys, run, f"{unit} {kinds[unit]}, Clonotype string, _joined string")
+    joined = map_groups(seqs, keys, run, f"{unit} {kinds[unit]}, Clonotype string, _joined string")
     return df.join(joined, [unit, "Clonotype"], "left").withColumn("CorrectClt", F.coalesce("_joined", "Clonotype")).drop("_joined")
 
 
@@ -104,30 +100,39 @@ def dotted(*parts: Column | str) -> Column:
     return out
 
 
-def rank_ids(df: DataFrame, parent: list[str], key: str, name: str, prefix: str, by: str | None = None) -> DataFrame:
-    """Rows with ``name`` = prefix and rank of their key within the parent, by rows (or summed ``by``) descending, then key.
+def rank_set(df: DataFrame, ranks: list[tuple[list[str], str, str, str]], by: str | None = None) -> DataFrame:
+    """Rows with several ranks at once; each is (parents, key, name, prefix): name = prefix and rank of the key within its parents.
 
-    Counted before the shuffle; a row whose key is null gets null.
+    The rank is by rows (or summed ``by``) descending, then key; a null key gives null. Rows are counted per
+    combination of all keys before the shuffle, ranks are taken on those counts, and rows are joined back once.
     """
-    measure = F.count(F.lit(1)) if by is None else F.sum(by)
-    counts = df.where(F.col(key).isNotNull()).groupBy(*parent, key).agg(measure.alias("_n"))
-    w = Window.partitionBy(*parent).orderBy(F.col("_n").desc(), F.col(key))
-    ranks = counts.select(*parent, key, F.concat(F.lit(prefix), F.row_number().over(w).cast("string")).alias(name))
+    keys = list(dict.fromkeys(c for parents, key, _, _ in ranks for c in [*parents, key]))
+    n = df.groupBy(*keys).agg((F.count(F.lit(1)) if by is None else F.sum(by)).alias("_n"))
+    for i, (parents, key, _, _) in enumerate(ranks):
+        n = n.withColumn(f"_n{i}", F.sum("_n").over(Window.partitionBy(*parents, key)))
+    for i, (parents, key, name, prefix) in enumerate(ranks):
+        w = Window.partitionBy(*parents).orderBy(F.col(key).isNull(), F.col(f"_n{i}").desc(), F.col(key))
+        n = n.withColumn(name, F.when(F.col(key).isNotNull(), F.concat(F.lit(prefix), F.dense_rank().over(w).cast("string"))))
+    n = n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[name for _, _, name, _ in ranks])
     on = F.lit(True)
-    r = ranks.select(*[F.col(c).alias(f"_{c}") for c in [*parent, key]], name)
-    for c in parent:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(r, on & (F.col(key) == F.col(f"_{key}")), "left").drop(*[f"_{c}" for c in [*parent, key]])
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(n, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def rank_ids(df: DataFrame, parent: list[str], key: str, name: str, prefix: str, by: str | None = None) -> DataFrame:
+    """Rows with one rank; see ``rank_set``."""
+    return rank_set(df, [(parent, key, name, prefix)], by)
 
 
 def nearest_distances(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
     """(keys, cdr3, distance): distance of each distinct CDR3 to its nearest other one in the group; null if alone."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(distance=pd.Series(nearest(pdf[cdr3].tolist()), index=pdf.index, dtype="float64"))
+    def run(g: dict[str, list]) -> list[tuple]:
+        return list(zip(*[g[k] for k in keys], g[cdr3], nearest(g[cdr3])))
 
-    return _apply(df.where(F.col(cdr3).isNotNull()).select(*keys, cdr3).distinct(), keys, run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", distance double")
+    return map_groups(df.where(F.col(cdr3).isNotNull()).select(*keys, cdr3).distinct(), keys, run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", distance double")
 
 
 def automatic_cutoff(distances: DataFrame, cdr3_mode: str = "nt", bins: int = 1000) -> float:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repspark.functions.missing import na_text
 from repspark.functions.sequences import locus
-from repspark.operators.clonotypes import dotted, rank_ids
+from repspark.operators.clonotypes import dotted, rank_set
 
 
 def share(part: Column, whole: list[str]) -> Column:
@@ -21,14 +21,14 @@ def bulk_ids(df: DataFrame, unit: str = "unit", reads: str = "total_reads_unique
     Needs one row per unique sequence with CorrectClt, v_cluster, cdr3_aa and the reads; a tie goes to the smaller key,
     of subclones to the smaller sequence_id.
     """
-    df = rank_ids(df, [unit], "CorrectClt", "_c", "C", by=reads).withColumn("clonotypeID", dotted(locus("v_cluster"), "_c")).drop("_c")
     df = df.withColumn("_cv", F.concat_ws("_", "v_cluster", "cdr3_aa"))
-    df = rank_ids(df, [unit, "clonotypeID"], "_cv", "_v", "CV", by=reads).withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v"))
+    df = rank_set(df, [([unit], "CorrectClt", "_c", "C"), ([unit, "CorrectClt"], "_cv", "_v", "CV")], by=reads)
+    df = df.withColumn("clonotypeID", dotted(locus("v_cluster"), "_c")).withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v"))
     order = [F.col(reads).desc(), F.col("sequence_id")]
     s = F.row_number().over(Window.partitionBy(unit, "clonotypeVariantID_in_Cltp").orderBy(*order))
     k = F.row_number().over(Window.partitionBy(unit, "clonotypeID").orderBy(*order))
     df = df.withColumn("subcloneID_in_CV", F.concat(F.col("clonotypeVariantID_in_Cltp"), F.lit(".S"), s.cast("string"))).withColumn("subcloneID_in_Clt", F.concat(F.col("clonotypeID"), F.lit("."), k.cast("string")))
-    return df.drop("_cv", "_v")
+    return df.drop("_cv", "_v", "_c")
 
 
 def bulk_frequencies(df: DataFrame, unit: str = "unit", reads: str = "total_reads_unique_seq") -> DataFrame:
@@ -51,7 +51,7 @@ def cell_ids(df: DataFrame, unit: str = "unit", clonotype: str = "CorrectClt") -
     """Single cell: ClonotypeID per locus by contigs, variants (V cluster, CDR3 aa), subclones (sequence and indels)."""
     df = df.withColumn("_locus", locus("v_cluster")).withColumn("_cv", F.concat_ws("_", "v_cluster", "cdr3_aa"))
     df = df.withColumn("_sub", F.concat_ws("_", "VDJseq", na_text("indel")))
-    df = rank_ids(df, [unit, "_locus"], clonotype, "_c", "C").withColumn("clonotypeID", dotted("_locus", "_c"))
-    df = rank_ids(df, [unit, "clonotypeID"], "_cv", "_v", "CV").withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v"))
-    df = rank_ids(df, [unit, "clonotypeVariantID_in_Cltp"], "_sub", "_s", "S").withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s"))
+    scope = [unit, "_locus"]
+    df = rank_set(df, [(scope, clonotype, "_c", "C"), ([*scope, clonotype], "_cv", "_v", "CV"), ([*scope, clonotype, "_cv"], "_sub", "_s", "S")])
+    df = df.withColumn("clonotypeID", dotted("_locus", "_c")).withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s"))
     return df.drop("_locus", "_cv", "_sub", "_c", "_v", "_s")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repspark.functions.sequences import sorted_join
-from repspark.operators.clonotypes import dotted, rank_ids
+from repspark.operators.clonotypes import dotted, rank_ids, rank_set
 
 
 def recalculate_bulk(df: DataFrame, group: str = "SampleID", reads: str = "Subclone_nReads", keep_locus: bool = False) -> DataFrame:
@@ -51,17 +51,16 @@ def recalculate_cells(df: DataFrame, group: str = "SampleID") -> DataFrame:
     df = df.join(parts, [group, "_base", "_suffix"], "left")
     suffix = F.when(F.col("_suffix").startswith("xNA"), F.col("_suffix")).when(F.col("_of") > 1, F.concat(F.lit("x"), F.col("_x").cast("string"))).otherwise("")
     df = df.withColumn("_new", F.concat(named, suffix))
-    df = rank_ids(df, [group, "_new"], "ClonotypeVariantID", "_v", "CV").withColumn("_newcv", dotted("_new", "_v"))
-    df = rank_ids(df, [group, "_newcv"], "SubcloneID", "_s", "S").withColumn("_newsub", dotted("_newcv", "_s"))
+    df = rank_set(df, [([group, "_new"], "ClonotypeVariantID", "_v", "CV"), ([group, "_new", "ClonotypeVariantID"], "SubcloneID", "_s", "S")])
+    df = df.withColumn("_newcv", dotted("_new", "_v")).withColumn("_newsub", dotted("_newcv", "_s"))
     has = c.isNotNull()
     return df.withColumns({"ClonotypeID": F.when(has, F.col("_new")), "ClonotypeVariantID": F.when(has, F.col("_newcv")), "SubcloneID": F.when(has, F.col("_newsub"))}).drop("_base", "_locus", "_suffix", "_c", "_x", "_of", "_new", "_v", "_newcv", "_s", "_newsub")
 
 
 def recalculate_numbers(cells: DataFrame, group: str, clone: str, variant: str, subclone: str) -> DataFrame:
     """Cells with clone, variant and subclone numbers re-ranked by cells: C1, C1.CV1, C1.CV1.S1; null stays null."""
-    out = rank_ids(cells, [group], clone, "_c", "C")
-    out = rank_ids(out, [group, clone], variant, "_v", "CV").withColumn("_cv", F.when(F.col(variant).isNotNull(), dotted("_c", "_v")))
-    out = rank_ids(out, [group, variant], subclone, "_s", "S").withColumn("_sub", F.when(F.col(subclone).isNotNull(), dotted("_cv", "_s")))
+    out = rank_set(cells, [([group], clone, "_c", "C"), ([group, clone], variant, "_v", "CV"), ([group, clone, variant], subclone, "_s", "S")])
+    out = out.withColumn("_cv", dotted("_c", "_v")).withColumn("_sub", dotted("_cv", "_s"))
     return out.withColumns({clone: F.col("_c"), variant: F.col("_cv"), subclone: F.col("_sub")}).drop("_c", "_v", "_cv", "_s", "_sub")
 
 

@@ -9,7 +9,7 @@ from repspark.config import AnnotateConfig
 from repspark.functions.sequences import barcode, cdr3_aa, cdr3_nt, junction_from, translate_nt
 from repspark.operators import cells as C
 from repspark.operators import ids
-from repspark.operators.clonotypes import automatic_cutoff, dotted, merge_indel_clonotypes, nearest_distances, with_clonotypes, with_v_cluster
+from repspark.operators.clonotypes import automatic_cutoff, dotted, merge_indel_clonotypes, nearest_distances, rank_set, with_clonotypes, with_v_cluster
 from repspark.operators.immunogenetics import annotate_features, clonotype_subset, consensus_cdr3, consensus_germline, correct_cdr3_length, correct_indels
 from repspark.operators.tidy import clonotype_label, modal_length, tidy, unique_sequences, with_read_counts
 from repspark.runtime import written
@@ -45,7 +45,7 @@ def assign_clonotypes(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
     if cutoff == "automatic":
         keyed = df.withColumn("_pre", F.concat_ws("_", "v_cluster", F.length("cdr3").cast("string")))
         cutoff = automatic_cutoff(nearest_distances(keyed, ["unit", "_pre"], "cdr3"), cfg.cdr3_mode)
-    df = with_clonotypes(df, cutoff=float(cutoff), mode=cfg.hc_mode, by_v_length=not mb)
+    df = written(with_clonotypes(df, cutoff=float(cutoff), mode=cfg.hc_mode, by_v_length=not mb), "clusters")
     return written(merge_indel_clonotypes(df, cutoff=float(cutoff), mode=cfg.cdr3_InDel_correction_mode, by_v_length=not mb), "clonotypes")
 
 
@@ -66,7 +66,7 @@ def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> Data
     """Annotated contigs (public names) of aligner rows with ``sample`` and ``unit``."""
     mb = cfg.data_type == "missionbio"
     df = tidy(aligned, cfg.material_type, cfg.primer, extra=("unit",)).withColumn("raw_VDJseq", F.col("VDJseq"))
-    df = correct_indels(df)
+    df = written(correct_indels(df), "tidy")
     df = df.withColumn("VDJ_positions", F.array_join(F.col("arch").cast("array<string>"), "-"))
     if not mb:
         df = df.withColumn("junction", junction_from("VDJseq", F.col("arch"))).withColumn("junction_aa", translate_nt("junction")).withColumn("junction_aa_length", F.length("junction_aa"))
@@ -74,15 +74,15 @@ def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> Data
         df = unique_sequences(with_read_counts(df, ["unit"]), ["unit"], ["VDJseq", "indel"], cfg.min_reads)
     df = assign_clonotypes(with_v_cluster(df), cfg)
     if cfg.data_type == "bulk":
-        return to_public(immunogenetics(ids.bulk_frequencies(ids.bulk_ids(df)), cfg).drop("unit", "cdr3", "cdr3_aa", "arch"))
+        return to_public(immunogenetics(written(ids.bulk_frequencies(ids.bulk_ids(df)), "ids"), cfg).drop("unit", "cdr3", "cdr3_aa", "arch"))
     df = ids.cell_ids(df).withColumn("barcode", barcode("sequence_id", "sample"))
-    df = C.drop_repeated_chains(df)
+    df = written(C.drop_repeated_chains(df), "ids")
     cell = C.resolve_classes(C.initial_class(C.merged_ids(df), mb), mission_bio=mb).select("unit", "barcode", "completeBCR", "igclonotypeID")
     df = written(C.relabel_chains(df.join(cell, ["unit", "barcode"], "left")), "relabelled")
-    base = df.withColumn("_clt", F.col("clonotypeID"))
-    df = ids.rank_ids(base.withColumn("_cv", F.concat_ws("_", "v_cluster", "cdr3_aa")), ["unit", "clonotypeID"], "_cv", "_v", "CV").withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v"))
-    df = df.withColumn("_sub", F.concat_ws("_", "VDJseq", F.coalesce("indel", F.lit("NA"))))
-    df = ids.rank_ids(df, ["unit", "clonotypeVariantID_in_Cltp"], "_sub", "_s", "S").withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s")).drop("_clt", "_cv", "_v", "_sub", "_s")
+    df = df.withColumns({"_cv": F.concat_ws("_", "v_cluster", "cdr3_aa"), "_sub": F.concat_ws("_", "VDJseq", F.coalesce("indel", F.lit("NA")))})
+    df = rank_set(df, [(["unit", "clonotypeID"], "_cv", "_v", "CV"), (["unit", "clonotypeID", "_cv"], "_sub", "_s", "S")])
+    df = df.withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s")).drop("_cv", "_v", "_sub", "_s")
+    df = written(df, "chains")
     merged = C.merged_ids(df).select("unit", "barcode", "merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")
     df = C.numbered(df.join(merged, ["unit", "barcode"], "left"))
-    return to_public(immunogenetics(df, cfg).drop("unit", "cdr3", "cdr3_aa", "arch", "cluster"))
+    return to_public(immunogenetics(written(df, "cells"), cfg).drop("unit", "cdr3", "cdr3_aa", "arch", "cluster"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repspark.config import AnnotateConfig
@@ -18,7 +18,7 @@ from repspark.operators.trees import abundances
 from repspark.operators.wide import SLOTS, cells_long, cells_wide, with_unsupported
 from repspark.plans.annotate import annotate
 from repspark.plans.base import ALIGNED_SQL, CONTIGS_SQL, GENES_SQL, aligned, latest_contigs
-from repspark.runtime import table
+from repspark.runtime import table, written
 
 MAX_DIFF = 0.2
 
@@ -43,8 +43,8 @@ def v_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clonotypes_single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cdr3_clusters(_keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3", MAX_DIFF, "single")
-    first = got.groupBy("unit", "v_cluster", "len", "cluster").agg(F.min("cdr3").alias("label"))
-    return got.join(first, ["unit", "v_cluster", "len", "cluster"]).select("unit", "v_cluster", "cdr3", "label")
+    label = F.min("cdr3").over(Window.partitionBy("unit", "v_cluster", "len", "cluster"))
+    return got.select("unit", "v_cluster", "cdr3", label.alias("label"))
 
 
 def _linkage(mode: str):
@@ -102,19 +102,19 @@ def complete_bcr_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.drop_repeated_chains(_cells_in(spark, sf_dir))
-    cell = C.resolve_classes(_chains(spark, sf_dir)).select("unit", "barcode", "completeBCR", "igclonotypeID")
+    rows = written(C.drop_repeated_chains(_cells_in(spark, sf_dir)), "chains")
+    cell = C.resolve_classes(C.initial_class(C.merged_ids(rows))).select("unit", "barcode", "completeBCR", "igclonotypeID")
     return C.relabel_chains(rows.join(cell, ["unit", "barcode"], "left")).select("unit", "sequence_id", "clonotypeID")
 
 
 def cell_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = C.numbered(C.resolve_classes(_chains(spark, sf_dir)))
+    got = C.numbered(written(C.resolve_classes(_chains(spark, sf_dir)), "cells"))
     return got.select("unit", "barcode", "igclonotypeID", "igclonotypeVariantID", "igsubcloneID_in_clonotypeVariant", "igsubcloneID_in_clonotype")
 
 
 def chain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.drop_repeated_chains(_cells_in(spark, sf_dir))
-    return C.chain_values(rows.join(_chains(spark, sf_dir).select("unit", "barcode", "completeBCR"), ["unit", "barcode"]), ["VDJseq", "cdr3_aa"])
+    rows = written(C.drop_repeated_chains(_cells_in(spark, sf_dir)), "chains")
+    return C.chain_values(rows.join(C.initial_class(C.merged_ids(rows)).select("unit", "barcode", "completeBCR"), ["unit", "barcode"]), ["VDJseq", "cdr3_aa"])
 
 
 def consensus_cdr3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

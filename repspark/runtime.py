@@ -7,10 +7,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _ours: dict[str, str] = {}
 
@@ -95,3 +99,52 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package shipped."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """``fn`` over each group of ``keys``: a list of values per column in, rows of ``schema`` out.
+
+    Groups lie sorted in the partitions of one shuffle and are read one after another, so many small groups
+    share a batch and only one group is held at a time.
+    """
+    out_schema = _parse(df.sparkSession, schema)
+    arrow = to_arrow_schema(out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] | None = None
+        key = None
+        rows: list[tuple] = []
+
+        def pack() -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        for b in batches:
+            cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            ks = list(zip(*[cols[k] for k in keys]))
+            a = 0
+            for i in range(1, len(ks) + 1):
+                if i < len(ks) and ks[i] == ks[a]:
+                    continue
+                part = {n: c[a:i] for n, c in cols.items()}
+                if held is not None and ks[a] == key:
+                    for n, c in part.items():
+                        held[n] += c
+                else:
+                    if held is not None:
+                        rows += fn(held)
+                    held, key = part, ks[a]
+                a = i
+            if len(rows) >= 10_000:
+                yield pack()
+                rows = []
+        if held is not None:
+            rows += fn(held)
+        if rows:
+            yield pack()
+
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+
+
+def _parse(spark: SparkSession, schema: str) -> StructType:
+    return spark.createDataFrame([], schema).schema
