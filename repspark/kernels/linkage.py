@@ -108,7 +108,8 @@ def nearest(seqs: list[str]) -> list[float | None]:
         for at in range(0, len(seqs), BLOCK):
             d = distances(codes[lo : lo + BLOCK], codes[at : at + BLOCK])
             best[lo : lo + BLOCK] = np.minimum(best[lo : lo + BLOCK], np.where(d > 1e-7, d, np.inf).min(axis=1))
-    return [None if np.isinf(x) else float(x) for x in best]
+    n = max(1, codes.shape[1])
+    return [None if np.isinf(x) else round(float(x) * n) / n for x in best]
 
 
 def density_valley(values: list[float], floor: float) -> float:

@@ -38,7 +38,7 @@ def to_airr(df: DataFrame, germline: str = "masked", sample: str = "SampleID", m
     second, third = F.try_element_at(calls, F.lit(2)), F.try_element_at(calls, F.lit(3))
     short = F.coalesce(second.rlike("IG[HKL]J"), F.lit(False))
     out = {
-        "sequence_id": F.col("contig_id"), "sequence": F.col("Raw_sequence"), "locus": locus("VDJ_genes"), "productive": F.when(F.col("Functionality") == "productive", "T").otherwise("F"), "rev_comp": F.lit("F"),
+        "sequence_id": F.col("contig_id"), "sequence": F.col("Raw_sequence"), "locus": locus(calls[0]), "productive": F.when(F.col("Functionality") == "productive", "T").otherwise("F"), "rev_comp": F.lit("F"),
         "junction_aa": F.col("Junction_aa"), "v_call": calls[0], "d_call": F.when(short, F.lit("")).otherwise(F.coalesce(second, F.lit(""))), "j_call": F.when(short, second).otherwise(F.coalesce(third, F.lit(""))),
         "c_call": F.col("C_gene"), "sequence_alignment": seq, "sequence_alignment_aa": aa, "germline_alignment": germ, "germline_alignment_aa": F.col("_germ_aa"),
         "v_cigar": F.lit(""), "d_cigar": F.lit(""), "j_cigar": F.lit(""), "sample_id": F.col(sample),

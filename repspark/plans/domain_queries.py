@@ -18,6 +18,9 @@ from repspark.operators.trees import abundances
 from repspark.operators.wide import SLOTS, cells_long, cells_wide, with_unsupported
 from repspark.plans.annotate import annotate
 from repspark.plans.base import ALIGNED_SQL, CONTIGS_SQL, GENES_SQL, aligned, latest_contigs
+from repspark.plans.sequence_queries import CODONS_SQL as _CODONS
+from repspark.plans.sequence_queries import TIDY_SQL as _TIDY
+from repspark.plans.sequence_queries import aa_sql as _aa
 from repspark.runtime import table, written
 
 MAX_DIFF = 0.2
@@ -60,7 +63,7 @@ def indel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_distances(_keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3").select("unit", "v_cluster", "cdr3", F.round("distance", 5).alias("distance"))
+    return nearest_distances(_keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3").select("unit", "v_cluster", "cdr3", F.round("distance", 9).alias("distance"))
 
 
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +223,7 @@ def cells_long_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mb_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_cells = table(spark, sf_dir, "cells").select(present("SampleID").alias("SampleID"), "barcode").where(F.col("SampleID").isNotNull() & F.col("barcode").isNotNull())
     wide = cells_wide_query(spark, sf_dir).select("SampleID", "barcode", "n_contigs", "IGH1_ClonotypeID", "IGL1_ClonotypeID")
-    return with_unsupported(wide, all_cells, ["SampleID", "barcode"])
+    return with_unsupported(wide, all_cells, ["SampleID", "barcode"]).withColumn("n_contigs", F.coalesce("n_contigs", F.lit(0).cast("bigint")))
 
 
 def gctree_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +237,7 @@ def gctree_idmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def airr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = tidy(aligned(spark, sf_dir), extra=("clonotypeID", "n_reads"))
+    df = tidy(aligned(spark, sf_dir).where(F.col("n_reads").isNotNull()), extra=("clonotypeID", "n_reads"))
     public = df.select(
         F.col("sequence_id").alias("contig_id"), F.col("sequence").alias("Raw_sequence"), F.col("VDJ").alias("VDJ_genes"), F.col("productive").alias("Functionality"), F.col("VDJseq").alias("VDJ_sequence_correctedCDR3"), F.col("germline_alignment").alias("IgBlast_Germline_alignment"),
         F.col("junction_aa").alias("Junction_aa"), F.col("c_call").alias("C_gene"), F.array_join(F.col("arch").cast("array<string>"), "-").alias("VDJ_positions"), F.col("n_reads").alias("Subclone_nReads"), F.col("clonotypeID").alias("ClonotypeID"), F.col("sample").alias("SampleID"),
@@ -260,4 +263,120 @@ QUERIES = {
     "gctree_abundance": gctree_abundance, "gctree_idmap": gctree_idmap, "airr_export": airr_export, "annotate_bulk_e2e": annotate_bulk_e2e, "annotate_sc_e2e": annotate_sc_e2e,
 }
 
-ORACLE: dict[str, str] = {}
+
+_KEYED = f"""{CONTIGS_SQL}, keyed AS (SELECT DISTINCT sample AS unit, {GENES_SQL}[1] AS v_cluster, junction AS cdr3, length(junction) AS len FROM contigs WHERE length(junction) >= 9 AND v_call IS NOT NULL AND {GENES_SQL}[1] IS NOT NULL)"""
+_AA = "CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) WHEN junction_aa IS NOT NULL THEN '' END"
+_BULK = f"""{CONTIGS_SQL}, b AS (SELECT sample AS unit, sequence_id, Clonotype AS clt, {GENES_SQL}[1] AS v, {_AA} AS aa, junction, n_reads FROM contigs WHERE n_reads IS NOT NULL AND Clonotype IS NOT NULL AND junction IS NOT NULL AND v_call IS NOT NULL),
+u AS (SELECT unit, junction, min(sequence_id) AS sequence_id, arg_min(clt, sequence_id) AS clt, arg_min(v, sequence_id) AS v, arg_min(aa, sequence_id) AS aa, CAST(sum(n_reads) AS BIGINT) AS r FROM b WHERE v IS NOT NULL AND aa IS NOT NULL GROUP BY 1, 2 HAVING sum(n_reads) >= 2),
+s AS (SELECT *, v || '_' || aa AS cvk, sum(r) OVER (PARTITION BY unit, clt) AS rc, sum(r) OVER (PARTITION BY unit, clt, v || '_' || aa) AS rv FROM u),
+k AS (SELECT *, substr(v, 1, 3) || '.C' || dense_rank() OVER (PARTITION BY unit ORDER BY rc DESC, clt) AS cid, dense_rank() OVER (PARTITION BY unit, clt ORDER BY rv DESC, cvk) AS vk FROM s),
+i AS (SELECT *, cid || '.CV' || vk AS cv FROM k),
+t AS (SELECT *, cv || '.S' || row_number() OVER (PARTITION BY unit, cv ORDER BY r DESC, sequence_id) AS sub, cid || '.' || row_number() OVER (PARTITION BY unit, cid ORDER BY r DESC, sequence_id) AS sub_clt FROM i)"""
+_CELLS = f"""{CONTIGS_SQL}, b AS (SELECT sample AS unit, sequence_id, Clonotype AS clt, {GENES_SQL}[1] AS v, {_AA} AS aa, junction, split_part(sequence_id, '_', 1) || '_' || sample AS barcode FROM contigs WHERE n_reads IS NULL AND Clonotype IS NOT NULL AND junction IS NOT NULL AND v_call IS NOT NULL),
+s AS (SELECT *, substr(v, 1, 3) AS loc, v || '_' || aa AS cvk, count(*) OVER (PARTITION BY unit, substr(v, 1, 3), clt) AS rc, count(*) OVER (PARTITION BY unit, substr(v, 1, 3), clt, v || '_' || aa) AS rv, count(*) OVER (PARTITION BY unit, substr(v, 1, 3), clt, v || '_' || aa, junction) AS rs FROM b WHERE v IS NOT NULL AND aa IS NOT NULL),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY unit, loc ORDER BY rc DESC, clt) AS ck, dense_rank() OVER (PARTITION BY unit, loc, clt ORDER BY rv DESC, cvk) AS vk, dense_rank() OVER (PARTITION BY unit, loc, clt, cvk ORDER BY rs DESC, junction) AS sk FROM s),
+ids AS (SELECT *, loc || '.C' || ck AS cid, loc || '.C' || ck || '.CV' || vk AS cv, loc || '.C' || ck || '.CV' || vk || '.S' || sk AS sub FROM k)"""
+_ANN = """ann AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS k FROM annotated_contigs) WHERE k = 1 AND SampleID NOT IN ('', 'NA') AND ClonotypeID IS NOT NULL),
+cases AS (SELECT SampleID, arg_min(CaseID, registered_at) AS CaseID, arg_min(BatchID, registered_at) AS BatchID FROM sample_sheet GROUP BY 1)"""
+_BULKANN = f"""{_ANN}, g AS (SELECT SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, min(VDJ_genes) AS VDJ_genes, min(Junction_aa) AS Junction_aa, CAST(sum(Clonotype_nReads) AS BIGINT) AS r FROM ann WHERE Clonotype_nReads IS NOT NULL AND SubcloneID IS NOT NULL AND ClonotypeVariantID IS NOT NULL GROUP BY 1, 2, 3, 4),
+rws AS (SELECT g.*, CaseID, CAST(sum(r) OVER (PARTITION BY SampleID, ClonotypeID, ClonotypeVariantID) AS BIGINT) AS vr, CAST(sum(r) OVER (PARTITION BY SampleID, ClonotypeID) AS BIGINT) AS cr FROM g JOIN cases USING (SampleID))"""
+_SC = f"{_ANN}, sc AS (SELECT * FROM ann WHERE barcode NOT IN ('', 'NA') AND ClonotypeVariantID IS NOT NULL AND SubcloneID NOT IN ('', 'NA'))"
+_CELLTABLE = f"""{_SC}, firsts AS (SELECT SampleID, barcode, completeBCR, Sample_Tag FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode ORDER BY registered_at, record_id) AS k FROM cells WHERE SampleID NOT IN ('', 'NA')) WHERE k = 1),
+m AS (SELECT SampleID, barcode, string_agg(ClonotypeID, '-' ORDER BY ClonotypeID) AS clone, string_agg(SubcloneID, '-' ORDER BY SubcloneID) AS subclone, string_agg(concat_ws('|', VDJ_genes, Junction_aa), '-' ORDER BY concat_ws('|', VDJ_genes, Junction_aa)) AS seq FROM sc GROUP BY 1, 2),
+ct AS (SELECT * FROM firsts JOIN m USING (SampleID, barcode) JOIN cases USING (SampleID))"""
+_SLOTS = f"""{_SC}, one AS (SELECT SampleID, barcode, ClonotypeID, VDJ_genes, Junction_aa FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode, ClonotypeID ORDER BY record_id) AS k FROM sc) WHERE k = 1),
+numbered AS (SELECT *, CASE WHEN substr(ClonotypeID, 1, 3) = 'IGH' THEN 'IGH' WHEN substr(ClonotypeID, 1, 3) IN ('IGK', 'IGL') THEN 'IGL' END AS kind FROM one),
+slots AS (SELECT *, kind || row_number() OVER (PARTITION BY SampleID, barcode, kind ORDER BY ClonotypeID) AS slot FROM numbered)"""
+
+
+def _slot(slot: str, column: str) -> str:
+    return f"max({column}) FILTER (slot = '{slot}') AS {slot}_{column}"
+
+
+def _airr_sql() -> str:
+    names = ["fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"]
+    cols, before = [], "0"
+    for n in names:
+        end = f"({before} + length({n}))" if n != "fwr4" else "length(seq)"
+        aa_end = f"({end} // 3)" if n != "fwr4" else "length(aa)"
+        cols += [f"{n}", f"substr(aa, {before} // 3 + 1, greatest(0, {aa_end} - {before} // 3)) AS {n}_aa", f"CAST({before} + 1 AS INT) AS {n}_start", f"CAST({end} AS INT) AS {n}_end"]
+        before = end
+    call = lambda c: f"coalesce(CASE WHEN trim({c}) <> '' THEN replace({c}, '/', '-') END, '')"
+    return f"""WITH {_TIDY}, c AS (SELECT *, {_CODONS} AS codons FROM tidy WHERE n_reads IS NOT NULL), a AS (SELECT *, {_aa('seq')} AS aa, {_aa('germline')} AS gaa FROM c)
+SELECT sequence_id, seq AS sequence, substr({call('v_call')}, 1, 3) AS locus, 'T' AS productive, 'F' AS rev_comp, substr(seq, v_len - 2, length(cdr3) + 6) AS junction, junction_aa, CAST(length(cdr3) + 6 AS INT) AS junction_length,
+{call('v_call')} AS v_call, {call('d_call')} AS d_call, {call('j_call')} AS j_call, c_call, seq AS sequence_alignment, aa AS sequence_alignment_aa, germline AS germline_alignment, gaa AS germline_alignment_aa,
+'' AS v_cigar, '' AS d_cigar, '' AS j_cigar, {', '.join(cols)}, n_reads AS duplicate_count, clonotypeID AS clone_id, sample AS sample_id FROM a"""
+
+
+def _rescue_sql(column: str) -> str:
+    return f"""WITH {_CELLTABLE}, full_cells AS (SELECT DISTINCT SampleID, clone AS num, {column} AS id, string_split({column}, '-') AS p FROM ct WHERE completeBCR = 'Yes'),
+runs AS (SELECT SampleID, num, unnest(p) AS run FROM full_cells UNION SELECT SampleID, num, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) FROM full_cells UNION SELECT SampleID, num, id FROM full_cells),
+known AS (SELECT SampleID, run, min(num) AS num FROM runs GROUP BY 1, 2 HAVING count(DISTINCT num) = 1)
+SELECT ct.SampleID, ct.barcode, CASE WHEN known.num IS NOT NULL THEN 'Yes_rescue' ELSE completeBCR END AS completeBCR, coalesce(known.num, CASE WHEN completeBCR = 'Yes' THEN clone END) AS num
+FROM ct LEFT JOIN known ON ct.SampleID = known.SampleID AND known.run = ct.{column} AND completeBCR IN ('Single_chain_1', 'Single_chain_2')"""
+
+
+ORACLE = {
+    "clonotype_freq_by_sample": f"WITH {CONTIGS_SQL} SELECT sample, clonotypeID, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY sample), 9) AS freq FROM contigs WHERE clonotypeID IS NOT NULL GROUP BY 1, 2",
+    "v_clusters": f"""WITH RECURSIVE {CONTIGS_SQL}, calls AS (SELECT DISTINCT sample AS unit, {GENES_SQL} AS g FROM contigs WHERE v_call IS NOT NULL), e AS (SELECT DISTINCT unit, g[1] AS a, unnest(g) AS b FROM calls),
+both_ways AS (SELECT unit, a, b FROM e UNION SELECT unit, b, a FROM e), reach AS (SELECT unit, a, b FROM both_ways UNION SELECT r.unit, r.a, w.b FROM reach r JOIN both_ways w ON r.unit = w.unit AND r.b = w.a)
+SELECT unit, a AS gene, string_agg(DISTINCT b, ',' ORDER BY b) AS v_cluster FROM reach GROUP BY 1, 2""",
+    "clonotypes_single_linkage": f"""WITH RECURSIVE {_KEYED}, e AS (SELECT a.unit, a.v_cluster, a.cdr3 AS x, b.cdr3 AS y FROM keyed a JOIN keyed b ON a.unit = b.unit AND a.v_cluster = b.v_cluster AND a.len = b.len WHERE round(hamming(a.cdr3, b.cdr3) / a.len, 6) <= {MAX_DIFF}),
+reach AS (SELECT unit, v_cluster, x, y FROM e UNION SELECT r.unit, r.v_cluster, r.x, e.y FROM reach r JOIN e ON r.unit = e.unit AND r.v_cluster = e.v_cluster AND r.y = e.x)
+SELECT unit, v_cluster, x AS cdr3, min(y) AS label FROM reach GROUP BY 1, 2, 3""",
+    "nn_distance": f"""WITH {_KEYED} SELECT a.unit, a.v_cluster, a.cdr3, round(min(hamming(a.cdr3, b.cdr3) / a.len), 9) AS distance FROM keyed a LEFT JOIN keyed b ON a.unit = b.unit AND a.v_cluster = b.v_cluster AND a.len = b.len AND a.cdr3 <> b.cdr3 GROUP BY 1, 2, 3""",
+    "bulk_ids": f"WITH {_BULK} SELECT unit, sequence_id, cid AS clt, cv, sub, sub_clt FROM t",
+    "bulk_freqs": f"""WITH {_BULK} SELECT unit, sequence_id, CAST(sum(r) OVER (PARTITION BY unit, cid) AS BIGINT) AS clonotypeID_nreads, round(sum(r) OVER (PARTITION BY unit, cid) * 100.0 / sum(r) OVER (PARTITION BY unit), 9) AS clonotypeID_freq,
+round(sum(r) OVER (PARTITION BY unit, cv) * 100.0 / sum(r) OVER (PARTITION BY unit, cid), 9) AS clonotypeVariant_freq, round(r * 100.0 / sum(r) OVER (PARTITION BY unit, cv), 9) AS subclone_freq_in_CV, round(r * 100.0 / sum(r) OVER (PARTITION BY unit, cid), 9) AS subclone_freq FROM t""",
+    "sc_ids": f"WITH {_CELLS} SELECT unit, sequence_id, cid AS clt, cv, sub FROM ids",
+    "cell_chains": f"""WITH {_CELLS}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit, barcode, cid ORDER BY sequence_id) AS n FROM ids) WHERE n = 1),
+c AS (SELECT unit, barcode, string_agg(cid, '-' ORDER BY cid) AS merge_clonotypeID, string_agg(cv, '-' ORDER BY cv) AS merge_clonotypeVariantID, string_agg(sub, '-' ORDER BY sub) AS merge_subcloneID, count(*) AS n, count(*) FILTER (loc = 'IGH') AS h, count(*) FILTER (loc IN ('IGK', 'IGL')) AS l FROM one GROUP BY 1, 2)
+SELECT unit, barcode, merge_clonotypeID, merge_clonotypeVariantID, merge_subcloneID, CASE WHEN n = 1 THEN 'Single_chain_1' WHEN n > 4 THEN 'Not_supported' WHEN h = 0 OR l = 0 THEN CASE WHEN n = 2 THEN 'Single_chain_2' ELSE 'Not_supported' END WHEN h > 2 OR l > 2 THEN CASE WHEN n = 4 THEN 'Not_supported' ELSE 'Yes' END ELSE 'Yes' END AS completeBCR FROM c""",
+    "consensus_cdr3": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, Clonotype, {_AA} AS s FROM contigs WHERE Clonotype IS NOT NULL),
+m AS (SELECT sample, Clonotype, length(s) AS len, row_number() OVER (PARTITION BY sample, Clonotype ORDER BY count(*) DESC, length(s)) AS k FROM b WHERE length(s) > 0 GROUP BY 1, 2, 3),
+l AS (SELECT b.sample, b.Clonotype, p, substr(s, CAST(p AS INT), 1) AS c, count(*) AS n FROM b JOIN m ON b.sample = m.sample AND b.Clonotype = m.Clonotype AND length(s) = len AND k = 1, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS p) GROUP BY 1, 2, 3, 4),
+t AS (SELECT sample, Clonotype, p, string_agg(c, '' ORDER BY c) AS cs FROM (SELECT *, max(n) OVER (PARTITION BY sample, Clonotype, p) AS best FROM l) WHERE n = best GROUP BY 1, 2, 3)
+SELECT sample, Clonotype, string_agg(CASE WHEN length(cs) > 1 THEN '[' || cs || ']' ELSE cs END, '' ORDER BY p) AS consensus FROM t GROUP BY 1, 2""",
+    "consensus_germline": f"""WITH {ALIGNED_SQL}, b AS (SELECT sample, Clonotype, sequence_id, junction, seq, germline, array_to_string(list_transform(range(1, length(germline) + 1), lambda i: CASE WHEN substr(germline, i, 1) = 'N' THEN substr(seq, i, 1) ELSE substr(germline, i, 1) END), '') AS filled, length(germline) - length(replace(germline, 'N', '')) AS n
+  FROM aligned WHERE whole AND fwr1 <> '' AND cdr3 <> '' AND upper(productive) IN ('T', 'TRUE') AND Clonotype IS NOT NULL),
+m AS (SELECT sample, Clonotype, length(junction) AS len, row_number() OVER (PARTITION BY sample, Clonotype ORDER BY count(*) DESC, length(junction)) AS k FROM b GROUP BY 1, 2, 3),
+r AS (SELECT b.sample, b.Clonotype, filled, row_number() OVER (PARTITION BY b.sample, b.Clonotype ORDER BY round((length(seq) - n - hamming(filled, seq)) / (length(seq) - n), 12) DESC, n, sequence_id) AS i FROM b JOIN m ON b.sample = m.sample AND b.Clonotype = m.Clonotype AND length(junction) = len AND k = 1)
+SELECT sample, Clonotype, filled AS consensus_germline FROM r WHERE i = 1""",
+    "contam_bulk": f"""WITH {_BULKANN}, q AS (SELECT *, coalesce(VDJ_genes, 'NA') || chr(1) || coalesce(Junction_aa, 'NA') AS key FROM rws), v AS (SELECT SampleID, ClonotypeVariantID, max(vr) AS vr FROM q GROUP BY 1, 2),
+f AS (SELECT SampleID, ClonotypeVariantID, vr * 100.0 / sum(vr) OVER (PARTITION BY SampleID) AS freq FROM v), p AS (SELECT key, SampleID, CaseID, max(freq) AS freq FROM q JOIN f USING (SampleID, ClonotypeVariantID) GROUP BY 1, 2, 3),
+d AS (SELECT p.*, max(freq) OVER (PARTITION BY key) AS top, first_value(SampleID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS tc FROM p WHERE key IN (SELECT key FROM p GROUP BY key HAVING count(DISTINCT CaseID) > 1)),
+w AS (SELECT *, max(CASE WHEN CaseID <> tc AND top < 10 * freq THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS doubt FROM d),
+z AS (SELECT key, SampleID, ts, CASE WHEN CaseID <> tc AND top >= 10 * freq THEN 'OUT' WHEN CaseID <> tc THEN 'OUT_X' WHEN doubt = 1 AND SampleID = ts THEN 'OUT_X' END AS raw FROM w),
+x AS (SELECT q.*, z.raw, CASE WHEN z.raw IS NOT NULL THEN ts END AS ts FROM q LEFT JOIN z ON q.key = z.key AND q.SampleID = z.SampleID AND z.raw IS NOT NULL),
+bad AS (SELECT SampleID, ClonotypeID, sum(f) AS bad FROM (SELECT SampleID, ClonotypeID, ClonotypeVariantID, max(vr * 100.0 / cr) AS f FROM x WHERE raw IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT x.SampleID, SubcloneID, CASE WHEN raw IS NULL THEN 'PASS' WHEN bad >= 80 THEN 'OUT_CLONOTYPE' ELSE 'OUT_CLONOTYPEVARIANT' END AS Contamination_FLAG, coalesce(raw, 'PASS') AS Contamination_raw, ts AS Contamination_Sample FROM x LEFT JOIN bad ON x.SampleID = bad.SampleID AND x.ClonotypeID = bad.ClonotypeID""",
+    "contam_cells": f"""WITH {_CELLTABLE}, n AS (SELECT seq, SampleID, CaseID, subclone, count(*) AS n FROM ct GROUP BY 1, 2, 3, 4), p AS (SELECT seq, SampleID, CaseID, max(n) AS n FROM n GROUP BY 1, 2, 3),
+d AS (SELECT p.*, max(n) OVER (PARTITION BY seq) AS top, first_value(SampleID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS tc FROM p WHERE seq IN (SELECT seq FROM p GROUP BY seq HAVING count(DISTINCT CaseID) > 1 AND max(n) > 1)),
+w AS (SELECT *, max(CASE WHEN CaseID <> tc AND top < 2 * n THEN 1 ELSE 0 END) OVER (PARTITION BY seq) AS doubt FROM d),
+z AS (SELECT seq, SampleID, ts, CASE WHEN CaseID <> tc AND top >= 2 * n THEN 'OUT' WHEN CaseID <> tc THEN 'OUT_X' WHEN doubt = 1 AND SampleID = ts THEN 'OUT_X' END AS raw FROM w),
+x AS (SELECT ct.SampleID, barcode, clone, z.raw, z.ts FROM ct LEFT JOIN z ON ct.seq = z.seq AND ct.SampleID = z.SampleID AND z.raw IS NOT NULL),
+y AS (SELECT *, count(*) FILTER (raw = 'OUT') OVER (PARTITION BY SampleID, clone) * 100.0 / count(*) OVER (PARTITION BY SampleID, clone) AS share FROM x)
+SELECT SampleID, barcode, CASE WHEN share >= 80 THEN 'OUT_CLONOTYPE' ELSE coalesce(raw, 'PASS') END AS Contamination_FLAG, ts AS Contamination_Sample FROM y""",
+    "contam_tags": f"""WITH {_CELLTABLE}, n AS (SELECT SampleID, clone, Sample_Tag, count(*) AS n FROM ct WHERE Sample_Tag NOT IN ('', 'NA', 'Multiplet', 'Undetermined') GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(n) OVER w AS total, max(n) OVER w AS top, first_value(Sample_Tag) OVER (PARTITION BY SampleID, clone ORDER BY n DESC, Sample_Tag) AS best FROM n WINDOW w AS (PARTITION BY SampleID, clone)),
+f AS (SELECT *, total > 1 AND Sample_Tag <> best AND top > 1.5 * n AS bad FROM t)
+SELECT ct.SampleID, barcode, CASE WHEN bad THEN 'OUT' WHEN bad IS NOT NULL THEN 'PASS' END AS SampleTag_FLAG, CASE WHEN bad THEN n || ':' || top END AS SampleTag_Ratio FROM ct LEFT JOIN f ON ct.SampleID = f.SampleID AND ct.clone = f.clone AND ct.Sample_Tag = f.Sample_Tag""",
+    "recalc_bulk": f"""WITH {_BULKANN}, k AS (SELECT *, 'C' || dense_rank() OVER (PARTITION BY SampleID ORDER BY cr DESC, ClonotypeID) AS c, dense_rank() OVER (PARTITION BY SampleID, ClonotypeID ORDER BY vr DESC, ClonotypeVariantID) AS v FROM rws)
+SELECT SampleID, SubcloneID AS old, c AS ClonotypeID, c || '.CV' || v AS ClonotypeVariantID, c || '.CV' || v || '.S' || row_number() OVER (PARTITION BY SampleID, ClonotypeVariantID ORDER BY r DESC, SubcloneID) AS SubcloneID,
+c || '.' || row_number() OVER (PARTITION BY SampleID, ClonotypeID ORDER BY r DESC, SubcloneID) AS SubcloneID_in_Clonotype, cr AS Clonotype_nReads, round(cr * 100.0 / sum(r) OVER (PARTITION BY SampleID), 9) AS Clonotype_freq FROM k""",
+    "recalc_cells": f"""WITH {_SC}, a AS (SELECT *, substr(ClonotypeID, 1, 3) AS loc, regexp_replace(ClonotypeID, 'x(NA)?[0-9]+$', '') AS base, regexp_extract(ClonotypeID, '(x(?:NA)?[0-9]+)$', 1) AS suf FROM sc),
+n AS (SELECT *, count(*) OVER (PARTITION BY SampleID, loc, base) AS bn FROM a), k AS (SELECT *, loc || '.C' || dense_rank() OVER (PARTITION BY SampleID, loc ORDER BY bn DESC, base) || suf AS cid FROM n),
+s AS (SELECT *, count(*) OVER (PARTITION BY SampleID, cid, ClonotypeVariantID) AS vn, count(*) OVER (PARTITION BY SampleID, cid, ClonotypeVariantID, SubcloneID) AS sn FROM k),
+t AS (SELECT *, cid || '.CV' || dense_rank() OVER (PARTITION BY SampleID, cid ORDER BY vn DESC, ClonotypeVariantID) AS cv, dense_rank() OVER (PARTITION BY SampleID, cid, ClonotypeVariantID ORDER BY sn DESC, SubcloneID) AS sk FROM s)
+SELECT record_id, cid AS ClonotypeID, cv AS ClonotypeVariantID, cv || '.S' || sk AS SubcloneID FROM t""",
+    "rescue_strict": _rescue_sql("subclone"),
+    "rescue_relaxed": _rescue_sql("clone"),
+    "cells_wide": f"WITH {_SLOTS} SELECT SampleID, barcode, count(*) AS n_contigs, {', '.join(_slot(s, c) for s in SLOTS for c in WIDE)} FROM slots GROUP BY 1, 2",
+    "cells_long": f"""WITH {_SLOTS} SELECT SampleID, barcode, barcode || '_' || CASE slot WHEN 'IGH1' THEN 1 WHEN 'IGH2' THEN 2 WHEN 'IGL1' THEN 3 ELSE 4 END AS contig_id, slot, ClonotypeID, VDJ_genes, Junction_aa FROM slots WHERE slot IN ('IGH1', 'IGH2', 'IGL1', 'IGL2')""",
+    "mb_cells": f"""WITH {_SLOTS}, wide AS (SELECT SampleID, barcode, count(*) AS n_contigs, {_slot('IGH1', 'ClonotypeID')}, {_slot('IGL1', 'ClonotypeID')} FROM slots GROUP BY 1, 2)
+SELECT * FROM wide UNION ALL SELECT DISTINCT SampleID, barcode, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM cells c WHERE SampleID NOT IN ('', 'NA') AND barcode IS NOT NULL AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.SampleID = c.SampleID AND w.barcode = c.barcode)""",
+    "airr_export": _airr_sql(),
+    "gctree_abundance": f"""WITH {_SC}, n AS (SELECT SampleID || '|' || ClonotypeID AS clone, SubcloneID AS subclone, count(*) AS abundance FROM sc GROUP BY 1, 2), big AS (SELECT clone FROM n GROUP BY 1 HAVING sum(abundance) > 1)
+SELECT n.* FROM n JOIN big USING (clone) UNION ALL SELECT clone, 'GL', 0 FROM big""",
+    "gctree_idmap": f"WITH {_SC} SELECT SampleID, ClonotypeID, SubcloneID, count(*) AS abundance, string_agg(barcode, ':' ORDER BY barcode) AS members FROM sc GROUP BY 1, 2, 3",
+}

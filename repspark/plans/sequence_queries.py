@@ -132,12 +132,12 @@ QUERIES = {
 
 _ALL = " AND ".join(f"{r} <> ''" for r in ("fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"))
 _REST = " AND ".join(f"{r} <> ''" for r in ("fwr2", "cdr2", "fwr3", "cdr3", "fwr4"))
-_TIDY = f"{ALIGNED_SQL}, tidy AS (SELECT *, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3) AS v_len, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3) AS v_cdr3_len FROM aligned WHERE whole AND {_ALL} AND upper(productive) IN ('T', 'TRUE'))"
+TIDY_SQL = f"{ALIGNED_SQL}, tidy AS (SELECT *, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3) AS v_len, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3) AS v_cdr3_len FROM aligned WHERE whole AND {_ALL} AND upper(productive) IN ('T', 'TRUE'))"
 _BASES = "TCAG"
-_CODONS = "MAP {" + ", ".join(f"'{a}{b}{c}': '{'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[16 * i + 4 * j + k]}'" for i, a in enumerate(_BASES) for j, b in enumerate(_BASES) for k, c in enumerate(_BASES)) + "}"
+CODONS_SQL = "MAP {" + ", ".join(f"'{a}{b}{c}': '{'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[16 * i + 4 * j + k]}'" for i, a in enumerate(_BASES) for j, b in enumerate(_BASES) for k, c in enumerate(_BASES)) + "}"
 
 
-def _aa(s: str) -> str:
+def aa_sql(s: str) -> str:
     return f"array_to_string(list_transform(range(1, length({s}) // 3 + 1), lambda i: coalesce(codons[upper(substr({s}, i * 3 - 2, 3))], 'X')), '')"
 
 
@@ -160,7 +160,7 @@ SELECT sample, 'read' || row_number() OVER (PARTITION BY sample ORDER BY n DESC,
     "tidy_filter_fr2": f"WITH {ALIGNED_SQL} SELECT sample, sequence_id FROM aligned WHERE NOT whole AND fwr1 = '' AND cdr1 = '' AND {_REST}",
     "tidy_filter_fr3": f"WITH {ALIGNED_SQL} SELECT sample, sequence_id FROM aligned WHERE NOT whole AND fwr1 = '' AND cdr1 = '' AND fwr2 = '' AND cdr2 = '' AND fwr3 <> '' AND cdr3 <> '' AND fwr4 <> ''",
     "tidy_filter_missionbio": f"WITH {ALIGNED_SQL} SELECT sample, sequence_id FROM aligned WHERE trim(coalesce(v_call, '')) <> '' OR cdr3 <> ''",
-    "tidy_rows": f"""WITH {_TIDY} SELECT sample, sequence_id, array_to_string(list_filter([coalesce(replace(v_call, '/', '-'), ''), CASE WHEN trim(d_call) <> '' THEN replace(d_call, '/', '-') END, coalesce(replace(j_call, '/', '-'), '')], lambda x: x IS NOT NULL), '/') AS VDJ,
+    "tidy_rows": f"""WITH {TIDY_SQL} SELECT sample, sequence_id, array_to_string(list_filter([coalesce(replace(v_call, '/', '-'), ''), CASE WHEN trim(d_call) <> '' THEN replace(d_call, '/', '-') END, coalesce(replace(j_call, '/', '-'), '')], lambda x: x IS NOT NULL), '/') AS VDJ,
 array_to_string([length(fwr1), length(cdr1), length(fwr2), length(cdr2), length(fwr3), length(cdr3), length(seq) - v_cdr3_len], '-') AS arch, CAST(v_len AS INT) AS len_no_CDR3, CAST(v_cdr3_len AS INT) AS len_yes_CDR3, 'productive' AS productive FROM tidy""",
     "vdj_compose": f"""WITH {CONTIGS_SQL} SELECT sample, sequence_id, array_to_string(list_filter([CASE WHEN trim(coalesce(v_call, '')) = '' THEN '' ELSE replace(v_call, '/', '-') END, CASE WHEN trim(d_call) <> '' THEN replace(d_call, '/', '-') END,
 CASE WHEN trim(coalesce(j_call, '')) = '' THEN '' ELSE replace(j_call, '/', '-') END], lambda x: x IS NOT NULL), '/') AS VDJ FROM contigs""",
@@ -172,15 +172,15 @@ SELECT sample, junction, min(sequence_id) AS sequence_id, CAST(sum(n) AS BIGINT)
     "modal_length_filter": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, sequence_id, {GENES_SQL}[1] AS g, CAST(length(junction) AS INT) AS len FROM contigs WHERE junction IS NOT NULL AND v_call IS NOT NULL),
 m AS (SELECT sample, g, len, row_number() OVER (PARTITION BY sample, g ORDER BY count(*) DESC, len) AS k FROM b GROUP BY 1, 2, 3)
 SELECT b.* FROM b JOIN m ON b.sample = m.sample AND b.g IS NOT DISTINCT FROM m.g AND b.len = m.len WHERE k = 1""",
-    "translate_nt": f"WITH {CONTIGS_SQL}, c AS (SELECT DISTINCT junction, {_CODONS} AS codons FROM contigs WHERE junction IS NOT NULL) SELECT junction, {_aa('junction')} AS aa FROM c",
-    "junction": f"WITH {_TIDY} SELECT sample, sequence_id, substr(seq, v_len - 2, length(cdr3) + 6) AS cut, cdr3, substr(junction_aa, 2, greatest(0, length(junction_aa) - 2)) AS cdr3_aa FROM tidy",
-    "v_identity": f"WITH {_TIDY} SELECT sample, sequence_id, round((v_len - hamming(substr(seq, 1, v_len), substr(germline, 1, v_len))) * 100.0 / v_len, 9) AS v_identity FROM tidy",
-    "pairwise_identity": f"WITH {_TIDY} SELECT sample, sequence_id, round((length(seq) - hamming(seq, germline)) / length(seq), 9) AS identity FROM tidy",
+    "translate_nt": f"WITH {CONTIGS_SQL}, c AS (SELECT DISTINCT junction, {CODONS_SQL} AS codons FROM contigs WHERE junction IS NOT NULL) SELECT junction, {aa_sql('junction')} AS aa FROM c",
+    "junction": f"WITH {TIDY_SQL} SELECT sample, sequence_id, substr(seq, v_len - 2, length(cdr3) + 6) AS cut, cdr3, substr(junction_aa, 2, greatest(0, length(junction_aa) - 2)) AS cdr3_aa FROM tidy",
+    "v_identity": f"WITH {TIDY_SQL} SELECT sample, sequence_id, round((v_len - hamming(substr(seq, 1, v_len), substr(germline, 1, v_len))) * 100.0 / v_len, 9) AS v_identity FROM tidy",
+    "pairwise_identity": f"WITH {TIDY_SQL} SELECT sample, sequence_id, round((length(seq) - hamming(seq, germline)) / length(seq), 9) AS identity FROM tidy",
     "stereotype_rules": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, junction_aa, upper(trim(productive)) IN ('T', 'TRUE') AS ok, CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) ELSE '' END AS c FROM contigs)
 SELECT sample, sequence_id, CASE WHEN NOT coalesce(ok, false) OR coalesce(len(genes), 0) = 0 OR len(list_filter(genes, lambda g: NOT contains(g, 'IGH'))) > 0 OR coalesce(junction_aa, '') = '' THEN 'NA' {_rules()} ELSE 'Unassigned' END AS subset FROM b""",
     "r110": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, CASE WHEN replace(string_split(string_split(v_call, '/')[1], '*')[1], ' ', '') = 'IGLV3-21' AND ends_with(junction, 'C') THEN '[R110]' ELSE '' END AS mark FROM contigs WHERE v_call IS NOT NULL AND junction IS NOT NULL",
-    "ags": f"""WITH {_TIDY}, h AS (SELECT *, {_CODONS} AS codons FROM tidy WHERE v_call LIKE 'IGH%'),
-a AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, {_aa('seq')} AS s, {_aa('germline')} AS q, length(fwr1) // 3 AS e1, length(fwr1) // 3 + length(cdr1) // 3 AS e2, length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 AS e3,
+    "ags": f"""WITH {TIDY_SQL}, h AS (SELECT *, {CODONS_SQL} AS codons FROM tidy WHERE v_call LIKE 'IGH%'),
+a AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, {aa_sql('seq')} AS s, {aa_sql('germline')} AS q, length(fwr1) // 3 AS e1, length(fwr1) // 3 + length(cdr1) // 3 AS e2, length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 AS e3,
   length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 + length(cdr2) // 3 AS e4, length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 + length(cdr2) // 3 + length(fwr3) // 3 AS e5,
   length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 + length(cdr2) // 3 + length(fwr3) // 3 + length(cdr3) // 3 AS e6 FROM h),
 p AS (SELECT *, list_filter(range(1, length(s) - 1), lambda i: regexp_matches(substr(s, i, 3), '^N[^P][TS]$') AND substr(s, i, 3) <> substr(q, i, 3)) AS hits FROM a),
