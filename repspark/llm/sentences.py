@@ -341,6 +341,16 @@ class Places:
         counts = np.diff(get("seg").offsets.to_numpy())
         self.doc = np.repeat(np.arange(b.num_rows), counts)
 
+    def once(self) -> np.ndarray:
+        """The first place of each context in each text: what one text repeats is counted once."""
+        key = np.zeros(len(self.doc), dtype=np.uint64)
+        for c in (self.doc, self.kind, self.l3, self.l3b, self.l2, self.r3, self.r2):
+            key = (key ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out = np.zeros(len(key), dtype=bool)
+        out[np.unique(key, return_index=True)[1]] = True
+        return out
+
 
 class Model:
     """Expected counts of boundaries and of all places, per context cell."""
@@ -446,7 +456,8 @@ def _counter(model, first: bool):
             else:
                 m = Model(held) if not first else _ends(held)
                 q = first_guess(p, m) if first else m.posterior(p)
-            left, right = p.kind != START, p.kind != END
+            once = p.once()
+            left, right = once & (p.kind != START), once & (p.kind != END)
             before = np.concatenate([[0.0], q[:-1]])
             l3 = np.where((p.l3b >= 0) & (p.kind == HIDDEN) & (before > 0.5), p.l3b, p.l3)
             for cells, use in ((l3, left), (p.l2, left), (p.l1, left), (p.r3, right), (p.r2, right), (p.r1, right), (p.lr, left & right)):
