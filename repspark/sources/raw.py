@@ -52,17 +52,15 @@ def read_fasta(spark: SparkSession, paths: list[str] | str, labels: dict[str, st
     return rows.where(F.col("sequence_id") != "")
 
 
-def read_fastq(spark: SparkSession, paths: list[str] | str, labels: dict[str, str] | None = None) -> DataFrame:
-    """(sample, sequence_id, sequence) of each record. A record is cut at '\\n@' whose quality line can't hold it: header, bases, '+', as many qualities.
+def read_fastq(spark: SparkSession, paths: list[str] | str, labels: dict[str, str] | None = None, newline: str = "\n") -> DataFrame:
+    """(sample, sequence_id, sequence) of each record whose third line is a plain '+'.
 
-    Records are read with the separator of the plus line, so a file is split among tasks.
+    Files are cut at those lines, so they are split among tasks: before each stand a header and its bases.
     """
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    n = F.floor(F.size(lines) / 4).cast("int")
-    recs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(lines, i * 4).alias("h"), F.get(lines, i * 4 + 1).alias("s"), i.alias("i")))
-    rows = raw.where(n > 0).select(_sample(labels).alias("sample"), F.explode(recs).alias("r"))
-    return rows.select("sample", F.regexp_replace("r.h", "^@", "").alias("sequence_id"), F.col("r.s").alias("sequence"), F.col("r.i").alias("read_index"))
+    raw = spark.read.option("lineSep", f"{newline}+{newline}").text(paths).select(F.col("_metadata.file_path").alias("path"), F.split("value", newline).alias("x"))
+    head, bases = F.try_element_at("x", F.lit(-2)), F.try_element_at("x", F.lit(-1))
+    rows = raw.where((F.size("x") >= 2) & head.startswith("@") & (bases != ""))
+    return rows.select(_sample(labels).alias("sample"), F.substring(head, F.lit(2), F.length(head)).alias("sequence_id"), bases.alias("sequence"))
 
 
 def read_table(spark: SparkSession, paths: list[str] | str, input_format: str, data_type: str = "single_cell", labels: dict[str, str] | None = None) -> DataFrame:
