@@ -79,20 +79,20 @@ def v_identity(seq: Column | str, germline: Column | str, length: Column | str)
 
 
 def v_genes(v_call: Column | str) -> Column:
-    """Sorted distinct genes of a call list: upper part before '/', no allele, trimmed."""
+    """Sorted distinct genes of a call list: the part before '/', no allele, trimmed, in upper case; '' and NA are none."""
     parts = F.split(F.substring_index(col(v_call), "/", 1), ",")
-    genes = F.transform(parts, lambda g: F.trim(F.regexp_replace(g, r"\*\d+", "")))
-    return F.array_sort(F.array_distinct(F.filter(genes, lambda g: g != "")))
+    genes = F.transform(parts, lambda g: F.upper(F.trim(F.regexp_replace(g, r"\*\d+", ""))))
+    return F.array_sort(F.array_distinct(F.filter(genes, lambda g: ~g.isin("", "NA"))))
 
 
 def compose_vdj(v: Column | str, d: Column | str, j: Column | str) -> Column:
-    """V/D/J with '/' inside a call written as '-' and an empty D left out."""
-    clean = lambda c: F.when((col(c).isNotNull()) & (F.trim(col(c)) != ""), F.regexp_replace(col(c), "/", "-"))
+    """V/D/J with '/' inside a call written as '-' and a missing D ('' or NA too) left out."""
+    clean = lambda c: F.when(~F.trim(col(c)).isin("", "NA"), F.regexp_replace(col(c), "/", "-"))
     return F.concat_ws("/", F.coalesce(clean(v), F.lit("")), clean(d), F.coalesce(clean(j), F.lit("")))
 
 
 def locus(gene: Column | str) -> Column:
-    return F.substring(col(gene), 1, 3)
+    return F.upper(F.substring(col(gene), 1, 3))
 
 
 def barcode(contig_id: Column | str, sample: Column | str | None = None) -> Column:
@@ -139,7 +139,7 @@ def slice_string(s: Column | str, start: Column, end: Column) -> Column:
 
 def r110(vdj: Column | str, seq: Column | str) -> Column:
     """'[R110]' if the first V gene is IGLV3-21 and the sequence ends with C, else ''."""
-    gene = F.regexp_replace(F.substring_index(F.substring_index(col(vdj), "/", 1), "*", 1), " ", "")
+    gene = F.upper(F.regexp_replace(F.substring_index(F.substring_index(col(vdj), "/", 1), "*", 1), " ", ""))
     return F.when((gene == "IGLV3-21") & col(seq).endswith("C"), "[R110]").otherwise("")
 
 

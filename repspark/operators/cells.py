@@ -55,26 +55,44 @@ def resolve_classes(cells: DataFrame, unit: str = "unit", mission_bio: bool = Fa
 def relabel_chains(df: DataFrame, unit: str = "unit") -> DataFrame:
     """Contigs (with completeBCR and igclonotypeID of their cell) whose chain clonotype serves several igclonotypes, split into x1, x2, ...
 
-    Among Yes cells the igclonotypes of a chain are numbered by frequency. Other contigs take the
-    label most of the Yes contigs of their variant have; a tie, or no such contig where several labels
-    exist, gives xNA and a number in row order; a variant without Yes contigs gets the next number.
+    The igclonotypes that a chain has among Yes cells are numbered by contigs, then name; every contig of such
+    an igclonotype takes its number, other Yes contigs keep their id. A contig left takes the label most Yes
+    contigs of its variant have; a tie gives xNA and a number within the variant. A contig whose variant no
+    Yes cell has, taken by sequence_id: the id itself if its chain has at most one label, but from the first
+    Single_chain_1 on that meets one label, all before become x1 and the rest x2, x3, ...; if the chain has
+    n > 1 labels they become x(n+1), x(n+2), ...
     """
-    yes = (F.col("completeBCR") == "Yes") & F.col("igclonotypeID").isNotNull()
-    counts = df.where(yes).groupBy(unit, "clonotypeID", "igclonotypeID").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(unit, "clonotypeID")
-    labels = counts.withColumn("_k", F.row_number().over(w.orderBy(F.col("_n").desc(), "igclonotypeID"))).withColumn("_of", F.count(F.lit(1)).over(w))
-    labels = labels.select(unit, "clonotypeID", "igclonotypeID", F.when(F.col("_of") > 1, F.concat(F.col("clonotypeID"), F.lit("x"), F.col("_k").cast("string"))).otherwise(F.col("clonotypeID")).alias("_own"))
-    many = labels.groupBy(unit, "clonotypeID").agg(F.count(F.lit(1)).alias("_labels"))
-    own = df.where(yes).join(labels, [unit, "clonotypeID", "igclonotypeID"])
-    votes = own.groupBy(unit, "clonotypeVariantID_in_Cltp", "_own").agg(F.count(F.lit(1)).alias("_n"))
-    v = Window.partitionBy(unit, "clonotypeVariantID_in_Cltp")
-    top = votes.withColumn("_max", F.max("_n").over(v)).where("_n = _max").groupBy(unit, "clonotypeVariantID_in_Cltp").agg(F.when(F.count(F.lit(1)) == 1, F.min("_own")).alias("_vote"), F.lit(True).alias("_seen"))
-    rest = df.where(~F.coalesce(yes, F.lit(False))).join(many, [unit, "clonotypeID"], "left").join(top, [unit, "clonotypeVariantID_in_Cltp"], "left")
-    tie = F.coalesce(F.col("_labels") > 1, F.lit(False)) & F.col("_seen") & F.col("_vote").isNull()
-    k = F.row_number().over(Window.partitionBy(unit, "clonotypeID", tie).orderBy("sequence_id")).cast("string")
-    named = F.when(F.coalesce(F.col("_labels"), F.lit(0)) <= 1, F.col("clonotypeID")).when(F.col("_vote").isNotNull(), F.col("_vote")).when(tie, F.concat(F.col("clonotypeID"), F.lit("xNA"), k)).otherwise(F.concat(F.col("clonotypeID"), F.lit("x"), (F.col("_labels") + 1).cast("string")))
     cols = df.columns
-    return own.withColumn("clonotypeID", F.col("_own")).select(*cols).unionByName(rest.withColumn("clonotypeID", named).select(*cols))
+    chain, variant = [unit, "clonotypeID"], [unit, "clonotypeID", "clonotypeVariantID_in_Cltp"]
+    yes = F.coalesce(F.col("completeBCR") == "Yes", F.lit(False))
+    label = lambda *x: F.concat(F.col("clonotypeID"), *[F.lit(c) if isinstance(c, str) else c.cast("string") for c in x])
+    # 1, 2: labels by igclonotype
+    counts = df.where(yes & F.col("igclonotypeID").isNotNull()).groupBy(*chain, "igclonotypeID").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*chain)
+    numbers = counts.withColumn("_k", F.row_number().over(w.orderBy(F.col("_n").desc(), "igclonotypeID"))).withColumn("_of", F.count(F.lit(1)).over(w)).where("_of > 1").drop("_n", "_of")
+    df = df.join(numbers, [*chain, "igclonotypeID"], "left")
+    df = df.withColumn("_new", F.when(F.col("_k").isNotNull(), label("x", F.col("_k"))).when(yes, F.col("clonotypeID")))
+    # 3: labels by the votes of the variant
+    votes = df.where(yes & F.col("_new").isNotNull()).groupBy(*variant, "_new").agg(F.count(F.lit(1)).alias("_n"))
+    v = votes.withColumn("_max", F.max("_n").over(Window.partitionBy(*variant))).where("_n = _max").groupBy(*variant).agg(F.count(F.lit(1)).alias("_tied"), F.min("_new").alias("_vote"))
+    df = df.join(v, variant, "left")
+    k = F.row_number().over(Window.partitionBy(*variant, F.col("_new").isNull()).orderBy("sequence_id"))
+    df = df.withColumn("_new", F.coalesce("_new", F.when(F.col("_tied") == 1, F.col("_vote")).when(F.col("_tied") > 1, label("xNA", k))))
+    # 4: the rest, in order within the chain
+    known = df.where(F.col("_new").isNotNull()).select(*chain, "_new").distinct().groupBy(*chain).agg(F.count(F.lit(1)).alias("_labels"))
+    df = df.join(known, chain, "left").withColumn("_labels", F.coalesce("_labels", F.lit(0)))
+    left = F.col("_new").isNull() & F.col("clonotypeID").isNotNull()
+    df = df.withColumn("_i", F.when(left, F.row_number().over(Window.partitionBy(*chain, left).orderBy("sequence_id"))))
+    turn = left & (F.col("_labels") <= 1) & (F.col("completeBCR") == "Single_chain_1") & (F.col("_i") + F.col("_labels") > 1)
+    df = df.withColumn("_s", F.min(F.when(turn, F.col("_i"))).over(Window.partitionBy(*chain)))
+    few = F.col("_labels") <= 1
+    named = (
+        F.when(left & ~few, label("x", F.col("_labels") + F.col("_i")))
+        .when(left & (F.col("_i") >= F.col("_s")), label("x", F.col("_i") - F.col("_s") + 2))
+        .when(few & F.col("_s").isNotNull(), label("x1"))
+        .otherwise(F.coalesce("_new", "clonotypeID"))
+    )
+    return df.withColumn("clonotypeID", named).select(*cols)
 
 
 def numbered(df: DataFrame, unit: str = "unit") -> DataFrame:
@@ -93,6 +111,6 @@ def chain_values(contigs: DataFrame, columns: list[str], unit: str = "unit", uns
     """(unit, barcode, one joined string per column): per cell the values of its chains in subclone order; null for unsupported cells."""
     ok = F.col("completeBCR").isNull() | (F.col("completeBCR") != unsupported)
     rows = contigs.where(F.col("barcode").isNotNull()).groupBy(unit, "barcode").agg(
-        F.array_sort(F.collect_list(F.struct("Unique_SequenceID", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in columns]))).alias("x"), F.first("completeBCR").alias("completeBCR")
+        F.array_sort(F.collect_list(F.struct("Unique_SequenceID", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in columns]))).alias("x"), F.max("completeBCR").alias("completeBCR")
     )
     return rows.select(unit, "barcode", *[F.when(ok, F.array_join(F.col(f"x.{c}"), "_")).alias(c) for c in columns])

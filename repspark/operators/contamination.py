@@ -62,7 +62,7 @@ def flag_cells(cells: DataFrame, sequence: list[str], subclone: str, clone: str,
     weak = foreign & (F.col("_max") < cutoff * F.col("_n"))
     doubt = F.max(weak).over(Window.partitionBy(b, "_key"))
     raw = F.when(foreign & ~weak, "OUT").when(weak, "OUT_X").when(doubt & (F.col(sample) == F.col("_top.s")), "OUT_X")
-    flags = per.withColumn("_raw", raw).where(F.col("_raw").isNotNull()).groupBy(b, "_key", sample).agg(F.min("_raw").alias("_raw"), F.first(F.concat_ws("|", F.col("_n").cast("string"), F.col("_max").cast("string"))).alias("Contamination_Ratio"), F.first("_top.s").alias("Contamination_Sample"))
+    flags = per.withColumn("_raw", raw).where(F.col("_raw").isNotNull()).groupBy(b, "_key", sample).agg(F.min("_raw").alias("_raw"), F.min(F.concat_ws("|", F.col("_n").cast("string"), F.col("_max").cast("string"))).alias("Contamination_Ratio"), F.min("_top.s").alias("Contamination_Sample"))
     rows = rows.join(flags, [b, "_key", sample], "left")
     share = rows.where(F.col(clone).isNotNull()).groupBy(b, sample, clone).agg((F.count_if(F.col("_raw") == "OUT") * 100.0 / F.count(F.lit(1))).alias("_share"))
     rows = rows.join(share, [b, sample, clone], "left")

@@ -57,7 +57,7 @@ def nt_sql(x: str) -> str:
     return f"translate(md5({x}), '{_HEX}', '{_NT}')"
 
 
-GENES_SQL = "list_sort(list_distinct(list_filter(list_transform(string_split(string_split(v_call, '/')[1], ','), lambda x: trim(regexp_replace(x, '\\*[0-9]+', '', 'g'))), lambda x: x <> '')))"
+GENES_SQL = "list_sort(list_distinct(list_filter(list_transform(string_split(string_split(v_call, '/')[1], ','), lambda x: upper(trim(regexp_replace(x, '\\*[0-9]+', '', 'g')))), lambda x: x NOT IN ('', 'NA'))))"
 
 CONTIGS_SQL = """contigs AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY sample, sequence_id ORDER BY loaded_at DESC) AS k FROM tidy_contigs WHERE sample IS NOT NULL AND sequence_id IS NOT NULL) WHERE k = 1)"""
 

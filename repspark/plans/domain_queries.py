@@ -18,6 +18,7 @@ from repspark.operators.trees import abundances
 from repspark.operators.wide import SLOTS, cells_long, cells_wide, with_unsupported
 from repspark.plans.annotate import annotate
 from repspark.plans.base import ALIGNED_SQL, CONTIGS_SQL, GENES_SQL, aligned, latest_contigs
+from repspark.plans.sequence_queries import CALL_SQL
 from repspark.plans.sequence_queries import CODONS_SQL as _CODONS
 from repspark.plans.sequence_queries import TIDY_SQL as _TIDY
 from repspark.plans.sequence_queries import aa_sql as _aa
@@ -301,9 +302,9 @@ def _airr_sql() -> str:
         aa_end = f"({end} // 3)" if n != "fwr4" else "length(aa)"
         cols += [f"{n}", f"substr(aa, {before} // 3 + 1, greatest(0, {aa_end} - {before} // 3)) AS {n}_aa", f"CAST({before} + 1 AS INT) AS {n}_start", f"CAST({end} AS INT) AS {n}_end"]
         before = end
-    call = lambda c: f"coalesce(CASE WHEN trim({c}) <> '' THEN replace({c}, '/', '-') END, '')"
+    call = lambda c: f"coalesce({CALL_SQL[c]}, '')"
     return f"""WITH {_TIDY}, c AS (SELECT *, {_CODONS} AS codons FROM tidy WHERE n_reads IS NOT NULL), a AS (SELECT *, {_aa('seq')} AS aa, {_aa('germline')} AS gaa FROM c)
-SELECT sequence_id, seq AS sequence, substr({call('v_call')}, 1, 3) AS locus, 'T' AS productive, 'F' AS rev_comp, substr(seq, v_len - 2, length(cdr3) + 6) AS junction, junction_aa, CAST(length(cdr3) + 6 AS INT) AS junction_length,
+SELECT sequence_id, seq AS sequence, upper(substr({call('v_call')}, 1, 3)) AS locus, 'T' AS productive, 'F' AS rev_comp, substr(seq, v_len - 2, length(cdr3) + 6) AS junction, junction_aa, CAST(length(cdr3) + 6 AS INT) AS junction_length,
 {call('v_call')} AS v_call, {call('d_call')} AS d_call, {call('j_call')} AS j_call, c_call, seq AS sequence_alignment, aa AS sequence_alignment_aa, germline AS germline_alignment, gaa AS germline_alignment_aa,
 '' AS v_cigar, '' AS d_cigar, '' AS j_cigar, {', '.join(cols)}, n_reads AS duplicate_count, clonotypeID AS clone_id, sample AS sample_id FROM a"""
 

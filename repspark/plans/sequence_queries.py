@@ -133,6 +133,8 @@ QUERIES = {
 _ALL = " AND ".join(f"{r} <> ''" for r in ("fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"))
 _REST = " AND ".join(f"{r} <> ''" for r in ("fwr2", "cdr2", "fwr3", "cdr3", "fwr4"))
 TIDY_SQL = f"{ALIGNED_SQL}, tidy AS (SELECT *, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3) AS v_len, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3 || cdr3) AS v_cdr3_len FROM aligned WHERE whole AND {_ALL} AND upper(productive) IN ('T', 'TRUE'))"
+CALL_SQL = {c: f"CASE WHEN trim({c}) NOT IN ('', 'NA') THEN replace({c}, '/', '-') END" for c in ("v_call", "d_call", "j_call")}
+VDJ_SQL = f"array_to_string(list_filter([coalesce({CALL_SQL['v_call']}, ''), {CALL_SQL['d_call']}, coalesce({CALL_SQL['j_call']}, '')], lambda x: x IS NOT NULL), '/')"
 _BASES = "TCAG"
 CODONS_SQL = "MAP {" + ", ".join(f"'{a}{b}{c}': '{'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[16 * i + 4 * j + k]}'" for i, a in enumerate(_BASES) for j, b in enumerate(_BASES) for k, c in enumerate(_BASES)) + "}"
 
@@ -160,11 +162,10 @@ SELECT sample, 'read' || row_number() OVER (PARTITION BY sample ORDER BY n DESC,
     "tidy_filter_fr2": f"WITH {ALIGNED_SQL} SELECT sample, sequence_id FROM aligned WHERE NOT whole AND fwr1 = '' AND cdr1 = '' AND {_REST}",
     "tidy_filter_fr3": f"WITH {ALIGNED_SQL} SELECT sample, sequence_id FROM aligned WHERE NOT whole AND fwr1 = '' AND cdr1 = '' AND fwr2 = '' AND cdr2 = '' AND fwr3 <> '' AND cdr3 <> '' AND fwr4 <> ''",
     "tidy_filter_missionbio": f"WITH {ALIGNED_SQL} SELECT sample, sequence_id FROM aligned WHERE trim(coalesce(v_call, '')) <> '' OR cdr3 <> ''",
-    "tidy_rows": f"""WITH {TIDY_SQL} SELECT sample, sequence_id, array_to_string(list_filter([coalesce(replace(v_call, '/', '-'), ''), CASE WHEN trim(d_call) <> '' THEN replace(d_call, '/', '-') END, coalesce(replace(j_call, '/', '-'), '')], lambda x: x IS NOT NULL), '/') AS VDJ,
+    "tidy_rows": f"""WITH {TIDY_SQL} SELECT sample, sequence_id, {VDJ_SQL} AS VDJ,
 array_to_string([length(fwr1), length(cdr1), length(fwr2), length(cdr2), length(fwr3), length(cdr3), length(seq) - v_cdr3_len], '-') AS arch, CAST(v_len AS INT) AS len_no_CDR3, CAST(v_cdr3_len AS INT) AS len_yes_CDR3, 'productive' AS productive FROM tidy""",
-    "vdj_compose": f"""WITH {CONTIGS_SQL} SELECT sample, sequence_id, array_to_string(list_filter([CASE WHEN trim(coalesce(v_call, '')) = '' THEN '' ELSE replace(v_call, '/', '-') END, CASE WHEN trim(d_call) <> '' THEN replace(d_call, '/', '-') END,
-CASE WHEN trim(coalesce(j_call, '')) = '' THEN '' ELSE replace(j_call, '/', '-') END], lambda x: x IS NOT NULL), '/') AS VDJ FROM contigs""",
-    "gene_lists": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, array_to_string({GENES_SQL}, ',') AS genes, substr(trim(v_call), 1, 3) AS chain, split_part(sequence_id, '_', 1) || '_' || sample AS barcode FROM contigs WHERE v_call IS NOT NULL",
+    "vdj_compose": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, {VDJ_SQL} AS VDJ FROM contigs",
+    "gene_lists": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, array_to_string({GENES_SQL}, ',') AS genes, upper(substr(trim(v_call), 1, 3)) AS chain, split_part(sequence_id, '_', 1) || '_' || sample AS barcode FROM contigs WHERE v_call IS NOT NULL",
     "booleans": f"WITH {CONTIGS_SQL} SELECT locus, upper(trim(productive)) IN ('T', 'TRUE') AS productive, upper(trim(complete_vdj)) IN ('T', 'TRUE') AS complete, count(*) AS n FROM contigs GROUP BY 1, 2, 3",
     "read_count_parse": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, TRY_CAST(string_split(sequence_id, '=')[2] AS BIGINT) AS n FROM contigs WHERE TRY_CAST(string_split(sequence_id, '=')[2] AS BIGINT) IS NOT NULL",
     "unique_sequences": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, sequence_id, junction, TRY_CAST(string_split(sequence_id, '=')[2] AS BIGINT) AS n FROM contigs WHERE junction IS NOT NULL)
@@ -178,7 +179,7 @@ SELECT b.* FROM b JOIN m ON b.sample = m.sample AND b.g IS NOT DISTINCT FROM m.g
     "pairwise_identity": f"WITH {TIDY_SQL} SELECT sample, sequence_id, round((length(seq) - hamming(seq, germline)) / length(seq), 9) AS identity FROM tidy",
     "stereotype_rules": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, junction_aa, upper(trim(productive)) IN ('T', 'TRUE') AS ok, CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) ELSE '' END AS c FROM contigs)
 SELECT sample, sequence_id, CASE WHEN NOT coalesce(ok, false) OR coalesce(len(genes), 0) = 0 OR len(list_filter(genes, lambda g: NOT contains(g, 'IGH'))) > 0 OR coalesce(junction_aa, '') = '' THEN 'NA' {_rules()} ELSE 'Unassigned' END AS subset FROM b""",
-    "r110": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, CASE WHEN replace(string_split(string_split(v_call, '/')[1], '*')[1], ' ', '') = 'IGLV3-21' AND ends_with(junction, 'C') THEN '[R110]' ELSE '' END AS mark FROM contigs WHERE v_call IS NOT NULL AND junction IS NOT NULL",
+    "r110": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, CASE WHEN upper(replace(string_split(string_split(v_call, '/')[1], '*')[1], ' ', '')) = 'IGLV3-21' AND ends_with(junction, 'C') THEN '[R110]' ELSE '' END AS mark FROM contigs WHERE v_call IS NOT NULL AND junction IS NOT NULL",
     "ags": f"""WITH {TIDY_SQL}, h AS (SELECT *, {CODONS_SQL} AS codons FROM tidy WHERE v_call LIKE 'IGH%'),
 a AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, {aa_sql('seq')} AS s, {aa_sql('germline')} AS q, length(fwr1) // 3 AS e1, length(fwr1) // 3 + length(cdr1) // 3 AS e2, length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 AS e3,
   length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 + length(cdr2) // 3 AS e4, length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 + length(cdr2) // 3 + length(fwr3) // 3 AS e5,

@@ -175,3 +175,14 @@ def test_config_and_cutoff(spark):
         AnnotateConfig(hc_similarity_cutoff=2)
     assert AnnotateConfig(data_type="missionbio").primer == "missionbio"
     assert automatic_cutoff(spark.createDataFrame([], "distance double")) == 0.2
+
+def test_chain_labels(spark):
+    from repspark.operators.cells import relabel_chains
+
+    rows = [("K1", "K1.CV1", "C1", "Yes")] * 3 + [("K1", "K1.CV1", "C2", "Yes")] * 2 + [("K1", "K1.CV1", "C2", "Alternative_clonotype"), ("K1", "K1.CV1", None, "Single_chain_1"), ("K1", "K1.CV9", None, "Single_chain_1"), ("K1", "K1.CV9", None, "Not_supported")]
+    rows += [("K2", "K2.CV1", "C1", "Yes"), ("K2", "K2.CV2", "C2", "Yes"), ("K2", "K2.CV1", "C2", "Yes"), ("K2", "K2.CV2", "C1", "Yes"), ("K2", "K2.CV1", None, "Single_chain_1"), ("K2", "K2.CV1", None, "Single_chain_2")]
+    rows += [("K3", "K3.CV1", "C1", "Yes"), ("K3", "K3.CV2", None, "Not_supported"), ("K3", "K3.CV2", None, "Single_chain_1"), ("K3", "K3.CV2", None, "Single_chain_1")]
+    rows += [("K4", "K4.CV1", None, "Single_chain_1"), ("K5", "K5.CV1", None, "Single_chain_1"), ("K5", "K5.CV1", None, "Single_chain_1")]
+    df = spark.createDataFrame([("u", f"{i:03d}", *r) for i, r in enumerate(rows)], "unit string, sequence_id string, clonotypeID string, clonotypeVariantID_in_Cltp string, igclonotypeID string, completeBCR string")
+    got = [r["clonotypeID"] for r in relabel_chains(df).orderBy("sequence_id").collect()]
+    assert got == ["K1x1"] * 3 + ["K1x2"] * 3 + ["K1x1", "K1x3", "K1x4"] + ["K2x1", "K2x2", "K2x2", "K2x1", "K2xNA1", "K2xNA2"] + ["K3x1", "K3x1", "K3x2", "K3x3"] + ["K4", "K5x1", "K5x2"]
