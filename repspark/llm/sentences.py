@@ -43,6 +43,7 @@ _BRACKETS = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())
 _LIST = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
 _BLANKS = re.compile(r"\n[^\S\n]*\n\s*")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
+_THAI = re.compile("[฀-๿]")
 _DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]")
 _FIRST_WORD = re.compile(r"[\w'’]+(?:[-_][\w]+)*\.?|[^\s]")
@@ -204,7 +205,7 @@ def _places(s: str) -> list[tuple[int, int, int, int, int]]:
         if nxt == j and not _glued(s, i, j):
             continue
         out.append((i, j, nxt, HIDDEN))
-    if "฀" <= max(s) and any("฀" <= c <= "๿" for c in s):
+    if _THAI.search(s):
         inside = lambda p: any(a < p < b for a, b in pairs)
         out += [(m.start(), m.start(), m.end(), CERTAIN) for m in _THAI_SPACE.finditer(s) if not pairs or not inside(m.start())]
         out.sort()
@@ -310,24 +311,24 @@ _COLS = ["seg", "stop", "next", "kind", "l3", "l3b", "l2", "l1", "r3", "r2", "r1
 PARSED = "doc_id bigint, seg_start array<int>, seg_end array<int>, " + ", ".join(f"`{c}` array<int>" for c in _COLS)
 
 
-def _lists(rows: list[list]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def _lists(rows: list[list[tuple]], width: int) -> list[pa.Array]:
+    """One list column per field of the rows' tuples."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32))
+    flat = np.array([x for r in rows for x in r], dtype=np.int32).reshape(-1, width)
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat[:, k]))) for k in range(width)]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, keep, got = b.column(0), [], []
-        for i in range(b.num_rows):
-            p = parse(b.column(1)[i].as_py())
+        ids, keep, segs, places = b.column(0), [], [], []
+        for i, text in enumerate(b.column(1).to_pylist()):
+            p = parse(text)
             if p:
                 keep.append(i)
-                got.append(p)
+                segs.append(p["segs"])
+                places.append(p["places"])
         if keep:
-            cols = [ids.take(pa.array(keep)), _lists([[x[0] for x in p["segs"]] for p in got]), _lists([[x[1] for x in p["segs"]] for p in got])]
-            cols += [_lists([[x[k] for x in p["places"]] for p in got]) for k in range(len(_COLS))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "seg_start", "seg_end", *_COLS])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), *_lists(segs, 2), *_lists(places, len(_COLS))], names=["doc_id", "seg_start", "seg_end", *_COLS])
 
 
 class Places:
