@@ -107,28 +107,130 @@ def within(a: str, b: str, cutoff: float) -> bool:
     return indel_distance(a, b) <= cutoff
 
 
-def merge_by_indels(members: dict[str, list[str]], lengths: dict[str, int], cutoff: float) -> dict[str, str]:
-    """Composite name of each clonotype that merges with others of another CDR3 length.
+def _least(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Fewest mismatches, capped at ``most``, of each longer row of ``x`` with each shorter row of ``y`` over all places of their gaps."""
+    d, m = x.shape[1] - y.shape[1], y.shape[1]
+    least = np.zeros((d + 1, len(x), len(y)), dtype=np.uint8)
+    for i in range(m):
+        for k in range(1, d + 1):
+            np.minimum(least[k], least[k - 1], out=least[k])
+        for k in range(d + 1):
+            least[k] += x[:, i + k, None] != y[None, :, i]
+        if i % 128 == 127:
+            np.minimum(least, min(most, 120), out=least)
+    return least.min(axis=0)
+
+
+def near_pairs(a: list[str], b: list[str] | None, cutoff: float, few: int = 2048, block: int = 256) -> list[tuple[int, int]]:
+    """(i, j) with within(a[i], b[j]) of all pairs that differ in length; pairs within ``a`` once each if ``b`` is None.
 
-    In name order each clonotype not yet in a composite gathers all whose farthest pair of sequences is
-    within the cutoff; composites that share a member are one. Names join by '.'.
+    Many pairs of two lengths are bounded as a matrix, those of rarer lengths in one list, so only pairs that may be
+    near are looked at one by one.
     """
-    names = sorted(members)
-    taken: set[str] = set()
-    done: set[str] = set()
-    edges = []
-    for c in names:
-        if c in taken:
-            continue
-        for o in names:
-            if o == c or o in done or lengths[o] == lengths[c]:
+    by: list[dict[int, list[int]]] = []
+    for seqs in (a, a if b is None else b):
+        at: dict[int, list[int]] = {}
+        for i, s in enumerate(seqs):
+            at.setdefault(len(s), []).append(i)
+        by.append(at)
+    other = a if b is None else b
+    out = []
+    rare: list[tuple[list[int], list[int], int]] = []
+    for n, left in by[0].items():
+        for m, right in by[1].items():
+            if n == m or (b is None and n < m):
+                continue
+            hi, lo = max(n, m), min(n, m)
+            allowed = int(cutoff * hi + 1e-6) - 1
+            if cutoff < 1.0 and (lo - GAP_OPEN - GAP_EXTEND * (hi - lo) <= 0 or allowed < 0):
+                continue
+            if cutoff < 1.0 and allowed < 120 and len(left) * len(right) <= few:
+                rare.append((left, right, allowed))
                 continue
-            if all(within(s, t, cutoff) for s in members[c] for t in members[o]):
-                edges.append((c, o))
-                taken |= {c, o}
-        done.add(c)
-    root = components(edges)
+            if cutoff >= 1.0 or allowed >= 120:
+                out += [(i, j) for i in left for j in right if within(a[i], other[j], cutoff)]
+                continue
+            x, y = _codes([a[i] for i in left]), _codes([other[j] for j in right])
+            for p in range(0, len(left), block):
+                for q in range(0, len(right), block):
+                    u, v = x[p : p + block], y[q : q + block]
+                    least = _least(u, v, allowed + 1) if n > m else _least(v, u, allowed + 1).T
+                    for i, j in np.argwhere(least <= allowed):
+                        i, j = left[p + int(i)], right[q + int(j)]
+                        if within(a[i], other[j], cutoff):
+                            out.append((i, j))
+    for i, j in _rare_pairs(a, other, rare):
+        if within(a[i], other[j], cutoff):
+            out.append((i, j))
+    return out
+
+
+def _rare_pairs(a: list[str], b: list[str], rare: list[tuple[list[int], list[int], int]], block: int = 8192) -> list[tuple[int, int]]:
+    """Those of the pairs (members of a, members of b, allowed mismatches) that ``_least`` doesn't exclude, of all lengths at once."""
+    if not rare:
+        return []
+    i = np.concatenate([np.repeat(x, len(y)) for x, y, _ in rare])
+    j = np.concatenate([np.tile(y, len(x)) for x, y, _ in rare])
+    allowed = np.repeat([w for _, _, w in rare], [len(x) * len(y) for x, y, _ in rare])
+    size = [np.array([len(s) for s in side]) for side in (a, b)]
+    wide = int(max(size[0].max(), size[1].max()))
+    codes = [_codes([s.ljust(wide) for s in side]) for side in (a, b)]
+    out = []
+    for at in range(0, len(i), block):
+        p, q, most = i[at : at + block], j[at : at + block], allowed[at : at + block].astype(np.uint8)
+        n, m = size[0][p], size[1][q]
+        turn = n < m
+        x, y = codes[0][p], codes[1][q]
+        x[turn], y[turn] = y[turn], x[turn].copy()
+        d, short = np.abs(n - m), np.minimum(n, m)
+        gap = int(d.max())
+        x, y = np.ascontiguousarray(np.pad(x, ((0, 0), (0, gap + 1))).T), np.ascontiguousarray(y.T)
+        least = np.zeros((gap + 1, len(p)), dtype=np.uint8)
+        for k in range(int(short.max())):
+            np.minimum.accumulate(least, axis=0, out=least)
+            least += (x[k : k + gap + 1] != y[k]) & (k < short)
+            if k % 8 == 7:  # mismatches only grow: pairs beyond theirs at every place are left behind
+                live = np.flatnonzero(least.min(axis=0) <= most)
+                if len(live) < 0.7 * len(p):
+                    p, q, most, d, short, x, y, least = p[live], q[live], most[live], d[live], short[live], x[:, live], y[:, live], least[:, live]
+                    if not len(p):
+                        break
+                np.minimum(least, most + np.uint8(1), out=least)
+        # places beyond a pair's own gap aren't reached from, so the row of its gap has the least of its own
+        np.minimum.accumulate(least, axis=0, out=least)
+        near = least[d, np.arange(len(p))] <= most
+        out += list(zip(p[near].tolist(), q[near].tolist()))
+    return out
+
+
+def _codes(seqs: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8).reshape(len(seqs), -1)
+
+
+def composites(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """Composite name of each clonotype of the near pairs.
+
+    In name order each clonotype not yet in a composite gathers all near ones; composites that share a member
+    are one. Names join by '.'.
+    """
+    near: dict[str, list[str]] = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    taken: set[str] = set()
+    kept = []
+    for c in sorted(near):
+        if c not in taken:
+            kept += [(c, o) for o in near[c]]
+            taken.update(near[c], (c,))
     groups: dict[str, list[str]] = {}
-    for c, r in root.items():
+    for c, r in components(kept).items():
         groups.setdefault(r, []).append(c)
-    return {c: ".".join(sorted(g)) for g in groups.values() for c in g}
+    return {c: name for g in groups.values() for name in [".".join(sorted(g))] for c in g}
+
+
+def merge_by_indels(members: dict[str, list[str]], lengths: dict[str, int], cutoff: float) -> dict[str, str]:
+    """``composites`` of clonotypes of different CDR3 length whose farthest pair of sequences is within the cutoff."""
+    names = sorted(members)
+    near = lambda c, o: lengths[o] != lengths[c] and all(within(s, t, cutoff) for s in members[c] for t in members[o])
+    return composites([(c, o) for i, c in enumerate(names) for o in names[i + 1 :] if near(c, o)])

@@ -5,14 +5,16 @@ Python sees only distinct CDR3 of one pre-clonotype, or distinct genes of one un
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repspark.functions.sequences import v_genes
-from repspark.kernels.alignment import merge_by_indels
+from repspark.kernels.alignment import composites, near_pairs, within
 from repspark.kernels.graph import components
 from repspark.kernels.linkage import clusters, density_valley, nearest
-from repspark.runtime import map_groups
+from repspark.runtime import map_arrow, map_groups, written
 
 
 def v_cluster_map(df: DataFrame, unit: str = "unit", v_call: str = "v_call") -> DataFrame:
@@ -63,10 +65,55 @@ def with_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3", cutof
     return df.join(numbers, [unit, "Pre_Clonotype", cdr3], "left").withColumn("Clonotype", F.when(F.col("cluster").isNotNull(), F.concat_ws("_C", "Pre_Clonotype", F.col("cluster").cast("string")))).drop("cluster")
 
 
-def merge_indel_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3", cutoff: float = 0.2, mode: str = "soft_filter", by_v_length: bool = True, largest: int = 3000) -> DataFrame:
+def near_clonotypes(seqs: DataFrame, keys: list[str], cdr3: str, cutoff: float, block: int = 2048) -> DataFrame:
+    """(keys, a, b): clonotypes of a group of ``keys`` (one row each) whose CDR3 differ in length and are within the cutoff.
+
+    A group is spread by hash over blocks of about ``block`` clonotypes; each pair of blocks is a task of its own,
+    so a task holds two blocks, however large the group is.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
+    own = F.col("_own")
+    n = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / block).cast("int")
+    rows = seqs.withColumn("_of", n).withColumn("_own", F.pmod(F.xxhash64("Clonotype"), F.col("_of")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    rows = rows.withColumns({"_p": F.least(own, "_other"), "_q": F.greatest(own, "_other")}).drop("_other")
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        key = [g[k][0] for k in keys]
+        sides = [[(c, s) for c, s, o in zip(g["Clonotype"], g[cdr3], g["_own"]) if o == x] for x in dict.fromkeys((g["_p"][0], g["_q"][0]))]
+        one, two = sides[0], sides[-1]
+        pairs = near_pairs([s for _, s in one], None if len(sides) == 1 else [s for _, s in two], cutoff)
+        return [(*key, *sorted((one[i][0], two[j][0]))) for i, j in pairs]
+
+    tasks = 4 * seqs.sparkSession.sparkContext.defaultParallelism
+    return map_groups(rows, [*keys, "_p", "_q"], run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", a string, b string", tasks)
+
+
+def _all_near(edges: DataFrame, seqs: DataFrame, keys: list[str], cdr3: str, cutoff: float) -> DataFrame:
+    """The (keys, a, b) of which every sequence of ``a`` is within the cutoff of every one of ``b``."""
+    pairs = edges
+    for c in ("a", "b"):
+        m = seqs.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("Clonotype").alias("_c"), F.col(cdr3).alias(f"_s{c}"))
+        on = F.col(c) == F.col("_c")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        pairs = pairs.join(m, on).drop("_c", *[f"_{k}" for k in keys])
+    schema = pairs.drop("_sa", "_sb").withColumn("_near", F.lit(True)).schema
+
+    def run(batches):
+        for b in batches:
+            near = [within(s, t, cutoff) for s, t in zip(b.column("_sa").to_pylist(), b.column("_sb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*keys, "a", "b")], pa.array(near, pa.bool_())], names=[*keys, "a", "b", "_near"])
+
+    tasks = 4 * seqs.sparkSession.sparkContext.defaultParallelism
+    return map_arrow(pairs.repartition(tasks), run, schema).groupBy(*keys, "a", "b").agg(F.bool_and("_near").alias("_near")).where("_near").drop("_near")
+
+
+def merge_indel_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3", cutoff: float = 0.2, mode: str = "soft_filter", by_v_length: bool = True, block: int = 2048) -> DataFrame:
     """Rows with CorrectClt: clonotypes of one V cluster whose CDR3 differ by indels are joined.
 
     hard_filter compares all distinct CDR3, soft_filter the modal ones (one per clonotype), no skips the step.
+    Pairs are found in parallel within a group (``near_clonotypes``); only the near ones meet in one task.
     """
     if mode == "no":
         return df.withColumn("CorrectClt", F.col("Clonotype"))
@@ -75,19 +122,16 @@ def merge_indel_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3"
     keys = [unit, "v_cluster", *(["len_no_CDR3"] if by_v_length else [])]
     seqs = df.where(F.col("Clonotype").isNotNull()).groupBy(*keys, "Clonotype", cdr3).agg(F.count(F.lit(1)).alias("n"))
     if mode == "soft_filter":
-        seqs = seqs.groupBy(*keys, "Clonotype").agg(F.max_by(cdr3, F.struct("n", F.reverse(cdr3))).alias(cdr3))
+        edges = near_clonotypes(seqs.groupBy(*keys, "Clonotype").agg(F.max_by(cdr3, F.struct("n", F.reverse(cdr3))).alias(cdr3)), keys, cdr3, cutoff, block)
+    else:
+        seqs = written(seqs.drop("n"), "members")
+        edges = _all_near(near_clonotypes(seqs.groupBy(*keys, "Clonotype").agg(F.min(cdr3).alias(cdr3)), keys, cdr3, cutoff, block), seqs, keys, cdr3, cutoff)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(g: dict[str, list]) -> list[tuple]:
-        members: dict[str, list[str]] = {}
-        for c, s in sorted(zip(g["Clonotype"], g[cdr3])):
-            members.setdefault(c, []).append(s)
-        if len(members) > largest:
-            raise ValueError(f"{len(members)} clonotypes in one V group; raise the limit or skip the step")
-        merged = merge_by_indels(members, {c: len(m[0]) for c, m in members.items()}, cutoff)
-        return [(g[unit][0], c, name) for c, name in merged.items()]
-
-    joined = map_groups(seqs, keys, run, f"{unit} {kinds[unit]}, Clonotype string, _joined string")
+        return [(g[unit][0], c, name) for c, name in composites(list(zip(g["a"], g["b"]))).items()]
+
+    joined = map_groups(edges, keys, run, f"{unit} {kinds[unit]}, Clonotype string, _joined string")
     return df.join(joined, [unit, "Clonotype"], "left").withColumn("CorrectClt", F.coalesce("_joined", "Clonotype")).drop("_joined")
 
 

@@ -35,9 +35,9 @@ def clonotype_freq_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(total, "sample").select("sample", "clonotypeID", "n", F.round(F.col("n") * 100.0 / F.col("t"), 9).alias("freq"))
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Contigs with unit, first gene as V cluster, CDR3 and its length."""
-    df = latest_contigs(spark, sf_dir).where((F.length("junction") >= 9) & F.col("v_call").isNotNull()).withColumn("unit", F.col("sample")).withColumn("v_cluster", first_gene("v_call"))
+    df = latest_contigs(spark, sf_dir, columns).where((F.length("junction") >= 9) & F.col("v_call").isNotNull()).withColumn("unit", F.col("sample")).withColumn("v_cluster", first_gene("v_call"))
     return df.withColumn("cdr3", F.col("junction")).withColumn("len", F.length("junction")).where(F.col("v_cluster").isNotNull())
 
 
@@ -59,7 +59,8 @@ def _linkage(mode: str):
 
 
 def indel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_clonotypes(_keyed(spark, sf_dir).withColumn("len_no_CDR3", F.lit(0)), mode="single")
+    df = with_clonotypes(_keyed(spark, sf_dir, ["junction", "v_call"]).select("unit", "v_cluster", "cdr3", "sequence_id", F.lit(0).alias("len_no_CDR3")), mode="single")
+    df = written(df.drop("sequence_id", "Pre_Clonotype"), "clusters")
     return merge_indel_clonotypes(df).select("unit", "Clonotype", "CorrectClt").distinct()
 
 

@@ -101,11 +101,12 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], list[tuple]], schema: str, tasks: int | None = None) -> DataFrame:
     """``fn`` over each group of ``keys``: a list of values per column in, rows of ``schema`` out.
 
     Groups lie sorted in the partitions of one shuffle and are read one after another, so many small groups
-    share a batch and only one group is held at a time.
+    share a batch and only one group is held at a time. With ``tasks`` the shuffle has so many partitions, however
+    small they are.
     """
     out_schema = _parse(df.sparkSession, schema)
     arrow = to_arrow_schema(out_schema)
@@ -143,7 +144,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], l
         if rows:
             yield pack()
 
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+    return map_arrow((df.repartition(tasks, *keys) if tasks else df.repartition(*keys)).sortWithinPartitions(*keys), run, schema)
 
 
 def _parse(spark: SparkSession, schema: str) -> StructType:
