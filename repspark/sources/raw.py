@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repspark.runtime import written
+
 FASTA_FORMATS = ("fasta", "10xbcr_fasta")
 TSV_FORMATS = ("mixcr", "bdrhapsodybcr", "parsebcr", "trust4", "airr", "imgt_airr")
 CSV_FORMATS = ("10xbcr_csv",)
@@ -53,14 +55,24 @@ def read_fasta(spark: SparkSession, paths: list[str] | str, labels: dict[str, st
 
 
 def read_fastq(spark: SparkSession, paths: list[str] | str, labels: dict[str, str] | None = None, newline: str = "\n") -> DataFrame:
-    """(sample, sequence_id, sequence) of each record whose third line is a plain '+'.
+    """(sample, sequence_id, sequence) of lines 1 and 2 of every 4, whatever line 3 holds; a carriage return before the newline is left out.
 
-    Files are cut at those lines, so they are split among tasks: before each stand a header and its bases.
+    Lines are written once with their place in their split, so files are split among tasks and each line still has its
+    number in the file. A header without '@' raises, as records of more than 4 lines do; blank lines at the end are no records.
     """
-    raw = spark.read.option("lineSep", f"{newline}+{newline}").text(paths).select(F.col("_metadata.file_path").alias("path"), F.split("value", newline).alias("x"))
-    head, bases = F.try_element_at("x", F.lit(-2)), F.try_element_at("x", F.lit(-1))
-    rows = raw.where((F.size("x") >= 2) & head.startswith("@") & (bases != ""))
-    return rows.select(_sample(labels).alias("sample"), F.substring(head, F.lit(2), F.length(head)).alias("sequence_id"), bases.alias("sequence"))
+    place = F.monotonically_increasing_id()  # grows within a split, which lies in one task
+    raw = spark.read.option("lineSep", newline).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), place.alias("i"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    lines = written(raw, "fastq")
+    splits = lines.groupBy("path", "at").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.col("i") - F.col("first") + F.col("before")
+    numbered = lines.join(F.broadcast(splits.withColumn("before", before).drop("n")), ["path", "at"]).select("path", (number % 4).alias("k"), F.floor(number / 4).alias("record"), "value")
+    line = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    records = numbered.where(F.col("k") < 2).groupBy("path", "record").agg(line(0).alias("head"), F.coalesce(line(1), F.lit("")).alias("bases"))
+    wrong = F.raise_error(F.concat(F.lit("no FASTQ header at line "), (F.col("record") * 4 + 1).cast("string"), F.lit(" of "), F.col("path")))
+    head = F.when(F.col("head").startswith("@"), F.col("head")).otherwise(wrong)
+    rows = records.where((F.trim("head") != "") | (F.trim("bases") != ""))
+    return rows.select(_sample(labels).alias("sample"), F.substring(head, F.lit(2), F.length("head")).alias("sequence_id"), F.col("bases").alias("sequence"))
 
 
 def read_table(spark: SparkSession, paths: list[str] | str, input_format: str, data_type: str = "single_cell", labels: dict[str, str] | None = None) -> DataFrame:
