@@ -112,14 +112,31 @@ def nearest(seqs: list[str]) -> list[float | None]:
     return [None if np.isinf(x) else round(float(x) * n) / n for x in best]
 
 
-def density_valley(values: list[float], floor: float) -> float:
-    """First minimum of a Gaussian density between its first two peaks, at least ``floor``; ``floor`` if there is none."""
+def _percentile(x: np.ndarray, upto: np.ndarray, q: float) -> float:
+    """np.percentile of sorted values that are repeated; ``upto`` is the running sum of the repeats."""
+    at = (int(upto[-1]) - 1) * q / 100
+    low = int(at)
+    a, b = x[np.searchsorted(upto, [low, min(low + 1, int(upto[-1]) - 1)], side="right")]
+    return float(a + (b - a) * (at - low))
+
+
+def density_valley(values: list[float], floor: float, counts: list[int] | None = None) -> float:
+    """First minimum of a Gaussian density between its first two peaks, at least ``floor``; ``floor`` if there is none.
+
+    Each value stands for as many equal ones as its count, for one without ``counts``.
+    """
     x = np.asarray(values, dtype=float)
-    if len(x) < 3 or x.std() == 0:
+    w = np.ones(len(x), dtype=np.int64) if counts is None else np.asarray(counts, dtype=np.int64)
+    n = int(w.sum())
+    if n < 3 or x.min() == x.max():
         return floor
-    width = 0.9 * min(x.std(ddof=1), (np.percentile(x, 75) - np.percentile(x, 25)) / 1.34 or x.std(ddof=1)) * len(x) ** -0.2
+    order = np.argsort(x, kind="stable")
+    x, w = x[order], w[order]
+    upto = np.cumsum(w)
+    deviation = float(np.sqrt((w * (x - (w * x).sum() / n) ** 2).sum() / (n - 1)))
+    width = 0.9 * min(deviation, (_percentile(x, upto, 75) - _percentile(x, upto, 25)) / 1.34 or deviation) * n**-0.2
     grid = np.linspace(x.min(), x.max(), 512)
-    hist, edges = np.histogram(x, bins=2048)
+    hist, edges = np.histogram(x, bins=2048, weights=w)
     mids = (edges[1:] + edges[:-1]) / 2
     dens = (np.exp(-0.5 * ((grid[:, None] - mids) / width) ** 2) * hist).sum(axis=1)
     peak = np.flatnonzero((dens[1:-1] > dens[:-2]) & (dens[1:-1] >= dens[2:])) + 1

@@ -183,6 +183,4 @@ def automatic_cutoff(distances: DataFrame, cdr3_mode: str = "nt", bins: int = 10
     """The valley of the nearest-neighbour distances, at least 0.2 (nt) or 0.3 (aa). The driver sees a histogram of ``bins`` + 1 cells."""
     floor = 0.2 if cdr3_mode == "nt" else 0.3
     hist = distances.where(F.col("distance").isNotNull() & ~F.isnan("distance")).groupBy(F.round(F.col("distance") * bins).cast("int").alias("b")).count().collect()
-    largest = max((r["count"] for r in hist), default=0)
-    scale = max(1, largest // 2000)
-    return density_valley([r["b"] / bins for r in hist for _ in range(-(-r["count"] // scale))], floor)
+    return density_valley([r["b"] / bins for r in hist], floor, [r["count"] for r in hist])
