@@ -43,8 +43,12 @@ def _linked(codes: np.ndarray, cutoff: float) -> np.ndarray:
     for lo in range(0, n, BLOCK):
         for at in range(lo, n, BLOCK):
             near = np.round(distances(codes[lo : lo + BLOCK], codes[at : at + BLOCK]), 6) <= cutoff
-            for i, j in np.argwhere(near):
-                a, b = find(lo + int(i)), find(at + int(j))
+            left = np.array([find(i) for i in range(lo, lo + near.shape[0])])
+            right = np.array([find(j) for j in range(at, at + near.shape[1])])
+            i, j = np.nonzero(near)
+            apart = np.unique((left[i] * n + right[j])[left[i] != right[j]])
+            for x in apart:
+                a, b = find(int(x) // n), find(int(x) % n)
                 if a != b:
                     label[max(a, b)] = min(a, b)
     return np.array([find(i) for i in range(n)])
@@ -77,8 +81,71 @@ def _agglomerate(d: np.ndarray, cutoff: float, mode: str) -> np.ndarray:
     return label
 
 
+def _agglomerate_large(codes: np.ndarray, cutoff: float, mode: str) -> np.ndarray:
+    """``_agglomerate`` of the rows themselves: distances are recomputed where they are needed, so memory grows with the rows only.
+
+    Each cluster keeps its nearest one. A merge leaves those that had one of its two parts as nearest with a lower bound
+    (neither linkage brings clusters nearer), looked up again when it comes first. Distances are quotients of whole numbers, so ties are exact.
+    """
+    n, length = codes.shape
+    letters = np.unique(codes)
+    one = (codes[:, :, None] == letters).reshape(n, -1).astype(np.float32)
+    total = one.astype(np.float64) if mode == "average" else one
+    size = np.ones(n)
+    label = np.arange(n)
+    active = np.ones(n, dtype=bool)
+    nearest_of = np.zeros(n, dtype=np.int64)
+    least = np.full(n, np.inf)
+    stale = np.zeros(n, dtype=bool)
+
+    def row(i: int) -> np.ndarray:
+        if mode == "average":
+            whole = size * size[i] * length
+            d = (whole - total @ total[i]) / whole
+        else:
+            same = np.full(n, np.inf)
+            mine = np.flatnonzero(label == i)
+            for lo in range(0, len(mine), 256):
+                same = np.minimum(same, (one @ one[mine[lo : lo + 256]].T).min(axis=1))
+            far = np.full(n, np.inf)
+            np.minimum.at(far, label, same)
+            d = (length - far) / length
+        d[~active] = np.inf
+        d[i] = np.inf
+        return d
+
+    for lo in range(0, n, 256):
+        same = (one[lo : lo + 256] @ one.T).astype(np.float64)
+        same[np.arange(len(same)), np.arange(lo, lo + len(same))] = -np.inf
+        nearest_of[lo : lo + 256] = same.argmax(axis=1)
+        least[lo : lo + 256] = (length - same.max(axis=1)) / length
+    while True:
+        i = int(np.argmin(least))
+        if not round(float(least[i]), 6) <= cutoff:
+            return label
+        if stale[i]:
+            d = row(i)
+            nearest_of[i], least[i], stale[i] = d.argmin(), d.min(), False
+            continue
+        a, b = sorted((i, int(nearest_of[i])))
+        if mode == "average":
+            total[a] += total[b]
+        size[a] += size[b]
+        label[label == b] = a
+        active[b], least[b], stale[b] = False, np.inf, False
+        stale |= active & ((nearest_of == a) | (nearest_of == b))
+        d = row(a)
+        nearest_of[a], least[a], stale[a] = d.argmin(), d.min(), False
+        closer = active & ~stale & ((d < least) | ((d == least) & (a < nearest_of)))
+        closer[a] = False
+        least[closer], nearest_of[closer] = d[closer], a
+
+
 def clusters(seqs: list[str], cutoff: float, mode: str = "average", largest: int = 12_000) -> list[int]:
-    """Cluster number from 1 of each distinct string, in order of first appearance."""
+    """Cluster number from 1 of each distinct string, in order of first appearance.
+
+    More than ``largest`` similar strings are clustered without a matrix of their distances.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     if len(seqs) < 2:
@@ -92,8 +159,9 @@ def clusters(seqs: list[str], cutoff: float, mode: str = "average", largest: int
             if len(rows) < 3:
                 continue
             if len(rows) > largest:
-                raise ValueError(f"{len(rows)} similar sequences in one group; raise the limit, lower the cutoff or use single linkage")
-            out[rows] = rows[_agglomerate(distances(codes[rows], codes[rows]).astype(np.float64), cutoff, mode)]
+                out[rows] = rows[_agglomerate_large(codes[rows], cutoff, mode)]
+            else:
+                out[rows] = rows[_agglomerate(distances(codes[rows], codes[rows]).astype(np.float64), cutoff, mode)]
     number: dict[int, int] = {}
     return [number.setdefault(int(x), len(number) + 1) for x in out]
 
