@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 KEPT = ("Yes", "Single_chain_2", "Potential_MB_doublet")
 _MB_ORDER = {"Yes": 0, "Single_chain_2": 1, "Potential_MB_doublet": 2}
 
@@ -19,29 +21,30 @@ def resolve(combos: list[tuple[str, str, int]], mission_bio: bool = False) -> di
     number: list[int | None] = [None] * len(rows)
     final = [r[2] for r in rows]
     kept: list[int] = []
-    last = 0
+    # the first kept combination with a chain, and with two: a combination of one or two lies in the first that has them
+    with_chain: dict[str, int] = {}
+    with_pair: dict[tuple[str, ...], int] = {}
     for i, (chains, *_rest) in enumerate(rows):
-        for j in kept:
-            if len(chains) >= 3 and chains & rows[j][0]:
+        if len(chains) >= 3:
+            if not with_chain.keys().isdisjoint(chains):
                 final[i] = "Clonotype_doublet"
-                break
-            if chains <= rows[j][0]:
-                final[i] = "Alternative_clonotype"
-                number[i] = number[j]
-                break
-        else:
-            last += 1
-            number[i] = last
-            kept.append(i)
-    alive = []
+                continue
+        elif (j := with_chain.get(next(iter(chains))) if len(chains) == 1 else with_pair.get(tuple(sorted(chains)))) is not None:
+            final[i] = "Alternative_clonotype"
+            number[i] = number[j]
+            continue
+        number[i] = len(kept) + 1
+        kept.append(i)
+        for c in chains:
+            with_chain.setdefault(c, i)
+        for pair in combinations(sorted(chains), 2):
+            with_pair.setdefault(pair, i)
+    alive: set[str] = set()
     for i in kept:
-        shared = set()
-        for j in alive:
-            shared |= rows[i][0] & rows[j][0]
-        if len(shared) >= 2:
+        if len(rows[i][0] & alive) >= 2:
             final[i] = "Clonotype_doublet"
         else:
-            alive.append(i)
+            alive |= rows[i][0]
     count: dict[int, int] = {}
     first: dict[int, int] = {}
     for i, r in enumerate(rows):
