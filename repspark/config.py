@@ -21,11 +21,14 @@ class AnnotateConfig:
     annotate_ags: bool = False
     rescue_single_chain: bool = False
     relaxed_rescue: bool = False
+    #: Bulk rows of equal sequence are one within the unit, or (in joint mode) within each sample of it.
+    dedupe_scope: str = "unit"
 
     def __post_init__(self) -> None:
         for name, allowed in (
             ("analysis_mode", ("single", "joint")), ("material_type", ("dna", "rna")), ("v_primer", ("full_length", "fr1", "fr2", "fr3", "missionbio")), ("data_type", ("single_cell", "bulk", "missionbio")),
             ("hc_mode", ("average", "complete", "single")), ("cdr3_mode", ("nt", "aa")), ("cdr3_InDel_correction_mode", ("soft_filter", "hard_filter", "no")),
+            ("dedupe_scope", ("unit", "sample")),
         ):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} is one of {', '.join(allowed)}")

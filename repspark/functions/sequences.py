@@ -1,15 +1,15 @@
-"""Column expressions over nucleotide and amino-acid strings, gene calls and identifiers; all native."""
+"""Column expressions over nucleotide and amino-acid strings, gene calls and identifiers; native but for translation."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_BASES = "TCAG"
-#: Fixed value: the standard genetic code, codons in T, C, A, G order.
-_AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+from repspark.kernels.codons import translate
+from repspark.runtime import ship
 
 
 def col(c: Column | str) -> Column:
@@ -21,22 +21,15 @@ def revcomp(seq: Column | str) -> Column:
     return F.reverse(F.translate(F.upper(col(seq)), "ACGT", "TGCA"))
 
 
-def _base_number(base: Column) -> Column:
-    """1 to 4 for T, C, A, G, else 0."""
-    return F.instr(F.lit(_BASES), base)
-
-
 def translate_nt(seq: Column | str) -> Column:
-    """Amino acids of the whole codons; an unknown codon is X, a stop is *."""
-    s = F.upper(col(seq))
-    n = F.floor(F.length(s) / 3).cast("int")
+    """Amino acids of the whole codons; an unknown codon is X, a stop is *. A batch is translated at once, over Arrow."""
+    ship(SparkSession.active())
 
-    def amino(i: Column) -> Column:
-        a, b, c = (_base_number(F.substring(s, i * 3 + k, F.lit(1))) for k in (1, 2, 3))
-        return F.when((a > 0) & (b > 0) & (c > 0), F.substring(F.lit(_AMINO), a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
+    @F.arrow_udf("string")
+    def aa(s: pa.Array) -> pa.Array:
+        return translate(s)
 
-    aa = F.transform(F.sequence(F.lit(0), n - 1), amino)
-    return F.when(s.isNull(), None).when(n < 1, "").otherwise(F.array_join(aa, ""))
+    return aa(col(seq))
 
 
 def cdr3_nt(junction: Column | str) -> Column:

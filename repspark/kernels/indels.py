@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _GAP = re.compile(r"(?<=[ACTG])-+(?=[ACTG])")
 
@@ -57,34 +58,37 @@ def _grow(arch: list[int], pos: int, n: int) -> None:
             return
 
 
+_INNER = re.compile(r"(?<=[^-])-+(?=[^-])")
+
+
+@lru_cache(maxsize=20_000)
 def match_consensus(seq: str, germline: str, consensus: str) -> tuple[str, str, str | None]:
-    """(sequence, germline, events) brought to the length of the consensus germline of its clonotype."""
+    """(sequence, germline, events) brought to the length of the consensus germline of its clonotype.
+
+    Events have the form of ``correct``: 'column before the gap_bases there in the consensus_bases here', first what was
+    filled in, then what was taken out, with columns of the alignment (less those taken out before). N fits any base, and
+    gaps at either end are left as they are.
+    """
     from repspark.kernels.alignment import align
 
-    x, y, _ = align(consensus, germline, gap_open=10.0, gap_extend=4.0, wild="N")
-    out_s, out_g, events = [], [], []
-    i = 0  # place in seq and germline
-    k = 0
-    while k < len(x):
-        if y[k] == "-":  # the own germline lacks bases: take them from the consensus
-            e = k
-            while e < len(x) and y[e] == "-":
-                e += 1
-            events.append(f"{len(out_s)}_{x[k:e]}_-")
-            out_s.append(x[k:e])
-            out_g.append(x[k:e])
-            out_s, out_g = list("".join(out_s)), list("".join(out_g))
-            k = e
-        elif x[k] == "-":  # it has more: drop them
-            e = k
-            while e < len(x) and x[e] == "-":
-                e += 1
-            events.append(f"{len(out_s)}_-_{seq[i : i + e - k]}")
-            i += e - k
-            k = e
-        else:
-            out_s.append(seq[i : i + 1])
-            out_g.append(germline[i : i + 1])
+    x, y, _ = align(consensus, germline, wild="N")
+    lacks = [m.span() for m in _INNER.finditer(y)]
+    extra = [m.span() for m in _INNER.finditer(x)]
+    filled = {k for a, b in lacks for k in range(a, b)}
+    dropped = {k for a, b in extra for k in range(a, b)}
+    events = [f"{a}_{x[a - 1 : b]}_{y[a - 1]}" for a, b in lacks]
+    gone = 0
+    for a, b in extra:
+        events.append(f"{a - gone}_{x[a - 1]}_{y[a - 1 : b]}")
+        gone += b - a
+    s, g, i = [], [], 0  # i: place in seq and germline
+    for k in range(len(x)):
+        if k in filled:
+            s.append(x[k])
+            g.append(x[k])
+        elif y[k] != "-":
+            if k not in dropped:
+                s.append(seq[i : i + 1])
+                g.append(germline[i : i + 1])
             i += 1
-            k += 1
-    return "".join(out_s) + seq[i:], "".join(out_g) + germline[i:], ",".join(events) or None
+    return "".join(s) + seq[i:], "".join(g) + germline[i:], ",".join(events) or None

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from repspark.functions.sequences import sorted_join
 from repspark.kernels.cells import resolve
 from repspark.operators.clonotypes import dotted, rank_set
+from repspark.operators.ranks import numbered as ranked
 from repspark.operators.tidy import first_per_key
-from repspark.runtime import map_groups
+from repspark.runtime import map_groups, written
 
 
 def drop_repeated_chains(df: DataFrame, unit: str = "unit", order: str = "sequence_id") -> DataFrame:
@@ -71,24 +72,27 @@ def relabel_chains(df: DataFrame, unit: str = "unit") -> DataFrame:
     w = Window.partitionBy(*chain)
     numbers = counts.withColumn("_k", F.row_number().over(w.orderBy(F.col("_n").desc(), "igclonotypeID"))).withColumn("_of", F.count(F.lit(1)).over(w)).where("_of > 1").drop("_n", "_of")
     df = df.join(numbers, [*chain, "igclonotypeID"], "left")
-    df = df.withColumn("_new", F.when(F.col("_k").isNotNull(), label("x", F.col("_k"))).when(yes, F.col("clonotypeID")))
+    df = written(df.withColumn("_new", F.when(F.col("_k").isNotNull(), label("x", F.col("_k"))).when(yes, F.col("clonotypeID"))).drop("_k"), "labels")
     # 3: labels by the votes of the variant
     votes = df.where(yes & F.col("_new").isNotNull()).groupBy(*variant, "_new").agg(F.count(F.lit(1)).alias("_n"))
-    v = votes.withColumn("_max", F.max("_n").over(Window.partitionBy(*variant))).where("_n = _max").groupBy(*variant).agg(F.count(F.lit(1)).alias("_tied"), F.min("_new").alias("_vote"))
-    df = df.join(v, variant, "left")
-    k = F.row_number().over(Window.partitionBy(*variant, F.col("_new").isNull()).orderBy("sequence_id"))
-    df = df.withColumn("_new", F.coalesce("_new", F.when(F.col("_tied") == 1, F.col("_vote")).when(F.col("_tied") > 1, label("xNA", k))))
+    best = votes.groupBy(*variant).agg(F.max("_n").alias("_max"))
+    v = votes.join(best, variant).where("_n = _max").groupBy(*variant).agg(F.count(F.lit(1)).alias("_tied"), F.min("_new").alias("_vote"))
+    df = df.join(v, variant, "left").withColumn("_new", F.coalesce("_new", F.when(F.col("_tied") == 1, F.col("_vote"))))
+    order = [F.col("sequence_id")]
+    tie = F.col("_new").isNull() & F.coalesce(F.col("_tied") > 1, F.lit(False))
+    tied = ranked(df.where(tie), variant, order, "_i").withColumn("_new", label("xNA", F.col("_i"))).drop("_i")
+    df = df.where(~tie).unionByName(tied).drop("_tied", "_vote")
     # 4: the rest, in order within the chain
     known = df.where(F.col("_new").isNotNull()).select(*chain, "_new").distinct().groupBy(*chain).agg(F.count(F.lit(1)).alias("_labels"))
     df = df.join(known, chain, "left").withColumn("_labels", F.coalesce("_labels", F.lit(0)))
     left = F.col("_new").isNull() & F.col("clonotypeID").isNotNull()
-    df = df.withColumn("_i", F.when(left, F.row_number().over(Window.partitionBy(*chain, left).orderBy("sequence_id"))))
-    turn = left & (F.col("_labels") <= 1) & (F.col("completeBCR") == "Single_chain_1") & (F.col("_i") + F.col("_labels") > 1)
-    df = df.withColumn("_s", F.min(F.when(turn, F.col("_i"))).over(Window.partitionBy(*chain)))
+    rest = ranked(df.where(left), chain, order, "_i")
     few = F.col("_labels") <= 1
+    turn = rest.where(few & (F.col("completeBCR") == "Single_chain_1") & (F.col("_i") + F.col("_labels") > 1)).groupBy(*chain).agg(F.min("_i").alias("_s"))
+    df = df.where(~left).withColumn("_i", F.lit(None).cast("int")).unionByName(rest).join(turn, chain, "left")
     named = (
-        F.when(left & ~few, label("x", F.col("_labels") + F.col("_i")))
-        .when(left & (F.col("_i") >= F.col("_s")), label("x", F.col("_i") - F.col("_s") + 2))
+        F.when(F.col("_i").isNotNull() & ~few, label("x", F.col("_labels") + F.col("_i")))
+        .when(F.col("_i").isNotNull() & (F.col("_i") >= F.col("_s")), label("x", F.col("_i") - F.col("_s") + 2))
         .when(few & F.col("_s").isNotNull(), label("x1"))
         .otherwise(F.coalesce("_new", "clonotypeID"))
     )
@@ -107,10 +111,13 @@ def numbered(df: DataFrame, unit: str = "unit") -> DataFrame:
     return df.drop("_v", "_s", "_cv", "_sc", "_sn")
 
 
-def chain_values(contigs: DataFrame, columns: list[str], unit: str = "unit", unsupported: str = "Not_supported") -> DataFrame:
-    """(unit, barcode, one joined string per column): per cell the values of its chains in subclone order; null for unsupported cells."""
+def chain_values(contigs: DataFrame, columns: list[str], unit: str = "unit", unsupported: str = "Not_supported", separators: dict[str, str] | None = None) -> DataFrame:
+    """(unit, barcode, one joined string per column): per cell the values of its own chains in subclone order, a null as NA; null for unsupported cells.
+
+    Values are joined by '_', those of a column in ``separators`` by what stands there.
+    """
     ok = F.col("completeBCR").isNull() | (F.col("completeBCR") != unsupported)
-    rows = contigs.where(F.col("barcode").isNotNull()).groupBy(unit, "barcode").agg(
+    rows = contigs.where(F.col("barcode").isNotNull() & F.col("Unique_SequenceID").isNotNull()).groupBy(unit, "barcode").agg(
         F.array_sort(F.collect_list(F.struct("Unique_SequenceID", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in columns]))).alias("x"), F.max("completeBCR").alias("completeBCR")
     )
-    return rows.select(unit, "barcode", *[F.when(ok, F.array_join(F.col(f"x.{c}"), "_")).alias(c) for c in columns])
+    return rows.select(unit, "barcode", *[F.when(ok, F.array_join(F.col(f"x.{c}"), (separators or {}).get(c, "_"))).alias(c) for c in columns])

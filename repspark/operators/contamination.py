@@ -89,10 +89,6 @@ def keep_passed(df: DataFrame, flag: str = "Contamination_FLAG") -> DataFrame:
     return df.where(F.col(flag) == "PASS")
 
 
-def passed(flag: Column) -> Column:
-    return flag == "PASS"
-
-
 def tag_table(cells: DataFrame, clone: str, tags: list[str], tag: str = "Sample_Tag") -> DataFrame:
     """(clone, one count per tag): cells per clone and tag, 0 where there are none; for display."""
     return cells.where(F.col(clone).isNotNull()).groupBy(clone).pivot(tag, tags).agg(F.count(F.lit(1))).na.fill(0, tags)

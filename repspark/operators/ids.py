@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repspark.functions.missing import na_text
 from repspark.functions.sequences import locus
 from repspark.operators.clonotypes import dotted, rank_set
-
-
-def share(part: Column, whole: list[str]) -> Column:
-    """Percent of the summed part within a partition."""
-    return part * 100.0 / F.sum(part).over(Window.partitionBy(*whole))
+from repspark.operators.ranks import join_same, numbered
+from repspark.runtime import written
 
 
 def bulk_ids(df: DataFrame, unit: str = "unit", reads: str = "total_reads_unique_seq") -> DataFrame:
     """ClonotypeID (global rank by reads over all chains, with its locus), variants (V cluster, CDR3 aa), subclones.
 
     Needs one row per unique sequence with CorrectClt, v_cluster, cdr3_aa and the reads; a tie goes to the smaller key,
-    of subclones to the smaller sequence_id.
+    of subclones to the smaller sequence_id. Subclones are numbered by ``ranks.numbered``, so a clonotype may be of any size.
     """
     df = df.withColumn("_cv", F.concat_ws("_", "v_cluster", "cdr3_aa"))
     df = rank_set(df, [([unit], "CorrectClt", "_c", "C"), ([unit, "CorrectClt"], "_cv", "_v", "CV")], by=reads)
-    df = df.withColumn("clonotypeID", dotted(locus("v_cluster"), "_c")).withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v"))
+    df = df.withColumn("clonotypeID", dotted(locus("v_cluster"), "_c")).withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).drop("_cv", "_v", "_c")
     order = [F.col(reads).desc(), F.col("sequence_id")]
-    s = F.row_number().over(Window.partitionBy(unit, "clonotypeVariantID_in_Cltp").orderBy(*order))
-    k = F.row_number().over(Window.partitionBy(unit, "clonotypeID").orderBy(*order))
-    df = df.withColumn("subcloneID_in_CV", F.concat(F.col("clonotypeVariantID_in_Cltp"), F.lit(".S"), s.cast("string"))).withColumn("subcloneID_in_Clt", F.concat(F.col("clonotypeID"), F.lit("."), k.cast("string")))
-    return df.drop("_cv", "_v", "_c")
+    df = numbered(numbered(df, [unit, "clonotypeVariantID_in_Cltp"], order, "_s"), [unit, "clonotypeID"], order, "_n")
+    names = {"subcloneID_in_CV": F.concat("clonotypeVariantID_in_Cltp", F.lit(".S"), F.col("_s").cast("string")), "subcloneID_in_Clt": F.concat("clonotypeID", F.lit("."), F.col("_n").cast("string"))}
+    return df.withColumns(names).drop("_s", "_n")
 
 
 def bulk_frequencies(df: DataFrame, unit: str = "unit", reads: str = "total_reads_unique_seq") -> DataFrame:
-    """Reads and percentages of clonotype (of the unit), variant (of the clonotype) and subclone (of variant and clonotype)."""
-    total = lambda *keys: F.sum(reads).over(Window.partitionBy(unit, *keys))
-    clt, cv = total("clonotypeID"), total("clonotypeVariantID_in_Cltp")
-    return df.withColumns(
-        {
-            "clonotypeID_nreads": clt,
-            "clonotypeID_freq": clt * 100.0 / total(),
-            "clonotypeVariant_nreads": cv,
-            "clonotypeVariant_freq": cv * 100.0 / clt,
-            "subclone_freq_in_CV": F.col(reads) * 100.0 / cv,
-            "subclone_freq": F.col(reads) * 100.0 / clt,
-        }
-    )
+    """Reads and percentages of clonotype (of the unit), variant (of the clonotype) and subclone (of variant and clonotype).
+
+    Reads are summed per variant before the shuffle, clonotypes and units from those, and rows joined back once.
+    """
+    keys = [unit, "clonotypeID", "clonotypeVariantID_in_Cltp"]
+    variants = written(df.groupBy(*keys).agg(F.sum(reads).alias("clonotypeVariant_nreads")), "variant-reads")
+    clones = variants.groupBy(*keys[:2]).agg(F.sum("clonotypeVariant_nreads").alias("clonotypeID_nreads"))
+    units = clones.groupBy(unit).agg(F.sum("clonotypeID_nreads").alias("_t"))
+    every = join_same(join_same(variants, clones, keys[:2]), units, [unit])
+    clt, cv = F.col("clonotypeID_nreads"), F.col("clonotypeVariant_nreads")
+    return join_same(df, every, keys).withColumns({
+        "clonotypeID_freq": clt * 100.0 / F.col("_t"), "clonotypeVariant_freq": cv * 100.0 / clt,
+        "subclone_freq_in_CV": F.col(reads) * 100.0 / cv, "subclone_freq": F.col(reads) * 100.0 / clt,
+    }).drop("_t")
 
 
 def cell_ids(df: DataFrame, unit: str = "unit", clonotype: str = "CorrectClt") -> DataFrame:

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repspark.functions.sequences import glycosylation_sites, r110, translate_nt
+from repspark.functions.sequences import glycosylation_sites, r110, translate_nt, v_genes
 from repspark.functions.subsets import stereotype_subset
+from repspark.kernels.codons import agreement
 from repspark.kernels.indels import correct, match_consensus
-from repspark.runtime import ship
+from repspark.kernels.subset_labels import labels
+from repspark.runtime import map_groups, ship
+
+#: A clonotype's distinct CDR3 are counted in so many parts.
+PARTS = 16
 
 
 def correct_indels(df: DataFrame) -> DataFrame:
@@ -34,17 +40,33 @@ def correct_indels(df: DataFrame) -> DataFrame:
 def consensus_cdr3(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
     """(keys, consensus): per column the most frequent letter among CDR3 of modal length (ties: the smallest), tied letters as a sorted [class].
 
-    Equal CDR3 of a key are counted first, so a hot clonotype travels as its distinct CDR3.
+    Equal CDR3 of a key are counted first, then the letters of each place within a part of the key's CDR3 (over Arrow, so
+    a hot clonotype is spread over tasks), and only one counter per place and letter of a part meets the others.
     """
     n = df.where(F.length(cdr3) > 0).groupBy(*keys, F.col(cdr3).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     by_len = n.groupBy(*keys, F.length("_s").alias("_len")).agg(F.sum("_n").alias("_t"))
     modal = by_len.groupBy(*keys).agg(F.max_by("_len", F.struct("_t", -F.col("_len"))).alias("_len"))
-    letters = n.join(modal, keys).where(F.length("_s") == F.col("_len")).select(*keys, "_n", F.posexplode(F.split("_s", "")).alias("_p", "_c")).where(F.col("_c") != "")
-    counts = letters.groupBy(*keys, "_p", "_c").agg(F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*keys, "_p")
-    top = counts.withColumn("_m", F.max("_n").over(w)).where("_n = _m").groupBy(*keys, "_p").agg(F.array_sort(F.collect_list("_c")).alias("_l"))
-    cell = F.when(F.size("_l") > 1, F.concat(F.lit("["), F.array_join("_l", ""), F.lit("]"))).otherwise(F.col("_l")[0])
-    return top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", cell.alias("x")))), lambda s: s["x"]), "").alias("consensus"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def letters(g: dict[str, list]) -> list[tuple]:
+        key = [g[k][0] for k in keys]
+        counts: dict[tuple[int, str], int] = {}
+        for s, n in zip(g["_s"], g["_n"]):
+            for place, c in enumerate(s):
+                counts[place, c] = counts.get((place, c), 0) + n
+        return [(*key, p, c, n) for (p, c), n in counts.items()]
+
+    def join(g: dict[str, list]) -> list[tuple]:
+        best: dict[int, tuple[int, str]] = {}
+        for p, c, n in sorted(zip(g["_p"], g["_c"], g["_n"])):
+            most, chars = best.get(p, (0, ""))
+            best[p] = (n, c) if n > most else (most, chars + c) if n == most else (most, chars)
+        text = "".join(f"[{cs}]" if len(cs) > 1 else cs for _, (_, cs) in sorted(best.items()))
+        return [(*[g[k][0] for k in keys], text)]
+
+    parts = n.join(modal, keys).where(F.length("_s") == F.col("_len")).select(*keys, "_s", "_n", F.pmod(F.xxhash64("_s"), F.lit(PARTS)).cast("int").alias("_part"))
+    counted = map_groups(parts, [*keys, "_part"], letters, f"{kinds}, _p int, _c string, _n bigint")
+    return map_groups(counted.groupBy(*keys, "_p", "_c").agg(F.sum("_n").alias("_n")), keys, join, f"{kinds}, consensus string")
 
 
 def possible_cdr3(consensus: Column | str) -> Column:
@@ -59,49 +81,69 @@ def possible_cdr3(consensus: Column | str) -> Column:
 
 
 def clonotype_subset(functional: Column, vdj: Column | str, consensus: Column | str, satellites: bool = True) -> Column:
-    """Distinct subset labels of all CDR3 that the consensus stands for, sorted and joined by ','."""
-    labels = F.transform(possible_cdr3(consensus), lambda s: stereotype_subset(functional, vdj, F.concat(F.lit("X"), s, F.lit("X")), satellites))
-    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    """Distinct subset labels of all CDR3 that the consensus stands for, sorted and joined by ','; 'NA' where no row could have one, null without a consensus.
+
+    A (genes, consensus) is looked at once per worker, and its CDR3 aren't spelled out (``kernels.subset_labels``).
+    """
+    ship(SparkSession.active())
+
+    @F.arrow_udf("string")
+    def find(ok: pa.Array, genes: pa.Array, text: pa.Array) -> pa.Array:
+        rows = zip(ok.to_pylist(), genes.to_pylist(), text.to_pylist())
+        heavy = lambda g: bool(g) and all("IGH" in x for x in g)
+        return pa.array([None if t is None else ",".join(labels(tuple(g), t, satellites)) if o and heavy(g) and t else "NA" for o, g, t in rows], pa.string())
+
+    return find(functional, v_genes(vdj), F.col(consensus) if isinstance(consensus, str) else consensus)
 
 
 def consensus_germline(df: DataFrame, keys: list[str], seq: str, germline: str, cdr3: str, order: str) -> DataFrame:
-    """(keys, consensus_germline): germline of the row of modal CDR3 length that agrees best with it, its N replaced by the row's bases.
+    """(keys, consensus_germline, modal_cdr3): germline of the row of modal CDR3 length that agrees best with it, its N replaced by the row's bases, and that length.
 
-    Agreement ignores germline N; then fewest N, then the smallest ``order``.
+    Agreement ignores germline N; then fewest N, then the smallest ``order``. Equal pairs of a key are compared once.
     """
+    ship(df.sparkSession)
     base = df.where(F.col(germline).isNotNull() & F.col(seq).isNotNull())
-    by_len = base.groupBy(*keys, F.length(cdr3).alias("_len")).agg(F.count(F.lit(1)).alias("_t"))
-    modal = by_len.groupBy(*keys).agg(F.max_by("_len", F.struct("_t", -F.col("_len"))).alias("_len"))
-    pair = F.zip_with(F.split(seq, ""), F.split(germline, ""), lambda s, g: F.struct(s.alias("s"), g.alias("g")))
-    known = F.filter(pair, lambda x: (x["g"] != "N") & (x["g"] != ""))
-    agree = F.size(F.filter(known, lambda x: x["s"] == x["g"])) / F.greatest(F.size(known), F.lit(1))
-    missing = F.length(germline) - F.length(F.regexp_replace(germline, "N", ""))
-    filled = F.array_join(F.transform(pair, lambda x: F.when(x["g"] == "N", F.coalesce(x["s"], x["g"])).otherwise(F.coalesce(x["g"], F.lit("")))), "")
-    rows = base.join(modal, keys).where(F.length(cdr3) == F.col("_len"))
-    best = F.min_by(filled, F.struct(-F.round(agree, 12), missing, F.col(order)))
-    return rows.groupBy(*keys).agg(best.alias("consensus_germline"))
-
-
-def correct_cdr3_length(df: DataFrame, seq: str, germline: str, consensus: str) -> DataFrame:
-    """Rows with VDJseq_correctedCDR3 and its germline: where the germline differs in length from the clonotype's consensus, brought to it."""
+    pairs = base.groupBy(*keys, F.length(cdr3).alias("_len"), F.col(seq).alias("_s"), F.col(germline).alias("_g")).agg(F.count(F.lit(1)).alias("_t"), F.min(order).alias("_o"))
+    modal = pairs.groupBy(*keys, "_len").agg(F.sum("_t").alias("_t")).groupBy(*keys).agg(F.max_by("_len", F.struct("_t", -F.col("_len"))).alias("modal_cdr3"))
+
+    @F.arrow_udf("struct<agree: double, missing: bigint, filled: string>")
+    def compare(s: pa.Array, g: pa.Array) -> pa.Array:
+        share, missing, filled = agreement(s, g)
+        return pa.StructArray.from_arrays([pa.array(share), pa.array(missing), filled], names=["agree", "missing", "filled"])
+
+    rows = pairs.join(modal, keys).where(F.col("_len") == F.col("modal_cdr3")).withColumn("_x", compare("_s", "_g"))
+    best = F.min_by("_x.filled", F.struct(-F.col("_x.agree"), F.col("_x.missing"), F.col("_o"), F.col("_x.filled")))
+    return rows.groupBy(*keys).agg(best.alias("consensus_germline"), F.max("modal_cdr3").alias("modal_cdr3"))
+
+
+def correct_cdr3_length(df: DataFrame, seq: str, germline: str, consensus: str, differs: Column) -> DataFrame:
+    """Rows with VDJseq_correctedCDR3, and in indel_CDR3 the events that led to it: where ``differs`` holds, the sequence brought to the clonotype's consensus germline."""
     ship(df.sparkSession)
 
-    @F.pandas_udf("seq string, germ string, indel string")
+    @F.pandas_udf("seq string, indel string")
     def fix(s: pd.Series, g: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([match_consensus(a, b, k) for a, b, k in zip(s, g, c)], columns=["seq", "germ", "indel"])
+        return pd.DataFrame([match_consensus(a, b, k)[::2] for a, b, k in zip(s, g, c)], columns=["seq", "indel"])
 
-    differs = F.coalesce(F.length(germline) != F.length(consensus), F.lit(False)) & F.col(seq).isNotNull()
-    same = df.where(~differs).withColumns({"VDJseq_correctedCDR3": F.col(seq), "germline_correctedCDR3": F.col(germline), "indel_CDR3": F.lit(None).cast("string")})
+    differs = F.coalesce(differs, F.lit(False)) & F.col(seq).isNotNull() & F.col(germline).isNotNull() & F.col(consensus).isNotNull()
+    same = df.where(~differs).withColumns({"VDJseq_correctedCDR3": F.col(seq), "indel_CDR3": F.lit(None).cast("string")})
     other = df.where(differs).withColumn("_f", fix(seq, germline, consensus))
-    other = other.withColumns({"VDJseq_correctedCDR3": F.col("_f.seq"), "germline_correctedCDR3": F.col("_f.germ"), "indel_CDR3": F.col("_f.indel")}).drop("_f")
-    return same.unionByName(other)
+    return same.unionByName(other.withColumns({"VDJseq_correctedCDR3": F.col("_f.seq"), "indel_CDR3": F.col("_f.indel")}).drop("_f"))
+
+
+def joined_events(own: Column | str, more: Column | str) -> Column:
+    """Gap events, each once, in order; null if there are none."""
+    each = lambda c: F.coalesce(F.split(c, ","), F.array().cast("array<string>"))
+    return F.nullif(F.array_join(F.filter(F.array_union(each(own), each(more)), lambda x: x != ""), ","), F.lit(""))
 
 
-def annotate_features(df: DataFrame, satellites: bool = True, ags: bool = True) -> DataFrame:
-    """Rows with IGHsubset, and VDJ with the marks of R110 and of acquired glycosylation sites in ``annotations``."""
+def annotate_features(df: DataFrame, subsets: bool = True, satellites: bool = True, ags: bool = True) -> DataFrame:
+    """Rows with IGHsubset (if ``subsets``), and the marks of R110 (too) and of acquired glycosylation sites appended to VDJ."""
     ok = F.col("productive") == "productive"
-    marks = r110("VDJ", "VDJseq")
+    marks = []
+    if subsets:
+        df = df.withColumn("IGHsubset", stereotype_subset(ok, "VDJ", "junction_aa", satellites))
+        marks.append(r110("VDJ", "VDJseq"))
     if ags:
         df = df.withColumns({"_aa": translate_nt("VDJseq"), "_germline_aa": translate_nt("germline_alignment")})
-        marks = F.concat(marks, glycosylation_sites(ok, "VDJ", F.col("arch"), "_aa", "_germline_aa"))
-    return df.withColumn("IGHsubset", stereotype_subset(ok, "VDJ", "junction_aa", satellites)).withColumn("annotations", marks).drop("_aa", "_germline_aa")
+        marks.append(F.coalesce(glycosylation_sites(ok, "VDJ", F.col("arch"), "_aa", "_germline_aa"), F.lit("")))
+    return df.withColumn("VDJ", F.concat("VDJ", *marks)).drop("_aa", "_germline_aa") if marks else df

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repspark.functions.sequences import revcomp
+from repspark.operators.ranks import numbered
 
 
 def concat_pairs(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,6 +41,6 @@ def collapse(df: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def numbered_reads(collapsed: DataFrame, sample: str = "sample") -> DataFrame:
-    """Collapsed reads named read<i>_n=<count> per sample, by count descending, then sequence."""
-    i = F.row_number().over(Window.partitionBy(sample).orderBy(F.col("n").desc(), "sequence"))
-    return collapsed.select(sample, F.concat(F.lit("read"), i.cast("string"), F.lit("_n="), F.col("n").cast("string")).alias("sequence_id"), "sequence", "n")
+    """Collapsed reads named read<i>_n=<count> per sample, by count descending, then sequence; a sample may be of any size."""
+    rows = numbered(collapsed, [sample], [F.col("n").desc(), F.col("sequence")], "_i")
+    return rows.select(sample, F.concat(F.lit("read"), F.col("_i").cast("string"), F.lit("_n="), F.col("n").cast("string")).alias("sequence_id"), "sequence", "n")

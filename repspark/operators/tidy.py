@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repspark.functions.sequences import as_bool, cdr3_aa, col, compose_vdj, read_count, v_genes
+from repspark.functions.sequences import as_bool, compose_vdj, read_count, v_genes
 
 REGIONS = ["fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"]
 REQUIRED = ["sequence_id", "productive", "complete_vdj", "v_call", "d_call", "j_call", "c_call", *REGIONS, "v_identity", "junction", "junction_aa", "junction_aa_length", "sequence", "sequence_alignment", "germline_alignment", "sample"]
@@ -22,10 +22,11 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key in a total order; a null key is a key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order`` (then by all other columns); a null key is a key. Aggregated, so no group is sorted."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_r"))
+    return best.select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def primer_complete(mode: str) -> Column:
@@ -73,10 +74,13 @@ def tidy(df: DataFrame, material_type: str = "rna", v_primer: str = "full_length
 
 
 def with_read_counts(df: DataFrame, unit: list[str]) -> DataFrame:
-    """n_reads from the id, if every id of the unit has one; else 1 for all of the unit."""
+    """n_reads from the id, if every id of the unit has one; else 1 for all of the unit. Whether it has is aggregated per unit and joined back."""
     n = read_count("sequence_id")
-    every = F.min(n.isNotNull()).over(Window.partitionBy(*unit))
-    return df.withColumn("n_reads", F.when(every, n).otherwise(F.lit(1).cast("bigint")))
+    lacking = df.where(n.isNull()).select(*[F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)]).distinct().withColumn("_lacks", F.lit(True))
+    on = F.lit(True)
+    for i, u in enumerate(unit):
+        on = on & F.col(u).eqNullSafe(F.col(f"_u{i}"))
+    return df.join(lacking, on, "left").withColumn("n_reads", F.when(F.col("_lacks").isNull(), n).otherwise(F.lit(1).cast("bigint"))).drop("_lacks", *[f"_u{i}" for i in range(len(unit))])
 
 
 def unique_sequences(df: DataFrame, unit: list[str], key: list[str], min_reads: int = 2) -> DataFrame:
@@ -103,9 +107,5 @@ def modal_length(df: DataFrame, group: list[str], seq: str) -> DataFrame:
     return df.join(best, cond, "left_semi").drop("_len")
 
 
-def clonotype_label(v_cluster: Column | str, junction_aa: Column | str) -> Column:
-    return F.concat_ws("_", col(v_cluster), cdr3_aa(junction_aa))
-
-
 def first_gene(v_call: Column | str) -> Column:
     return F.try_element_at(v_genes(v_call), F.lit(1))

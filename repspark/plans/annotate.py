@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repspark.config import AnnotateConfig
-from repspark.functions.sequences import barcode, cdr3_aa, cdr3_nt, junction_from, translate_nt
+from repspark.functions.sequences import barcode, cdr3_aa, cdr3_nt, junction_from, translate_nt, v_identity
 from repspark.operators import cells as C
 from repspark.operators import ids
 from repspark.operators.clonotypes import automatic_cutoff, dotted, merge_indel_clonotypes, nearest_distances, rank_set, with_clonotypes, with_v_cluster
-from repspark.operators.immunogenetics import annotate_features, clonotype_subset, consensus_cdr3, consensus_germline, correct_cdr3_length, correct_indels
-from repspark.operators.tidy import clonotype_label, modal_length, tidy, unique_sequences, with_read_counts
+from repspark.operators.immunogenetics import annotate_features, clonotype_subset, consensus_cdr3, consensus_germline, correct_cdr3_length, correct_indels, joined_events
+from repspark.operators.tidy import modal_length, tidy, unique_sequences, with_read_counts
 from repspark.runtime import written
 
 #: Working names and the public names of the product.
@@ -23,58 +23,87 @@ PUBLIC = {
     "clonotypeID_nreads": "Clonotype_nReads", "clonotypeID_freq": "Clonotype_freq", "clonotypeVariantID_in_Cltp": "ClonotypeVariantID", "clonotypeVariant_nreads": "ClonotypeVariant_nReads", "clonotypeVariant_freq": "ClonotypeVariant_freq",
     "subcloneID_in_CV": "SubcloneID", "Unique_SequenceID": "SubcloneID", "total_reads_unique_seq": "Subclone_nReads", "subclone_freq_in_CV": "Subclone_freq_in_ClonotypeVariant", "subcloneID_in_Clt": "SubcloneID_in_Clonotype",
     "subclone_freq": "Subclone_freq_in_Clonotype", "igclonotypeID": "igClonotypeID_num", "merge_clonotypeID": "igClonotypeID", "igclonotypeVariantID": "igClonotypeVariantID_num", "merge_clonotypeVariantID": "igClonotypeVariantID",
-    "igsubcloneID_in_clonotypeVariant": "igSubcloneID_in_ClonotypeVariant_num", "igsubcloneID_in_clonotype": "igSubcloneID_in_Clonotype_num", "merge_subcloneID": "igSubcloneID", "sample": "SampleID",
+    "igsubcloneID_in_clonotypeVariant": "igSubcloneID_in_ClonotypeVariant_num", "igsubcloneID_in_clonotype": "igSubcloneID_in_Clonotype_num", "merge_subcloneID": "igSubcloneID",
+    "V1": "igRaw_VDJ_sequence", "V2": "igVDJ_sequence", "V3": "igVDJ_sequence_aa", "V4": "igClonotype_Consensus_Germline", "V5": "igClonotype_Consensus_Germline_aa", "V6": "igVDJ_positions", "V7": "igInDels", "V8": "igClonotype_Consensus_CDR3aa", "V9": "igCLL_Stereotype_Subsets",
+    "sample": "SampleID",
 }
 
 
+#: The fields of the tidy table that no step works on; they wait for the result in the written tidy table.
+CARRIED = ["sequence", "raw_VDJseq", "germline_alignment", "VDJ", "c_call", "VDJ_positions"]
+#: Joined per cell in the order of its subclones, as V1 to V9; gap events are joined by '-', the others by '_'.
+CELL_VALUES = ["raw_VDJseq", "VDJseq_correctedCDR3", "VDJseq_correctedCDR3_aa", "consensus_germline", "consensus_germline_aa", "VDJ_positions", "indel", "consensus", "IGHsubset"]
+
+
 def to_public(df: DataFrame) -> DataFrame:
-    """Public names; an empty string becomes null."""
-    out = [(F.nullif(F.col(f.name), F.lit("")) if f.dataType.typeName() == "string" else F.col(f.name)).alias(PUBLIC.get(f.name, f.name)) for f in df.schema]
+    """The fields of the product under their public names; an empty string becomes null."""
+    kept = [f for f in df.schema if f.name in PUBLIC or f.name in ("completeBCR", "barcode", "VDJ_positions")]
+    out = [(F.nullif(F.col(f.name), F.lit("")) if f.dataType.typeName() == "string" else F.col(f.name)).alias(PUBLIC.get(f.name, f.name)) for f in kept]
     return df.select(*out)
 
 
 def assign_clonotypes(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
-    """Rows with V cluster, Clonotype and CorrectClt; the lineage is cut after the Python steps."""
+    """Rows with Clonotype and CorrectClt (and the CDR3 by cdr3_mode); the lineage is cut after the Python steps."""
     mb = cfg.data_type == "missionbio"
     df = df.withColumn("cdr3", cdr3_nt("junction") if cfg.cdr3_mode == "nt" else cdr3_aa("junction_aa")).withColumn("cdr3_aa", cdr3_aa("junction_aa"))
     df = df.where(F.length("cdr3") > 0)
     if not mb:
-        label = df.withColumn("clonotypeLabel", clonotype_label("v_cluster", "junction_aa"))
-        df = modal_length(label, ["unit", "clonotypeLabel"], "VDJseq").drop("clonotypeLabel")
+        df = modal_length(df, ["unit", "v_cluster", "cdr3"], "VDJseq")
     cutoff = cfg.hc_similarity_cutoff
     if cutoff == "automatic":
         keyed = df.withColumn("_pre", F.concat_ws("_", "v_cluster", F.length("cdr3").cast("string")))
         cutoff = automatic_cutoff(nearest_distances(keyed, ["unit", "_pre"], "cdr3"), cfg.cdr3_mode)
     df = written(with_clonotypes(df, cutoff=float(cutoff), mode=cfg.hc_mode, by_v_length=not mb), "clusters")
-    return written(merge_indel_clonotypes(df, cutoff=float(cutoff), mode=cfg.cdr3_InDel_correction_mode, by_v_length=not mb), "clonotypes")
+    return merge_indel_clonotypes(df, cutoff=float(cutoff), mode=cfg.cdr3_InDel_correction_mode, by_v_length=not mb)
 
 
 def immunogenetics(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
-    keys = ["unit", "CorrectClt"]
-    df = df.join(consensus_cdr3(df, keys, "cdr3_aa"), keys, "left")
-    if cfg.data_type != "missionbio":
+    """Rows with V_identity, consensus CDR3 and germline of their clonotype, corrected CDR3 and, if asked for, subsets and marks.
+
+    Identity is over the V positions against the clonotype's consensus germline (mission-bio: the own germline). The
+    consensus CDR3 is that of the clonotype's productive rows; an unproductive row has it if a productive row of its
+    clonotype has the same sequence and gaps.
+    """
+    keys = ["unit", "clonotypeID"]
+    ok = F.col("productive") == "productive"
+    df = df.join(consensus_cdr3(df.where(ok), keys, "cdr3_aa"), keys, "left")
+    if cfg.material_type == "dna":
+        same = [*keys, "VDJseq", "indel"]
+        seen = df.where(ok).select(*[F.col(c).alias(f"_{c}") for c in same]).distinct()
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+        df = df.join(seen, on, "left").withColumn("consensus", F.when(ok | F.col("_unit").isNotNull(), F.col("consensus"))).drop(*[f"_{c}" for c in same])
+    if cfg.data_type == "missionbio":
+        df = df.withColumns({"consensus_germline": F.col("germline_alignment"), "VDJseq_correctedCDR3": F.col("VDJseq")})
+    else:
         df = df.join(consensus_germline(df, keys, "VDJseq", "germline_alignment", "cdr3", "sequence_id"), keys, "left")
-        df = correct_cdr3_length(df, "VDJseq", "germline_alignment", "consensus_germline").drop("germline_correctedCDR3", "indel_CDR3")
-        df = df.withColumns({"VDJseq_correctedCDR3_aa": translate_nt("VDJseq_correctedCDR3"), "consensus_germline_aa": translate_nt("consensus_germline")})
+        df = correct_cdr3_length(df, "VDJseq", "germline_alignment", "consensus_germline", F.length("cdr3") != F.col("modal_cdr3"))
+        df = df.withColumn("indel", joined_events("indel", "indel_CDR3")).drop("indel_CDR3", "modal_cdr3")
+    df = df.withColumns({"v_identity": v_identity("VDJseq", "consensus_germline", "len_no_CDR3"), "VDJseq_correctedCDR3_aa": translate_nt("VDJseq_correctedCDR3"), "consensus_germline_aa": translate_nt("consensus_germline")})
+    df = annotate_features(df, cfg.annotate_CLL_immGen, cfg.annotate_satellite_subsets, cfg.annotate_ags)
     if cfg.annotate_CLL_immGen:
-        df = annotate_features(df, cfg.annotate_satellite_subsets, cfg.annotate_ags)
-        df = df.withColumn("Clonotype_Subset", clonotype_subset(F.col("productive") == "productive", "VDJ", "consensus", cfg.annotate_satellite_subsets))
+        df = df.withColumn("Clonotype_Subset", clonotype_subset(ok, "VDJ", "consensus", cfg.annotate_satellite_subsets))
     return df
 
 
 def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> DataFrame:
-    """Annotated contigs (public names) of aligner rows with ``sample`` and ``unit``."""
+    """Annotated contigs (public names) of aligner rows with ``sample`` and ``unit``.
+
+    The tidy rows are written once, whole; the steps up to the final ids carry only what they work on and the row's
+    number, by which sequences and germline are joined back at the end.
+    """
     mb = cfg.data_type == "missionbio"
-    df = tidy(aligned, cfg.material_type, cfg.primer, extra=("unit",)).withColumn("raw_VDJseq", F.col("VDJseq"))
-    df = written(correct_indels(df), "tidy")
-    df = df.withColumn("VDJ_positions", F.array_join(F.col("arch").cast("array<string>"), "-"))
-    if not mb:
-        df = df.withColumn("junction", junction_from("VDJseq", F.col("arch"))).withColumn("junction_aa", translate_nt("junction")).withColumn("junction_aa_length", F.length("junction_aa"))
+    df = correct_indels(tidy(aligned, cfg.material_type, cfg.primer, extra=("unit",)).withColumn("raw_VDJseq", F.regexp_replace("VDJseq", "-", "")))
+    df = df.withColumns({"len_no_CDR3": F.aggregate(F.slice("arch", 1, 5), F.lit(0), lambda a, x: a + x), "VDJ_positions": F.array_join(F.col("arch").cast("array<string>"), "-")})
+    df = df.withColumn("junction", junction_from("VDJseq", F.col("arch"))).withColumn("junction_aa", translate_nt("junction")).withColumn("junction_aa_length", F.length("junction_aa"))
     if cfg.data_type == "bulk":
-        df = unique_sequences(with_read_counts(df, ["unit"]), ["unit"], ["VDJseq", "indel"], cfg.min_reads)
-    df = assign_clonotypes(with_v_cluster(df), cfg)
+        scope = ["unit", "sample"] if cfg.dedupe_scope == "sample" else ["unit"]
+        df = unique_sequences(with_read_counts(df, ["unit"]), scope, ["VDJseq", "indel"], cfg.min_reads)
+    kept = ["unit", "sample", "sequence_id", "v_call", "VDJseq", "indel", "arch", "len_no_CDR3", "junction", "junction_aa", "junction_aa_length", "productive", *(["total_reads_unique_seq"] if cfg.data_type == "bulk" else [])]
+    whole = written(df.select(F.monotonically_increasing_id().alias("_row"), *kept, *CARRIED), "tidy")
+    df = assign_clonotypes(with_v_cluster(whole.select("_row", *kept)).drop("v_call"), cfg)
+    carried = whole.select("_row", *CARRIED)
     if cfg.data_type == "bulk":
-        return to_public(immunogenetics(written(ids.bulk_frequencies(ids.bulk_ids(df)), "ids"), cfg).drop("unit", "cdr3", "cdr3_aa", "arch"))
+        return to_public(immunogenetics(written(ids.bulk_frequencies(ids.bulk_ids(df)).join(carried, "_row"), "ids"), cfg))
     df = ids.cell_ids(df).withColumn("barcode", barcode("sequence_id", "sample"))
     df = written(C.drop_repeated_chains(df), "ids")
     cell = C.resolve_classes(C.initial_class(C.merged_ids(df), mb), mission_bio=mb).select("unit", "barcode", "completeBCR", "igclonotypeID")
@@ -84,5 +113,11 @@ def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> Data
     df = df.withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s")).drop("_cv", "_v", "_sub", "_s")
     df = written(df, "chains")
     merged = C.merged_ids(df).select("unit", "barcode", "merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")
-    df = C.numbered(df.join(merged, ["unit", "barcode"], "left"))
-    return to_public(immunogenetics(written(df, "cells"), cfg).drop("unit", "cdr3", "cdr3_aa", "arch", "cluster"))
+    df = written(C.numbered(df.join(merged, ["unit", "barcode"], "left")).join(carried, "_row"), "cells")
+    df = immunogenetics(df, cfg)
+    values = [c for c in CELL_VALUES if c in df.columns]
+    df = written(df, "annotated")
+    joined = C.chain_values(df, values, separators={"indel": "-"}).withColumnsRenamed({c: f"V{i}" for i, c in enumerate(CELL_VALUES, 1) if c in values})
+    lost = F.col("completeBCR") == "Not_supported"
+    df = df.withColumns({c: F.when(~F.coalesce(lost, F.lit(False)), F.col(c)) for c in ("merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")})
+    return to_public(df.join(joined, ["unit", "barcode"], "left"))

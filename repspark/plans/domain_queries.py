@@ -130,7 +130,7 @@ def consensus_cdr3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consensus_germline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = tidy(aligned(spark, sf_dir), extra=("Clonotype",))
     df = df.where(F.col("Clonotype").isNotNull())
-    return consensus_germline(df, ["sample", "Clonotype"], "VDJseq", "germline_alignment", "junction", "sequence_id")
+    return consensus_germline(df, ["sample", "Clonotype"], "VDJseq", "germline_alignment", "junction", "sequence_id").drop("modal_cdr3")
 
 
 # --- annotated contigs ---

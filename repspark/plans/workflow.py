@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from repspark.config import AnnotateConfig
 from repspark.functions.sequences import sorted_join
-from repspark.operators.recalc import recalculate_bulk, recalculate_cells, recalculate_numbers, rescue_single_chains
+from repspark.operators.contamination import keep_passed
+from repspark.operators.ranks import columns
+from repspark.operators.recalc import NUMBERS, recalculate_bulk, recalculate_cells, rescue_single_chains
 from repspark.operators.tidy import require_columns
 from repspark.operators.wide import cells_wide, with_unsupported
 from repspark.plans.annotate import annotate
 from repspark.sources.aligner import read_aligned, run_aligner, write_annotated
+from repspark.runtime import written
 from repspark.sources.raw import expand_paths, read_table
 
 log = logging.getLogger("repspark")
@@ -48,14 +51,22 @@ def full_workflow(spark: SparkSession, paths: list[str], input_format: str, prog
     return rescue_contigs(got, relaxed=cfg.relaxed_rescue) if cfg.rescue_single_chain and cfg.data_type != "bulk" else got
 
 
-def rescue_contigs(contigs: DataFrame, group: str = "SampleID", relaxed: bool = False) -> DataFrame:
-    """Annotated contigs with single-chain cells assigned to the one complete clonotype that holds them, and new ranks."""
+#: What stands before the rank in each number of a cell.
+RANK_AFTER = {"igClonotypeVariantID_num": "CV", "igSubcloneID_in_ClonotypeVariant_num": "S", "igSubcloneID_in_Clonotype_num": r"\."}
+
+
+def rescue_contigs(contigs: DataFrame, group: str | list[str] = "SampleID", relaxed: bool = False) -> DataFrame:
+    """Annotated contigs with single-chain cells assigned to the one complete clonotype that holds them, then all ids anew.
+
+    A rescued cell takes the clone and, of the complete cells that hold its chains, the variant and subclones of lowest rank.
+    """
+    g = columns(group)
     merged = "igClonotypeID" if relaxed else "igSubcloneID"
-    one = contigs.where(F.col("barcode").isNotNull()).groupBy(group, "barcode").agg(*[F.max(c).alias(c) for c in ("completeBCR", "igClonotypeID_num", "igClonotypeVariantID_num", "igSubcloneID_in_ClonotypeVariant_num", merged)])
-    got = rescue_single_chains(one, group, merged, "igClonotypeID_num").drop(merged)
-    got = recalculate_numbers(got, group, "igClonotypeID_num", "igClonotypeVariantID_num", "igSubcloneID_in_ClonotypeVariant_num")
-    rest = contigs.drop("completeBCR", "igClonotypeID_num", "igClonotypeVariantID_num", "igSubcloneID_in_ClonotypeVariant_num")
-    return rest.join(got, [group, "barcode"], "left")
+    fields = ["completeBCR", *NUMBERS]
+    one = contigs.where(F.col("barcode").isNotNull()).groupBy(*g, "barcode").agg(*[F.max(c).alias(c) for c in (*fields, merged)])
+    got = rescue_single_chains(one, g, merged, NUMBERS[0], numbers=RANK_AFTER).drop(merged)
+    rescued = contigs.drop(*fields).join(got, [*g, "barcode"], "left").select(*contigs.columns)
+    return recalculate_cells(written(rescued, "rescued"), g)
 
 
 def combine(cells: DataFrame, contigs: DataFrame, cell_sample: str = "SampleID", contig_sample: str = "SampleID", barcode: str = "barcode") -> DataFrame:
@@ -76,6 +87,11 @@ def mission_bio_cells(contigs: DataFrame, barcodes: DataFrame) -> DataFrame:
     return with_unsupported(cells_wide(ok, [c for c in SLOT_COLUMNS if c in contigs.columns], ["SampleID", "barcode"]), barcodes, ["SampleID", "barcode"])
 
 
-def recalculate(df: DataFrame, group: str = "SampleID") -> DataFrame:
+def recalculate(df: DataFrame, group: str | list[str] = "SampleID") -> DataFrame:
     """New ranks and frequencies after rows were removed: bulk if it has reads, else cells."""
     return recalculate_bulk(df, group) if "Subclone_nReads" in df.columns else recalculate_cells(df, group)
+
+
+def remove_contamination(flagged: DataFrame, group: str | list[str] = "SampleID") -> DataFrame:
+    """Only the rows flagged PASS, with their ids and frequencies anew within ``group``."""
+    return recalculate(written(keep_passed(flagged), "passed"), group)

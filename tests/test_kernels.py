@@ -112,9 +112,41 @@ def test_gap_events():
 def test_consensus_germline_length():
     s, g, e = match_consensus("ACGTACGTAC", "ACGTACGTAC", "ACGTACGTAC")
     assert (s, g, e) == ("ACGTACGTAC", "ACGTACGTAC", None)
-    c = "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT"
-    s, g, e = match_consensus(c[:20] + c[24:], c[:20] + c[24:], c)
-    assert s == c and e
+    c = "ACGTTGCAAGGCTTACCGATTGACCGTACGTTAGCATCGA"
+    assert match_consensus(c[:20] + c[23:], c[:20] + c[23:], c) == (c, c, "20_TTGA_T")
+    own = c[:20] + "NNN" + c[20:]
+    s, g, e = match_consensus(c[:20] + "GGG" + c[20:], own, c)
+    assert len(s) == len(g) == len(c) and e.count("_") == 2 and "," not in e
+    # gaps at the ends have no base on either side: the sequence stays as it is there
+    assert match_consensus(c[4:], c[4:], c) == (c[4:], c[4:], None)
+
+
+def test_translation_and_agreement_of_a_batch():
+    import pyarrow as pa
+
+    from repspark.kernels.codons import agreement, translate
+
+    assert translate(pa.array(["ATGTAAGC", None, "", "atgNNNtga"])).to_pylist() == ["M*", None, "", "MX*"]
+    assert translate(pa.array(["x", "ATG", "ATG"]).slice(1)).to_pylist() == ["M", "M"] and translate(pa.array([], pa.string())).to_pylist() == []
+    share, missing, filled = agreement(pa.array(["ACGT", "", "ACGT"]), pa.array(["ANGA", "NN", "ACGTNN"]))
+    assert share.tolist() == [2 / 3, 0, 1] and missing.tolist() == [1, 2, 2] and filled.to_pylist() == ["ACGA", "NN", "ACGTNN"]
+
+
+def test_subset_labels_are_those_of_all_cdr3_of_a_consensus():
+    from itertools import product
+
+    from repspark.kernels.subset_labels import _TOKEN, labels
+
+    random.seed(8)
+    genes = [("IGHV3-21",), ("IGHV1-69",), ("IGHV4-34", "IGHV4-39"), ("IGHV3-48",), ("IGHV2-5",)]
+    seeds = ["ARDDAAMDV", "ARGGDYDYVWGSYRANDAFDI", "AVRGAAAAAAARRYYYYGMDV", "AREADFWSGYYAYYYYYGMDV", "AHRAAAAAAWAAGAFDY", "AKDAAAAWAADY"]
+    for _ in range(150):
+        text = "".join(f"[{''.join(sorted({c, *random.sample('ARNDCGWYKV', random.choice([1, 2]))}))}]" if random.random() < 0.15 else c for c in random.choice(seeds))
+        each = product(*[a or b for a, b in _TOKEN.findall(text)])
+        g = random.choice(genes)
+        want = {labels(g, "".join(x))[0] for x in each}
+        assert set(labels(g, text)) == want
+    assert labels(("IGHV3-21",), "A" + "[ACDEFGHIKLMNPQRSTVWY]" * 20) and labels(("IGHV1-2",), "A", False) == ("Unassigned",)
 
 
 def test_resolution_of_cells():

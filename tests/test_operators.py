@@ -128,7 +128,7 @@ def test_rescue_then_new_ranks(spark):
     got = recalc.rescue_single_chains(df, "g", "m", "num")
     count = {(r["num"], r["completeBCR"]): r["count"] for r in got.groupBy("num", "completeBCR").count().collect()}
     assert count == {("C1", "Yes"): 35, ("C2", "Yes"): 46, ("C2", "Yes_rescue"): 4, ("C1", "Yes_rescue"): 1, (None, "Single_chain_1"): 1, (None, "Not_supported"): 1}
-    again = recalc.recalculate_numbers(got.withColumn("v", F.col("num")).withColumn("s", F.col("num")), "g", "num", "v", "s")
+    again = recalc.recalculate_numbers(got.withColumn("v", F.col("num")).withColumn("s", F.col("num")), "g", "num", "v", "s", None)
     assert {r["num"]: r["count"] for r in again.groupBy("num").count().collect()} == {"C1": 50, "C2": 36, None: 2}
 
 
