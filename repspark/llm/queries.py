@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +56,61 @@ def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.unionByName(whole).select("scope", "SampleID", "n_values", checks).select("scope", "SampleID", "c.percentile", "n_values", "c.within")
 
 
-def term_store(spark: SparkSession, sf_dir: str) -> TermCountStore:
-    """Counts of tidy_contigs: the earlier rows first, then those of the last days as a delta."""
-    rows = table(spark, sf_dir, "tidy_contigs").select(*TERM_FIELDS, "loaded_at")
-    last = rows.agg(F.max("loaded_at")).first()[0]
-    store = TermCountStore(spark, scratch(spark, "terms"), TERM_FIELDS)
-    late = F.coalesce(F.col("loaded_at") > F.lit(last) - F.make_interval(days=F.lit(DELTA_DAYS)), F.lit(False))
-    for part in (rows.where(~late), rows.where(late)):
-        store.apply(part.withColumn("sign", F.lit(1)))
+def store_path(spark: SparkSession, name: str, source: str) -> str:
+    """Where the counts of a table are kept: a folder of ``repspark.term_store`` (a setting of the session) of its own, else one that goes with the driver."""
+    root = spark.conf.get("repspark.term_store", None)
+    return f"{root.rstrip('/')}/{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}" if root else scratch(spark, name)
+
+
+def counted_rows(spark: SparkSession, sf_dir: str) -> TermCountStore:
+    """Counts of all rows of tidy_contigs. Rows loaded since the store was last brought up to date are its delta; a new store
+    is given the earlier rows first, then those of the last days, as it would have been."""
+    rows = table(spark, sf_dir, "tidy_contigs").select(*TERM_FIELDS, F.col("loaded_at").cast("timestamp_ntz").alias("at"), F.lit(1).alias("sign"))
+    last = rows.agg(F.max("at").cast("string")).first()[0]
+    store = TermCountStore(spark, store_path(spark, "terms", sf_dir), TERM_FIELDS)
+    at, done = F.col("at"), store.note()
+    moment = lambda t: F.lit(t).cast("timestamp_ntz")
+    if done is None:
+        early = F.coalesce(at <= moment(last) - F.make_interval(days=F.lit(DELTA_DAYS)), F.lit(True))
+        store.apply(rows.where(early), note="")
+        store.apply(rows.where(~early), note=last or "")
+    elif last and last != done:
+        store.apply(rows.where(at > moment(done)) if done else rows.where(at.isNotNull()), note=last)
     return store
 
 
+def record_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The valid contigs of tidy_contigs as they were DELTA_DAYS before the last load, and what has changed since, both with a sign.
+
+    A contig (sample, sequence_id) is as it was loaded last; one that is not productive is withdrawn. Loading it anew
+    changes it, withdrawing it deletes it. Only contigs loaded in those days are looked at for the changes.
+    """
+    rows = table(spark, sf_dir, "tidy_contigs").where(F.col("sample").isNotNull() & F.col("sequence_id").isNotNull())
+    key, at = ["sample", "sequence_id"], F.col("loaded_at").cast("timestamp_ntz")
+    rows = rows.select(*key, at.alias("at"), F.upper(F.trim("productive")).isin("T", "TRUE").alias("valid"), *TERM_FIELDS)
+    since = F.lit(rows.agg(F.max("at").cast("string")).first()[0]).cast("timestamp_ntz") - F.make_interval(days=F.lit(DELTA_DAYS))
+    is_new = F.coalesce(F.col("at") > since, F.lit(False))
+    row = F.struct("at", *TERM_FIELDS, "valid")
+    before = rows.where(~is_new).groupBy(*key).agg(F.max(row).alias("r")).where("r.valid").select(*[f"r.{f}" for f in TERM_FIELDS], F.lit(1).alias("sign"))
+    touched = rows.where(is_new).select(*key).distinct()
+    pairs = rows.join(touched, key, "left_semi").groupBy(*key).agg(F.max(F.when(~is_new, row)).alias("old"), F.max(row).alias("new"))
+    sides = F.array(F.struct(F.col("old").alias("r"), F.lit(-1).alias("sign")), F.struct(F.col("new").alias("r"), F.lit(1).alias("sign")))
+    changes = pairs.select(F.explode(F.filter(sides, lambda x: F.coalesce(x["r"]["valid"], F.lit(False)))).alias("x"))
+    return before, changes.select(*[f"x.r.{f}" for f in TERM_FIELDS], "x.sign")
+
+
+def p2_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, records and mark over the valid contigs: the counts of an earlier day, brought up to date by added, changed and deleted records."""
+    store = TermCountStore(spark, scratch(spark, "valid-terms"), TERM_FIELDS)
+    for part in record_changes(spark, sf_dir):
+        store.apply(part)
+    store.compact()
+    return marked(store)
+
+
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences, records and mark of every gene call and junction."""
-    return marked(term_store(spark, sf_dir))
+    return marked(counted_rows(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,22 +149,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changed": p2_changed, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
-_COUNTS = """rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM tidy_contigs),
-terms AS (
+_TERMS = """terms AS (
   SELECT rid, 'v_call' AS field_name, upper(trim(t)) AS term FROM (SELECT rid, unnest(string_split(v_call, ',')) AS t FROM rows)
   UNION ALL SELECT rid, 'junction_aa', upper(trim(junction_aa)) FROM rows),
 good AS (SELECT * FROM terms WHERE term IS NOT NULL AND term NOT IN ('', 'NA')),
 total AS (SELECT field_name, count(DISTINCT rid) AS n FROM good GROUP BY 1),
 counts AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT rid) AS records FROM good GROUP BY 1, 2),
 marks AS (SELECT field_name, term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.02 * n THEN 'common' END AS mark FROM counts JOIN total USING (field_name))"""
+_COUNTS = f"rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM tidy_contigs), {_TERMS}"
+_CURRENT = f"""latest AS (SELECT v_call, junction_aa, productive, row_number() OVER (PARTITION BY sample, sequence_id ORDER BY loaded_at DESC, v_call DESC NULLS LAST, junction_aa DESC NULLS LAST, upper(trim(productive)) IN ('T', 'TRUE') DESC NULLS LAST) AS k
+  FROM tidy_contigs WHERE sample IS NOT NULL AND sequence_id IS NOT NULL),
+rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM latest WHERE k = 1 AND upper(trim(productive)) IN ('T', 'TRUE')), {_TERMS}"""
 
 ORACLE = {
     "p1_within_bound": """WITH v AS (SELECT CASE WHEN SampleID NOT IN ('', 'NA') THEN SampleID END AS SampleID FROM annotated_contigs WHERE NOT isnan(V_identity) AND V_identity BETWEEN 0 AND 100),
 n AS (SELECT 'sample' AS scope, SampleID, count(*) AS n_values FROM v WHERE SampleID IS NOT NULL GROUP BY SampleID UNION ALL SELECT 'all', NULL, count(*) FROM v)
 SELECT scope, SampleID, percentile, n_values, true AS within FROM n, (VALUES (5), (25), (50), (75), (95)) p (percentile)""",
     "p2_counts": f"WITH {_COUNTS} SELECT * FROM marks",
+    "p2_changed": f"WITH {_CURRENT} SELECT * FROM marks",
     "p2_found": f"WITH {_COUNTS} SELECT field_name, term, mark FROM marks WHERE mark IS NOT NULL",
     "p5_found": """WITH latest AS (
   SELECT sample, ClonotypeID, Clonotype_freq, row_number() OVER (PARTITION BY sample, ClonotypeID ORDER BY reported_at DESC) AS k
