@@ -4,8 +4,9 @@ Every run of RUN consecutive words of an evaluation text is a pattern. A shift t
 two words tells how far the search window may jump; where the shift is 0 the block's bucket names
 the patterns that end in it, and the words are compared directly. Documents are cut into lanes that
 overlap by RUN - 1 words and all lanes of a batch advance together, so a very long text costs no more
-than many short ones. The corpus is read once per block of patterns and isn't shuffled but for the
-distinct pairs found.
+than many short ones. The tables are built once, at the driver, and broadcast. The corpus isn't shuffled but for the
+distinct pairs found. An evaluation set of more than PASS_WORDS words is searched in passes: the corpus is then cut
+into words once, into a written table, and only one pass's tables are alive at a time.
 
 Words are unbroken runs of letters and digits (Unicode L, N) after NFKC, without format characters
 (Cf), in lower case. Null, empty and blank texts, and evaluation texts of fewer than RUN words, match
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repspark.runtime import map_arrow
+from repspark.runtime import map_arrow, written
 
 RUN = 12
 BLOCK = 2
@@ -45,27 +47,33 @@ def words(text: str | None) -> list[str]:
 
 
 class WuManber:
-    """Patterns of ``run`` words with their item; words are numbered from 1, 0 is any other word."""
+    """Patterns of ``run`` words with their item; words are numbered from 1, 0 is any other word.
+
+    A pattern is a place in the items' words, so the tables take 12 bytes for each of these and the vocabulary.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN):
         self.run = run
         self.number: dict[str, int] = {}
         number = self.number
-        coded = [(item, np.array([number.setdefault(w, len(number) + 1) for w in ws], dtype=np.int64)) for item, ws in items if len(ws) >= run]
-        windows = [np.lib.stride_tricks.sliding_window_view(c, run) for _, c in coded]
-        self.patterns = np.concatenate(windows) if windows else np.empty((0, run), np.int64)
-        self.item = np.concatenate([np.full(len(w), item, dtype=np.int64) for (item, _), w in zip(coded, windows)]) if windows else np.empty(0, np.int64)
+        long = [(item, ws) for item, ws in items if len(ws) >= run]
+        lengths = np.array([len(ws) for _, ws in long], dtype=np.int64)
+        self.code = np.fromiter((number.setdefault(w, len(number) + 1) for _, ws in long for w in ws), dtype=np.int32, count=int(lengths.sum()))
+        windows = lengths - run + 1
+        ids = np.array([item for item, _ in long], dtype=np.int64)
+        self.item = np.repeat(ids, windows)
+        self.at = (np.arange(windows.sum()) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(windows) + windows, windows)).astype(np.int32)
         # shift table: for each block of the patterns, the distance from its last place to the pattern's end
         size = max(16, len(number) * 4)
         self.bits = int(size - 1).bit_length() + 2
-        self.shift = np.full(1 << self.bits, run - BLOCK + 1, dtype=np.int64)
-        for at in range(run - BLOCK + 1):
-            np.minimum.at(self.shift, self._hash(self.patterns[:, at], self.patterns[:, at + 1]), run - BLOCK - at)
+        self.shift = np.full(1 << self.bits, run - BLOCK + 1, dtype=np.int32)
+        for k in range(run - BLOCK + 1):
+            np.minimum.at(self.shift, self._hash(self.code[self.at + k], self.code[self.at + k + 1]), run - BLOCK - k)
         # buckets by the hash of the last block, patterns in bucket order
-        last = self._hash(self.patterns[:, -2], self.patterns[:, -1])
+        last = self._hash(self.code[self.at + run - 2], self.code[self.at + run - 1])
         order = np.argsort(last, kind="stable")
-        self.patterns, self.item = self.patterns[order], self.item[order]
-        self.start = np.searchsorted(last[order], np.arange((1 << self.bits) + 1))
+        self.at, self.item = self.at[order], self.item[order]
+        self.start = np.searchsorted(last[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -100,7 +108,7 @@ class WuManber:
                 cand = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 for a in range(0, len(lane), 1 << 17):
                     l, c = lane[a : a + (1 << 17)], cand[a : a + (1 << 17)]
-                    same = (code[pos[l][:, None] + np.arange(1 - run, 1)] == self.patterns[c]).all(axis=1)
+                    same = (code[pos[l][:, None] + np.arange(1 - run, 1)] == self.code[self.at[c][:, None] + np.arange(run)]).all(axis=1)
                     found.update(zip(text[l[same]].tolist(), self.item[c[same]].tolist()))
             pos = pos + np.maximum(jump, 1)
             go = pos < stop
@@ -125,31 +133,54 @@ def _passes(items: DataFrame, item_col: str, text_col: str, run: int) -> Iterato
         yield part
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, its words joined by spaces), about a million characters a batch."""
+    for b in batches:
+        for a, texts in _slices(b):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.array([" ".join(words(t)) for t in texts], pa.string())], names=["d", "w"])
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of parts of a batch of about a million characters, or of one longer text."""
+    a = 0
+    while a < b.num_rows:
+        held, size, start = [], 0, a
+        while a < b.num_rows and (not held or size < 1_000_000):
+            held.append(b.column(1)[a].as_py())
+            size += len(held[-1] or "")
+            a += 1
+        yield start, held
+
+
+def _search(shared, cut, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        for b in batches:
+            for a, texts in _slices(b):
+                got = tables.search([cut(t) for t in texts])
+                if got:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([a + d for d, _ in got])), pa.array([i for _, i in got], pa.int64())], names=names)
+
+    return run
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, run: int = RUN, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id), distinct: the pairs that share a run of at least ``run`` words."""
     spark = docs.sparkSession
-    schema = f"{doc_col} bigint, {item_col} bigint"
-    corpus = docs.select(F.col(doc_col).cast("bigint"), F.col(text_col).cast("string"))
-    out = None
-    for part in _passes(items, item_col, text_col, run):
-        shared = spark.sparkContext.broadcast(part)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tables = WuManber(shared.value, run)
-            for b in batches:
-                ids, texts = b.column(0), b.column(1)
-                a = 0
-                while a < b.num_rows:  # about a million characters at a time
-                    held, size, start = [], 0, a
-                    while a < b.num_rows and (not held or size < 1_000_000):
-                        t = texts[a].as_py()
-                        size += len(t or "")
-                        held.append(words(t))
-                        a += 1
-                    got = tables.search(held)
-                    if got:
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([start + d for d, _ in got])), pa.array([i for _, i in got], pa.int64())], names=[doc_col, item_col])
-
-        found = map_arrow(corpus, search, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out.distinct()
+    names, schema = [doc_col, item_col], f"{doc_col} bigint, {item_col} bigint"
+    corpus, cut = docs.select(F.col(doc_col).cast("bigint"), F.col(text_col).cast("string")), words
+    parts = _passes(items, item_col, text_col, run)
+    part = next(parts, None)
+    if part is None:
+        return spark.createDataFrame([], schema)
+    then = next(parts, None)
+    if then is None:
+        return map_arrow(corpus, _search(spark.sparkContext.broadcast(WuManber(part, run)), cut, names), schema).distinct()
+    corpus, cut = written(map_arrow(corpus, _tokens, "d bigint, w string"), "words"), str.split
+    found = []
+    while part is not None:
+        tables = spark.sparkContext.broadcast(WuManber(part, run))
+        found.append(written(map_arrow(corpus, _search(tables, cut, names), schema), "leaks"))
+        tables.destroy()
+        part, then = then, next(parts, None)
+    return reduce(DataFrame.unionByName, found).distinct()

@@ -88,6 +88,73 @@ def test_deltas_lead_to_the_same_counts_as_a_recount(spark, tmp_path):
     assert {r["term"]: r["mark"] for r in marked(store, 2, 0.6).where("field_name = 'v'").collect()} == {"A*1": "common", "B*1": "rare", "C": "rare"}
 
 
+def test_a_store_reads_as_before_when_a_commit_breaks_off(spark, tmp_path, monkeypatch):
+    path, fields = f"file://{tmp_path}/s", {"v": ","}
+    rows = lambda *v: spark.createDataFrame([(x, 1) for x in v], "v string, sign int")
+    store = TermCountStore(spark, path, fields, buckets=4)
+    store.apply(rows("A", "B,A"), note="monday")
+    want = sorted(map(tuple, store.counts().collect()), key=repr)
+
+    def broken(*_):
+        raise OSError("lost")
+
+    for step in ("_rename", "_commit"):
+        with monkeypatch.context() as m:
+            m.setattr(TermCountStore, step, staticmethod(broken))
+            with pytest.raises(OSError):
+                store.apply(rows("C"), note="tuesday")
+            with pytest.raises(OSError):
+                store.compact()
+        again = TermCountStore(spark, path, fields)
+        assert sorted(map(tuple, again.counts().collect()), key=repr) == want and again.note() == "monday"
+    with monkeypatch.context() as m:
+        m.setattr(TermCountStore, "_rename", staticmethod(lambda *_: False))
+        with pytest.raises(RuntimeError):
+            store.apply(rows("C"))
+    again = TermCountStore(spark, path, fields)
+    again.apply(rows("C"), note="tuesday")
+    again.compact()
+    again.compact()
+    assert ("v", "C", 1, 1) in map(tuple, TermCountStore(spark, path, fields).counts().collect()) and again.note() == "tuesday" and again.totals() == {"v": 3}
+
+
+def test_the_base_is_merged_without_a_shuffle(spark, tmp_path):
+    store = TermCountStore(spark, f"file://{tmp_path}/s", {"v": None}, buckets=4)
+    for k in range(3):
+        store.apply(spark.range(50 * k, 1000).selectExpr("cast(id as string) v", "1 sign"))
+    plan = store.counts()._jdf.queryExecution().executedPlan().toString()
+    base = plan.split("FullOuter")[1].split("FileScan")[0]
+    assert "Exchange" not in base and store.counts().count() == 1001
+    store.compact()
+    assert len(store._manifest()["segments"]) == 1 and store.counts().where("term = '120'").first()["records"] == 3
+
+
+def test_a_kept_store_reads_only_what_came_since(spark, tmp_path, small):
+    import shutil
+
+    from repspark.llm import queries
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    whole = spark.read.parquet(f"{small}/tidy_contigs.parquet")
+    cut = whole.selectExpr("max(loaded_at) - interval 5 days m").first()["m"]
+    spark.conf.set("repspark.term_store", f"file://{tmp_path}/kept")
+    try:
+        whole.where(F.col("loaded_at") <= F.lit(cut)).write.parquet(str(folder / "tidy_contigs.parquet"))
+        queries.counted_rows(spark, str(folder))
+        shutil.rmtree(folder / "tidy_contigs.parquet")
+        whole.write.parquet(str(folder / "tidy_contigs.parquet"))
+        store = queries.counted_rows(spark, str(folder))
+        fresh = TermCountStore(spark, f"file://{tmp_path}/fresh", queries.TERM_FIELDS)
+        fresh.apply(whole.withColumn("sign", F.lit(1)))
+        assert len(store._manifest()["segments"]) == 3
+        assert sorted(map(tuple, store.counts().collect()), key=repr) == sorted(map(tuple, fresh.counts().collect()), key=repr)
+        queries.counted_rows(spark, str(folder))
+        assert len(store._manifest()["segments"]) == 3
+    finally:
+        spark.conf.unset("repspark.term_store")
+
+
 # --- 5: top n ---
 
 
@@ -163,6 +230,36 @@ def test_leaks_against_brute_force(spark):
     assert find_leaks(df.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
 
+def test_heaps_hold_n_rows_a_group(monkeypatch):
+    import pyarrow as pa
+
+    from repspark.llm import top_n as module
+
+    monkeypatch.setattr(module, "HELD", 50)
+    random.seed(2)
+    rows = [(random.choice("ab"), f"i{k:04d}", random.choice([1.0, 2.0, 3.5])) for k in range(3000)]
+    batches = [pa.RecordBatch.from_pylist([{"g": g, "i": i, "s": s} for g, i, s in rows[a : a + 100]]) for a in range(0, 3000, 100)]
+    part = [list(module._before(4)(iter(batches[k::3]))) for k in range(3)]
+    assert all(sum(b.num_rows for b in p) <= 2 * 4 for p in part)
+    merged = pa.Table.from_batches([b for p in part for b in p]).sort_by("g").to_batches(max_chunksize=3)
+    got = [tuple(r.values()) for b in module._after(4)(iter(merged)) for r in b.to_pylist()]
+    want = [(g, i, s, k) for x in "ab" for k, (g, i, s) in enumerate(sorted((r for r in rows if r[0] == x), key=lambda r: (-r[2], r[1]))[:4], 1)]
+    assert got == want
+
+
+def test_an_evaluation_set_of_over_two_million_words(spark):
+    import resource
+
+    vocab = [f"w{i}" for i in range(50_000)]
+    random.seed(4)
+    items = [(i, " ".join(random.choices(vocab, k=30_000))) for i in range(75)]
+    docs = [(d, " ".join(random.choices(vocab, k=200) + items[d][1].split()[500 : 500 + n])) for d, n in ((3, 12), (70, 40), (74, 11))]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == [(3, 3), (70, 70)]
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1000
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     from repspark.llm import leaks
 
