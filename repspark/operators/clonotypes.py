@@ -39,9 +39,9 @@ def v_cluster_map(df: DataFrame, unit: str = "unit", v_call: str = "v_call") ->
 
 
 def with_v_cluster(df: DataFrame, unit: str = "unit", v_call: str = "v_call") -> DataFrame:
-    """Rows with the cluster of their first gene; null without a gene. The map has one row per unit and gene."""
+    """Rows with the cluster of their first gene; 'NA' without a gene, as one more gene. The map has one row per unit and gene."""
     m = v_cluster_map(df, unit, v_call).withColumnRenamed("gene", "_gene")
-    return df.withColumn("_gene", F.try_element_at(v_genes(v_call), F.lit(1))).join(m, [unit, "_gene"], "left").drop("_gene")
+    return df.withColumn("_gene", F.try_element_at(v_genes(v_call), F.lit(1))).join(m, [unit, "_gene"], "left").drop("_gene").withColumn("v_cluster", F.coalesce("v_cluster", F.lit("NA")))
 
 
 def cdr3_clusters(df: DataFrame, keys: list[str], cdr3: str, cutoff: float = 0.2, mode: str = "average", order: str = "sequence_id") -> DataFrame:

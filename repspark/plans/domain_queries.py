@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repspark.config import AnnotateConfig
 from repspark.functions.missing import present
 from repspark.functions.sequences import barcode, cdr3_aa, locus, sorted_join, v_genes
 from repspark.operators import cells as C
@@ -16,7 +15,7 @@ from repspark.operators.immunogenetics import consensus_cdr3, consensus_germline
 from repspark.operators.tidy import first_gene, tidy, unique_sequences
 from repspark.operators.trees import abundances
 from repspark.operators.wide import SLOTS, cells_long, cells_wide, with_unsupported
-from repspark.plans.annotate import annotate
+from repspark.plans.cell_sql import CLASSES, RELABELLED, RESOLVED, numbered, one_per_chain
 from repspark.plans.base import ALIGNED_SQL, CONTIGS_SQL, GENES_SQL, aligned, latest_contigs
 from repspark.plans.sequence_queries import CALL_SQL
 from repspark.plans.sequence_queries import CODONS_SQL as _CODONS
@@ -247,22 +246,12 @@ def airr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_airr(public)
 
 
-def annotate_bulk_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole bulk annotation over all bulk rows."""
-    return annotate(aligned(spark, sf_dir).where(F.col("n_reads").isNotNull()), AnnotateConfig(data_type="bulk", annotate_CLL_immGen=True))
-
-
-def annotate_sc_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole single-cell annotation over all single-cell rows."""
-    return annotate(aligned(spark, sf_dir).where(F.col("n_reads").isNull()), AnnotateConfig())
-
-
 QUERIES = {
     "clonotype_freq_by_sample": clonotype_freq_by_sample, "v_clusters": v_clusters, "clonotypes_single_linkage": clonotypes_single_linkage, "clonotypes_average": _linkage("average"), "clonotypes_complete": _linkage("complete"),
     "indel_merge": indel_merge, "nn_distance": nn_distance, "bulk_ids": bulk_ids, "bulk_freqs": bulk_freqs, "sc_ids": sc_ids, "cell_chains": cell_chains, "complete_bcr_resolved": complete_bcr_resolved, "chain_relabel": chain_relabel,
     "cell_numbers": cell_numbers, "chain_values": chain_values, "consensus_cdr3": consensus_cdr3_query, "consensus_germline": consensus_germline_query, "contam_bulk": contam_bulk, "contam_cells": contam_cells, "contam_tags": contam_tags,
     "recalc_bulk": recalc_bulk, "recalc_cells": recalc_cells, "rescue_strict": _rescue("subclone"), "rescue_relaxed": _rescue("clone"), "cells_wide": cells_wide_query, "cells_long": cells_long_query, "mb_cells": mb_cells,
-    "gctree_abundance": gctree_abundance, "gctree_idmap": gctree_idmap, "airr_export": airr_export, "annotate_bulk_e2e": annotate_bulk_e2e, "annotate_sc_e2e": annotate_sc_e2e,
+    "gctree_abundance": gctree_abundance, "gctree_idmap": gctree_idmap, "airr_export": airr_export,
 }
 
 
@@ -278,6 +267,7 @@ _CELLS = f"""{CONTIGS_SQL}, b AS (SELECT sample AS unit, sequence_id, Clonotype
 s AS (SELECT *, substr(v, 1, 3) AS loc, v || '_' || aa AS cvk, count(*) OVER (PARTITION BY unit, substr(v, 1, 3), clt) AS rc, count(*) OVER (PARTITION BY unit, substr(v, 1, 3), clt, v || '_' || aa) AS rv, count(*) OVER (PARTITION BY unit, substr(v, 1, 3), clt, v || '_' || aa, junction) AS rs FROM b WHERE v IS NOT NULL AND aa IS NOT NULL),
 k AS (SELECT *, dense_rank() OVER (PARTITION BY unit, loc ORDER BY rc DESC, clt) AS ck, dense_rank() OVER (PARTITION BY unit, loc, clt ORDER BY rv DESC, cvk) AS vk, dense_rank() OVER (PARTITION BY unit, loc, clt, cvk ORDER BY rs DESC, junction) AS sk FROM s),
 ids AS (SELECT *, loc || '.C' || ck AS cid, loc || '.C' || ck || '.CV' || vk AS cv, loc || '.C' || ck || '.CV' || vk || '.S' || sk AS sub FROM k)"""
+_SOLVED = f"{_CELLS}, {one_per_chain('ids')}, {CLASSES}, {RESOLVED}"
 _ANN = """ann AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS k FROM annotated_contigs) WHERE k = 1 AND SampleID NOT IN ('', 'NA') AND ClonotypeID IS NOT NULL),
 cases AS (SELECT SampleID, arg_min(CaseID, registered_at) AS CaseID, arg_min(BatchID, registered_at) AS BatchID FROM sample_sheet GROUP BY 1)"""
 _BULKANN = f"""{_ANN}, g AS (SELECT SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, min(VDJ_genes) AS VDJ_genes, min(Junction_aa) AS Junction_aa, CAST(sum(Clonotype_nReads) AS BIGINT) AS r FROM ann WHERE Clonotype_nReads IS NOT NULL AND SubcloneID IS NOT NULL AND ClonotypeVariantID IS NOT NULL GROUP BY 1, 2, 3, 4),
@@ -334,6 +324,11 @@ round(sum(r) OVER (PARTITION BY unit, cv) * 100.0 / sum(r) OVER (PARTITION BY un
     "cell_chains": f"""WITH {_CELLS}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit, barcode, cid ORDER BY sequence_id) AS n FROM ids) WHERE n = 1),
 c AS (SELECT unit, barcode, string_agg(cid, '-' ORDER BY cid) AS merge_clonotypeID, string_agg(cv, '-' ORDER BY cv) AS merge_clonotypeVariantID, string_agg(sub, '-' ORDER BY sub) AS merge_subcloneID, count(*) AS n, count(*) FILTER (loc = 'IGH') AS h, count(*) FILTER (loc IN ('IGK', 'IGL')) AS l FROM one GROUP BY 1, 2)
 SELECT unit, barcode, merge_clonotypeID, merge_clonotypeVariantID, merge_subcloneID, CASE WHEN n = 1 THEN 'Single_chain_1' WHEN n > 4 THEN 'Not_supported' WHEN h = 0 OR l = 0 THEN CASE WHEN n = 2 THEN 'Single_chain_2' ELSE 'Not_supported' END WHEN h > 2 OR l > 2 THEN CASE WHEN n = 4 THEN 'Not_supported' ELSE 'Yes' END ELSE 'Yes' END AS completeBCR FROM c""",
+    "complete_bcr_resolved": f"WITH RECURSIVE {_SOLVED} SELECT unit, barcode, completeBCR, ig AS igclonotypeID FROM solved",
+    "chain_relabel": f"WITH RECURSIVE {_SOLVED}, {RELABELLED} SELECT unit, sequence_id, cid AS clonotypeID FROM relabelled",
+    "cell_numbers": f"WITH RECURSIVE {_SOLVED}, {numbered('solved', 'ranked')} SELECT unit, barcode, ig AS igclonotypeID, igcv AS igclonotypeVariantID, igsub AS igsubcloneID_in_clonotypeVariant, igin AS igsubcloneID_in_clonotype FROM ranked",
+    "chain_values": f"""WITH {_CELLS}, {one_per_chain('ids')}, {CLASSES}, v AS (SELECT unit, barcode, string_agg(coalesce(junction, 'NA'), '_' ORDER BY sub, junction, aa) AS VDJseq, string_agg(coalesce(aa, 'NA'), '_' ORDER BY sub, junction, aa) AS cdr3_aa FROM one GROUP BY 1, 2)
+SELECT v.unit, v.barcode, CASE WHEN class <> 'Not_supported' THEN VDJseq END AS VDJseq, CASE WHEN class <> 'Not_supported' THEN cdr3_aa END AS cdr3_aa FROM v JOIN classed c ON c.unit = v.unit AND c.barcode = v.barcode""",
     "consensus_cdr3": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, Clonotype, {_AA} AS s FROM contigs WHERE Clonotype IS NOT NULL),
 m AS (SELECT sample, Clonotype, length(s) AS len, row_number() OVER (PARTITION BY sample, Clonotype ORDER BY count(*) DESC, length(s)) AS k FROM b WHERE length(s) > 0 GROUP BY 1, 2, 3),
 l AS (SELECT b.sample, b.Clonotype, p, substr(s, CAST(p AS INT), 1) AS c, count(*) AS n FROM b JOIN m ON b.sample = m.sample AND b.Clonotype = m.Clonotype AND length(s) = len AND k = 1, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS p) GROUP BY 1, 2, 3, 4),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from repspark.plans import domain_queries, scale_queries, sequence_queries
+from repspark.plans import annotate_queries, domain_queries, scale_queries, sequence_queries
 
 FLAGSHIP = "clonotype_freq_by_sample"
-QUERIES = {**scale_queries.QUERIES, **sequence_queries.QUERIES, **domain_queries.QUERIES}
-ORACLE = {**scale_queries.ORACLE, **sequence_queries.ORACLE, **domain_queries.ORACLE}
+_PARTS = (scale_queries, sequence_queries, domain_queries, annotate_queries)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

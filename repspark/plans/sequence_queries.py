@@ -143,11 +143,12 @@ def aa_sql(s: str) -> str:
     return f"array_to_string(list_transform(range(1, length({s}) // 3 + 1), lambda i: coalesce(codons[upper(substr({s}, i * 3 - 2, 3))], 'X')), '')"
 
 
-def _rules() -> str:
+def rules_sql(cdr3: str = "c", genes: str = "genes") -> str:
+    """The WHEN branches of the subset rules over a CDR3 and a list of genes."""
     out = []
     for r in MAJOR + SATELLITE:
-        conds = [f"length(c) BETWEEN {r.shortest} AND {r.longest}", f"len(list_filter(genes, lambda g: regexp_matches(g, '{r.v}'))) > 0"]
-        conds += [f"regexp_matches({'c' if not b else f'substr(c, {a}, {b - a + 1})'}, '{m}')" for m, a, b in r.motifs]
+        conds = [f"length({cdr3}) BETWEEN {r.shortest} AND {r.longest}", f"len(list_filter({genes}, lambda g: regexp_matches(g, '{r.v}'))) > 0"]
+        conds += [f"regexp_matches({cdr3 if not b else f'substr({cdr3}, {a}, {b - a + 1})'}, '{m}')" for m, a, b in r.motifs]
         out.append(f"WHEN {' AND '.join(conds)} THEN '{r.label}'")
     return " ".join(out)
 
@@ -178,7 +179,7 @@ SELECT b.* FROM b JOIN m ON b.sample = m.sample AND b.g IS NOT DISTINCT FROM m.g
     "v_identity": f"WITH {TIDY_SQL} SELECT sample, sequence_id, round((v_len - hamming(substr(seq, 1, v_len), substr(germline, 1, v_len))) * 100.0 / v_len, 9) AS v_identity FROM tidy",
     "pairwise_identity": f"WITH {TIDY_SQL} SELECT sample, sequence_id, round((length(seq) - hamming(seq, germline)) / length(seq), 9) AS identity FROM tidy",
     "stereotype_rules": f"""WITH {CONTIGS_SQL}, b AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, junction_aa, upper(trim(productive)) IN ('T', 'TRUE') AS ok, CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) ELSE '' END AS c FROM contigs)
-SELECT sample, sequence_id, CASE WHEN NOT coalesce(ok, false) OR coalesce(len(genes), 0) = 0 OR len(list_filter(genes, lambda g: NOT contains(g, 'IGH'))) > 0 OR coalesce(junction_aa, '') = '' THEN 'NA' {_rules()} ELSE 'Unassigned' END AS subset FROM b""",
+SELECT sample, sequence_id, CASE WHEN NOT coalesce(ok, false) OR coalesce(len(genes), 0) = 0 OR len(list_filter(genes, lambda g: NOT contains(g, 'IGH'))) > 0 OR coalesce(junction_aa, '') = '' THEN 'NA' {rules_sql()} ELSE 'Unassigned' END AS subset FROM b""",
     "r110": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, CASE WHEN upper(replace(string_split(string_split(v_call, '/')[1], '*')[1], ' ', '')) = 'IGLV3-21' AND ends_with(junction, 'C') THEN '[R110]' ELSE '' END AS mark FROM contigs WHERE v_call IS NOT NULL AND junction IS NOT NULL",
     "ags": f"""WITH {TIDY_SQL}, h AS (SELECT *, {CODONS_SQL} AS codons FROM tidy WHERE v_call LIKE 'IGH%'),
 a AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, {aa_sql('seq')} AS s, {aa_sql('germline')} AS q, length(fwr1) // 3 AS e1, length(fwr1) // 3 + length(cdr1) // 3 AS e2, length(fwr1) // 3 + length(cdr1) // 3 + length(fwr2) // 3 AS e3,
