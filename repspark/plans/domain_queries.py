@@ -169,20 +169,20 @@ def recalc_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("SampleID", "old", "ClonotypeID", "ClonotypeVariantID", "SubcloneID", "SubcloneID_in_Clonotype", "Clonotype_nReads", F.round("Clonotype_freq", 9).alias("Clonotype_freq"))
 
 
-def _sc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def single_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = annotated(spark, sf_dir).where(present("barcode").isNotNull() & F.col("ClonotypeVariantID").isNotNull() & present("SubcloneID").isNotNull())
     return df
 
 
 def recalc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recalc.recalculate_cells(_sc(spark, sf_dir)).select("record_id", "ClonotypeID", "ClonotypeVariantID", "SubcloneID")
+    return recalc.recalculate_cells(single_cell(spark, sf_dir)).select("record_id", "ClonotypeID", "ClonotypeVariantID", "SubcloneID")
 
 
 def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid cells (first registration) with the merged ids of their contigs; a barcode's class and tag are those of the cell table."""
     c = table(spark, sf_dir, "cells").withColumn("SampleID", present("SampleID")).where(F.col("SampleID").isNotNull())
     first = c.groupBy("SampleID", "barcode").agg(F.min_by(F.struct("completeBCR", "Sample_Tag"), F.struct("registered_at", "record_id")).alias("r")).select("SampleID", "barcode", "r.*")
-    rows = _sc(spark, sf_dir).withColumn("seq", F.concat_ws("|", "VDJ_genes", "Junction_aa"))
+    rows = single_cell(spark, sf_dir).withColumn("seq", F.concat_ws("|", "VDJ_genes", "Junction_aa"))
     m = rows.groupBy("SampleID", "barcode").agg(sorted_join("ClonotypeID").alias("clone"), sorted_join("SubcloneID").alias("subclone"), sorted_join("seq").alias("seq"))
     return first.join(m, ["SampleID", "barcode"]).join(sample_cases(spark, sf_dir), "SampleID")
 
@@ -213,7 +213,7 @@ def cells_wide_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_per_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sc(spark, sf_dir)
+    rows = single_cell(spark, sf_dir)
     return rows.groupBy("SampleID", "barcode", "ClonotypeID").agg(F.min_by(F.struct("VDJ_genes", "Junction_aa"), "record_id").alias("r")).select("SampleID", "barcode", "ClonotypeID", "r.*")
 
 
@@ -228,12 +228,12 @@ def mb_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gctree_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sc(spark, sf_dir).withColumn("clone", F.concat_ws("|", "SampleID", "ClonotypeID"))
+    df = single_cell(spark, sf_dir).withColumn("clone", F.concat_ws("|", "SampleID", "ClonotypeID"))
     return abundances(df, "clone", "SubcloneID")
 
 
 def gctree_idmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sc(spark, sf_dir)
+    df = single_cell(spark, sf_dir)
     return df.groupBy("SampleID", "ClonotypeID", "SubcloneID").agg(F.count(F.lit(1)).alias("abundance"), F.array_join(F.array_sort(F.collect_list("barcode")), ":").alias("members"))
 
 
@@ -270,13 +270,13 @@ ids AS (SELECT *, loc || '.C' || ck AS cid, loc || '.C' || ck || '.CV' || vk AS
 _SOLVED = f"{_CELLS}, {one_per_chain('ids')}, {CLASSES}, {RESOLVED}"
 _ANN = """ann AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS k FROM annotated_contigs) WHERE k = 1 AND SampleID NOT IN ('', 'NA') AND ClonotypeID IS NOT NULL),
 cases AS (SELECT SampleID, arg_min(CaseID, registered_at) AS CaseID, arg_min(BatchID, registered_at) AS BatchID FROM sample_sheet GROUP BY 1)"""
-_BULKANN = f"""{_ANN}, g AS (SELECT SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, min(VDJ_genes) AS VDJ_genes, min(Junction_aa) AS Junction_aa, CAST(sum(Clonotype_nReads) AS BIGINT) AS r FROM ann WHERE Clonotype_nReads IS NOT NULL AND SubcloneID IS NOT NULL AND ClonotypeVariantID IS NOT NULL GROUP BY 1, 2, 3, 4),
+BULKANN_SQL = f"""{_ANN}, g AS (SELECT SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, min(VDJ_genes) AS VDJ_genes, min(Junction_aa) AS Junction_aa, CAST(sum(Clonotype_nReads) AS BIGINT) AS r FROM ann WHERE Clonotype_nReads IS NOT NULL AND SubcloneID IS NOT NULL AND ClonotypeVariantID IS NOT NULL GROUP BY 1, 2, 3, 4),
 rws AS (SELECT g.*, CaseID, CAST(sum(r) OVER (PARTITION BY SampleID, ClonotypeID, ClonotypeVariantID) AS BIGINT) AS vr, CAST(sum(r) OVER (PARTITION BY SampleID, ClonotypeID) AS BIGINT) AS cr FROM g JOIN cases USING (SampleID))"""
-_SC = f"{_ANN}, sc AS (SELECT * FROM ann WHERE barcode NOT IN ('', 'NA') AND ClonotypeVariantID IS NOT NULL AND SubcloneID NOT IN ('', 'NA'))"
-_CELLTABLE = f"""{_SC}, firsts AS (SELECT SampleID, barcode, completeBCR, Sample_Tag FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode ORDER BY registered_at, record_id) AS k FROM cells WHERE SampleID NOT IN ('', 'NA')) WHERE k = 1),
+SC_SQL = f"{_ANN}, sc AS (SELECT * FROM ann WHERE barcode NOT IN ('', 'NA') AND ClonotypeVariantID IS NOT NULL AND SubcloneID NOT IN ('', 'NA'))"
+_CELLTABLE = f"""{SC_SQL}, firsts AS (SELECT SampleID, barcode, completeBCR, Sample_Tag FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode ORDER BY registered_at, record_id) AS k FROM cells WHERE SampleID NOT IN ('', 'NA')) WHERE k = 1),
 m AS (SELECT SampleID, barcode, string_agg(ClonotypeID, '-' ORDER BY ClonotypeID) AS clone, string_agg(SubcloneID, '-' ORDER BY SubcloneID) AS subclone, string_agg(concat_ws('|', VDJ_genes, Junction_aa), '-' ORDER BY concat_ws('|', VDJ_genes, Junction_aa)) AS seq FROM sc GROUP BY 1, 2),
 ct AS (SELECT * FROM firsts JOIN m USING (SampleID, barcode) JOIN cases USING (SampleID))"""
-_SLOTS = f"""{_SC}, one AS (SELECT SampleID, barcode, ClonotypeID, VDJ_genes, Junction_aa FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode, ClonotypeID ORDER BY record_id) AS k FROM sc) WHERE k = 1),
+_SLOTS = f"""{SC_SQL}, one AS (SELECT SampleID, barcode, ClonotypeID, VDJ_genes, Junction_aa FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode, ClonotypeID ORDER BY record_id) AS k FROM sc) WHERE k = 1),
 numbered AS (SELECT *, CASE WHEN substr(ClonotypeID, 1, 3) = 'IGH' THEN 'IGH' WHEN substr(ClonotypeID, 1, 3) IN ('IGK', 'IGL') THEN 'IGL' END AS kind FROM one),
 slots AS (SELECT *, kind || row_number() OVER (PARTITION BY SampleID, barcode, kind ORDER BY ClonotypeID) AS slot FROM numbered)"""
 
@@ -308,6 +308,14 @@ SELECT ct.SampleID, ct.barcode, CASE WHEN known.num IS NOT NULL THEN 'Yes_rescue
 FROM ct LEFT JOIN known ON ct.SampleID = known.SampleID AND known.run = ct.{column} AND completeBCR IN ('Single_chain_1', 'Single_chain_2')"""
 
 
+CONTAM_BULK_SQL = f"""WITH {BULKANN_SQL}, q AS (SELECT *, coalesce(VDJ_genes, 'NA') || chr(1) || coalesce(Junction_aa, 'NA') AS key FROM rws), v AS (SELECT SampleID, ClonotypeVariantID, max(vr) AS vr FROM q GROUP BY 1, 2),
+f AS (SELECT SampleID, ClonotypeVariantID, vr * 100.0 / sum(vr) OVER (PARTITION BY SampleID) AS freq FROM v), p AS (SELECT key, SampleID, CaseID, max(freq) AS freq FROM q JOIN f USING (SampleID, ClonotypeVariantID) GROUP BY 1, 2, 3),
+d AS (SELECT p.*, max(freq) OVER (PARTITION BY key) AS top, first_value(SampleID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS tc FROM p WHERE key IN (SELECT key FROM p GROUP BY key HAVING count(DISTINCT CaseID) > 1)),
+w AS (SELECT *, max(CASE WHEN CaseID <> tc AND top < 10 * freq THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS doubt FROM d),
+z AS (SELECT key, SampleID, ts, CASE WHEN CaseID <> tc AND top >= 10 * freq THEN 'OUT' WHEN CaseID <> tc THEN 'OUT_X' WHEN doubt = 1 AND SampleID = ts THEN 'OUT_X' END AS raw FROM w),
+x AS (SELECT q.*, z.raw, CASE WHEN z.raw IS NOT NULL THEN ts END AS ts FROM q LEFT JOIN z ON q.key = z.key AND q.SampleID = z.SampleID AND z.raw IS NOT NULL),
+bad AS (SELECT SampleID, ClonotypeID, sum(f) AS bad FROM (SELECT SampleID, ClonotypeID, ClonotypeVariantID, max(vr * 100.0 / cr) AS f FROM x WHERE raw IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
 ORACLE = {
     "clonotype_freq_by_sample": f"WITH {CONTIGS_SQL} SELECT sample, clonotypeID, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY sample), 9) AS freq FROM contigs WHERE clonotypeID IS NOT NULL GROUP BY 1, 2",
     "v_clusters": f"""WITH RECURSIVE {CONTIGS_SQL}, calls AS (SELECT DISTINCT sample AS unit, {GENES_SQL} AS g FROM contigs WHERE v_call IS NOT NULL), e AS (SELECT DISTINCT unit, g[1] AS a, unnest(g) AS b FROM calls),
@@ -339,13 +347,7 @@ SELECT sample, Clonotype, string_agg(CASE WHEN length(cs) > 1 THEN '[' || cs ||
 m AS (SELECT sample, Clonotype, length(junction) AS len, row_number() OVER (PARTITION BY sample, Clonotype ORDER BY count(*) DESC, length(junction)) AS k FROM b GROUP BY 1, 2, 3),
 r AS (SELECT b.sample, b.Clonotype, filled, row_number() OVER (PARTITION BY b.sample, b.Clonotype ORDER BY round((length(seq) - n - hamming(filled, seq)) / (length(seq) - n), 12) DESC, n, sequence_id) AS i FROM b JOIN m ON b.sample = m.sample AND b.Clonotype = m.Clonotype AND length(junction) = len AND k = 1)
 SELECT sample, Clonotype, filled AS consensus_germline FROM r WHERE i = 1""",
-    "contam_bulk": f"""WITH {_BULKANN}, q AS (SELECT *, coalesce(VDJ_genes, 'NA') || chr(1) || coalesce(Junction_aa, 'NA') AS key FROM rws), v AS (SELECT SampleID, ClonotypeVariantID, max(vr) AS vr FROM q GROUP BY 1, 2),
-f AS (SELECT SampleID, ClonotypeVariantID, vr * 100.0 / sum(vr) OVER (PARTITION BY SampleID) AS freq FROM v), p AS (SELECT key, SampleID, CaseID, max(freq) AS freq FROM q JOIN f USING (SampleID, ClonotypeVariantID) GROUP BY 1, 2, 3),
-d AS (SELECT p.*, max(freq) OVER (PARTITION BY key) AS top, first_value(SampleID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS tc FROM p WHERE key IN (SELECT key FROM p GROUP BY key HAVING count(DISTINCT CaseID) > 1)),
-w AS (SELECT *, max(CASE WHEN CaseID <> tc AND top < 10 * freq THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS doubt FROM d),
-z AS (SELECT key, SampleID, ts, CASE WHEN CaseID <> tc AND top >= 10 * freq THEN 'OUT' WHEN CaseID <> tc THEN 'OUT_X' WHEN doubt = 1 AND SampleID = ts THEN 'OUT_X' END AS raw FROM w),
-x AS (SELECT q.*, z.raw, CASE WHEN z.raw IS NOT NULL THEN ts END AS ts FROM q LEFT JOIN z ON q.key = z.key AND q.SampleID = z.SampleID AND z.raw IS NOT NULL),
-bad AS (SELECT SampleID, ClonotypeID, sum(f) AS bad FROM (SELECT SampleID, ClonotypeID, ClonotypeVariantID, max(vr * 100.0 / cr) AS f FROM x WHERE raw IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    "contam_bulk": f"""{CONTAM_BULK_SQL}
 SELECT x.SampleID, SubcloneID, CASE WHEN raw IS NULL THEN 'PASS' WHEN bad >= 80 THEN 'OUT_CLONOTYPE' ELSE 'OUT_CLONOTYPEVARIANT' END AS Contamination_FLAG, coalesce(raw, 'PASS') AS Contamination_raw, ts AS Contamination_Sample FROM x LEFT JOIN bad ON x.SampleID = bad.SampleID AND x.ClonotypeID = bad.ClonotypeID""",
     "contam_cells": f"""WITH {_CELLTABLE}, n AS (SELECT seq, SampleID, CaseID, subclone, count(*) AS n FROM ct GROUP BY 1, 2, 3, 4), p AS (SELECT seq, SampleID, CaseID, max(n) AS n FROM n GROUP BY 1, 2, 3),
 d AS (SELECT p.*, max(n) OVER (PARTITION BY seq) AS top, first_value(SampleID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS tc FROM p WHERE seq IN (SELECT seq FROM p GROUP BY seq HAVING count(DISTINCT CaseID) > 1 AND max(n) > 1)),
@@ -358,10 +360,10 @@ SELECT SampleID, barcode, CASE WHEN share >= 80 THEN 'OUT_CLONOTYPE' ELSE coales
 t AS (SELECT *, sum(n) OVER w AS total, max(n) OVER w AS top, first_value(Sample_Tag) OVER (PARTITION BY SampleID, clone ORDER BY n DESC, Sample_Tag) AS best FROM n WINDOW w AS (PARTITION BY SampleID, clone)),
 f AS (SELECT *, total > 1 AND Sample_Tag <> best AND top > 1.5 * n AS bad FROM t)
 SELECT ct.SampleID, barcode, CASE WHEN bad THEN 'OUT' WHEN bad IS NOT NULL THEN 'PASS' END AS SampleTag_FLAG, CASE WHEN bad THEN n || ':' || top END AS SampleTag_Ratio FROM ct LEFT JOIN f ON ct.SampleID = f.SampleID AND ct.clone = f.clone AND ct.Sample_Tag = f.Sample_Tag""",
-    "recalc_bulk": f"""WITH {_BULKANN}, k AS (SELECT *, 'C' || dense_rank() OVER (PARTITION BY SampleID ORDER BY cr DESC, ClonotypeID) AS c, dense_rank() OVER (PARTITION BY SampleID, ClonotypeID ORDER BY vr DESC, ClonotypeVariantID) AS v FROM rws)
+    "recalc_bulk": f"""WITH {BULKANN_SQL}, k AS (SELECT *, 'C' || dense_rank() OVER (PARTITION BY SampleID ORDER BY cr DESC, ClonotypeID) AS c, dense_rank() OVER (PARTITION BY SampleID, ClonotypeID ORDER BY vr DESC, ClonotypeVariantID) AS v FROM rws)
 SELECT SampleID, SubcloneID AS old, c AS ClonotypeID, c || '.CV' || v AS ClonotypeVariantID, c || '.CV' || v || '.S' || row_number() OVER (PARTITION BY SampleID, ClonotypeVariantID ORDER BY r DESC, SubcloneID) AS SubcloneID,
 c || '.' || row_number() OVER (PARTITION BY SampleID, ClonotypeID ORDER BY r DESC, SubcloneID) AS SubcloneID_in_Clonotype, cr AS Clonotype_nReads, round(cr * 100.0 / sum(r) OVER (PARTITION BY SampleID), 9) AS Clonotype_freq FROM k""",
-    "recalc_cells": f"""WITH {_SC}, a AS (SELECT *, substr(ClonotypeID, 1, 3) AS loc, regexp_replace(ClonotypeID, 'x(NA)?[0-9]+$', '') AS base, regexp_extract(ClonotypeID, '(x(?:NA)?[0-9]+)$', 1) AS suf FROM sc),
+    "recalc_cells": f"""WITH {SC_SQL}, a AS (SELECT *, substr(ClonotypeID, 1, 3) AS loc, regexp_replace(ClonotypeID, 'x(NA)?[0-9]+$', '') AS base, regexp_extract(ClonotypeID, '(x(?:NA)?[0-9]+)$', 1) AS suf FROM sc),
 n AS (SELECT *, count(*) OVER (PARTITION BY SampleID, loc, base) AS bn FROM a), k AS (SELECT *, loc || '.C' || dense_rank() OVER (PARTITION BY SampleID, loc ORDER BY bn DESC, base) || suf AS cid FROM n),
 s AS (SELECT *, count(*) OVER (PARTITION BY SampleID, cid, ClonotypeVariantID) AS vn, count(*) OVER (PARTITION BY SampleID, cid, ClonotypeVariantID, SubcloneID) AS sn FROM k),
 t AS (SELECT *, cid || '.CV' || dense_rank() OVER (PARTITION BY SampleID, cid ORDER BY vn DESC, ClonotypeVariantID) AS cv, dense_rank() OVER (PARTITION BY SampleID, cid, ClonotypeVariantID ORDER BY sn DESC, SubcloneID) AS sk FROM s)
@@ -373,7 +375,7 @@ SELECT record_id, cid AS ClonotypeID, cv AS ClonotypeVariantID, cv || '.S' || sk
     "mb_cells": f"""WITH {_SLOTS}, wide AS (SELECT SampleID, barcode, count(*) AS n_contigs, {_slot('IGH1', 'ClonotypeID')}, {_slot('IGL1', 'ClonotypeID')} FROM slots GROUP BY 1, 2)
 SELECT * FROM wide UNION ALL SELECT DISTINCT SampleID, barcode, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM cells c WHERE SampleID NOT IN ('', 'NA') AND barcode IS NOT NULL AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.SampleID = c.SampleID AND w.barcode = c.barcode)""",
     "airr_export": _airr_sql(),
-    "gctree_abundance": f"""WITH {_SC}, n AS (SELECT SampleID || '|' || ClonotypeID AS clone, SubcloneID AS subclone, count(*) AS abundance FROM sc GROUP BY 1, 2), big AS (SELECT clone FROM n GROUP BY 1 HAVING sum(abundance) > 1)
+    "gctree_abundance": f"""WITH {SC_SQL}, n AS (SELECT SampleID || '|' || ClonotypeID AS clone, SubcloneID AS subclone, count(*) AS abundance FROM sc GROUP BY 1, 2), big AS (SELECT clone FROM n GROUP BY 1 HAVING sum(abundance) > 1)
 SELECT n.* FROM n JOIN big USING (clone) UNION ALL SELECT clone, 'GL', 0 FROM big""",
-    "gctree_idmap": f"WITH {_SC} SELECT SampleID, ClonotypeID, SubcloneID, count(*) AS abundance, string_agg(barcode, ':' ORDER BY barcode) AS members FROM sc GROUP BY 1, 2, 3",
+    "gctree_idmap": f"WITH {SC_SQL} SELECT SampleID, ClonotypeID, SubcloneID, count(*) AS abundance, string_agg(barcode, ':' ORDER BY barcode) AS members FROM sc GROUP BY 1, 2, 3",
 }
