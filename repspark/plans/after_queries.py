@@ -65,7 +65,7 @@ def id_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"recalc_merged": recalc_merged, "rescue_numbers": _rescue(False), "rescue_numbers_relaxed": _rescue(True), "contam_bulk_removed": contam_bulk_removed, "id_agreement": id_agreement}
 
-_NUMBERED = f"""{SC_SQL}, one AS (SELECT SampleID AS unit, barcode, cid, record_id, cv, sub FROM (SELECT SampleID, barcode, ClonotypeID AS cid, record_id, ClonotypeVariantID AS cv, SubcloneID AS sub, row_number() OVER (PARTITION BY SampleID, barcode, ClonotypeID ORDER BY record_id) AS k FROM sc) WHERE k = 1),
+NUMBERED_SQL = f"""{SC_SQL}, one AS (SELECT SampleID AS unit, barcode, cid, record_id, cv, sub FROM (SELECT SampleID, barcode, ClonotypeID AS cid, record_id, ClonotypeVariantID AS cv, SubcloneID AS sub, row_number() OVER (PARTITION BY SampleID, barcode, ClonotypeID ORDER BY record_id) AS k FROM sc) WHERE k = 1),
 {CLASSES}, {RESOLVED}, {numbered('solved', 'ranked')},
 nc AS (SELECT o.record_id, o.unit, o.barcode, completeBCR, cid, cv, sub, m, mv, ms, ig AS n1, igcv AS n2, igsub AS n3, igin AS n4 FROM one o JOIN ranked r ON r.unit = o.unit AND r.barcode = o.barcode)"""
 
@@ -87,7 +87,7 @@ again AS (SELECT a3.record_id, a3.unit AS SampleID, a3.barcode, completeBCR, new
 
 def _rescue_sql(column: str) -> str:
     low = lambda c, before: f"arg_min({c}, (TRY_CAST(regexp_extract({c}, '{before}([0-9]+)$', 1) AS BIGINT), {c})) AS l{c}"
-    return f"""WITH RECURSIVE {_NUMBERED}, yes AS (SELECT DISTINCT unit, {column} AS id, string_split({column}, '-') AS p, n1, n2, n3, n4 FROM nc WHERE completeBCR = 'Yes' AND n1 IS NOT NULL),
+    return f"""WITH RECURSIVE {NUMBERED_SQL}, yes AS (SELECT DISTINCT unit, {column} AS id, string_split({column}, '-') AS p, n1, n2, n3, n4 FROM nc WHERE completeBCR = 'Yes' AND n1 IS NOT NULL),
 runs AS (SELECT unit, n1, n2, n3, n4, unnest(p) AS run FROM yes UNION ALL SELECT unit, n1, n2, n3, n4, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) FROM yes UNION ALL SELECT unit, n1, n2, n3, n4, id FROM yes),
 hit AS (SELECT unit, run, min(n1) AS h1, {low('n2', 'CV')}, {low('n3', 'S')}, {low('n4', chr(92) + '.')} FROM runs GROUP BY 1, 2 HAVING count(DISTINCT n1) = 1),
 saved AS (SELECT nc.* REPLACE (CASE WHEN h1 IS NOT NULL THEN 'Yes_rescue' ELSE completeBCR END AS completeBCR, coalesce(h1, n1) AS n1, CASE WHEN h1 IS NOT NULL THEN ln2 ELSE n2 END AS n2, CASE WHEN h1 IS NOT NULL THEN ln3 ELSE n3 END AS n3, CASE WHEN h1 IS NOT NULL THEN ln4 ELSE n4 END AS n4)
@@ -95,7 +95,7 @@ saved AS (SELECT nc.* REPLACE (CASE WHEN h1 IS NOT NULL THEN 'Yes_rescue' ELSE c
 
 
 ORACLE = {
-    "recalc_merged": f"WITH RECURSIVE {_NUMBERED}, kept_rows AS (SELECT * FROM nc WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.SampleID = nc.unit AND c.barcode = nc.barcode AND c.deleted_at IS NOT NULL)), {_recalc_sql('kept_rows')} SELECT * FROM again",
+    "recalc_merged": f"WITH RECURSIVE {NUMBERED_SQL}, kept_rows AS (SELECT * FROM nc WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.SampleID = nc.unit AND c.barcode = nc.barcode AND c.deleted_at IS NOT NULL)), {_recalc_sql('kept_rows')} SELECT * FROM again",
     "rescue_numbers": _rescue_sql("ms"),
     "rescue_numbers_relaxed": _rescue_sql("m"),
     "contam_bulk_removed": f"""{CONTAM_BULK_SQL}, ok AS (SELECT x.SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, r, vr FROM x WHERE raw IS NULL),

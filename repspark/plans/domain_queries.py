@@ -237,13 +237,32 @@ def gctree_idmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("SampleID", "ClonotypeID", "SubcloneID").agg(F.count(F.lit(1)).alias("abundance"), F.array_join(F.array_sort(F.collect_list("barcode")), ":").alias("members"))
 
 
-def airr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def public_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk rows under their public names."""
     df = tidy(aligned(spark, sf_dir).where(F.col("n_reads").isNotNull()), extra=("clonotypeID", "n_reads"))
-    public = df.select(
+    return df.select(
         F.col("sequence_id").alias("contig_id"), F.col("sequence").alias("Raw_sequence"), F.col("VDJ").alias("VDJ_genes"), F.col("productive").alias("Functionality"), F.col("VDJseq").alias("VDJ_sequence_correctedCDR3"), F.col("germline_alignment").alias("IgBlast_Germline_alignment"),
         F.col("junction_aa").alias("Junction_aa"), F.col("c_call").alias("C_gene"), F.array_join(F.col("arch").cast("array<string>"), "-").alias("VDJ_positions"), F.col("n_reads").alias("Subclone_nReads"), F.col("clonotypeID").alias("ClonotypeID"), F.col("sample").alias("SampleID"),
     )
-    return to_airr(public)
+
+
+def airr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_airr(public_bulk(spark, sf_dir))
+
+
+def public_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-cell rows under their public names; a cell's merged id is that of its contigs' clonotypes."""
+    df = tidy(aligned(spark, sf_dir).where(F.col("n_reads").isNull()), extra=("clonotypeID", "unit")).withColumn("barcode", barcode("sequence_id", "sample"))
+    merged = df.groupBy("sample", "barcode").agg(sorted_join("clonotypeID").alias("igClonotypeID"))
+    return df.join(merged, ["sample", "barcode"]).select(
+        F.col("sequence_id").alias("contig_id"), F.col("sequence").alias("Raw_sequence"), F.col("VDJ").alias("VDJ_genes"), F.col("productive").alias("Functionality"), F.col("VDJseq").alias("VDJ_sequence_correctedCDR3"), F.col("germline_alignment").alias("Consensus_Germline"),
+        F.col("junction_aa").alias("Junction_aa"), F.col("c_call").alias("C_gene"), F.array_join(F.col("arch").cast("array<string>"), "-").alias("VDJ_positions"), F.col("sample").alias("SampleID"), "igClonotypeID", "barcode", F.lit("Yes").alias("completeBCR"),
+    )
+
+
+def airr_export_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 51 fields of single cells, with the consensus germline and one metadata column."""
+    return to_airr(public_cells(spark, sf_dir), germline="consensus", metadata=["completeBCR"])
 
 
 QUERIES = {
@@ -251,7 +270,7 @@ QUERIES = {
     "indel_merge": indel_merge, "nn_distance": nn_distance, "bulk_ids": bulk_ids, "bulk_freqs": bulk_freqs, "sc_ids": sc_ids, "cell_chains": cell_chains, "complete_bcr_resolved": complete_bcr_resolved, "chain_relabel": chain_relabel,
     "cell_numbers": cell_numbers, "chain_values": chain_values, "consensus_cdr3": consensus_cdr3_query, "consensus_germline": consensus_germline_query, "contam_bulk": contam_bulk, "contam_cells": contam_cells, "contam_tags": contam_tags,
     "recalc_bulk": recalc_bulk, "recalc_cells": recalc_cells, "rescue_strict": _rescue("subclone"), "rescue_relaxed": _rescue("clone"), "cells_wide": cells_wide_query, "cells_long": cells_long_query, "mb_cells": mb_cells,
-    "gctree_abundance": gctree_abundance, "gctree_idmap": gctree_idmap, "airr_export": airr_export,
+    "gctree_abundance": gctree_abundance, "gctree_idmap": gctree_idmap, "airr_export": airr_export, "airr_export_cells": airr_export_cells,
 }
 
 
@@ -285,7 +304,7 @@ def _slot(slot: str, column: str) -> str:
     return f"max({column}) FILTER (slot = '{slot}') AS {slot}_{column}"
 
 
-def _airr_sql() -> str:
+def _airr_sql(cells: bool = False) -> str:
     names = ["fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"]
     cols, before = [], "0"
     for n in names:
@@ -294,10 +313,14 @@ def _airr_sql() -> str:
         cols += [f"{n}", f"substr(aa, {before} // 3 + 1, greatest(0, {aa_end} - {before} // 3)) AS {n}_aa", f"CAST({before} + 1 AS INT) AS {n}_start", f"CAST({end} AS INT) AS {n}_end"]
         before = end
     call = lambda c: f"coalesce({CALL_SQL[c]}, '')"
-    return f"""WITH {_TIDY}, c AS (SELECT *, {_CODONS} AS codons FROM tidy WHERE n_reads IS NOT NULL), a AS (SELECT *, {_aa('seq')} AS aa, {_aa('germline')} AS gaa FROM c)
+    last = "n_reads AS duplicate_count, clonotypeID AS clone_id, sample AS sample_id"
+    if cells:
+        one = "split_part(sequence_id, '_', 1) || '_' || sample"
+        last = f"CAST(1 AS BIGINT) AS duplicate_count, coalesce((SELECT string_agg(o.clonotypeID, '-' ORDER BY o.clonotypeID) FROM a o WHERE o.sample = a.sample AND split_part(o.sequence_id, '_', 1) = split_part(a.sequence_id, '_', 1)), '') AS clone_id, sample AS sample_id, {one} AS cell_id, 'Yes' AS completeBCR"
+    return f"""WITH {_TIDY}, c AS (SELECT *, {_CODONS} AS codons FROM tidy WHERE n_reads IS {'' if cells else 'NOT '}NULL), a AS (SELECT *, {_aa('seq')} AS aa, {_aa('germline')} AS gaa FROM c)
 SELECT sequence_id, seq AS sequence, upper(substr({call('v_call')}, 1, 3)) AS locus, 'T' AS productive, 'F' AS rev_comp, substr(seq, v_len - 2, length(cdr3) + 6) AS junction, junction_aa, CAST(length(cdr3) + 6 AS INT) AS junction_length,
 {call('v_call')} AS v_call, {call('d_call')} AS d_call, {call('j_call')} AS j_call, c_call, seq AS sequence_alignment, aa AS sequence_alignment_aa, germline AS germline_alignment, gaa AS germline_alignment_aa,
-'' AS v_cigar, '' AS d_cigar, '' AS j_cigar, {', '.join(cols)}, n_reads AS duplicate_count, clonotypeID AS clone_id, sample AS sample_id FROM a"""
+'' AS v_cigar, '' AS d_cigar, '' AS j_cigar, {', '.join(cols)}, {last} FROM a"""
 
 
 def _rescue_sql(column: str) -> str:
@@ -375,6 +398,7 @@ SELECT record_id, cid AS ClonotypeID, cv AS ClonotypeVariantID, cv || '.S' || sk
     "mb_cells": f"""WITH {_SLOTS}, wide AS (SELECT SampleID, barcode, count(*) AS n_contigs, {_slot('IGH1', 'ClonotypeID')}, {_slot('IGL1', 'ClonotypeID')} FROM slots GROUP BY 1, 2)
 SELECT * FROM wide UNION ALL SELECT DISTINCT SampleID, barcode, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM cells c WHERE SampleID NOT IN ('', 'NA') AND barcode IS NOT NULL AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.SampleID = c.SampleID AND w.barcode = c.barcode)""",
     "airr_export": _airr_sql(),
+    "airr_export_cells": _airr_sql(True),
     "gctree_abundance": f"""WITH {SC_SQL}, n AS (SELECT SampleID || '|' || ClonotypeID AS clone, SubcloneID AS subclone, count(*) AS abundance FROM sc GROUP BY 1, 2), big AS (SELECT clone FROM n GROUP BY 1 HAVING sum(abundance) > 1)
 SELECT n.* FROM n JOIN big USING (clone) UNION ALL SELECT clone, 'GL', 0 FROM big""",
     "gctree_idmap": f"WITH {SC_SQL} SELECT SampleID, ClonotypeID, SubcloneID, count(*) AS abundance, string_agg(barcode, ':' ORDER BY barcode) AS members FROM sc GROUP BY 1, 2, 3",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repspark.functions.sequences import as_bool, barcode, cdr3_aa, cdr3_nt, compose_vdj, glycosylation_sites, identity, junction_from, locus, r110, read_count, revcomp, translate_nt, v_genes, v_identity
+from repspark.functions.sequences import as_bool, barcode, cdr3_aa, cdr3_nt, compose_vdj, glycosylation_sites, identity, junction_from, locus, matches, r110, read_count, revcomp, translate_nt, v_genes, v_identity
 from repspark.functions.subsets import MAJOR, SATELLITE, stereotype_subset
 from repspark.operators.reads import collapse, long_enough, numbered_reads
 from repspark.operators.report import clonality, flag_rates, locus_counts, scores_long
-from repspark.operators.tidy import PRIMERS, modal_length, primer_complete, tidy, unique_sequences, with_read_counts
+from repspark.operators.tidy import PRIMERS, REGIONS, modal_length, primer_complete, tidy, unique_sequences, with_read_counts
 from repspark.plans.base import ALIGNED_SQL, CONTIGS_SQL, GENES_SQL, aligned, latest_contigs
 
 _KEY = ["sample", "sequence_id"]
@@ -106,8 +106,16 @@ def ags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*_KEY, mark.alias("mark"))
 
 
+def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligner rows with the flags and scores of the report: bases that agree less those that don't, over V, D (CDR3) and J (FR4)."""
+    df = aligned(spark, sf_dir).withColumn("stop_codon", F.when(F.col("junction_aa").contains("*"), "T").otherwise("F")).withColumn("v_frameshift", F.when(F.length("junction") % 3 != 0, "T").otherwise("F"))
+    n = sum((F.length(r) for r in REGIONS[1:5]), F.length("fwr1"))
+    same = matches(F.substring(F.col("sequence_alignment"), F.lit(1), n), F.substring(F.col("germline_alignment"), F.lit(1), n))
+    return df.withColumns({"v_score": (2 * same - n).cast("double"), "d_score": F.when(F.length("cdr3") > 0, F.length("cdr3") / 3), "j_score": F.length("fwr4").cast("double"), "cdr3_aa": cdr3_aa("junction_aa")})
+
+
 def qc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flag_rates(latest_contigs(spark, sf_dir), ["productive", "complete_vdj"]).withColumn("percent", F.round("percent", 9))
+    return flag_rates(_report_rows(spark, sf_dir)).withColumn("percent", F.round("percent", 9))
 
 
 def qc_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,13 +123,13 @@ def qc_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qc_scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest_contigs(spark, sf_dir).select(*_KEY, F.length("junction").cast("double").alias("v"), F.col("junction_aa_length").cast("double").alias("j"))
-    return scores_long(df, ["v", "j"], _KEY)
+    got = scores_long(_report_rows(spark, sf_dir), keys=[*_KEY, "locus"])
+    return got.withColumn("score", F.round("score", 9))
 
 
 def qc_clonality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest_contigs(spark, sf_dir).where(as_bool("productive") & as_bool("complete_vdj")).withColumn("cdr3_aa", cdr3_aa("junction_aa"))
-    return clonality(df.where(F.col("v_call").isNotNull())).withColumn("percent", F.round("percent", 9))
+    """The clonal groups and their dictionary."""
+    return clonality(_report_rows(spark, sf_dir)).withColumn("percent", F.round("percent", 9))
 
 
 QUERIES = {
@@ -153,6 +161,8 @@ def rules_sql(cdr3: str = "c", genes: str = "genes") -> str:
     return " ".join(out)
 
 
+_REPORT = f"{ALIGNED_SQL}, rep AS (SELECT *, coalesce(upper(productive) IN ('T', 'TRUE'), false) AS ok, coalesce(contains(junction_aa, '*'), false) AS stop, length(junction) % 3 <> 0 AS shift FROM aligned)"
+
 ORACLE = {
     "revcomp": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, reverse(translate(upper(junction), 'ACGT', 'TGCA')) AS rc FROM contigs",
     "collapse_reads": f"""WITH {CONTIGS_SQL}, n AS (SELECT sample, upper(junction) AS sequence, count(*) AS n FROM contigs WHERE length(junction) > 0 GROUP BY 1, 2)
@@ -188,11 +198,12 @@ a AS (SELECT sample, sequence_id, {GENES_SQL} AS genes, {aa_sql('seq')} AS s, {a
 p AS (SELECT *, list_filter(range(1, length(s) - 1), lambda i: regexp_matches(substr(s, i, 3), '^N[^P][TS]$') AND substr(s, i, 3) <> substr(q, i, 3)) AS hits FROM a),
 t AS (SELECT *, list_transform(hits, lambda i: substr(s, i, 3) || ':' || CASE WHEN i + 2 <= e1 THEN 'FR1' WHEN i <= e2 THEN 'CDR1' WHEN i + 2 <= e3 THEN 'FR2' WHEN i <= e4 THEN 'CDR2' WHEN i + 2 <= e5 THEN 'FR3' WHEN i <= e6 THEN 'CDR3' ELSE 'FR4' END) AS sites FROM p)
 SELECT sample, sequence_id, CASE WHEN len(sites) > 0 AND len(list_filter(genes, lambda g: NOT contains(g, 'IGH'))) = 0 THEN '[' || CASE WHEN contains(array_to_string(sites, ';'), ':CDR') THEN 'CDR-AGS' ELSE 'FR-AGS' END || ' (' || array_to_string(sites, ';') || ')]' ELSE '' END AS mark FROM t""",
-    "qc_rates": f"""WITH {CONTIGS_SQL}, l AS (SELECT 'productive' AS flag, locus, upper(trim(productive)) IN ('T', 'TRUE') AS value FROM contigs UNION ALL SELECT 'complete_vdj', locus, upper(trim(complete_vdj)) IN ('T', 'TRUE') FROM contigs)
-SELECT flag, locus, value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY flag, locus), 9) AS percent FROM l GROUP BY 1, 2, 3""",
+    "qc_rates": f"""WITH {_REPORT}, l AS (SELECT 'productive' AS flag, locus, ok AS sound FROM rep UNION ALL SELECT 'complete_vdj', locus, whole FROM rep UNION ALL SELECT 'stop_codon', locus, NOT stop FROM rep UNION ALL SELECT 'v_frameshift', locus, NOT shift FROM rep)
+SELECT flag, locus, sound, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY flag, locus), 9) AS percent FROM l WHERE locus IN ('IGH', 'IGK', 'IGL') GROUP BY 1, 2, 3""",
     "qc_locus": f"WITH {CONTIGS_SQL} SELECT locus, count(*) AS n FROM contigs GROUP BY 1",
-    "qc_scores_long": f"WITH {CONTIGS_SQL} SELECT sample, sequence_id, 'v' AS gene, CAST(length(junction) AS DOUBLE) AS score FROM contigs WHERE junction IS NOT NULL UNION ALL SELECT sample, sequence_id, 'j', CAST(junction_aa_length AS DOUBLE) FROM contigs WHERE junction_aa_length IS NOT NULL",
-    "qc_clonality": f"""WITH {CONTIGS_SQL}, n AS (SELECT locus, array_to_string({GENES_SQL}, ',') || '_' || CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) ELSE '' END AS g, count(*) AS n FROM contigs
-  WHERE upper(trim(productive)) IN ('T', 'TRUE') AND upper(trim(complete_vdj)) IN ('T', 'TRUE') AND v_call IS NOT NULL AND junction_aa IS NOT NULL GROUP BY 1, 2)
-SELECT locus, CASE WHEN n = 1 THEN 'Unique_' || coalesce(locus, 'NA') ELSE g END AS clonal_group, CAST(sum(n) AS BIGINT) AS n, round(sum(n) * 100.0 / (SELECT sum(n) FROM n), 9) AS percent FROM n GROUP BY 1, 2""",
+    "qc_scores_long": f"""WITH {_REPORT}, s AS (SELECT *, length(fwr1 || cdr1 || fwr2 || cdr2 || fwr3) AS v_len FROM rep)
+SELECT sample, sequence_id, locus, 'v_score' AS gene, CAST(v_len - 2 * hamming(substr(seq, 1, v_len), substr(germline, 1, v_len)) AS DOUBLE) AS score FROM s UNION ALL SELECT sample, sequence_id, locus, 'd_score', round(length(cdr3) / 3, 9) FROM s WHERE length(cdr3) > 0 AND locus = 'IGH' UNION ALL SELECT sample, sequence_id, locus, 'j_score', CAST(length(fwr4) AS DOUBLE) FROM s""",
+    "qc_clonality": f"""WITH {_REPORT}, n AS (SELECT locus, array_to_string({GENES_SQL}, ',') || '_' || CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) ELSE '' END AS g, count(*) AS n FROM rep WHERE ok AND whole AND NOT stop AND NOT shift AND v_call IS NOT NULL AND junction_aa IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT locus, CASE WHEN n = 1 THEN 'Unique_' || coalesce(locus, 'NA') ELSE g END AS clonal_group, n = 1 AS single, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1, 2, 3)
+SELECT locus, clonal_group, CASE WHEN single THEN clonal_group ELSE coalesce(locus, 'NA') || '.' || row_number() OVER (PARTITION BY locus, single ORDER BY n DESC, clonal_group) END AS clonal_id, n, round(n * 100.0 / (SELECT sum(n) FROM p), 9) AS percent FROM p""",
 }

@@ -82,9 +82,12 @@ def combine(cells: DataFrame, contigs: DataFrame, cell_sample: str = "SampleID",
 
 
 def mission_bio_cells(contigs: DataFrame, barcodes: DataFrame) -> DataFrame:
-    """One row per barcode: the chain slots of supported cells, nulls for the others."""
-    ok = contigs.where(F.col("completeBCR").isNotNull() & (F.col("completeBCR") != "Not_supported"))
-    return with_unsupported(cells_wide(ok, [c for c in SLOT_COLUMNS if c in contigs.columns], ["SampleID", "barcode"]), barcodes, ["SampleID", "barcode"])
+    """One row per barcode: its class and the chain slots of supported cells, nulls for the others (Not_supported if their contigs say so)."""
+    keys = ["SampleID", "barcode"]
+    lost = F.coalesce(F.col("completeBCR") == "Not_supported", F.lit(False))
+    wide = cells_wide(contigs.where(F.col("completeBCR").isNotNull() & ~lost), [c for c in SLOT_COLUMNS if c in contigs.columns], keys)
+    kinds = contigs.where(F.col("barcode").isNotNull()).groupBy(*keys).agg(F.max("completeBCR").alias("completeBCR"))
+    return with_unsupported(wide, barcodes, keys).join(kinds, keys, "left")
 
 
 def recalculate(df: DataFrame, group: str | list[str] = "SampleID") -> DataFrame:

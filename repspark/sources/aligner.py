@@ -73,11 +73,15 @@ def run_aligner(df: DataFrame, program: str, database: dict[str, str], evalue: f
     return df.mapInPandas(run, ", ".join(f"{c} string" for c in [*names, "sample"]))
 
 
+#: Texts are written as they are, with their outer spaces.
+_AS_IS = {"header": True, "sep": "\t", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_annotated(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = ("SampleID",)) -> None:
     """The annotated table, a folder per sample."""
     w = df.write.mode("overwrite").partitionBy(*by)
     if fmt == "tsv":
-        w.option("header", True).option("sep", "\t").csv(path)
+        w.options(**_AS_IS).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
@@ -86,7 +90,12 @@ def write_annotated(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[st
 
 def write_airr(df: DataFrame, path: str, one_file: bool = False) -> None:
     """The AIRR table as TSV; one file only on demand."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("sep", "\t").option("emptyValue", "").csv(path)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(**_AS_IS, emptyValue="").csv(path)
+
+
+def write_missionbio(cells: DataFrame, path: str) -> None:
+    """The per-barcode table of ``mission_bio_cells`` as TSV, with a header."""
+    cells.write.mode("overwrite").options(**_AS_IS).csv(path)
 
 
 def split_by_sample(df: DataFrame, samples: list[str], column: str = "SampleID") -> dict[str, DataFrame]:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repspark.runtime import written
+from repspark.runtime import file_system, written
 
 FASTA_FORMATS = ("fasta", "10xbcr_fasta")
 TSV_FORMATS = ("mixcr", "bdrhapsodybcr", "parsebcr", "trust4", "airr", "imgt_airr")
@@ -26,20 +24,21 @@ def check_format(name: str) -> str:
 
 
 def expand_paths(paths: list[str]) -> list[str]:
-    """Files of the given files and directories, in order; a missing one raises."""
-    out = []
+    """Files of the given files and directories, in order, on any file system that Spark reads; a missing one raises."""
+    spark, out = SparkSession.active(), []
     for p in paths:
-        if os.path.isdir(p):
-            out += sorted(os.path.join(p, f) for f in os.listdir(p) if os.path.isfile(os.path.join(p, f)))
-        elif os.path.exists(p):
-            out.append(p)
-        else:
+        fs, path = file_system(spark, p)
+        if not fs.exists(path):
             raise FileNotFoundError(p)
+        found = [f.getPath() for f in fs.listStatus(path) if f.isFile()] if fs.getFileStatus(path).isDirectory() else [path]
+        plain = ":" not in p.split("/", 1)[0]
+        out += sorted(f.toUri().getPath() if plain else f.toString() for f in found)
     return out
 
 
 def _sample(labels: dict[str, str] | None):
-    name = F.regexp_extract("path", _SUFFIX, 1)
+    """The sample's label, else its name in a folder ``sample=<name>`` (as ``write_fasta`` makes), else the file's name."""
+    name = F.coalesce(F.nullif(F.regexp_extract("path", "/sample=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract("path", _SUFFIX, 1))
     if not labels:
         return name
     m = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
@@ -47,10 +46,13 @@ def _sample(labels: dict[str, str] | None):
 
 
 def read_fasta(spark: SparkSession, paths: list[str] | str, labels: dict[str, str] | None = None) -> DataFrame:
-    """(sample, sequence_id, sequence) of each record; a record without a sequence has an empty one. One record per '>' at a line's start."""
-    raw = spark.read.option("lineSep", ">").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(sample, sequence_id, sequence) of each record; a record without a sequence has an empty one.
+
+    A record begins with '>' at the start of a line; a '>' elsewhere is part of its text. Line ends may be CRLF.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^>", "").alias("value"))
     lines = F.split("value", r"\r?\n")
-    rows = raw.where(F.trim("value") != "").select(_sample(labels).alias("sample"), F.trim(lines[0]).alias("sequence_id"), F.regexp_replace(F.array_join(F.slice(lines, 2, 1 << 30), ""), r"\s", "").alias("sequence"))
+    rows = raw.where(F.trim("value") != "").select(_sample(labels).alias("sample"), F.regexp_replace(lines[0], r"^\s+|\s+$", "").alias("sequence_id"), F.regexp_replace(F.array_join(F.slice(lines, 2, 1 << 30), ""), r"\s", "").alias("sequence"))
     return rows.where(F.col("sequence_id") != "")
 
 

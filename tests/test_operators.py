@@ -161,11 +161,23 @@ def test_airr_fields(spark):
 def test_tree_bundle(spark, tmp_path):
     df = spark.createDataFrame([("C1", "C1.1", "b1", "ACGT"), ("C1", "C1.1", "b2", "ACGT"), ("C1", "C1.2", "b3", "ACGA"), ("C2", "C2.1", "b4", "A")], "c string, s string, b string, q string")
     assert values(abundances(df, "c", "s")) == [("C1", "C1.1", 2), ("C1", "C1.2", 1), ("C1", "GL", 0)]
-    paths = write_bundle(df, str(tmp_path), "c", "C1", "s", "b", "q", "AAAA")
-    assert open(paths["abundance"]).read() == "GL,0\n1,2\n2,1\n" and "b1:b2" in open(paths["idmap"]).read()
-    assert open(paths["fasta"]).read().count(">") == 3 and open(paths["phylip"]).read().startswith("3 4\n")
-    with pytest.raises(ValueError):
-        write_bundle(df, str(tmp_path), "c", "C2", "s", "b", "q", "AAAA")
+    cells = spark.createDataFrame(
+        [("S", f"b{i}", c, "C1", n, h1, h2, "AC" * 30, h2 and "GG", "TT", "AAAA") for i, (c, n, h1, h2) in enumerate([("Yes", "C1.1", "IGH.C1.CV1.S1", None), ("Yes", "C1.1", "IGH.C1.CV1.S1", None), ("Yes", "C1.2", "IGH.C1.CV12.S10", "IGH.C2.CV1.S1"), ("Yes_rescue", "C1.1", "IGH.C1.CV1.S2", None)])],
+        "SampleID string, barcode string, completeBCR string, igClonotypeID_num string, igSubcloneID_in_Clonotype_num string, IGH1_SubcloneID string, IGH2_SubcloneID string, IGH1_VDJ_sequence_correctedCDR3 string, IGH2_VDJ_sequence_correctedCDR3 string, IGL1_VDJ_sequence_correctedCDR3 string, IGH1_Consensus_Germline string",
+    )
+    for c in ("IGL1_SubcloneID", "IGL2_SubcloneID", "IGL2_VDJ_sequence_correctedCDR3", "IGH2_Consensus_Germline", "IGL1_Consensus_Germline", "IGL2_Consensus_Germline"):
+        cells = cells.withColumn(c, F.lit(None).cast("string"))
+    paths = write_bundle(cells, f"file://{tmp_path}/hl", "C1")
+    text = lambda k: open(paths[k].removeprefix("file://")).read()
+    assert text("abundance") == "GL,0\nC1.1,2\nC1.2,1\n" and "C1.1,b0:b1" in text("idmap") and paths["fasta"].endswith("subclones_HL_C1.fasta")
+    assert text("fasta").startswith(">GL       \nAAAA\n>C1.1     \n" + "AC" * 30 + "TT\n")
+    lines = text("phylip").split("\n")
+    assert lines[0] == "3 64" and lines[2].startswith("C1.1      ACACACACAC ACACACACAC") and lines[6].strip().startswith("ACACACACAC TT")
+    paths = write_bundle(cells, f"file://{tmp_path}/h", "C1", chain="H")
+    assert text("abundance") == "GL,0\nIGH.C1.1,2\nIGH.C1.2,1\nIGH.C1_IGH.C2.3,1\n"
+    for bad in (dict(clone="C2"), dict(clone="C1", chain="L"), dict(clone="C1", chain="X"), dict(clone="C1", mode="tissue")):
+        with pytest.raises(ValueError):
+            write_bundle(cells, f"file://{tmp_path}/x", **bad)
 
 
 def test_config_and_cutoff(spark):
