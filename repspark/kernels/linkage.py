@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from repspark.kernels.graph import components
+
 MODES = ("average", "complete", "single")
 BLOCK = 2048
 
@@ -29,29 +31,46 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1.0 - same / a.shape[1]
 
 
+def forest(a: np.ndarray, b: np.ndarray | None, cutoff: float) -> list[tuple[int, int]]:
+    """Edges (row, row) that tie together what the pairs at or below the cutoff tie together, one fewer than rows of a component.
+
+    Rows of ``b`` are numbered after those of ``a``, and only pairs across count; without ``b`` the pairs within ``a``.
+    The least number spreads from row to row until none changes, all pairs at once.
+    """
+    n = len(a)
+    near = np.round(distances(a, a if b is None else b), 6) <= cutoff
+    left = np.arange(n)
+    right = left if b is None else np.arange(n, n + len(b))
+    most = n + near.shape[1]
+    while True:
+        new_right = np.minimum(right, np.where(near, left[:, None], most).min(axis=0, initial=most))
+        new_left = np.minimum(left, np.where(near, new_right[None, :], most).min(axis=1, initial=most))
+        if b is None:
+            new_right = new_left
+        if np.array_equal(new_left, left) and np.array_equal(new_right, right):
+            break
+        left, right = new_left, new_right
+    label = left if b is None else np.concatenate([left, right])
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return list(zip(at.tolist(), label[at].tolist()))
+
+
 def _linked(codes: np.ndarray, cutoff: float) -> np.ndarray:
     """Component number of each row in the graph of pairs at or below the cutoff."""
-    n = len(codes)
-    label = np.arange(n)
+    edges = []
+    for lo in range(0, len(codes), BLOCK):
+        for at in range(lo, len(codes), BLOCK):
+            one, two = codes[lo : lo + BLOCK], codes[at : at + BLOCK]
+            place = lambda i, n=len(one), lo=lo, at=at: lo + i if i < n else at + i - n
+            edges += [(place(i), place(j)) for i, j in forest(one, None if at == lo else two, cutoff)]
+    root = components(edges)
+    return np.array([root.get(i, i) for i in range(len(codes))])
+
 
-    def find(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    for lo in range(0, n, BLOCK):
-        for at in range(lo, n, BLOCK):
-            near = np.round(distances(codes[lo : lo + BLOCK], codes[at : at + BLOCK]), 6) <= cutoff
-            left = np.array([find(i) for i in range(lo, lo + near.shape[0])])
-            right = np.array([find(j) for j in range(at, at + near.shape[1])])
-            i, j = np.nonzero(near)
-            apart = np.unique((left[i] * n + right[j])[left[i] != right[j]])
-            for x in apart:
-                a, b = find(int(x) // n), find(int(x) % n)
-                if a != b:
-                    label[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)])
+def nearest_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest distance above 0 of each row of ``a`` to a row of ``b``; infinite if there is none."""
+    d = distances(a, b)
+    return np.where(d > 1e-7, d, np.inf).min(axis=1, initial=np.inf)
 
 
 def _agglomerate(d: np.ndarray, cutoff: float, mode: str) -> np.ndarray:
@@ -171,12 +190,11 @@ def nearest(seqs: list[str]) -> list[float | None]:
     if len(seqs) < 2:
         return [None] * len(seqs)
     codes = encode(seqs)
+    n = max(1, codes.shape[1])
     best = np.full(len(seqs), np.inf)
     for lo in range(0, len(seqs), BLOCK):
         for at in range(0, len(seqs), BLOCK):
-            d = distances(codes[lo : lo + BLOCK], codes[at : at + BLOCK])
-            best[lo : lo + BLOCK] = np.minimum(best[lo : lo + BLOCK], np.where(d > 1e-7, d, np.inf).min(axis=1))
-    n = max(1, codes.shape[1])
+            best[lo : lo + BLOCK] = np.minimum(best[lo : lo + BLOCK], nearest_in(codes[lo : lo + BLOCK], codes[at : at + BLOCK]))
     return [None if np.isinf(x) else round(float(x) * n) / n for x in best]
 
 

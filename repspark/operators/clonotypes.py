@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from repspark.functions.sequences import v_genes
 from repspark.kernels.alignment import composites, near_pairs, within
 from repspark.kernels.graph import components
-from repspark.kernels.linkage import clusters, density_valley, nearest
+from repspark.kernels.linkage import clusters, density_valley, encode, forest, nearest, nearest_in
+from repspark.operators.ranks import join_same
 from repspark.runtime import map_arrow, map_groups, written
 
 
@@ -44,17 +45,83 @@ def with_v_cluster(df: DataFrame, unit: str = "unit", v_call: str = "v_call") ->
     return df.withColumn("_gene", F.try_element_at(v_genes(v_call), F.lit(1))).join(m, [unit, "_gene"], "left").drop("_gene").withColumn("v_cluster", F.coalesce("v_cluster", F.lit("NA")))
 
 
-def cdr3_clusters(df: DataFrame, keys: list[str], cdr3: str, cutoff: float = 0.2, mode: str = "average", order: str = "sequence_id") -> DataFrame:
-    """(keys, cdr3, cluster): single, average or complete linkage over the distinct CDR3 of each key, numbered by first appearance."""
-    distinct = df.where(F.col(cdr3).isNotNull()).groupBy(*keys, cdr3).agg(F.min(order).alias("_first"))
+#: A key of more distinct CDR3 than LOCAL is spread over tasks by pairs of blocks of about BLOCK.
+LOCAL, BLOCK = 16_384, 2048
+
+
+def _by_size(distinct: DataFrame, keys: list[str], local: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys of at most ``local`` rows, and those of the others (None if there are none)."""
+    large = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > local).drop("_n")
+    if large.isEmpty():
+        return distinct, None
+    here = join_same(distinct, large.withColumn("_large", F.lit(True)), keys)
+    return here.where(F.col("_large").isNull()).drop("_large"), here.where("_large").drop("_large")
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """Rows once for each pair (_p, _q) of blocks of their key that has their own block (_own); blocks are taken by hash of ``member``."""
+    own = F.col("_own")
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_of"))
+    rows = join_same(rows, sizes, keys).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_of")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    return rows.withColumns({"_p": F.least(own, "_other"), "_q": F.greatest(own, "_other")}).drop("_other")
+
+
+def _sides(g: dict[str, list], member: str) -> tuple[list, list | None]:
+    """The members of the two blocks of a pair; the second is None for a block with itself."""
+    p, q = g["_p"][0], g["_q"][0]
+    one = [s for s, o in zip(g[member], g["_own"]) if o == p]
+    return one, None if p == q else [s for s, o in zip(g[member], g["_own"]) if o == q]
+
+
+def cdr3_clusters(df: DataFrame, keys: list[str], cdr3: str, cutoff: float = 0.2, mode: str = "average", order: str = "sequence_id", local: int = LOCAL, block: int = BLOCK) -> DataFrame:
+    """(keys, cdr3, cluster): single, average or complete linkage over the distinct CDR3 of each key, numbered by first appearance.
+
+    A key of up to ``local`` CDR3 is clustered in one task. Of a larger one the pairs of blocks are compared in parallel,
+    each giving only the edges of a forest; what these tie together is a component, and each component is clustered alone.
+    Both ways give the same clusters.
+    """
+    distinct = written(df.where(F.col(cdr3).isNotNull()).groupBy(*keys, cdr3).agg(F.min(order).alias("_first")), "cdr3")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3])
 
     def run(g: dict[str, list]) -> list[tuple]:
         seqs = [s for _, s in sorted(zip(g["_first"], g[cdr3]))]
         key = [g[k][0] for k in keys]
         return [(*key, s, c) for s, c in zip(seqs, clusters(seqs, cutoff, mode))]
 
-    return map_groups(distinct, keys, run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", cluster int")
+    small, large = _by_size(distinct, keys, local)
+    out = map_groups(small, keys, run, f"{schema}, cluster int")
+    if large is None:
+        return out
+
+    def compare(g: dict[str, list]) -> list[tuple]:
+        one, two = _sides(g, cdr3)
+        every = one + (two or [])
+        key = [g[k][0] for k in keys]
+        return [(*key, every[i], every[j]) for i, j in forest(encode(one), None if two is None else encode(two), cutoff)] if one and two != [] else []
+
+    def join(g: dict[str, list]) -> list[tuple]:
+        return [(*[g[k][0] for k in keys], s, root) for s, root in components(zip(g["a"], g["b"])).items()]
+
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    only = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    edges = map_groups(_block_pairs(large, keys, cdr3, block), [*keys, "_p", "_q"], compare, f"{only}, a string, b string", tasks)
+    linked = map_groups(written(edges, "edges"), keys, join, f"{schema}, _root string")
+    members = join_same(large, linked, [*keys, cdr3]).withColumn("_root", F.coalesce("_root", cdr3))
+    if mode == "single":
+        parts = members.withColumn("_k", F.lit(1))
+    else:
+        def split(g: dict[str, list]) -> list[tuple]:
+            order = sorted(zip(g["_first"], g[cdr3]))
+            key = [g[k][0] for k in keys]
+            return [(*key, s, g["_root"][0], f, k) for (f, s), k in zip(order, clusters([s for _, s in order], cutoff, mode))]
+
+        parts = map_groups(members, [*keys, "_root"], split, f"{schema}, _root string, _first {kinds[order]}, _k int", tasks)
+    parts = written(parts, "parts")
+    firsts = parts.groupBy(*keys, "_root", "_k").agg(F.min(F.struct("_first", cdr3)).alias("_f"))
+    numbers = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy(*keys).orderBy("_f"))).drop("_f")
+    return out.unionByName(join_same(parts, numbers, [*keys, "_root", "_k"]).select(*keys, cdr3, "cluster"))
 
 
 def with_clonotypes(df: DataFrame, unit: str = "unit", cdr3: str = "cdr3", cutoff: float = 0.2, mode: str = "average", by_v_length: bool = True) -> DataFrame:
@@ -72,18 +139,13 @@ def near_clonotypes(seqs: DataFrame, keys: list[str], cdr3: str, cutoff: float,
     so a task holds two blocks, however large the group is.
     """
     kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
-    own = F.col("_own")
-    n = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / block).cast("int")
-    rows = seqs.withColumn("_of", n).withColumn("_own", F.pmod(F.xxhash64("Clonotype"), F.col("_of")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
-    rows = rows.withColumns({"_p": F.least(own, "_other"), "_q": F.greatest(own, "_other")}).drop("_other")
+    rows = _block_pairs(seqs, keys, "Clonotype", block)
 
     def run(g: dict[str, list]) -> list[tuple]:
-        key = [g[k][0] for k in keys]
-        sides = [[(c, s) for c, s, o in zip(g["Clonotype"], g[cdr3], g["_own"]) if o == x] for x in dict.fromkeys((g["_p"][0], g["_q"][0]))]
-        one, two = sides[0], sides[-1]
-        pairs = near_pairs([s for _, s in one], None if len(sides) == 1 else [s for _, s in two], cutoff)
-        return [(*key, *sorted((one[i][0], two[j][0]))) for i, j in pairs]
+        key, of = [g[k][0] for k in keys], dict(zip(g["Clonotype"], g[cdr3]))
+        one, two = _sides(g, "Clonotype")
+        pairs = near_pairs([of[c] for c in one], None if two is None else [of[c] for c in two], cutoff)
+        return [(*key, *sorted((one[i], (one if two is None else two)[j]))) for i, j in pairs]
 
     tasks = 4 * seqs.sparkSession.sparkContext.defaultParallelism
     return map_groups(rows, [*keys, "_p", "_q"], run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", a string, b string", tasks)
@@ -169,14 +231,33 @@ def rank_ids(df: DataFrame, parent: list[str], key: str, name: str, prefix: str,
     return rank_set(df, [(parent, key, name, prefix)], by)
 
 
-def nearest_distances(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
-    """(keys, cdr3, distance): distance of each distinct CDR3 to its nearest other one in the group; null if alone."""
+def nearest_distances(df: DataFrame, keys: list[str], cdr3: str, local: int = LOCAL, block: int = BLOCK) -> DataFrame:
+    """(keys, cdr3, distance): distance of each distinct CDR3 to its nearest other one in the group; null if alone.
+
+    A key of more than ``local`` CDR3 is compared by pairs of blocks, the least distances of which are then taken.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", distance double"
 
     def run(g: dict[str, list]) -> list[tuple]:
         return list(zip(*[g[k] for k in keys], g[cdr3], nearest(g[cdr3])))
 
-    return map_groups(df.where(F.col(cdr3).isNotNull()).select(*keys, cdr3).distinct(), keys, run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, cdr3]) + ", distance double")
+    small, large = _by_size(written(df.where(F.col(cdr3).isNotNull()).select(*keys, cdr3).distinct(), "cdr3"), keys, local)
+    out = map_groups(small, keys, run, schema)
+    if large is None:
+        return out
+
+    def compare(g: dict[str, list]) -> list[tuple]:
+        one, two = _sides(g, cdr3)
+        if not one or two == []:
+            return []
+        a, b = encode(one), encode(one if two is None else two)
+        found = [(s, d) for s, d in zip(one, nearest_in(a, b).tolist())] + ([] if two is None else [(s, d) for s, d in zip(two, nearest_in(b, a).tolist())])
+        n, key = max(1, a.shape[1]), [g[k][0] for k in keys]
+        return [(*key, s, None if d == float("inf") else round(d * n) / n) for s, d in found]
+
+    pairs = map_groups(_block_pairs(large, keys, cdr3, block), [*keys, "_p", "_q"], compare, schema, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return out.unionByName(pairs.groupBy(*keys, cdr3).agg(F.min("distance").alias("distance")))
 
 
 def automatic_cutoff(distances: DataFrame, cdr3_mode: str = "nt", bins: int = 1000) -> float:

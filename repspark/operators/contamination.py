@@ -7,9 +7,11 @@ doubt on both sides (OUT_X). Rows with a null sample or sequence are PASS.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repspark.runtime import written
+
 
 def _batched(df: DataFrame, batch: str | None) -> tuple[DataFrame, str]:
     return (df, batch) if batch else (df.withColumn("_batch", F.lit("all")), "_batch")
@@ -26,21 +28,25 @@ def flag_bulk(df: DataFrame, sequence: list[str], sample: str = "SampleID", case
     df, b = _batched(df, batch)
     key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in sequence])
     rows = df.withColumn("_key", key)
-    variants = rows.where(F.col(sample).isNotNull()).groupBy(b, sample, "ClonotypeVariantID").agg(F.max("ClonotypeVariant_nReads").alias("_r"))
-    freq = variants.withColumn("_freq", F.col("_r") * 100.0 / F.sum("_r").over(Window.partitionBy(b, sample))).drop("_r")
-    per_case = rows.where(F.col(sample).isNotNull()).join(freq, [b, sample, "ClonotypeVariantID"]).groupBy(b, "_key", sample, F.col(case).alias("_case")).agg(F.max("_freq").alias("_freq"))
-    shared = per_case.groupBy(b, "_key").agg(F.count_distinct("_case").alias("_cases"), F.max(F.struct("_freq")).alias("_m")).where("_cases > 1").select(b, "_key")
-    cand = per_case.join(shared, [b, "_key"])
-    top = cand.groupBy(b, "_key").agg(F.min(F.struct((-F.col("_freq")).alias("f"), F.col(sample).alias("s"), F.col("_case").alias("c"))).alias("_top"))
-    cand = cand.join(top, [b, "_key"]).withColumn("_max", -F.col("_top.f"))
+    named = rows.where(F.col(sample).isNotNull())
+    variants = named.groupBy(b, sample, "ClonotypeVariantID").agg(F.max("ClonotypeVariant_nReads").alias("_r"))
+    totals = variants.groupBy(b, sample).agg(F.sum("_r").alias("_t"))
+    freq = variants.join(totals, [b, sample]).select(b, sample, "ClonotypeVariantID", (F.col("_r") * 100.0 / F.col("_t")).alias("_freq"))
+    seen = named.select(b, "_key", sample, F.col(case).alias("_case"), "ClonotypeVariantID").distinct()
+    # one small row per sequence and sample; all flags are taken on these
+    per_case = written(seen.join(freq, [b, sample, "ClonotypeVariantID"]).groupBy(b, "_key", sample, "_case").agg(F.max("_freq").alias("_freq")), "per-case")
+    first = F.min(F.struct((-F.col("_freq")).alias("f"), F.col(sample).alias("s"), F.col("_case").alias("c"))).alias("_top")
+    top = per_case.groupBy(b, "_key").agg(F.min("_case").alias("_a"), F.max("_case").alias("_z"), first).where("_a <> _z").drop("_a", "_z")
+    cand = per_case.join(top, [b, "_key"]).withColumn("_max", -F.col("_top.f"))
     foreign = F.col("_case") != F.col("_top.c")
+    weak = F.coalesce(foreign & (F.col("_max") < cutoff * F.col("_freq")), F.lit(False))
     raw = F.when(foreign & (F.col("_max") >= cutoff * F.col("_freq")), "OUT").when(foreign, "OUT_X")
-    doubt = F.max(F.coalesce(foreign & (F.col("_max") < cutoff * F.col("_freq")), F.lit(False))).over(Window.partitionBy(b, "_key"))
-    flags = cand.withColumn("_raw", F.coalesce(raw, F.when(doubt & (F.col(sample) == F.col("_top.s")), "OUT_X"))).select(b, "_key", sample, "_raw", F.col("_top.s").alias("Contamination_Sample"), F.col("_max").alias("Contamination_Freq")).where(F.col("_raw").isNotNull()).distinct()
-    rows = rows.join(flags, [b, "_key", sample], "left")
-    bad = rows.where(F.col("_raw").isNotNull()).select(b, sample, "ClonotypeID", "ClonotypeVariantID", "ClonotypeVariant_freq").groupBy(b, sample, "ClonotypeID", "ClonotypeVariantID").agg(F.max("ClonotypeVariant_freq").alias("_f"))
-    clones = bad.groupBy(b, sample, "ClonotypeID").agg(F.sum("_f").alias("_bad"))
-    rows = rows.join(clones, [b, sample, "ClonotypeID"], "left")
+    doubt = F.max(weak).over(Window.partitionBy(b, "_key"))
+    flags = cand.withColumn("_raw", F.coalesce(raw, F.when(doubt & (F.col(sample) == F.col("_top.s")), "OUT_X")))
+    flags = written(flags.where(F.col("_raw").isNotNull()).select(b, "_key", sample, "_raw", F.col("_top.s").alias("Contamination_Sample"), F.col("_max").alias("Contamination_Freq")).distinct(), "flags")
+    bad = rows.select(b, "_key", sample, "ClonotypeID", "ClonotypeVariantID", "ClonotypeVariant_freq").join(flags.select(b, "_key", sample), [b, "_key", sample], "left_semi")
+    clones = bad.groupBy(b, sample, "ClonotypeID", "ClonotypeVariantID").agg(F.max("ClonotypeVariant_freq").alias("_f")).groupBy(b, sample, "ClonotypeID").agg(F.sum("_f").alias("_bad"))
+    rows = rows.join(flags, [b, "_key", sample], "left").join(clones, [b, sample, "ClonotypeID"], "left")
     final = F.when(F.col("_raw").isNull(), "PASS").when(F.col("_bad") >= clone_cutoff, "OUT_CLONOTYPE").otherwise("OUT_CLONOTYPEVARIANT")
     return rows.withColumn("Contamination_FLAG", final).withColumn("Contamination_raw", F.coalesce("_raw", F.lit("PASS"))).drop("_key", "_raw", "_bad", "_batch")
 
@@ -55,7 +61,7 @@ def flag_cells(cells: DataFrame, sequence: list[str], subclone: str, clone: str,
     df, b = _batched(cells, batch)
     rows = df.withColumn("_key", F.when(F.col(sample).isNotNull() & F.col(subclone).isNotNull(), F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in sequence])))
     n = rows.where(F.col("_key").isNotNull()).groupBy(b, "_key", sample, F.col(case).alias("_case"), subclone).agg(F.count(F.lit(1)).alias("_n"))
-    per = n.groupBy(b, "_key", sample, "_case").agg(F.max("_n").alias("_n"))
+    per = written(n.groupBy(b, "_key", sample, "_case").agg(F.max("_n").alias("_n")), "per-sample")
     top = per.groupBy(b, "_key").agg(F.count_distinct("_case").alias("_cases"), F.min(F.struct((-F.col("_n")).alias("n"), F.col(sample).alias("s"), F.col("_case").alias("c"))).alias("_top")).where((F.col("_cases") > 1) & (F.col("_top.n") < -1))
     per = per.join(top, [b, "_key"]).withColumn("_max", -F.col("_top.n"))
     foreign = F.col("_case") != F.col("_top.c")

@@ -44,7 +44,7 @@ def _rescue(relaxed: bool):
 
 def contam_bulk_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subclones free of contamination, with ids and frequencies anew."""
-    flagged = contamination.flag_bulk(bulk_annotated(spark, sf_dir), ["VDJ_genes", "Junction_aa"], case="CaseID").withColumn("old", F.col("SubcloneID"))
+    flagged = contamination.flag_bulk(written(bulk_annotated(spark, sf_dir), "bulk"), ["VDJ_genes", "Junction_aa"], case="CaseID").withColumn("old", F.col("SubcloneID"))
     got = remove_contamination(flagged)
     return got.select("SampleID", "old", *IDS, "SubcloneID_in_Clonotype", "Clonotype_nReads", *[F.round(c, 9).alias(c) for c in ("Clonotype_freq", "ClonotypeVariant_freq", "Subclone_freq_in_Clonotype", "Subclone_freq_in_ClonotypeVariant")])
 

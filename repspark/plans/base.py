@@ -13,14 +13,14 @@ _HEX, _NT = "0123456789abcdef", "ACGTACGTACGTACGT"
 
 
 def latest_contigs(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """tidy_contigs (with those ``columns`` only) with one row per (sample, sequence_id), that loaded last; rows without a sample or id are left out.
+    """tidy_contigs (with those ``columns`` only) with one row per (sample, sequence_id), that loaded last (of equal times the greatest); rows without a sample or id are left out.
 
     Aggregated, not sorted: the row travels as one struct behind its load time.
     """
     df = table(spark, sf_dir, "tidy_contigs").where(F.col("sample").isNotNull() & F.col("sequence_id").isNotNull())
     rest = columns or [c for c in df.columns if c not in ("sample", "sequence_id")]
-    best = df.groupBy("sample", "sequence_id").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r"))
-    return best.select("sample", "sequence_id", "r.*")
+    best = df.groupBy("sample", "sequence_id").agg(F.max(F.struct("loaded_at", *[c for c in rest if c != "loaded_at"])).alias("r"))
+    return best.select("sample", "sequence_id", *[f"r.{c}" for c in rest])
 
 
 def _nt(*parts: Column | str) -> Column:

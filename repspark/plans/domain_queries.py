@@ -139,7 +139,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """annotated_contigs, each record once."""
     df = table(spark, sf_dir, "annotated_contigs")
     rest = [c for c in df.columns if c != "record_id"]
-    out = df.groupBy("record_id").agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select("record_id", "r.*")
+    out = df.groupBy("record_id").agg(F.max(F.struct("loaded_at", *[c for c in rest if c != "loaded_at"])).alias("r")).select("record_id", "r.*")
     return out.withColumn("SampleID", present("SampleID")).where(F.col("SampleID").isNotNull() & F.col("ClonotypeID").isNotNull())
 
 
@@ -159,12 +159,12 @@ def sample_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contam_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = contamination.flag_bulk(bulk_annotated(spark, sf_dir), ["VDJ_genes", "Junction_aa"], case="CaseID")
+    got = contamination.flag_bulk(written(bulk_annotated(spark, sf_dir), "bulk"), ["VDJ_genes", "Junction_aa"], case="CaseID")
     return got.select("SampleID", "SubcloneID", "Contamination_FLAG", "Contamination_raw", "Contamination_Sample")
 
 
 def recalc_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = bulk_annotated(spark, sf_dir).withColumn("old", F.col("SubcloneID"))
+    old = written(bulk_annotated(spark, sf_dir).withColumn("old", F.col("SubcloneID")), "bulk")
     got = recalc.recalculate_bulk(old)
     return got.select("SampleID", "old", "ClonotypeID", "ClonotypeVariantID", "SubcloneID", "SubcloneID_in_Clonotype", "Clonotype_nReads", F.round("Clonotype_freq", 9).alias("Clonotype_freq"))
 
@@ -175,7 +175,7 @@ def single_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recalc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recalc.recalculate_cells(single_cell(spark, sf_dir)).select("record_id", "ClonotypeID", "ClonotypeVariantID", "SubcloneID")
+    return recalc.recalculate_cells(written(single_cell(spark, sf_dir), "contigs")).select("record_id", "ClonotypeID", "ClonotypeVariantID", "SubcloneID")
 
 
 def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,18 +188,18 @@ def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contam_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = contamination.flag_cells(cell_table(spark, sf_dir), ["seq"], "subclone", "clone", "SampleID", case="CaseID", cutoff=2.0)
+    got = contamination.flag_cells(written(cell_table(spark, sf_dir), "cells"), ["seq"], "subclone", "clone", "SampleID", case="CaseID", cutoff=2.0)
     return got.select("SampleID", "barcode", "Contamination_FLAG", "Contamination_Sample")
 
 
 def contam_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = contamination.flag_tags(cell_table(spark, sf_dir).withColumn("Sample_Tag", present("Sample_Tag")), "clone", group=["SampleID"], cutoff=1.5)
+    got = contamination.flag_tags(written(cell_table(spark, sf_dir), "cells").withColumn("Sample_Tag", present("Sample_Tag")), "clone", group=["SampleID"], cutoff=1.5)
     return got.select("SampleID", "barcode", "SampleTag_FLAG", "SampleTag_Ratio")
 
 
 def _rescue(column: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = cell_table(spark, sf_dir).withColumn("num", F.when(F.col("completeBCR") == "Yes", F.col("clone")))
+        df = written(cell_table(spark, sf_dir), "cells").withColumn("num", F.when(F.col("completeBCR") == "Yes", F.col("clone")))
         return recalc.rescue_single_chains(df, "SampleID", column, "num").select("SampleID", "barcode", "completeBCR", "num")
 
     return run

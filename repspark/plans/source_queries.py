@@ -13,6 +13,7 @@ from repspark.operators.wide import cells_wide
 from repspark.plans.after_queries import NUMBERED_SQL, numbered_contigs
 from repspark.plans.base import ALIGNED_SQL, CONTIGS_SQL, aligned, latest_contigs
 from repspark.plans.domain_queries import BULKANN_SQL, SC_SQL, bulk_annotated, public_bulk, single_cell
+from repspark.plans.domain_queries import ORACLE as DOMAIN_SQL
 from repspark.plans.workflow import mission_bio_cells
 from repspark.runtime import file_system, scratch
 from repspark.sources.aligner import PATTERN, read_aligned, write_airr, write_annotated, write_missionbio
@@ -203,11 +204,12 @@ ORACLE = {
     "source_fasta": f"{_ALL} SELECT sample, sequence_id, true AS whole_header, junction AS sequence FROM c",
     "sink_fasta": f"{_ALL} SELECT sample, sequence_id, junction AS sequence FROM c",
     "source_fastq": f"{_ALL} SELECT sample, sequence_id, junction AS sequence FROM c",
-    "source_mixcr": f"""{_ALL} SELECT sample, CASE WHEN regexp_extract(sequence_id, '^read([0-9]+)', 1) <> '' THEN sample || substr(trim(v_call), 1, 3) || '_' || regexp_extract(sequence_id, '^read([0-9]+)', 1) ELSE sequence_id END || '=' || n_reads AS sequence_id, junction AS sequence FROM c WHERE n_reads IS NOT NULL AND v_call IS NOT NULL""",
+    "source_mixcr": f"""{_ALL} SELECT sample, CASE WHEN regexp_extract(sequence_id, '^read([0-9]+)', 1) <> '' THEN sample || substr(trim(v_call) || '(99)', 1, 3) || '_' || regexp_extract(sequence_id, '^read([0-9]+)', 1) ELSE sequence_id END || '=' || n_reads AS sequence_id, junction AS sequence FROM c WHERE n_reads IS NOT NULL AND v_call IS NOT NULL""",
     "source_airr": f"{_ALL} SELECT sample, sequence_id || '=' || coalesce(n_reads, 1) AS sequence_id, junction AS sequence, 'bulk' AS kind FROM c WHERE length(junction) % 7 <> 0 AND locus IN ('IGH', 'IGK', 'IGL') UNION ALL SELECT sample, sequence_id, junction, 'single_cell' FROM c WHERE length(junction) % 7 <> 0 AND locus IN ('IGH', 'IGK', 'IGL')",
     "source_10x_csv": f"{_ALL} SELECT sample, sequence_id, junction AS sequence FROM c",
     "source_aligned": f"""WITH {ALIGNED_SQL} SELECT sample, sequence_id, CASE mode WHEN 'joint' THEN substr(sample, 1, 3) ELSE sample END AS unit, cdr3, germline AS germline_alignment, junction_aa_length, mode FROM aligned, (VALUES ('single'), ('joint')) m (mode)""",
     "sink_annotated": f"WITH {SC_SQL} SELECT SampleID, record_id, ClonotypeID, nullif(VDJ_genes, '') AS VDJ_genes, nullif(Junction_aa, '') AS Junction_aa FROM sc",
+    "sink_airr": f"SELECT sequence_id, sample_id, sequence_alignment, cdr3, cdr3_start, duplicate_count FROM ({DOMAIN_SQL['airr_export']})",
     "sink_missionbio": f"{_CELLS} SELECT unit AS SampleID, barcode, completeBCR, {', '.join(f'''CASE WHEN completeBCR <> 'Not_supported' THEN {s}_cid END AS {s}_ClonotypeID''' for s in ('IGH1', 'IGH2', 'IGL1', 'IGL2'))} FROM wide",
     "reads_concatenated": f"{_ALL} SELECT sample, sequence_id, upper(substr(junction, 1, 12)) || upper(substr(junction, 16)) AS sequence FROM c",
     "reads_merged": f"""{_ALL}, p AS (SELECT sample, sequence_id, junction AS j, length(junction) // 2 AS k FROM c WHERE length(junction) >= 15) SELECT sample, sequence_id, CASE WHEN length(j) - k >= 12 THEN j ELSE j END AS sequence, length(j) - k >= 12 AS merged FROM p""",
