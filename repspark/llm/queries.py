@@ -12,7 +12,7 @@ from repspark.functions.missing import present
 from repspark.llm.bpe import encode_texts
 from repspark.llm.leaks import find_leaks
 from repspark.llm.quantiles import daily_sketches, group_percentiles, total_percentiles
-from repspark.llm.sentences import find_sentences
+from repspark.llm.sentences import doubtful_places, find_sentences
 from repspark.llm.term_counts import TermCountStore, marked
 from repspark.llm.top_n import latest_per_item, top_n
 from repspark.runtime import scratch, table, written
@@ -149,7 +149,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changed": p2_changed, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+def p8_doubtful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places at which the model is in doubt."""
+    return doubtful_places(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changed": p2_changed, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_doubtful": p8_doubtful}
 
 _TERMS = """terms AS (
   SELECT rid, 'v_call' AS field_name, upper(trim(t)) AS term FROM (SELECT rid, unnest(string_split(v_call, ',')) AS t FROM rows)

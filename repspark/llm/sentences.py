@@ -1,11 +1,10 @@
 """Sentence units of texts in any language, by a hidden-event n-gram language model.
 
-A text is first cut into blocks at blank lines. Lists and pasted records give one sentence per line.
-In running text every stop outside a quotation or bracket, with what closes after it, and every space
-between two Thai characters is a place where a boundary token may stand. The model is an n-gram over
+A text is first cut into blocks at blank lines. Lists and pasted records give one sentence per line. In running text
+``sentence_places`` tells between which words a boundary token may stand. The model is an n-gram over
 words and boundary tokens: P(event | the two words before, and whether a boundary stands before the
 last of them) and P(next word | event), each interpolated with word shapes. Forward and backward sums
-over a block give each place's posterior, and a boundary stands where it is above one half.
+along each block give each place's posterior, and a boundary stands where it is above one half.
 
 The model is trained here, without labels, on all texts: the ends and beginnings of blocks are known
 boundaries, all other places are hidden and filled in by expectation maximisation. Contexts are hashed
@@ -18,322 +17,47 @@ length is one row; its places are held as arrays of numbers.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repspark.llm.sentence_places import CELLS, COLS, END, HIDDEN, KINDS, L1, L2, R1, R2, START, parse
 from repspark.runtime import map_arrow, written
 
-BITS = 17
-CELLS = 1 << BITS
 ITERATIONS = 3
-STOPS = ".!?…。！？｡؟۔।॥։።"
-_CLUSTER = re.compile(f"[{STOPS}]+")
-#: What opens and what closes a quotation or bracket.
-PAIRS = {"(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "«": "»", "“": "”", "„": "“”", "‚": "‘’", "‹": "›"}
-_CLOSERS = set("".join(PAIRS.values())) | set("\"'’‘")
-_BRACKETS = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"') + "]")
-_LIST = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
-_BLANKS = re.compile(r"\n[^\S\n]*\n\s*")
-_THAI_SPACE = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
-_THAI = re.compile("[฀-๿]")
-_DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]")
-_FIRST_WORD = re.compile(r"[\w'’]+(?:[-_][\w]+)*\.?|[^\s]")
-
-# kinds of place
-HIDDEN, CERTAIN, END, START = 0, 1, 2, 3
-# kinds of context
-L3, L2, L1, R3, R2, R1, LR = range(7)
-
-
-@lru_cache(maxsize=200_000)
-def _cell(kind: int, what: str) -> int:
-    return kind * CELLS + xxhash.xxh64_intdigest(what.encode("utf-8", "replace")) % CELLS
-
-
-def normal_word(w: str) -> str:
-    return _DIGITS.sub("#", w)
-
-
-def script(c: str) -> str:
-    o = ord(c)
-    if o < 0x250:
-        return "L"
-    for lo, hi, name in ((0x370, 0x3FF, "G"), (0x400, 0x52F, "C"), (0x590, 0x5FF, "H"), (0x600, 0x77F, "A"), (0x900, 0xDFF, "D"), (0xE00, 0xE7F, "T"), (0x3040, 0x30FF, "J"), (0x3400, 0x9FFF, "Z")):
-        if lo <= o <= hi:
-            return name
-    return "O"
-
-
-@lru_cache(maxsize=200_000)
-def shape(w: str) -> str:
-    c = w[0]
-    if c == "#" or c.isdigit():
-        return "9"
-    if c.isalpha():
-        letters = [x for x in w if x.isalpha()]
-        if c.islower():
-            case = "l"
-        elif c.isupper():
-            case = "U" if len(letters) > 1 and all(x.isupper() for x in letters) else ("I" if len(letters) == 1 else "T")
-        else:
-            case = "n"
-        return script(c) + case
-    if c in STOPS:
-        return "."
-    return "P" + c if c in ",;:-–—" else unicodedata.category(c)
-
-
-def matched_pairs(s: str) -> list[tuple[int, int]]:
-    """Outermost matched quotations and brackets as (place of opener, place of closer)."""
-    stack: list[tuple[str, int]] = []
-    pairs: list[tuple[int, int]] = []
-    for m in _BRACKETS.finditer(s):
-        c, i = m.group(), m.start()
-        if c == '"':
-            opens = (i == 0 or not (s[i - 1].isalnum() or s[i - 1] in STOPS + ",")) and i + 1 < len(s) and not s[i + 1].isspace()
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if at is not None and (not opens or (i > 0 and not s[i - 1].isspace())):
-                pairs.append((stack[at][1], i))
-                del stack[at:]
-            elif opens:
-                if at is not None:
-                    del stack[at:]
-                stack.append((c, i))
-            continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS.get(stack[k][0], "")), None)
-        if at is not None:
-            pairs.append((stack[at][1], i))
-            del stack[at:]
-        elif c in PAIRS:
-            stack.append((c, i))
-    pairs.sort()
-    out: list[tuple[int, int]] = []
-    for a, b in pairs:
-        if not out or a > out[-1][1]:
-            out.append((a, b))
-    return out
-
-
-def _before(s: str, i: int) -> tuple[str, str]:
-    """The word that ends at i and the one before it, normalised; of unspaced scripts the last two characters."""
-    t = s[max(0, i - 48) : i]
-    words = t.split()
-    if not words or t[-1].isspace():
-        last = ""
-    else:
-        last = words.pop()
-    prev = words[-1] if words else ""
-    if last and _WIDE.match(last[-1]):
-        return normal_word(last[-2:]), ""
-    return normal_word(last.lstrip("\"'([«“„「『（¿¡‚‹")[-24:]), normal_word(prev[-24:])
-
-
-def _after(s: str, i: int) -> tuple[str, str, str]:
-    """Of what begins at i: the first word's shape with the next word, the first word, its shape."""
-    head = s[i : i + 64]
-    lead = ""
-    while head and not head[0].isalnum() and (head[0] in PAIRS or head[0] in "\"'¿¡"):
-        lead += "q" if head[0] in "¿¡" else "o"
-        head = head[1:].lstrip()
-    if not head:
-        return lead + "$", lead + "$", lead + "$"
-    if _WIDE.match(head[0]):
-        return lead + head[:3], lead + head[:2], lead + script(head[0])
-    m = _FIRST_WORD.match(head)
-    end = m.end() if m else 1
-    w = normal_word(head[:end])
-    rest = head[end:].lstrip(".:/-*")
-    if head[0].isdigit() and rest[:1].isdigit():
-        rest = rest.lstrip("0123456789.:/-*")
-    rest = rest.lstrip()
-    if rest and _WIDE.match(rest[0]):
-        then = rest[:2]
-    else:
-        m = _FIRST_WORD.match(rest)
-        then = normal_word(m.group()) if m else "$"
-    kind = lead[:1] + shape(w)
-    return f"{kind} {then}", lead + w, kind
-
-
-def _left(s: str, start: int, stop: int) -> tuple[str, str, str, int]:
-    """Contexts of a stop cluster with closers s[start:stop]: (word pair, word, shape, place where the word begins)."""
-    word, prev = _before(s, start)
-    marks = "".join(s[start:stop].split())
-    if len(marks) > 8:
-        marks = marks[:8]
-    one = word + marks
-    kind = shape(word) if word else "-"
-    size = "1" if len(word) == 1 else "s" if len(word) < 5 else "w"
-    return f"{prev} {one}", one, f"{kind}{size}{'i' if '.' in word else ''} {marks}", start - len(word)
-
-
-def _places(s: str) -> list[tuple[int, int, int, int, int]]:
-    """(start of stops, end with closers, start of the next, kind, begin of last word) of a running block."""
-    pairs = matched_pairs(s)
-    n = len(s)
-    out = []
-    k = 0
-    at = 0
-    for m in _CLUSTER.finditer(s):
-        i, j = m.span()
-        if i < at:
-            continue
-        while k < len(pairs) and pairs[k][1] < i:
-            k += 1
-        if k < len(pairs) and pairs[k][0] < i:
-            # inside: only what comes right before the closer counts, and then after the closer
-            if s[j : pairs[k][1]].strip() and not all(c in _CLOSERS for c in s[j : pairs[k][1]].strip()):
-                continue
-            j = pairs[k][1] + 1
-        while j < n and (s[j] in STOPS or s[j] in "\"'”’»」』）)]】" and not _opens(s, j, pairs, k)):
-            j += 1
-        at = j
-        nxt = j
-        while nxt < n and s[nxt].isspace():
-            nxt += 1
-        if nxt >= n:
-            continue
-        if nxt == j and not _glued(s, i, j):
-            continue
-        out.append((i, j, nxt, HIDDEN))
-    if _THAI.search(s):
-        inside = lambda p: any(a < p < b for a, b in pairs)
-        out += [(m.start(), m.start(), m.end(), CERTAIN) for m in _THAI_SPACE.finditer(s) if not pairs or not inside(m.start())]
-        out.sort()
-    return out
+#: Texts are parsed together up to about so many characters.
+CHARACTERS = 1_000_000
+PARSED = "doc_id bigint, seg_start array<int>, seg_end array<int>, " + ", ".join(f"`{c}` array<int>" for c in COLS)
 
 
-def _opens(s: str, j: int, pairs: list[tuple[int, int]], k: int) -> bool:
-    return any(a == j for a, _ in pairs[k : k + 2])
-
-
-def _sure(s: str, i: int, j: int, nxt: int) -> int:
-    """Whether the mark has no other use than to end a sentence (no period, ellipsis or closer) and no small letter or comma follows."""
-    return int(all(c in "!?。！？｡।॥؟" for c in s[i:j]) and not (s[nxt].islower() or s[nxt] in ",;:-–—，、；："))
-
-
-def _glued(s: str, i: int, j: int) -> bool:
-    """Whether a stop without a space after it may end a sentence."""
-    mark, c = s[i], s[j]
-    if mark in "。！？｡।॥؟۔።։" or (s[i:j].strip(".") and mark != "…"):
-        return c.isalnum() or c in PAIRS or c in '"¿¡'
-    if mark == "…" and (_WIDE.match(c) or c.isupper()):
-        return True
-    if mark != "." or i == 0:
-        return False
-    w = i
-    while w > 0 and i - w < 30 and (s[w - 1].isalnum()):
-        w -= 1
-    word = s[w:i]
-    before = s[w - 1] if w else " "
-    if before in "./\\_@-" and not (word.isdigit() or word.isalpha()):
-        return False
-    if before == "." and len(word) < 3:
-        return False
-    fits = (len(word) > 1 and word.isalpha() and (word[1:].islower() or not word[0].isupper() and not word[0].islower())) or word.isdigit() or (not word and s[i - 1] in _CLOSERS | set("%°"))
-    if not fits:
-        return False
-    if c.isupper():
-        tail = s[j + 1 : j + 3]
-        return (bool(tail) and (tail[0].islower() or tail[0] in " ." or tail[:2].isupper()) and not (word.isdigit() and not tail[:1].islower())) or len(tail) == 0
-    return c in "¿¡«„“(" or (c.isalpha() and not c.islower() and script(c) in "AD" and script(word[-1:] or " ") == script(c))
-
-
-def parse(text: str | None) -> dict | None:
-    """Segments and places of a text; None if it has no sentence."""
-    if not text or text.isspace():
-        return None
-    t = text.replace("\r\n", " \n") if "\r" in text else text
-    segs: list[tuple[int, int]] = []
-    places: list[tuple] = []
-    at = 0
-    edges = [*[m.span() for m in _BLANKS.finditer(t)], (len(t), len(t))]
-    for a, b in edges:
-        _block(t, at, a, segs, places)
-        at = b
-    return {"segs": segs, "places": places} if segs else None
-
-
-def _strip(t: str, a: int, b: int) -> tuple[int, int]:
-    while a < b and t[a].isspace():
-        a += 1
-    while b > a and t[b - 1].isspace():
-        b -= 1
-    return a, b
-
-
-def _block(t: str, a: int, b: int, segs: list, places: list) -> None:
-    a, b = _strip(t, a, b)
-    if a == b:
-        return
-    s = t[a:b]
-    lines = s.split("\n")
-    if s[0] in ">[" or all(_LIST.match(x) for x in lines):
-        p = a
-        for x in lines:
-            lo, hi = _strip(t, p, p + len(x))
-            if lo < hi:
-                segs.append((lo, hi))
-            p += len(x) + 1
-        return
-    seg = len(segs)
-    segs.append((a, b))
-    # known boundaries: the beginning and, where it has stops, the end of a block
-    r3, r2, r1 = _after(s, 0)
-    places.append((seg, 0, 0, START, 0, 0, 0, 0, _cell(R3, r3), _cell(R2, r2), _cell(R1, r1), 0, 0))
-    e = len(s)
-    while e > 0 and (s[e - 1] in STOPS or s[e - 1] in _CLOSERS or s[e - 1].isspace()):
-        e -= 1
-    if any(c in STOPS for c in s[e:]):
-        c3, c2, c1, _ = _left(s, e, len(s))
-        places.append((seg, 0, 0, END, _cell(L3, c3), 0, _cell(L2, c2), _cell(L1, c1), 0, 0, 0, 0, 0))
-    elif "฀" <= s[-1] <= "๿":
-        places.append((seg, 0, 0, END, _cell(L3, "th"), 0, _cell(L2, "th"), _cell(L1, "th"), 0, 0, 0, 0, 0))
-    last = -1
-    for i, j, nxt, kind in _places(s):
-        r3, r2, r1 = _after(s, nxt)
-        if kind == CERTAIN:
-            places.append((seg, a + j, a + nxt, kind, _cell(L3, "th"), _cell(L3, "th"), _cell(L2, "th"), _cell(L1, "th"), _cell(R3, r3), _cell(R2, r2), _cell(R1, r1), _cell(LR, "th " + r1), 0))
-            last = nxt
-            continue
-        c3, c2, c1, begin = _left(s, i, j)
-        gap = "" if nxt > j else " ns"
-        after_boundary = _cell(L3, "<s> " + c2 + gap) if begin <= last else -1
-        places.append((seg, a + j, a + nxt, kind, _cell(L3, c3 + gap), after_boundary, _cell(L2, c2), _cell(L1, c1 + gap), _cell(R3, r3), _cell(R2, r2), _cell(R1, r1), _cell(LR, f"{c2} {r1}"), _sure(s, i, j, nxt)))
-        last = nxt
-
-
-_COLS = ["seg", "stop", "next", "kind", "l3", "l3b", "l2", "l1", "r3", "r2", "r1", "lr", "sure"]
-PARSED = "doc_id bigint, seg_start array<int>, seg_end array<int>, " + ", ".join(f"`{c}` array<int>" for c in _COLS)
-
-
-def _lists(rows: list[list[tuple]], width: int) -> list[pa.Array]:
-    """One list column per field of the rows' tuples."""
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32))
-    flat = np.array([x for r in rows for x in r], dtype=np.int32).reshape(-1, width)
-    return [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat[:, k]))) for k in range(width)]
+def _lists(doc: np.ndarray, n: int, columns: list[np.ndarray]) -> list[pa.Array]:
+    """A list column of each array of values, whose texts ``doc`` (in order) tells."""
+    offsets = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in columns]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, keep, segs, places = b.column(0), [], [], []
-        for i, text in enumerate(b.column(1).to_pylist()):
-            p = parse(text)
-            if p:
-                keep.append(i)
-                segs.append(p["segs"])
-                places.append(p["places"])
-        if keep:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), *_lists(segs, 2), *_lists(places, len(_COLS))], names=["doc_id", "seg_start", "seg_end", *_COLS])
+        ids, texts = b.column(0), b.column(1)
+        a = 0
+        while a < b.num_rows:
+            held, size, start = [], 0, a
+            while a < b.num_rows and (not held or size < CHARACTERS):
+                held.append(texts[a].as_py())
+                size += len(held[-1] or "")
+                a += 1
+            seg_doc, lo, hi, doc, cols = parse(held)
+            if not len(seg_doc):
+                continue
+            # only texts that have segments; segments are numbered within their text
+            there, number = np.unique(seg_doc, return_inverse=True)
+            of = np.searchsorted(there, doc)
+            first = np.searchsorted(number, np.arange(len(there)))
+            cols["seg"] = cols["seg"] - first[of]
+            yield pa.RecordBatch.from_arrays([ids.slice(start, len(held)).take(pa.array(there)), *_lists(number, len(there), [lo, hi]), *_lists(of, len(there), [cols[c] for c in COLS])], names=["doc_id", "seg_start", "seg_end", *COLS])
 
 
 class Places:
@@ -341,7 +65,7 @@ class Places:
 
     def __init__(self, b: pa.RecordBatch):
         get = lambda n: b.column(b.schema.get_field_index(n))
-        for c in _COLS:
+        for c in COLS:
             col = get(c)
             setattr(self, c, col.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
         counts = np.diff(get("seg").offsets.to_numpy())
@@ -378,13 +102,12 @@ class Model:
     def word(self, p: Places) -> tuple[np.ndarray, np.ndarray]:
         """P(next words | boundary), P(next words | none), but for a common factor: shape, word given shape, word after that given shape.
 
-        Without a boundary the shape also depends on the word before; of its two estimates the lower counts, so that
-        the iterations cannot explain a pair of words by itself.
+        Both are distributions over what comes next. Neither depends on the word before: pairs of words that stand together
+        often would explain themselves, and a sentence that always follows another would be joined to it.
         """
         b1, n1 = self.b[p.r1], self.n[p.r1]
         pb = (b1 + 0.5) / (self.r_b + 1)
         nb = (n1 - b1 + 0.5) / (self.r_nb + 1)
-        nb = np.minimum(nb, (self.n[p.lr] - self.b[p.lr] + 3 * nb) / (self.n[p.l2] - self.b[p.l2] + 3))
         for r in (p.r2, p.r3):
             share = (self.n[r] + 0.5) / (n1 + 1)
             pb = pb * (self.b[r] + 4 * share) / (b1 + 4)
@@ -392,46 +115,44 @@ class Model:
         return np.maximum(pb, 1e-12), np.maximum(nb, 1e-12)
 
     def posterior(self, p: Places) -> np.ndarray:
-        """P(boundary) at each place, by forward and backward sums along each block."""
-        e0 = self.event(p.l3, p.l2, p.l1)
-        wb, wn = self.word(p)
-        q = e0 * wb / (e0 * wb + (1 - e0) * wn)
-        q[p.kind != HIDDEN] = 1.0
-        linked = (p.l3b >= 0) & (p.kind == HIDDEN)
-        linked[0:1] = False
-        linked[1:] &= (p.doc[1:] == p.doc[:-1]) & (p.seg[1:] == p.seg[:-1]) & (p.kind[:-1] <= CERTAIN)
-        at = np.flatnonzero(linked)
+        """P(boundary) at each place, by forward and backward sums along each block, all blocks of the batch at once."""
+        q = np.ones(len(p.doc))
+        at = np.flatnonzero(p.kind == HIDDEN)
         if not len(at):
             return q
+        e0 = self.event(p.l3[at], p.l2[at], p.l1[at])
         e1 = e0.copy()
-        e1[at] = self.event(p.l3b[at], p.l2[at], p.l1[at])
-        # stretches of places that hang together; all others stand alone
-        heads = at[np.concatenate([[True], np.diff(at) > 1])] - 1
-        tails = at[np.concatenate([np.diff(at) > 1, [True]])]
-        for h, t in zip(heads.tolist(), tails.tolist()):
-            m = t - h + 1
-            f = np.empty((m, 2))
-            f[0] = ((1 - q[h]), q[h])
-            for k in range(1, m):
-                i = h + k
-                to1 = f[k - 1, 0] * e0[i] + f[k - 1, 1] * e1[i]
-                f[k] = ((f[k - 1].sum() - to1) * wn[i], to1 * wb[i])
-                f[k] /= f[k].sum()
-            back = np.ones(2)
-            for k in range(m - 1, -1, -1):
-                i = h + k
-                g = f[k] * back
-                q[i] = g[1] / g.sum()
-                if k:
-                    v1, v0 = back[1] * wb[i], back[0] * wn[i]
-                    back = np.array([e0[i] * v1 + (1 - e0[i]) * v0, e1[i] * v1 + (1 - e1[i]) * v0])
-                    back /= back.sum()
+        linked = np.flatnonzero(p.l3b[at] >= 0)
+        e1[linked] = self.event(p.l3b[at[linked]], p.l2[at[linked]], p.l1[at[linked]])
+        wb, wn = (w[at] for w in self.word(p))
+        # blocks by number of places, most first; the k-th places of all blocks that have so many are one step
+        key = np.flatnonzero(np.concatenate([[True], (np.diff(p.doc[at]) != 0) | (np.diff(p.seg[at]) != 0)]))
+        size = np.diff(np.append(key, len(at)))
+        order = np.argsort(-size, kind="stable")
+        heads, size = key[order], size[order]
+        alive = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        f = np.empty((len(at), 2))
+        f[heads, 0], f[heads, 1] = (1 - e0[heads]) * wn[heads], e0[heads] * wb[heads]
+        f[heads] /= f[heads].sum(axis=1, keepdims=True)
+        for k in range(1, size[0]):
+            i = heads[: alive[k]] + k
+            before = f[i - 1]
+            f[i, 1] = (before[:, 0] * e0[i] + before[:, 1] * e1[i]) * wb[i]
+            f[i, 0] = (before[:, 0] * (1 - e0[i]) + before[:, 1] * (1 - e1[i])) * wn[i]
+            f[i] /= f[i].sum(axis=1, keepdims=True)
+        back = np.ones((len(at), 2))
+        for k in range(size[0] - 1, 0, -1):
+            i = heads[: alive[k]] + k
+            v1, v0 = back[i, 1] * wb[i], back[i, 0] * wn[i]
+            back[i - 1, 0], back[i - 1, 1] = e0[i] * v1 + (1 - e0[i]) * v0, e1[i] * v1 + (1 - e1[i]) * v0
+            back[i - 1] /= back[i - 1].sum(axis=1, keepdims=True)
+        g = f * back
+        q[at] = g[:, 1] / g.sum(axis=1)
         return q
 
 
 def first_guess(p: Places, ends: Model) -> np.ndarray:
-    """Posterior before any iteration: how often blocks end in the word and begin with the next, against how often places
-    show them; at least 0.95 after a mark that only ends sentences, so that scripts with few texts begin right too."""
+    """Posterior before any iteration: how often blocks end in the word and begin with the next, against how often places show them."""
     q = ends.b[p.l2] / np.maximum(ends.n[p.l2], 1) / max(ends.rate, 1e-6)
     q1 = ends.b[p.l1] / np.maximum(ends.n[p.l1], 1) / max(ends.rate, 1e-6)
     few = 8 / (ends.n[p.l2] + 8)
@@ -443,7 +164,6 @@ def first_guess(p: Places, ends: Model) -> np.ndarray:
     both = np.clip(q, 0.02, 0.98) * np.clip(r, 0.02, 0.98)
     neither = (1 - np.clip(q, 0.02, 0.98)) * (1 - np.clip(r, 0.02, 0.98))
     out = both / (both + neither)
-    out[p.sure == 1] = np.maximum(out[p.sure == 1], 0.95)
     out[p.kind != HIDDEN] = 1.0
     return out
 
@@ -452,9 +172,9 @@ def _counter(model, first: bool):
     """Expected counts of a task's places under ``model`` (None: only what is known)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = np.zeros(7 * CELLS)
-        n = np.zeros(7 * CELLS)
-        held = model.value if model is not None else None
+        b = np.zeros(KINDS * CELLS)
+        n = np.zeros(KINDS * CELLS)
+        held, m = model.value if model is not None else None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -462,15 +182,15 @@ def _counter(model, first: bool):
             if held is None:
                 q = (p.kind != HIDDEN).astype(float)
             else:
-                m = Model(held) if not first else _ends(held)
+                m = m or (_ends(held) if first else Model(held))
                 q = first_guess(p, m) if first else m.posterior(p)
             once = p.once()
             left, right = once & (p.kind != START), once & (p.kind != END)
             before = np.concatenate([[0.0], q[:-1]])
             l3 = np.where((p.l3b >= 0) & (p.kind == HIDDEN) & (before > 0.5), p.l3b, p.l3)
-            for cells, use in ((l3, left), (p.l2, left), (p.l1, left), (p.r3, right), (p.r2, right), (p.r1, right), (p.lr, left & right)):
-                b += np.bincount(cells[use], weights=q[use], minlength=7 * CELLS)
-                n += np.bincount(cells[use], minlength=7 * CELLS)
+            for cells, use in ((l3, left), (p.l2, left), (p.l1, left), (p.r3, right), (p.r2, right), (p.r1, right)):
+                b += np.bincount(cells[use], weights=q[use], minlength=KINDS * CELLS)
+                n += np.bincount(cells[use], minlength=KINDS * CELLS)
         cell = np.flatnonzero(n)
         for a in range(0, len(cell), 100_000):
             c = cell[a : a + 100_000]
@@ -494,13 +214,13 @@ def _ends(counts: np.ndarray) -> Model:
 
 
 def train(parsed: DataFrame, iterations: int = ITERATIONS) -> np.ndarray:
-    """The model's counts: (cells, 2), from all places. At most 7 * 2^BITS rows reach the driver at a time."""
+    """The model's counts: (cells, 2), from all places. At most 6 * 2^BITS rows reach the driver at a time."""
     spark = parsed.sparkSession
 
     def count(model, first: bool) -> np.ndarray:
-        rows = map_arrow(parsed.select(*_COLS), _counter(model, first), "cell int, b double, n double").groupBy("cell").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        rows = map_arrow(parsed.select(*COLS), _counter(model, first), "cell int, b double, n double").groupBy("cell").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         t = rows.toArrow()
-        out = np.zeros((7 * CELLS, 2), dtype=np.float64)
+        out = np.zeros((KINDS * CELLS, 2), dtype=np.float64)
         cell = t.column("cell").to_numpy()
         out[cell, 0], out[cell, 1] = t.column("b").to_numpy(), t.column("n").to_numpy()
         return out
@@ -519,7 +239,7 @@ def _decide(model):
                 continue
             m = m or Model(model.value)
             p = Places(b)
-            cut = (p.kind <= CERTAIN) & (m.posterior(p) > 0.5)
+            cut = (p.kind == HIDDEN) & (m.posterior(p) > 0.5)
             starts, ends = b.column(b.schema.get_field_index("seg_start")), b.column(b.schema.get_field_index("seg_end"))
             per_doc = np.diff(starts.offsets.to_numpy())
             doc = np.concatenate([np.repeat(np.arange(b.num_rows), per_doc), p.doc[cut]])
@@ -533,10 +253,30 @@ def _decide(model):
     return run
 
 
-def find_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS) -> DataFrame:
-    """(doc_id, sent_start, sent_end): the sentences of every text, in code points, end exclusive."""
-    spark = docs.sparkSession
+def _trained(docs: DataFrame, id_col: str, text_col: str, iterations: int):
+    """The written table of places of all texts, and the broadcast model."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parsed = written(map_arrow(rows, _parse_batches, PARSED), "places")
-    model = spark.sparkContext.broadcast(train(parsed, iterations))
+    return parsed, docs.sparkSession.sparkContext.broadcast(train(parsed, iterations))
+
+
+def find_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS) -> DataFrame:
+    """(doc_id, sent_start, sent_end): the sentences of every text, in code points, end exclusive."""
+    parsed, model = _trained(docs, id_col, text_col, iterations)
     return map_arrow(parsed, _decide(model), "doc_id bigint, sent_start bigint, sent_end bigint").withColumnRenamed("doc_id", id_col)
+
+
+def doubtful_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """(doc_id, place, posterior): the places that the model neither cuts nor keeps with certainty, at the beginning of what comes next."""
+    parsed, model = _trained(docs, id_col, text_col, iterations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = None
+        for b in batches:
+            m = m or Model(model.value)
+            p = Places(b)
+            q = m.posterior(p)
+            at = np.flatnonzero((p.kind == HIDDEN) & (q > low) & (q < high))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(p.doc[at])), pa.array(p.next[at]), pa.array(q[at])], names=["doc_id", "place", "posterior"])
+
+    return map_arrow(parsed, run, "doc_id bigint, place bigint, posterior double").withColumnRenamed("doc_id", id_col)

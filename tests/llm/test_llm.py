@@ -302,6 +302,82 @@ def test_sentences_of_hand_made_texts(spark, small):
     assert not any(i in got for i in (n, n + 1, n + 2)) and got[n + 3] == ["x" * 100_000] and len(got[n + 4]) == 3000
 
 
+def test_places_depend_on_whole_words_however_long():
+    from repspark.llm.sentence_places import HIDDEN, L1, parse
+
+    for n in (3, 29, 30, 31, 500):
+        _, _, _, _, cols = parse([f"a1{'b' * n}.Next one"])
+        assert (cols["kind"] == HIDDEN).sum() == 1
+    for wide in (10, 24, 60, 3000):
+        one, two = (parse([f"{c}{'x' * wide}. Next {'y' * wide}{c} end."])[4] for c in "pq")
+        hidden = one["kind"] == HIDDEN
+        assert one["l2"][hidden] != two["l2"][hidden] and one["r3"][hidden] != two["r3"][hidden] and one["l1"][hidden] == two["l1"][hidden]
+    assert L1 == 2
+
+
+def test_a_batch_is_parsed_as_its_texts_are_alone():
+    import numpy as np
+
+    from repspark.llm.sentence_places import COLS, parse
+
+    random.seed(6)
+    signs = list("aB1 .!?…。」「()\"'“”\n\r-*>[์กข漢é،؟।:;,_\u200b\U0001f600\u0301") + ["\n\n", " \n", ". ", "1. ", "- "]
+    texts = ["".join(random.choices(signs, k=random.randrange(0, 60))) for _ in range(300)] + [None, "", "\n\n", "(", '"', ".", "。", "ก", "ก ข"]
+    seg_doc, lo, hi, doc, cols = parse(texts)
+    for d, t in enumerate(texts):
+        one = parse([t])
+        mine, first = seg_doc == d, int(np.searchsorted(seg_doc, d))
+        assert one[1].tolist() == lo[mine].tolist() and one[2].tolist() == hi[mine].tolist()
+        for c in COLS:
+            assert (one[4][c] + (first if c == "seg" else 0)).tolist() == cols[c][doc == d].tolist(), (c, t)
+        covered = {i for a, b in zip(one[1], one[2]) for i in range(a, b)}
+        assert all(i in covered or x.isspace() for i, x in enumerate(t or ""))
+        assert all((t[s:n].isspace() or s == n) for s, n, k in zip(one[4]["stop"].tolist(), one[4]["next"].tolist(), one[4]["kind"].tolist()) if k == 0)
+
+
+def test_posteriors_are_those_of_all_ways_to_set_boundaries():
+    from itertools import product
+
+    import numpy as np
+
+    from repspark.llm.sentence_places import CELLS, HIDDEN, KINDS
+    from repspark.llm.sentences import Model
+
+    rng = np.random.default_rng(3)
+    counts = np.zeros((KINDS * CELLS, 2))
+    at = rng.integers(0, CELLS, (KINDS, 40))
+    for k in range(KINDS):
+        n = rng.integers(1, 30, 40)
+        counts[k * CELLS + at[k], 1] = n
+        counts[k * CELLS + at[k], 0] = rng.random(40) * n
+    m = Model(counts)
+
+    class P:
+        pass
+
+    p, sizes = P(), [1, 4, 2, 6]
+    n = sum(sizes)
+    p.doc, p.seg, p.kind = np.repeat(np.arange(4), sizes), np.zeros(n, int), np.full(n, HIDDEN)
+    for c, k in (("l3", 0), ("l2", 1), ("l1", 2), ("r3", 3), ("r2", 4), ("r1", 5)):
+        setattr(p, c, k * CELLS + rng.choice(at[k], n))
+    p.l3b = np.where((rng.random(n) < 0.7) & np.concatenate([[False], p.doc[1:] == p.doc[:-1]]), rng.choice(at[0], n), -1)
+    q = m.posterior(p)
+    e0, e1 = m.event(p.l3, p.l2, p.l1), m.event(np.where(p.l3b >= 0, p.l3b, p.l3), p.l2, p.l1)
+    wb, wn = m.word(p)
+    for d in range(4):
+        i = np.flatnonzero(p.doc == d)
+        want, total = np.zeros(len(i)), 0.0
+        for way in product((0, 1), repeat=len(i)):
+            x, last = 1.0, 0
+            for j, b in zip(i, way):
+                e = e1[j] if last else e0[j]
+                x *= e * wb[j] if b else (1 - e) * wn[j]
+                last = b
+            total += x
+            want += x * np.array(way)
+        assert np.allclose(q[i], want / total)
+
+
 def test_each_character_lies_in_one_sentence(spark, small):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     covered = Counter()
