@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from repspark.kernels.alignment import align
+
 _GAP = re.compile(r"(?<=[ACTG])-+(?=[ACTG])")
 
 
@@ -61,6 +63,22 @@ def _grow(arch: list[int], pos: int, n: int) -> None:
 _INNER = re.compile(r"(?<=[^-])-+(?=[^-])")
 
 
+def _aligned(a: str, b: str) -> tuple[str, str]:
+    """Two germlines with gaps. What fits at their ends, the right one first, is paired as it stands; only the rest is aligned."""
+    fits = lambda p, q: p == q or p == "N" or q == "N"
+    most, right, left = min(len(a), len(b)), 0, 0
+    while right < most and fits(a[-1 - right], b[-1 - right]):
+        right += 1
+    while left < most - right and fits(a[left], b[left]):
+        left += 1
+    x, y = a[left : len(a) - right], b[left : len(b) - right]
+    if x and y:
+        x, y, _ = align(x, y, wild="N")
+    else:
+        x, y = x.ljust(len(y), "-"), y.ljust(len(x), "-")
+    return a[:left] + x + a[len(a) - right :], b[:left] + y + b[len(b) - right :]
+
+
 @lru_cache(maxsize=20_000)
 def match_consensus(seq: str, germline: str, consensus: str) -> tuple[str, str, str | None]:
     """(sequence, germline, events) brought to the length of the consensus germline of its clonotype.
@@ -69,9 +87,7 @@ def match_consensus(seq: str, germline: str, consensus: str) -> tuple[str, str,
     filled in, then what was taken out, with columns of the alignment (less those taken out before). N fits any base, and
     gaps at either end are left as they are.
     """
-    from repspark.kernels.alignment import align
-
-    x, y, _ = align(consensus, germline, wild="N")
+    x, y = _aligned(consensus, germline)
     lacks = [m.span() for m in _INNER.finditer(y)]
     extra = [m.span() for m in _INNER.finditer(x)]
     filled = {k for a, b in lacks for k in range(a, b)}

@@ -260,8 +260,13 @@ def nearest_distances(df: DataFrame, keys: list[str], cdr3: str, local: int = LO
     return out.unionByName(pairs.groupBy(*keys, cdr3).agg(F.min("distance").alias("distance")))
 
 
+def distance_histogram(distances: DataFrame, bins: int = 1000) -> DataFrame:
+    """(cell, n): nearest distances per cell of width 1 / ``bins``; null and NaN are none."""
+    return distances.where(F.col("distance").isNotNull() & ~F.isnan("distance")).groupBy(F.round(F.col("distance") * bins).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def automatic_cutoff(distances: DataFrame, cdr3_mode: str = "nt", bins: int = 1000) -> float:
     """The valley of the nearest-neighbour distances, at least 0.2 (nt) or 0.3 (aa). The driver sees a histogram of ``bins`` + 1 cells."""
     floor = 0.2 if cdr3_mode == "nt" else 0.3
-    hist = distances.where(F.col("distance").isNotNull() & ~F.isnan("distance")).groupBy(F.round(F.col("distance") * bins).cast("int").alias("b")).count().collect()
-    return density_valley([r["b"] / bins for r in hist], floor, [r["count"] for r in hist])
+    hist = distance_histogram(distances, bins).collect()
+    return density_valley([r["cell"] / bins for r in hist], floor, [r["n"] for r in hist])

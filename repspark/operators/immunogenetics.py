@@ -72,7 +72,7 @@ def consensus_cdr3(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
 def possible_cdr3(consensus: Column | str) -> Column:
     """All strings that a consensus with [classes] stands for."""
     c = F.col(consensus) if isinstance(consensus, str) else consensus
-    tokens = F.regexp_extract_all(c, F.lit(r"(\[[A-Z*]+\]|.)"), F.lit(1))
+    tokens = F.regexp_extract_all(c, F.lit(r"(\[[^\]]*\]|.)"), F.lit(1))
     return F.aggregate(
         tokens,
         F.array(F.lit("")),

@@ -70,7 +70,7 @@ NUMBERED_SQL = f"""{SC_SQL}, one AS (SELECT SampleID AS unit, barcode, cid, reco
 nc AS (SELECT o.record_id, o.unit, o.barcode, completeBCR, cid, cv, sub, m, mv, ms, ig AS n1, igcv AS n2, igsub AS n3, igin AS n4 FROM one o JOIN ranked r ON r.unit = o.unit AND r.barcode = o.barcode)"""
 
 
-def _recalc_sql(src: str) -> str:
+def recalc_sql(src: str) -> str:
     """``again``: all ids of ``src`` anew."""
     place = lambda parents, key, n: f"dense_rank() OVER (PARTITION BY {parents} ORDER BY {n} DESC, {key})"
     element = lambda name, new: f"""e_{name} AS (SELECT unit, {name}, string_agg(coalesce(t, 'NA'), '-' ORDER BY i) AS new_{name} FROM (SELECT q.unit, q.{name}, q.i, t FROM (SELECT unit, {name}, unnest(range(1, len(string_split({name}, '-')) + 1)) AS i, unnest(string_split({name}, '-')) AS x FROM (SELECT DISTINCT unit, {name} FROM {src})) q LEFT JOIN (SELECT unit, {new} AS x, min(new_{new}) AS t FROM a3 GROUP BY 1, 2) o ON o.unit = q.unit AND o.x = q.x) GROUP BY 1, 2)"""
@@ -91,11 +91,11 @@ def _rescue_sql(column: str) -> str:
 runs AS (SELECT unit, n1, n2, n3, n4, unnest(p) AS run FROM yes UNION ALL SELECT unit, n1, n2, n3, n4, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) FROM yes UNION ALL SELECT unit, n1, n2, n3, n4, id FROM yes),
 hit AS (SELECT unit, run, min(n1) AS h1, {low('n2', 'CV')}, {low('n3', 'S')}, {low('n4', chr(92) + '.')} FROM runs GROUP BY 1, 2 HAVING count(DISTINCT n1) = 1),
 saved AS (SELECT nc.* REPLACE (CASE WHEN h1 IS NOT NULL THEN 'Yes_rescue' ELSE completeBCR END AS completeBCR, coalesce(h1, n1) AS n1, CASE WHEN h1 IS NOT NULL THEN ln2 ELSE n2 END AS n2, CASE WHEN h1 IS NOT NULL THEN ln3 ELSE n3 END AS n3, CASE WHEN h1 IS NOT NULL THEN ln4 ELSE n4 END AS n4)
-  FROM nc LEFT JOIN hit ON hit.unit = nc.unit AND hit.run = nc.{column} AND completeBCR IN ('Single_chain_1', 'Single_chain_2')), {_recalc_sql('saved')} SELECT * EXCLUDE (old) FROM again"""
+  FROM nc LEFT JOIN hit ON hit.unit = nc.unit AND hit.run = nc.{column} AND completeBCR IN ('Single_chain_1', 'Single_chain_2')), {recalc_sql('saved')} SELECT * EXCLUDE (old) FROM again"""
 
 
 ORACLE = {
-    "recalc_merged": f"WITH RECURSIVE {NUMBERED_SQL}, kept_rows AS (SELECT * FROM nc WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.SampleID = nc.unit AND c.barcode = nc.barcode AND c.deleted_at IS NOT NULL)), {_recalc_sql('kept_rows')} SELECT * FROM again",
+    "recalc_merged": f"WITH RECURSIVE {NUMBERED_SQL}, kept_rows AS (SELECT * FROM nc WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.SampleID = nc.unit AND c.barcode = nc.barcode AND c.deleted_at IS NOT NULL)), {recalc_sql('kept_rows')} SELECT * FROM again",
     "rescue_numbers": _rescue_sql("ms"),
     "rescue_numbers_relaxed": _rescue_sql("m"),
     "contam_bulk_removed": f"""{CONTAM_BULK_SQL}, ok AS (SELECT x.SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, r, vr FROM x WHERE raw IS NULL),

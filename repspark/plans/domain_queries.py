@@ -34,7 +34,7 @@ def clonotype_freq_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(total, "sample").select("sample", "clonotypeID", "n", F.round(F.col("n") * 100.0 / F.col("t"), 9).alias("freq"))
 
 
-def _keyed(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+def keyed(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Contigs with unit, first gene as V cluster, CDR3 and its length."""
     df = latest_contigs(spark, sf_dir, columns).where((F.length("junction") >= 9) & F.col("v_call").isNotNull()).withColumn("unit", F.col("sample")).withColumn("v_cluster", first_gene("v_call"))
     return df.withColumn("cdr3", F.col("junction")).withColumn("len", F.length("junction")).where(F.col("v_cluster").isNotNull())
@@ -45,26 +45,26 @@ def v_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clonotypes_single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = cdr3_clusters(_keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3", MAX_DIFF, "single")
+    got = cdr3_clusters(keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3", MAX_DIFF, "single")
     label = F.min("cdr3").over(Window.partitionBy("unit", "v_cluster", "len", "cluster"))
     return got.select("unit", "v_cluster", "cdr3", label.alias("label"))
 
 
 def _linkage(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return cdr3_clusters(_keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3", MAX_DIFF, mode)
+        return cdr3_clusters(keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3", MAX_DIFF, mode)
 
     return run
 
 
 def indel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_clonotypes(_keyed(spark, sf_dir, ["junction", "v_call"]).select("unit", "v_cluster", "cdr3", "sequence_id", F.lit(0).alias("len_no_CDR3")), mode="single")
+    df = with_clonotypes(keyed(spark, sf_dir, ["junction", "v_call"]).select("unit", "v_cluster", "cdr3", "sequence_id", F.lit(0).alias("len_no_CDR3")), mode="single")
     df = written(df.drop("sequence_id", "Pre_Clonotype"), "clusters")
     return merge_indel_clonotypes(df).select("unit", "Clonotype", "CorrectClt").distinct()
 
 
 def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_distances(_keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3").select("unit", "v_cluster", "cdr3", F.round("distance", 9).alias("distance"))
+    return nearest_distances(keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3").select("unit", "v_cluster", "cdr3", F.round("distance", 9).alias("distance"))
 
 
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +274,7 @@ QUERIES = {
 }
 
 
-_KEYED = f"""{CONTIGS_SQL}, keyed AS (SELECT DISTINCT sample AS unit, {GENES_SQL}[1] AS v_cluster, junction AS cdr3, length(junction) AS len FROM contigs WHERE length(junction) >= 9 AND v_call IS NOT NULL AND {GENES_SQL}[1] IS NOT NULL)"""
+KEYED_SQL = f"""{CONTIGS_SQL}, keyed AS (SELECT DISTINCT sample AS unit, {GENES_SQL}[1] AS v_cluster, junction AS cdr3, length(junction) AS len FROM contigs WHERE length(junction) >= 9 AND v_call IS NOT NULL AND {GENES_SQL}[1] IS NOT NULL)"""
 _AA = "CASE WHEN length(junction_aa) > 2 THEN substr(junction_aa, 2, length(junction_aa) - 2) WHEN junction_aa IS NOT NULL THEN '' END"
 _BULK = f"""{CONTIGS_SQL}, b AS (SELECT sample AS unit, sequence_id, Clonotype AS clt, {GENES_SQL}[1] AS v, {_AA} AS aa, junction, n_reads FROM contigs WHERE n_reads IS NOT NULL AND Clonotype IS NOT NULL AND junction IS NOT NULL AND v_call IS NOT NULL),
 u AS (SELECT unit, junction, min(sequence_id) AS sequence_id, arg_min(clt, sequence_id) AS clt, arg_min(v, sequence_id) AS v, arg_min(aa, sequence_id) AS aa, CAST(sum(n_reads) AS BIGINT) AS r FROM b WHERE v IS NOT NULL AND aa IS NOT NULL GROUP BY 1, 2 HAVING sum(n_reads) >= 2),
@@ -292,9 +292,10 @@ cases AS (SELECT SampleID, arg_min(CaseID, registered_at) AS CaseID, arg_min(Bat
 BULKANN_SQL = f"""{_ANN}, g AS (SELECT SampleID, ClonotypeID, ClonotypeVariantID, SubcloneID, min(VDJ_genes) AS VDJ_genes, min(Junction_aa) AS Junction_aa, CAST(sum(Clonotype_nReads) AS BIGINT) AS r FROM ann WHERE Clonotype_nReads IS NOT NULL AND SubcloneID IS NOT NULL AND ClonotypeVariantID IS NOT NULL GROUP BY 1, 2, 3, 4),
 rws AS (SELECT g.*, CaseID, CAST(sum(r) OVER (PARTITION BY SampleID, ClonotypeID, ClonotypeVariantID) AS BIGINT) AS vr, CAST(sum(r) OVER (PARTITION BY SampleID, ClonotypeID) AS BIGINT) AS cr FROM g JOIN cases USING (SampleID))"""
 SC_SQL = f"{_ANN}, sc AS (SELECT * FROM ann WHERE barcode NOT IN ('', 'NA') AND ClonotypeVariantID IS NOT NULL AND SubcloneID NOT IN ('', 'NA'))"
-_CELLTABLE = f"""{SC_SQL}, firsts AS (SELECT SampleID, barcode, completeBCR, Sample_Tag FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode ORDER BY registered_at, record_id) AS k FROM cells WHERE SampleID NOT IN ('', 'NA')) WHERE k = 1),
+CELLS_ONLY_SQL = """firsts AS (SELECT SampleID, barcode, completeBCR, Sample_Tag FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode ORDER BY registered_at, record_id) AS k FROM cells WHERE SampleID NOT IN ('', 'NA')) WHERE k = 1),
 m AS (SELECT SampleID, barcode, string_agg(ClonotypeID, '-' ORDER BY ClonotypeID) AS clone, string_agg(SubcloneID, '-' ORDER BY SubcloneID) AS subclone, string_agg(concat_ws('|', VDJ_genes, Junction_aa), '-' ORDER BY concat_ws('|', VDJ_genes, Junction_aa)) AS seq FROM sc GROUP BY 1, 2),
 ct AS (SELECT * FROM firsts JOIN m USING (SampleID, barcode) JOIN cases USING (SampleID))"""
+CELLTABLE_SQL = f"{SC_SQL}, {CELLS_ONLY_SQL}"
 _SLOTS = f"""{SC_SQL}, one AS (SELECT SampleID, barcode, ClonotypeID, VDJ_genes, Junction_aa FROM (SELECT *, row_number() OVER (PARTITION BY SampleID, barcode, ClonotypeID ORDER BY record_id) AS k FROM sc) WHERE k = 1),
 numbered AS (SELECT *, CASE WHEN substr(ClonotypeID, 1, 3) = 'IGH' THEN 'IGH' WHEN substr(ClonotypeID, 1, 3) IN ('IGK', 'IGL') THEN 'IGL' END AS kind FROM one),
 slots AS (SELECT *, kind || row_number() OVER (PARTITION BY SampleID, barcode, kind ORDER BY ClonotypeID) AS slot FROM numbered)"""
@@ -324,13 +325,19 @@ SELECT sequence_id, seq AS sequence, upper(substr({call('v_call')}, 1, 3)) AS lo
 
 
 def _rescue_sql(column: str) -> str:
-    return f"""WITH {_CELLTABLE}, full_cells AS (SELECT DISTINCT SampleID, clone AS num, {column} AS id, string_split({column}, '-') AS p FROM ct WHERE completeBCR = 'Yes'),
+    return f"""WITH {CELLTABLE_SQL}, full_cells AS (SELECT DISTINCT SampleID, clone AS num, {column} AS id, string_split({column}, '-') AS p FROM ct WHERE completeBCR = 'Yes'),
 runs AS (SELECT SampleID, num, unnest(p) AS run FROM full_cells UNION SELECT SampleID, num, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) FROM full_cells UNION SELECT SampleID, num, id FROM full_cells),
 known AS (SELECT SampleID, run, min(num) AS num FROM runs GROUP BY 1, 2 HAVING count(DISTINCT num) = 1)
 SELECT ct.SampleID, ct.barcode, CASE WHEN known.num IS NOT NULL THEN 'Yes_rescue' ELSE completeBCR END AS completeBCR, coalesce(known.num, CASE WHEN completeBCR = 'Yes' THEN clone END) AS num
 FROM ct LEFT JOIN known ON ct.SampleID = known.SampleID AND known.run = ct.{column} AND completeBCR IN ('Single_chain_1', 'Single_chain_2')"""
 
 
+CONTAM_CELLS_SQL = f"""{CELLS_ONLY_SQL}, n AS (SELECT seq, SampleID, CaseID, subclone, count(*) AS n FROM ct GROUP BY 1, 2, 3, 4), p AS (SELECT seq, SampleID, CaseID, max(n) AS n FROM n GROUP BY 1, 2, 3),
+d AS (SELECT p.*, max(n) OVER (PARTITION BY seq) AS top, first_value(SampleID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS tc FROM p WHERE seq IN (SELECT seq FROM p GROUP BY seq HAVING count(DISTINCT CaseID) > 1 AND max(n) > 1)),
+w AS (SELECT *, max(CASE WHEN CaseID <> tc AND top < 2 * n THEN 1 ELSE 0 END) OVER (PARTITION BY seq) AS doubt FROM d),
+z AS (SELECT seq, SampleID, ts, CASE WHEN CaseID <> tc AND top >= 2 * n THEN 'OUT' WHEN CaseID <> tc THEN 'OUT_X' WHEN doubt = 1 AND SampleID = ts THEN 'OUT_X' END AS raw FROM w),
+x AS (SELECT ct.SampleID, barcode, clone, z.raw, z.ts FROM ct LEFT JOIN z ON ct.seq = z.seq AND ct.SampleID = z.SampleID AND z.raw IS NOT NULL),
+y AS (SELECT *, count(*) FILTER (raw = 'OUT') OVER (PARTITION BY SampleID, clone) * 100.0 / count(*) OVER (PARTITION BY SampleID, clone) AS share FROM x)"""
 CONTAM_BULK_SQL = f"""WITH {BULKANN_SQL}, q AS (SELECT *, coalesce(VDJ_genes, 'NA') || chr(1) || coalesce(Junction_aa, 'NA') AS key FROM rws), v AS (SELECT SampleID, ClonotypeVariantID, max(vr) AS vr FROM q GROUP BY 1, 2),
 f AS (SELECT SampleID, ClonotypeVariantID, vr * 100.0 / sum(vr) OVER (PARTITION BY SampleID) AS freq FROM v), p AS (SELECT key, SampleID, CaseID, max(freq) AS freq FROM q JOIN f USING (SampleID, ClonotypeVariantID) GROUP BY 1, 2, 3),
 d AS (SELECT p.*, max(freq) OVER (PARTITION BY key) AS top, first_value(SampleID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY key ORDER BY freq DESC, SampleID) AS tc FROM p WHERE key IN (SELECT key FROM p GROUP BY key HAVING count(DISTINCT CaseID) > 1)),
@@ -344,10 +351,10 @@ ORACLE = {
     "v_clusters": f"""WITH RECURSIVE {CONTIGS_SQL}, calls AS (SELECT DISTINCT sample AS unit, {GENES_SQL} AS g FROM contigs WHERE v_call IS NOT NULL), e AS (SELECT DISTINCT unit, g[1] AS a, unnest(g) AS b FROM calls),
 both_ways AS (SELECT unit, a, b FROM e UNION SELECT unit, b, a FROM e), reach AS (SELECT unit, a, b FROM both_ways UNION SELECT r.unit, r.a, w.b FROM reach r JOIN both_ways w ON r.unit = w.unit AND r.b = w.a)
 SELECT unit, a AS gene, string_agg(DISTINCT b, ',' ORDER BY b) AS v_cluster FROM reach GROUP BY 1, 2""",
-    "clonotypes_single_linkage": f"""WITH RECURSIVE {_KEYED}, e AS (SELECT a.unit, a.v_cluster, a.cdr3 AS x, b.cdr3 AS y FROM keyed a JOIN keyed b ON a.unit = b.unit AND a.v_cluster = b.v_cluster AND a.len = b.len WHERE round(hamming(a.cdr3, b.cdr3) / a.len, 6) <= {MAX_DIFF}),
+    "clonotypes_single_linkage": f"""WITH RECURSIVE {KEYED_SQL}, e AS (SELECT a.unit, a.v_cluster, a.cdr3 AS x, b.cdr3 AS y FROM keyed a JOIN keyed b ON a.unit = b.unit AND a.v_cluster = b.v_cluster AND a.len = b.len WHERE round(hamming(a.cdr3, b.cdr3) / a.len, 6) <= {MAX_DIFF}),
 reach AS (SELECT unit, v_cluster, x, y FROM e UNION SELECT r.unit, r.v_cluster, r.x, e.y FROM reach r JOIN e ON r.unit = e.unit AND r.v_cluster = e.v_cluster AND r.y = e.x)
 SELECT unit, v_cluster, x AS cdr3, min(y) AS label FROM reach GROUP BY 1, 2, 3""",
-    "nn_distance": f"""WITH {_KEYED} SELECT a.unit, a.v_cluster, a.cdr3, round(min(hamming(a.cdr3, b.cdr3) / a.len), 9) AS distance FROM keyed a LEFT JOIN keyed b ON a.unit = b.unit AND a.v_cluster = b.v_cluster AND a.len = b.len AND a.cdr3 <> b.cdr3 GROUP BY 1, 2, 3""",
+    "nn_distance": f"""WITH {KEYED_SQL} SELECT a.unit, a.v_cluster, a.cdr3, round(min(hamming(a.cdr3, b.cdr3) / a.len), 9) AS distance FROM keyed a LEFT JOIN keyed b ON a.unit = b.unit AND a.v_cluster = b.v_cluster AND a.len = b.len AND a.cdr3 <> b.cdr3 GROUP BY 1, 2, 3""",
     "bulk_ids": f"WITH {_BULK} SELECT unit, sequence_id, cid AS clt, cv, sub, sub_clt FROM t",
     "bulk_freqs": f"""WITH {_BULK} SELECT unit, sequence_id, CAST(sum(r) OVER (PARTITION BY unit, cid) AS BIGINT) AS clonotypeID_nreads, round(sum(r) OVER (PARTITION BY unit, cid) * 100.0 / sum(r) OVER (PARTITION BY unit), 9) AS clonotypeID_freq,
 round(sum(r) OVER (PARTITION BY unit, cv) * 100.0 / sum(r) OVER (PARTITION BY unit, cid), 9) AS clonotypeVariant_freq, round(r * 100.0 / sum(r) OVER (PARTITION BY unit, cv), 9) AS subclone_freq_in_CV, round(r * 100.0 / sum(r) OVER (PARTITION BY unit, cid), 9) AS subclone_freq FROM t""",
@@ -372,14 +379,9 @@ r AS (SELECT b.sample, b.Clonotype, filled, row_number() OVER (PARTITION BY b.sa
 SELECT sample, Clonotype, filled AS consensus_germline FROM r WHERE i = 1""",
     "contam_bulk": f"""{CONTAM_BULK_SQL}
 SELECT x.SampleID, SubcloneID, CASE WHEN raw IS NULL THEN 'PASS' WHEN bad >= 80 THEN 'OUT_CLONOTYPE' ELSE 'OUT_CLONOTYPEVARIANT' END AS Contamination_FLAG, coalesce(raw, 'PASS') AS Contamination_raw, ts AS Contamination_Sample FROM x LEFT JOIN bad ON x.SampleID = bad.SampleID AND x.ClonotypeID = bad.ClonotypeID""",
-    "contam_cells": f"""WITH {_CELLTABLE}, n AS (SELECT seq, SampleID, CaseID, subclone, count(*) AS n FROM ct GROUP BY 1, 2, 3, 4), p AS (SELECT seq, SampleID, CaseID, max(n) AS n FROM n GROUP BY 1, 2, 3),
-d AS (SELECT p.*, max(n) OVER (PARTITION BY seq) AS top, first_value(SampleID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS ts, first_value(CaseID) OVER (PARTITION BY seq ORDER BY n DESC, SampleID) AS tc FROM p WHERE seq IN (SELECT seq FROM p GROUP BY seq HAVING count(DISTINCT CaseID) > 1 AND max(n) > 1)),
-w AS (SELECT *, max(CASE WHEN CaseID <> tc AND top < 2 * n THEN 1 ELSE 0 END) OVER (PARTITION BY seq) AS doubt FROM d),
-z AS (SELECT seq, SampleID, ts, CASE WHEN CaseID <> tc AND top >= 2 * n THEN 'OUT' WHEN CaseID <> tc THEN 'OUT_X' WHEN doubt = 1 AND SampleID = ts THEN 'OUT_X' END AS raw FROM w),
-x AS (SELECT ct.SampleID, barcode, clone, z.raw, z.ts FROM ct LEFT JOIN z ON ct.seq = z.seq AND ct.SampleID = z.SampleID AND z.raw IS NOT NULL),
-y AS (SELECT *, count(*) FILTER (raw = 'OUT') OVER (PARTITION BY SampleID, clone) * 100.0 / count(*) OVER (PARTITION BY SampleID, clone) AS share FROM x)
+    "contam_cells": f"""WITH {SC_SQL}, {CONTAM_CELLS_SQL}
 SELECT SampleID, barcode, CASE WHEN share >= 80 THEN 'OUT_CLONOTYPE' ELSE coalesce(raw, 'PASS') END AS Contamination_FLAG, ts AS Contamination_Sample FROM y""",
-    "contam_tags": f"""WITH {_CELLTABLE}, n AS (SELECT SampleID, clone, Sample_Tag, count(*) AS n FROM ct WHERE Sample_Tag NOT IN ('', 'NA', 'Multiplet', 'Undetermined') GROUP BY 1, 2, 3),
+    "contam_tags": f"""WITH {CELLTABLE_SQL}, n AS (SELECT SampleID, clone, Sample_Tag, count(*) AS n FROM ct WHERE Sample_Tag NOT IN ('', 'NA', 'Multiplet', 'Undetermined') GROUP BY 1, 2, 3),
 t AS (SELECT *, sum(n) OVER w AS total, max(n) OVER w AS top, first_value(Sample_Tag) OVER (PARTITION BY SampleID, clone ORDER BY n DESC, Sample_Tag) AS best FROM n WINDOW w AS (PARTITION BY SampleID, clone)),
 f AS (SELECT *, total > 1 AND Sample_Tag <> best AND top > 1.5 * n AS bad FROM t)
 SELECT ct.SampleID, barcode, CASE WHEN bad THEN 'OUT' WHEN bad IS NOT NULL THEN 'PASS' END AS SampleTag_FLAG, CASE WHEN bad THEN n || ':' || top END AS SampleTag_Ratio FROM ct LEFT JOIN f ON ct.SampleID = f.SampleID AND ct.clone = f.clone AND ct.Sample_Tag = f.Sample_Tag""",

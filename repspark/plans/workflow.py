@@ -98,3 +98,10 @@ def recalculate(df: DataFrame, group: str | list[str] = "SampleID") -> DataFrame
 def remove_contamination(flagged: DataFrame, group: str | list[str] = "SampleID") -> DataFrame:
     """Only the rows flagged PASS, with their ids and frequencies anew within ``group``."""
     return recalculate(written(keep_passed(flagged), "passed"), group)
+
+
+def remove_contaminated_cells(contigs: DataFrame, flagged: DataFrame, group: str | list[str] = "SampleID") -> DataFrame:
+    """Contigs of the cells flagged PASS (rows without a barcode go), with all their ids anew."""
+    keys = [*columns(group), "barcode"]
+    left = contigs.join(keep_passed(flagged).select(*keys).distinct(), keys, "left_semi")
+    return recalculate_cells(written(left, "passed"), group)
