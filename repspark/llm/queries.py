@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repspark.functions.missing import present
 from repspark.llm.bpe import encode_texts
 from repspark.llm.leaks import find_leaks
-from repspark.llm.quantiles import daily_sketches, group_percentiles, total_percentiles
+from repspark.llm.quantiles import K, daily_sketches, group_percentiles, total_percentiles
 from repspark.llm.sentences import doubtful_places, find_sentences
 from repspark.llm.term_counts import TermCountStore, marked
 from repspark.llm.top_n import latest_per_item, top_n
@@ -23,23 +23,23 @@ TERM_FIELDS = {"v_call": ",", "junction_aa": None}
 DELTA_DAYS = 30
 
 
-def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_percentiles(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """Percentiles of V_identity for each sample, and for all rows together (a null SampleID, scope 'all').
 
     max_rank_error is the proven bound of the rank error, in rows. A row whose SampleID is null, '' or NA
     counts in 'all' only. Every row counts, copies too.
     """
     df = table(spark, sf_dir, "annotated_contigs").select(present("SampleID").alias("SampleID"), "V_identity", "loaded_at")
-    days = written(daily_sketches(df, "V_identity", "SampleID", "loaded_at", 0.0, 100.0), "sketches")
-    each = group_percentiles(days, PERMILLE).withColumn("scope", F.lit("sample"))
-    whole = total_percentiles(days, PERMILLE).withColumn("scope", F.lit("all")).withColumn("grp", F.lit(None).cast("string"))
+    days = written(daily_sketches(df, "V_identity", "SampleID", "loaded_at", 0.0, 100.0, k), "sketches")
+    each = group_percentiles(days, PERMILLE, k).withColumn("scope", F.lit("sample"))
+    whole = total_percentiles(days, PERMILLE, k).withColumn("scope", F.lit("all")).withColumn("grp", F.lit(None).cast("string"))
     cols = [F.col("grp").alias("SampleID"), "scope", "n_values", F.col("rank_error").alias("max_rank_error"), *[F.col(f"q{q}").alias(f"p{q // 10:02d}") for q in PERMILLE]]
     return each.unionByName(whole).select(*cols)
 
 
-def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_within_bound(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(scope, SampleID, percentile, n_values, within): whether each estimate's true rank lies within its bound."""
-    got = written(p1_percentiles(spark, sf_dir), "percentiles")
+    got = written(p1_percentiles(spark, sf_dir, k), "percentiles")
     v = F.col("V_identity")
     values = table(spark, sf_dir, "annotated_contigs").select(present("SampleID").alias("SampleID"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v) & v.between(0.0, 100.0))
     ps = [q // 10 for q in PERMILLE]
@@ -56,6 +56,14 @@ def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.unionByName(whole).select("scope", "SampleID", "n_values", checks).select("scope", "SampleID", "c.percentile", "n_values", "c.within")
 
 
+def p1_within_bound_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with buffers of 16 values, so that samples are collapsed many times too, and the bound of each is below its values."""
+    got = written(p1_percentiles(spark, sf_dir, 16), "percentiles")
+    r = got.agg(F.max("max_rank_error").alias("e"), F.max(F.col("max_rank_error") / F.col("n_values")).alias("share")).first()
+    collapsed, useful = (r["e"] or 0) > 0, (r["share"] or 0) < 1
+    return p1_within_bound(spark, sf_dir, 16).withColumns({"collapsed": F.lit(collapsed), "useful": F.lit(useful)})
+
+
 def store_path(spark: SparkSession, name: str, source: str) -> str:
     """Where the counts of a table are kept: a folder of ``repspark.term_store`` (a setting of the session) of its own, else one that goes with the driver."""
     root = spark.conf.get("repspark.term_store", None)
@@ -154,7 +162,7 @@ def p8_doubtful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubtful_places(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changed": p2_changed, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_doubtful": p8_doubtful}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_within_bound": p1_within_bound, "p1_within_bound_small": p1_within_bound_small, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changed": p2_changed, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_doubtful": p8_doubtful}
 
 _TERMS = """terms AS (
   SELECT rid, 'v_call' AS field_name, upper(trim(t)) AS term FROM (SELECT rid, unnest(string_split(v_call, ',')) AS t FROM rows)
@@ -168,10 +176,12 @@ _CURRENT = f"""latest AS (SELECT v_call, junction_aa, productive, row_number() O
   FROM tidy_contigs WHERE sample IS NOT NULL AND sequence_id IS NOT NULL),
 rows AS (SELECT row_number() OVER () AS rid, v_call, junction_aa FROM latest WHERE k = 1 AND upper(trim(productive)) IN ('T', 'TRUE')), {_TERMS}"""
 
+_VALUES = """v AS (SELECT CASE WHEN SampleID NOT IN ('', 'NA') THEN SampleID END AS SampleID FROM annotated_contigs WHERE NOT isnan(V_identity) AND V_identity BETWEEN 0 AND 100),
+n AS (SELECT 'sample' AS scope, SampleID, count(*) AS n_values FROM v WHERE SampleID IS NOT NULL GROUP BY SampleID UNION ALL SELECT 'all', NULL, count(*) FROM v)"""
+
 ORACLE = {
-    "p1_within_bound": """WITH v AS (SELECT CASE WHEN SampleID NOT IN ('', 'NA') THEN SampleID END AS SampleID FROM annotated_contigs WHERE NOT isnan(V_identity) AND V_identity BETWEEN 0 AND 100),
-n AS (SELECT 'sample' AS scope, SampleID, count(*) AS n_values FROM v WHERE SampleID IS NOT NULL GROUP BY SampleID UNION ALL SELECT 'all', NULL, count(*) FROM v)
-SELECT scope, SampleID, percentile, n_values, true AS within FROM n, (VALUES (5), (25), (50), (75), (95)) p (percentile)""",
+    "p1_within_bound": f"WITH {_VALUES} SELECT scope, SampleID, percentile, n_values, true AS within FROM n, (VALUES (5), (25), (50), (75), (95)) p (percentile)",
+    "p1_within_bound_small": f"WITH {_VALUES} SELECT scope, SampleID, percentile, n_values, true AS within, true AS collapsed, true AS useful FROM n, (VALUES (5), (25), (50), (75), (95)) p (percentile)",
     "p2_counts": f"WITH {_COUNTS} SELECT * FROM marks",
     "p2_changed": f"WITH {_CURRENT} SELECT * FROM marks",
     "p2_found": f"WITH {_COUNTS} SELECT field_name, term, mark FROM marks WHERE mark IS NOT NULL",
