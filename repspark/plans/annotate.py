@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from repspark.operators.immunogenetics import annotate_features, clonotype_subse
 from repspark.operators.tidy import modal_length, tidy, unique_sequences, with_read_counts
 from repspark.runtime import written
 
+log = logging.getLogger("repspark")
+
 #: Working names and the public names of the product.
 PUBLIC = {
     "sequence_id": "contig_id", "sequence": "Raw_sequence", "raw_VDJseq": "Raw_VDJ_sequence", "VDJseq": "VDJ_sequence", "germline_alignment": "IgBlast_Germline_alignment",
@@ -92,6 +96,7 @@ def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> Data
     number, by which sequences and germline are joined back at the end.
     """
     mb = cfg.data_type == "missionbio"
+    step = lambda done: log.info("%s annotation: %s", cfg.data_type, done)
     df = correct_indels(tidy(aligned, cfg.material_type, cfg.primer, extra=("unit",)).withColumn("raw_VDJseq", F.regexp_replace("VDJseq", "-", "")))
     df = df.withColumns({"len_no_CDR3": F.aggregate(F.slice("arch", 1, 5), F.lit(0), lambda a, x: a + x), "VDJ_positions": F.array_join(F.col("arch").cast("array<string>"), "-")})
     df = df.withColumn("junction", junction_from("VDJseq", F.col("arch"))).withColumn("junction_aa", translate_nt("junction")).withColumn("junction_aa_length", F.length("junction_aa"))
@@ -100,18 +105,22 @@ def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> Data
         df = unique_sequences(with_read_counts(df, ["unit"]), scope, ["VDJseq", "indel"], cfg.min_reads)
     kept = ["unit", "sample", "sequence_id", "v_call", "VDJseq", "indel", "arch", "len_no_CDR3", "junction", "junction_aa", "junction_aa_length", "productive", *(["total_reads_unique_seq"] if cfg.data_type == "bulk" else [])]
     whole = written(df.select(F.monotonically_increasing_id().alias("_row"), *kept, *CARRIED), "tidy")
+    step("tidy rows written, clonotypes begin")
     df = assign_clonotypes(with_v_cluster(whole.select("_row", *kept)).drop("v_call"), cfg)
+    step("clonotypes assigned, ids begin")
     carried = whole.select("_row", *CARRIED)
     if cfg.data_type == "bulk":
         return to_public(immunogenetics(written(ids.bulk_frequencies(ids.bulk_ids(df)).join(carried, "_row"), "ids"), cfg))
     df = ids.cell_ids(df).withColumn("barcode", barcode("sequence_id", "sample"))
     df = written(C.drop_repeated_chains(df), "ids")
+    step("ids written, cells begin")
     cell = C.resolve_classes(C.initial_class(C.merged_ids(df), mb), mission_bio=mb).select("unit", "barcode", "completeBCR", "igclonotypeID")
     df = written(C.relabel_chains(df.join(cell, ["unit", "barcode"], "left")), "relabelled")
     df = df.withColumns({"_cv": F.concat_ws("_", "v_cluster", "cdr3_aa"), "_sub": F.concat_ws("_", "VDJseq", F.coalesce("indel", F.lit("NA")))})
     df = rank_set(df, [(["unit", "clonotypeID"], "_cv", "_v", "CV"), (["unit", "clonotypeID", "_cv"], "_sub", "_s", "S")])
     df = df.withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s")).drop("_cv", "_v", "_sub", "_s")
     df = written(df, "chains")
+    step("chains labelled, numbers and immunogenetics begin")
     merged = C.merged_ids(df).select("unit", "barcode", "merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")
     df = written(C.numbered(df.join(merged, ["unit", "barcode"], "left")).join(carried, "_row"), "cells")
     df = immunogenetics(df, cfg)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repspark.functions.missing import present
-from repspark.operators.heavy_keys import keyed_fields, per_key_summary
+from repspark.operators.heavy_keys import keyed_fields, per_key_summary, skew_join
 from repspark.operators.orphans import composite_key, find_orphans, orphan_report
 from repspark.runtime import table, written
 
@@ -29,6 +29,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key.join(F.broadcast(total), "field_name").where(F.col("n_rows") * 40 >= F.col("total")).select("field_name", "key_value")
 
 
+def p3_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contig with the rows and samples of its clonotypeID, null without one: a join on a key that few values dominate."""
+    rows = table(spark, sf_dir, "tidy_contigs").select(present("clonotypeID").alias("key_value"), "sample", "sequence_id", "loaded_at")
+    per_key = written(p3_per_key(spark, sf_dir).where("field_name = 'clonotypeID'").select("key_value", "n_rows", "n_samples"), "per-key")
+    return skew_join(rows, per_key, "key_value", how="left")
+
+
 def p4_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All references and all parents; keys begin with the name of the target."""
     contigs, cells = table(spark, sf_dir, "annotated_contigs"), table(spark, sf_dir, "cells")
@@ -62,7 +69,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(refs, find_orphans(refs, parents))
 
 
-QUERIES = {"p3_found": p3_found, "p3_per_key": p3_per_key, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p3_found": p3_found, "p3_per_key": p3_per_key, "p3_joined": p3_joined, "p4_found": p4_found, "p4_report": p4_report}
 
 _REFS = """refs AS (
   SELECT 'annotated_contigs' AS src_table, 'barcode' AS ref_field, record_id, 'c' AS target, barcode AS k1, '' AS k2, loaded_at AS seen_at FROM annotated_contigs WHERE barcode NOT IN ('', 'NA')
@@ -85,6 +92,7 @@ per_key AS (
 
 ORACLE = {
     "p3_per_key": f"WITH {_PER_KEY} SELECT * FROM per_key",
+    "p3_joined": f"WITH {_PER_KEY} SELECT CASE WHEN t.clonotypeID NOT IN ('', 'NA') THEN t.clonotypeID END AS key_value, sample, sequence_id, loaded_at, n_rows, n_samples FROM tidy_contigs t LEFT JOIN per_key p ON p.field_name = 'clonotypeID' AND p.key_value = t.clonotypeID",
     "p3_found": f"WITH {_PER_KEY} SELECT field_name, key_value FROM per_key JOIN (SELECT field_name, sum(n_rows) AS total FROM per_key GROUP BY 1) t USING (field_name) WHERE n_rows >= 0.025 * total",
     "p4_found": f"WITH {_REFS} SELECT DISTINCT src_table, ref_field, record_id FROM orphans",
     "p4_report": f"""WITH {_REFS}

@@ -41,10 +41,10 @@ def read_aligned(spark: SparkSession, folder: str, samples: list[str] | None = N
     return df.withColumn("unit", F.col("sample"))
 
 
-def run_aligner(df: DataFrame, program: str, database: dict[str, str], evalue: float | None = None, annotate_c: bool = True, columns: list[str] | None = None) -> DataFrame:
+def run_aligner(df: DataFrame, program: str, database: dict[str, str], evalue: float | None = None, annotate_c: bool = True, columns: list[str] | None = None, threads: int = 1) -> DataFrame:
     """Aligner output of (sample, sequence_id, sequence), a process per batch of rows on the executors; raises where the program is missing.
 
-    ``database`` maps V, D, J (and C) to germline databases.
+    ``database`` maps V, D, J (and C) to germline databases. Each process has ``threads`` threads; set spark.task.cpus to as many.
     """
     if not shutil.which(program):
         raise FileNotFoundError(f"aligner {program} is not installed; read its output with read_aligned instead")
@@ -62,12 +62,15 @@ def run_aligner(df: DataFrame, program: str, database: dict[str, str], evalue: f
                 for gene, db in database.items():
                     if gene != "C" or annotate_c:
                         cmd += [f"-{'c_region_db' if gene == 'C' else f'germline_db_{gene}'}", db]
+                if threads > 1:
+                    cmd += ["-num_threads", str(threads)]
                 if evalue is not None:
                     cmd += ["-evalue", str(evalue)]
                 subprocess.run(cmd, check=True, capture_output=True)
                 got = pd.read_csv(target, sep="\t", dtype=str)
             got["sample"] = got["sequence_id"].map(dict(zip(pdf["sequence_id"], pdf["sample"])))
-            yield got.reindex(columns=[*names, "sample"])
+            got = got.reindex(columns=[*names, "sample"]).astype(object)
+            yield got.where(got.notna(), None)
 
     ship(df.sparkSession)
     return df.mapInPandas(run, ", ".join(f"{c} string" for c in [*names, "sample"]))
