@@ -49,7 +49,7 @@ def resolve_classes(cells: DataFrame, unit: str = "unit", mission_bio: bool = Fa
         got = resolve(list(zip(g["merge_clonotypeID"], g["completeBCR"], g["n"])), mission_bio)
         return [(g[unit][0], *k, *got[k]) for k in sorted(got)]
 
-    out = map_groups(combos, [unit], run, f"{unit} string, merge_clonotypeID string, completeBCR string, igclonotypeID string, _final string")
+    out = written(map_groups(combos, [unit], run, f"{unit} string, merge_clonotypeID string, completeBCR string, igclonotypeID string, _final string"), "classes")
     return cells.join(out, [unit, "merge_clonotypeID", "completeBCR"], "left").withColumn("completeBCR", F.coalesce("_final", "completeBCR")).drop("_final")
 
 

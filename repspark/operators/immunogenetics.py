@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,25 +16,31 @@ from repspark.runtime import map_groups, ship
 
 #: A clonotype's distinct CDR3 are counted in so many parts.
 PARTS = 16
+_FIXED = pa.struct([("seq", pa.string()), ("germ", pa.string()), ("arch", pa.list_(pa.int32())), ("indel", pa.string())])
+_MATCHED = pa.struct([("seq", pa.string()), ("indel", pa.string())])
 
 
 def correct_indels(df: DataFrame) -> DataFrame:
     """Rows with VDJseq, germline_alignment and arch without inner gaps, and the events as ``indel`` (null if none).
 
-    Only rows with a gap between bases go through Python.
+    One pass: only rows with a gap between bases are sent to Python, of the others a null.
     """
     ship(df.sparkSession)
     gap = "[ACTG]-+[ACTG]"
-    flagged = F.coalesce(F.col("VDJseq").rlike(gap), F.lit(False)) | F.coalesce(F.col("germline_alignment").rlike(gap), F.lit(False))
+    flagged = F.col("VDJseq").rlike(gap) | F.col("germline_alignment").rlike(gap)
+    sent = lambda c: F.when(flagged, c)
 
-    @F.pandas_udf("seq string, germ string, arch array<int>, indel string")
-    def fix(seq: pd.Series, germ: pd.Series, arch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([correct(s, g, [int(x) for x in a]) for s, g, a in zip(seq, germ, arch)], columns=["seq", "germ", "arch", "indel"])
+    @F.arrow_udf("struct<seq: string, germ: string, arch: array<int>, indel: string>")
+    def fix(seq: pa.Array, germ: pa.Array, arch: pa.Array) -> pa.Array:
+        rows = [None] * len(seq)
+        for i in np.flatnonzero(seq.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            rows[i] = dict(zip(("seq", "germ", "arch", "indel"), correct(seq[i].as_py(), germ[i].as_py(), arch[i].as_py())))
+        return pa.array(rows, _FIXED)
 
-    clean = df.where(~flagged).withColumn("indel", F.lit(None).cast("string"))
-    dirty = df.where(flagged).withColumn("_f", fix("VDJseq", "germline_alignment", F.col("arch").cast("array<int>")))
-    dirty = dirty.withColumns({"VDJseq": F.col("_f.seq"), "germline_alignment": F.col("_f.germ"), "arch": F.col("_f.arch"), "indel": F.col("_f.indel")}).drop("_f")
-    return clean.withColumn("arch", F.col("arch").cast("array<int>")).unionByName(dirty)
+    df = df.withColumn("arch", F.col("arch").cast("array<int>"))
+    df = df.withColumn("_f", fix(sent(F.col("VDJseq")), sent(F.col("germline_alignment")), sent(F.col("arch"))))
+    new = {"VDJseq": "seq", "germline_alignment": "germ", "arch": "arch"}
+    return df.withColumns({c: F.when(F.col("_f").isNotNull(), F.col(f"_f.{f}")).otherwise(F.col(c)) for c, f in new.items()} | {"indel": F.col("_f.indel")}).drop("_f")
 
 
 def consensus_cdr3(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
@@ -117,17 +123,24 @@ def consensus_germline(df: DataFrame, keys: list[str], seq: str, germline: str,
 
 
 def correct_cdr3_length(df: DataFrame, seq: str, germline: str, consensus: str, differs: Column) -> DataFrame:
-    """Rows with VDJseq_correctedCDR3, and in indel_CDR3 the events that led to it: where ``differs`` holds, the sequence brought to the clonotype's consensus germline."""
-    ship(df.sparkSession)
-
-    @F.pandas_udf("seq string, indel string")
-    def fix(s: pd.Series, g: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([match_consensus(a, b, k)[::2] for a, b, k in zip(s, g, c)], columns=["seq", "indel"])
+    """Rows with VDJseq_correctedCDR3, and in indel_CDR3 the events that led to it: where ``differs`` holds, the sequence brought to the clonotype's consensus germline.
 
-    differs = F.coalesce(differs, F.lit(False)) & F.col(seq).isNotNull() & F.col(germline).isNotNull() & F.col(consensus).isNotNull()
-    same = df.where(~differs).withColumns({"VDJseq_correctedCDR3": F.col(seq), "indel_CDR3": F.lit(None).cast("string")})
-    other = df.where(differs).withColumn("_f", fix(seq, germline, consensus))
-    return same.unionByName(other.withColumns({"VDJseq_correctedCDR3": F.col("_f.seq"), "indel_CDR3": F.col("_f.indel")}).drop("_f"))
+    One pass: only rows that differ are sent to Python, of the others a null.
+    """
+    ship(df.sparkSession)
+    wrong = differs & F.col(seq).isNotNull() & F.col(germline).isNotNull() & F.col(consensus).isNotNull()
+    sent = lambda c: F.when(wrong, F.col(c))
+
+    @F.arrow_udf("struct<seq: string, indel: string>")
+    def fix(s: pa.Array, g: pa.Array, c: pa.Array) -> pa.Array:
+        rows = [None] * len(s)
+        for i in np.flatnonzero(s.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            new, _, events = match_consensus(s[i].as_py(), g[i].as_py(), c[i].as_py())
+            rows[i] = {"seq": new, "indel": events}
+        return pa.array(rows, _MATCHED)
+
+    df = df.withColumn("_f", fix(sent(seq), sent(germline), sent(consensus)))
+    return df.withColumns({"VDJseq_correctedCDR3": F.when(F.col("_f").isNotNull(), F.col("_f.seq")).otherwise(F.col(seq)), "indel_CDR3": F.col("_f.indel")}).drop("_f")
 
 
 def joined_events(own: Column | str, more: Column | str) -> Column:

@@ -105,9 +105,10 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], l
     """``fn`` over each group of ``keys``: a list of values per column in, rows of ``schema`` out.
 
     Groups lie sorted in the partitions of one shuffle and are read one after another, so many small groups
-    share a batch and only one group is held at a time. With ``tasks`` the shuffle has so many partitions, however
-    small they are.
+    share a batch and only one group is held at a time. The shuffle has ``tasks`` partitions, by default the session's
+    number, however small they are: the work of a group isn't told by its bytes.
     """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out_schema = _parse(df.sparkSession, schema)
     arrow = to_arrow_schema(out_schema)
 
@@ -144,7 +145,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], l
         if rows:
             yield pack()
 
-    return map_arrow((df.repartition(tasks, *keys) if tasks else df.repartition(*keys)).sortWithinPartitions(*keys), run, schema)
+    return map_arrow(df.repartition(tasks, *keys).sortWithinPartitions(*keys), run, schema)
 
 
 def _parse(spark: SparkSession, schema: str) -> StructType:
