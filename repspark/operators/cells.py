@@ -43,6 +43,7 @@ def initial_class(cells: DataFrame, mission_bio: bool = False) -> DataFrame:
 
 def resolve_classes(cells: DataFrame, unit: str = "unit", mission_bio: bool = False) -> DataFrame:
     """Cells with the final completeBCR and igclonotypeID; only the distinct combinations of a unit, with their contig counts, reach Python."""
+    cells = written(cells, "cells")
     combos = cells.groupBy(unit, "merge_clonotypeID", "completeBCR").agg(F.sum("n_chains").alias("n"))
 
     def run(g: dict[str, list]) -> list[tuple]:

@@ -28,20 +28,20 @@ MAX_DIFF = 0.2
 
 def clonotype_freq_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs and percent of each clonotype in its sample: the flagship."""
-    df = latest_contigs(spark, sf_dir).where(F.col("clonotypeID").isNotNull())
+    df = latest_contigs(spark, sf_dir, ["clonotypeID"]).where(F.col("clonotypeID").isNotNull())
     n = df.groupBy("sample", "clonotypeID").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("sample").agg(F.sum("n").alias("t"))
     return n.join(total, "sample").select("sample", "clonotypeID", "n", F.round(F.col("n") * 100.0 / F.col("t"), 9).alias("freq"))
 
 
-def keyed(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+def keyed(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("junction", "v_call")) -> DataFrame:
     """Contigs with unit, first gene as V cluster, CDR3 and its length."""
-    df = latest_contigs(spark, sf_dir, columns).where((F.length("junction") >= 9) & F.col("v_call").isNotNull()).withColumn("unit", F.col("sample")).withColumn("v_cluster", first_gene("v_call"))
+    df = latest_contigs(spark, sf_dir, list(columns)).where((F.length("junction") >= 9) & F.col("v_call").isNotNull()).withColumn("unit", F.col("sample")).withColumn("v_cluster", first_gene("v_call"))
     return df.withColumn("cdr3", F.col("junction")).withColumn("len", F.length("junction")).where(F.col("v_cluster").isNotNull())
 
 
 def v_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v_cluster_map(latest_contigs(spark, sf_dir).withColumn("unit", F.col("sample")).where(F.col("v_call").isNotNull()))
+    return v_cluster_map(latest_contigs(spark, sf_dir, ["v_call"]).withColumn("unit", F.col("sample")).where(F.col("v_call").isNotNull()))
 
 
 def clonotypes_single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _linkage(mode: str):
 
 
 def indel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_clonotypes(keyed(spark, sf_dir, ["junction", "v_call"]).select("unit", "v_cluster", "cdr3", "sequence_id", F.lit(0).alias("len_no_CDR3")), mode="single")
+    df = with_clonotypes(keyed(spark, sf_dir).select("unit", "v_cluster", "cdr3", "sequence_id", F.lit(0).alias("len_no_CDR3")), mode="single")
     df = written(df.drop("sequence_id", "Pre_Clonotype"), "clusters")
     return merge_indel_clonotypes(df).select("unit", "Clonotype", "CorrectClt").distinct()
 
@@ -67,8 +67,11 @@ def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_distances(keyed(spark, sf_dir), ["unit", "v_cluster", "len"], "cdr3").select("unit", "v_cluster", "cdr3", F.round("distance", 9).alias("distance"))
 
 
+_USED = ["n_reads", "Clonotype", "junction", "junction_aa", "v_call"]
+
+
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest_contigs(spark, sf_dir).where(F.col("n_reads").isNotNull() & F.col("Clonotype").isNotNull() & F.col("junction").isNotNull() & F.col("v_call").isNotNull())
+    df = latest_contigs(spark, sf_dir, _USED).where(F.col("n_reads").isNotNull() & F.col("Clonotype").isNotNull() & F.col("junction").isNotNull() & F.col("v_call").isNotNull())
     df = df.select(F.col("sample").alias("unit"), "sequence_id", F.col("Clonotype").alias("CorrectClt"), first_gene("v_call").alias("v_cluster"), cdr3_aa("junction_aa").alias("cdr3_aa"), "junction", "n_reads").where(F.col("v_cluster").isNotNull() & F.col("cdr3_aa").isNotNull())
     return unique_sequences(df, ["unit"], ["junction"], 2)
 
@@ -84,7 +87,7 @@ def bulk_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest_contigs(spark, sf_dir).where(F.col("n_reads").isNull() & F.col("Clonotype").isNotNull() & F.col("junction").isNotNull() & F.col("v_call").isNotNull())
+    df = latest_contigs(spark, sf_dir, _USED).where(F.col("n_reads").isNull() & F.col("Clonotype").isNotNull() & F.col("junction").isNotNull() & F.col("v_call").isNotNull())
     df = df.select(F.col("sample").alias("unit"), "sequence_id", "Clonotype", first_gene("v_call").alias("v_cluster"), cdr3_aa("junction_aa").alias("cdr3_aa"), F.col("junction").alias("VDJseq"), F.lit(None).cast("string").alias("indel"), barcode("sequence_id", "sample").alias("barcode"))
     return ids.cell_ids(df.where(F.col("v_cluster").isNotNull() & F.col("cdr3_aa").isNotNull()), clonotype="Clonotype")
 
@@ -122,7 +125,7 @@ def chain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus_cdr3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest_contigs(spark, sf_dir).where(F.col("Clonotype").isNotNull()).withColumn("cdr3", cdr3_aa("junction_aa"))
+    df = latest_contigs(spark, sf_dir, ["Clonotype", "junction_aa"]).where(F.col("Clonotype").isNotNull()).withColumn("cdr3", cdr3_aa("junction_aa"))
     return consensus_cdr3(df, ["sample", "Clonotype"], "cdr3")
 
 
@@ -135,17 +138,19 @@ def consensus_germline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- annotated contigs ---
 
 
-def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """annotated_contigs, each record once."""
-    df = table(spark, sf_dir, "annotated_contigs")
-    rest = [c for c in df.columns if c != "record_id"]
-    out = df.groupBy("record_id").agg(F.max(F.struct("loaded_at", *[c for c in rest if c != "loaded_at"])).alias("r")).select("record_id", "r.*")
+_ROW = ["SampleID", "ClonotypeID", "ClonotypeVariantID", "SubcloneID", "VDJ_genes", "Junction_aa"]
+
+
+def annotated(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """annotated_contigs with these columns, each record once, as it was loaded last (of equal times the greatest)."""
+    df, rest = table(spark, sf_dir, "annotated_contigs"), columns
+    out = df.groupBy("record_id").agg(F.max(F.struct("loaded_at", *[c for c in rest if c != "loaded_at"])).alias("r")).select("record_id", *[f"r.{c}" for c in rest])
     return out.withColumn("SampleID", present("SampleID")).where(F.col("SampleID").isNotNull() & F.col("ClonotypeID").isNotNull())
 
 
 def bulk_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk rows as one per subclone, its reads the rows' clonotype reads, with case and batch of the sample's first registration."""
-    df = annotated(spark, sf_dir).where(F.col("Clonotype_nReads").isNotNull() & F.col("SubcloneID").isNotNull() & F.col("ClonotypeVariantID").isNotNull())
+    df = annotated(spark, sf_dir, [*_ROW, "Clonotype_nReads"]).where(F.col("Clonotype_nReads").isNotNull() & F.col("SubcloneID").isNotNull() & F.col("ClonotypeVariantID").isNotNull())
     rows = df.groupBy("SampleID", "ClonotypeID", "ClonotypeVariantID", "SubcloneID").agg(F.min("VDJ_genes").alias("VDJ_genes"), F.min("Junction_aa").alias("Junction_aa"), F.sum("Clonotype_nReads").alias("Subclone_nReads"))
     cv = rows.groupBy("SampleID", "ClonotypeID", "ClonotypeVariantID").agg(F.sum("Subclone_nReads").alias("ClonotypeVariant_nReads"))
     clt = cv.groupBy("SampleID", "ClonotypeID").agg(F.sum("ClonotypeVariant_nReads").alias("_t"))
@@ -170,7 +175,7 @@ def recalc_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = annotated(spark, sf_dir).where(present("barcode").isNotNull() & F.col("ClonotypeVariantID").isNotNull() & present("SubcloneID").isNotNull())
+    df = annotated(spark, sf_dir, [*_ROW, "barcode"]).where(present("barcode").isNotNull() & F.col("ClonotypeVariantID").isNotNull() & present("SubcloneID").isNotNull())
     return df
 
 

@@ -16,16 +16,16 @@ _KEY = ["sample", "sequence_id"]
 
 
 def revcomp_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_contigs(spark, sf_dir).select(*_KEY, revcomp("junction").alias("rc"))
+    return latest_contigs(spark, sf_dir, ["junction"]).select(*_KEY, revcomp("junction").alias("rc"))
 
 
 def collapse_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = latest_contigs(spark, sf_dir).select("sample", F.col("junction").alias("sequence"))
+    rows = latest_contigs(spark, sf_dir, ["junction"]).select("sample", F.col("junction").alias("sequence"))
     return numbered_reads(collapse(rows)).select("sample", "sequence_id", "sequence", "n")
 
 
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_enough(latest_contigs(spark, sf_dir).withColumn("sequence", F.col("junction")), 45).select(*_KEY, F.length("sequence").alias("len"))
+    return long_enough(latest_contigs(spark, sf_dir, ["junction"]).withColumn("sequence", F.col("junction")), 45).select(*_KEY, F.length("sequence").alias("len"))
 
 
 def _primer(mode: str):
@@ -57,7 +57,7 @@ def read_count_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_contigs(spark, sf_dir).where(read_count("sequence_id").isNotNull() & F.col("junction").isNotNull()).select("sample", "sequence_id", "junction", "v_call")
+    return latest_contigs(spark, sf_dir, ["junction", "v_call"]).where(read_count("sequence_id").isNotNull() & F.col("junction").isNotNull()).select("sample", "sequence_id", "junction", "v_call")
 
 
 def unique_sequences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def modal_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_contigs(spark, sf_dir).where(F.col("junction").isNotNull()).select("junction").distinct().select("junction", translate_nt("junction").alias("aa"))
+    return latest_contigs(spark, sf_dir, ["junction"]).where(F.col("junction").isNotNull()).select("junction").distinct().select("junction", translate_nt("junction").alias("aa"))
 
 
 def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
