@@ -214,16 +214,25 @@ def rank_set(df: DataFrame, ranks: list[tuple[list[str], str, str, str]], by: st
     """
     keys = list(dict.fromkeys(c for parents, key, _, _ in ranks for c in [*parents, key]))
     n = df.groupBy(*keys).agg((F.count(F.lit(1)) if by is None else F.sum(by)).alias("_n"))
-    for i, (parents, key, _, _) in enumerate(ranks):
+
+    def place(key: str, prefix: str, count: str, parents: list[str]) -> Column:
+        w = Window.partitionBy(*parents).orderBy(F.col(key).isNull(), F.col(count).desc(), F.col(key))
+        return F.when(F.col(key).isNotNull(), F.concat(F.lit(prefix), F.dense_rank().over(w).cast("string")))
+
+    first, top = ranks[0], [*ranks[0][0], ranks[0][1]]
+    inner = ranks[1:] if all(set(top) <= set(parents) for parents, *_ in ranks[1:]) else ranks
+    if inner is not ranks:
+        # the first rank is taken on its own keys; all others lie within one of these, so one shuffle serves them
+        outer = n.groupBy(*top).agg(F.sum("_n").alias("_n0")).withColumn(first[2], place(first[1], first[3], "_n0", first[0])).drop("_n0")
+        n = n.repartition(*top) if inner else n
+    for i, (parents, key, _, _) in enumerate(inner):
         n = n.withColumn(f"_n{i}", F.sum("_n").over(Window.partitionBy(*parents, key)))
-    for i, (parents, key, name, prefix) in enumerate(ranks):
-        w = Window.partitionBy(*parents).orderBy(F.col(key).isNull(), F.col(f"_n{i}").desc(), F.col(key))
-        n = n.withColumn(name, F.when(F.col(key).isNotNull(), F.concat(F.lit(prefix), F.dense_rank().over(w).cast("string"))))
-    n = n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[name for _, _, name, _ in ranks])
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(n, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    for i, (parents, key, name, prefix) in enumerate(inner):
+        n = n.withColumn(name, place(key, prefix, f"_n{i}", parents))
+    n = n.select(*keys, *[name for _, _, name, _ in inner])
+    if inner is not ranks:
+        n = join_same(n, outer, top) if inner else outer
+    return join_same(df, n, keys)
 
 
 def rank_ids(df: DataFrame, parent: list[str], key: str, name: str, prefix: str, by: str | None = None) -> DataFrame:
