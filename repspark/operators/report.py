@@ -13,6 +13,8 @@ from repspark.operators.trees import _write
 RATES = {"productive": True, "stop_codon": False, "v_frameshift": False, "complete_vdj": True}
 LOCI = ("IGH", "IGK", "IGL")
 SCORES = ("v_score", "d_score", "j_score", "c_score")
+#: Fixed value: the first line of the dictionary.
+FIRST_LINE = "Dictionary of the corresponding IGVgene_CDR3aa for each clonal group:"
 
 
 def sound(flag: str):
@@ -64,5 +66,5 @@ def write_dictionary(groups: DataFrame, path: str, largest: int = 1_000_000) ->
     rows = groups.orderBy(F.col("n").desc(), "clonal_id").select("clonal_id", "clonal_group").limit(largest + 1).collect()
     if len(rows) > largest:
         raise ValueError("too many clonal groups for one file")
-    _write(groups.sparkSession, path, "Dictionary of the corresponding IGVgene_CDR3aa for each clonal group:\n" + "".join(f"{a} --> {b}\n" for a, b in rows))
+    _write(groups.sparkSession, path, FIRST_LINE + "\n" + "".join(f"{a} --> {b}\n" for a, b in rows))
     return path

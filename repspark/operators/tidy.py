@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repspark.functions.sequences import as_bool, compose_vdj, read_count, v_genes
 
+#: The regions in order, the columns that the aligner's output must have, and the primer sets.
 REGIONS = ["fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"]
 REQUIRED = ["sequence_id", "productive", "complete_vdj", "v_call", "d_call", "j_call", "c_call", *REGIONS, "v_identity", "junction", "junction_aa", "junction_aa_length", "sequence", "sequence_alignment", "germline_alignment", "sample"]
 PRIMERS = ("full_length", "fr1", "fr2", "fr3", "missionbio")

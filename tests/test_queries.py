@@ -3,8 +3,6 @@ from oracle import connect, same
 
 from repspark.plans import registry
 
-HEAVY = {"ags", "airr_export", "annotate_bulk_e2e", "annotate_sc_e2e"}
-
 
 @pytest.fixture(scope="module")
 def con(small):
@@ -24,6 +22,13 @@ def test_runs(spark, small, name):
     assert len(set(df.columns)) == len(df.columns)
 
 
+@pytest.mark.parametrize("name", ["contam_bulk", "contam_cells", "contam_tags", "recalc_bulk", "recalc_cells", "chain_relabel", "cell_numbers"])
+def test_each_table_is_read_at_most_twice(spark, small, name):
+    plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    for t in ("annotated_contigs", "tidy_contigs", "cells", "sample_sheet"):
+        assert plan.count(f"/{t}.parquet") <= 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
