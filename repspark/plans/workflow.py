@@ -14,7 +14,7 @@ from repspark.operators.ranks import columns
 from repspark.operators.recalc import NUMBERS, recalculate_bulk, recalculate_cells, rescue_single_chains
 from repspark.operators.tidy import require_columns
 from repspark.operators.wide import cells_wide, with_unsupported
-from repspark.plans.annotate import annotate
+from repspark.plans.annotate import PUBLIC, annotate
 from repspark.sources.aligner import read_aligned, run_aligner, write_annotated
 from repspark.runtime import written
 from repspark.sources.raw import expand_paths, read_table
@@ -23,7 +23,8 @@ log = logging.getLogger("repspark")
 
 #: Contig columns that each chain slot of the cell table holds.
 SLOT_COLUMNS = ["VDJ_genes", "C_gene", "Junction_aa", "Junction_length", "Functionality", "V_length", "V_identity", "CLL_Stereotype_Subsets", "ClonotypeID", "Clonotype_Consensus_CDR3aa", "Clonotype_CLL_Stereotype_Subsets", "ClonotypeVariantID", "SubcloneID", "Raw_sequence", "Raw_VDJ_sequence", "VDJ_sequence", "IgBlast_Germline_alignment", "VDJ_sequence_correctedCDR3", "VDJ_sequence_correctedCDR3_aa", "Consensus_Germline", "Consensus_Germline_aa", "VDJ_positions", "InDels"]
-CELL_COLUMNS = ["completeBCR", "igClonotypeID_num", "igClonotypeID", "igClonotypeVariantID_num", "igClonotypeVariantID", "igSubcloneID_in_ClonotypeVariant_num", "igSubcloneID_in_Clonotype_num", "igSubcloneID"]
+#: Fields of the cell itself.
+CELL_COLUMNS = ["completeBCR", "igClonotypeID_num", "igClonotypeID", "igClonotypeVariantID_num", "igClonotypeVariantID", "igSubcloneID_in_ClonotypeVariant_num", "igSubcloneID_in_Clonotype_num", "igSubcloneID", *[PUBLIC[f"V{i}"] for i in range(1, 10)]]
 
 
 def annotate_folder(spark: SparkSession, folder: str, cfg: AnnotateConfig = AnnotateConfig(), samples: list[str] | None = None, cases: dict[str, str] | None = None, out: str | None = None) -> DataFrame:
