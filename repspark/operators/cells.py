@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repspark.functions.sequences import sorted_join
@@ -19,12 +19,12 @@ def drop_repeated_chains(df: DataFrame, unit: str = "unit", order: str = "sequen
     return first_per_key(df.where(keyed), [unit, "barcode", "clonotypeID"], [order]).unionByName(df.where(~keyed))
 
 
-def merged_ids(df: DataFrame, unit: str = "unit") -> DataFrame:
-    """(unit, barcode, merge_clonotypeID, merge_clonotypeVariantID, merge_subcloneID, n_chains, heavy, light): one row per cell."""
+def merged_ids(df: DataFrame, unit: str = "unit", also: tuple[Column, ...] = ()) -> DataFrame:
+    """(unit, barcode, merge_clonotypeID, merge_clonotypeVariantID, merge_subcloneID, n_chains, heavy, light, the aggregates ``also``): one row per cell."""
     lead = F.substring("clonotypeID", 1, 3)
     return df.where(F.col("barcode").isNotNull()).groupBy(unit, "barcode").agg(
         sorted_join("clonotypeID").alias("merge_clonotypeID"), sorted_join("clonotypeVariantID_in_Cltp").alias("merge_clonotypeVariantID"), sorted_join("Unique_SequenceID").alias("merge_subcloneID"),
-        F.count("clonotypeID").alias("n_chains"), F.count_if(lead == "IGH").alias("heavy"), F.count_if(lead.isin("IGK", "IGL")).alias("light"),
+        F.count("clonotypeID").alias("n_chains"), F.count_if(lead == "IGH").alias("heavy"), F.count_if(lead.isin("IGK", "IGL")).alias("light"), *also,
     )
 
 
@@ -100,13 +100,13 @@ def relabel_chains(df: DataFrame, unit: str = "unit") -> DataFrame:
     return df.withColumn("clonotypeID", named).select(*cols)
 
 
-def numbered(df: DataFrame, unit: str = "unit") -> DataFrame:
-    """Rows with the ranks of variants and subclones of igclonotypes (C1.CV1, C1.CV1.S1, C1.1); null without an igclonotype."""
+def numbered(df: DataFrame, unit: str = "unit", by: str | None = None) -> DataFrame:
+    """Rows with the ranks of variants and subclones of igclonotypes (C1.CV1, C1.CV1.S1, C1.1) by rows, or by summed ``by`` (the contigs of a row's cell); null without an igclonotype."""
     has = F.col("igclonotypeID").isNotNull()
     key = lambda c: F.when(has, F.col(c))
     df = df.withColumn("_v", key("merge_clonotypeVariantID")).withColumn("_s", key("merge_subcloneID"))
     top = [unit, "igclonotypeID"]
-    df = rank_set(df, [(top, "_v", "_cv", "CV"), ([*top, "_v"], "_s", "_sc", "S"), (top, "_s", "_sn", "")])
+    df = rank_set(df, [(top, "_v", "_cv", "CV"), ([*top, "_v"], "_s", "_sc", "S"), (top, "_s", "_sn", "")], by)
     df = df.withColumn("igclonotypeVariantID", dotted("igclonotypeID", "_cv"))
     df = df.withColumn("igsubcloneID_in_clonotypeVariant", dotted("igclonotypeVariantID", "_sc")).withColumn("igsubcloneID_in_clonotype", dotted("igclonotypeID", "_sn"))
     return df.drop("_v", "_s", "_cv", "_sc", "_sn")

@@ -235,6 +235,24 @@ def rank_set(df: DataFrame, ranks: list[tuple[list[str], str, str, str]], by: st
     return join_same(df, n, keys)
 
 
+def nested_ranks(df: DataFrame, top: list[str], cv: str, sub: str, clonotypes: bool) -> DataFrame:
+    """Rows with _v and _s: ranks of ``cv`` within ``top``, and of ``sub`` within both, by rows descending, then key; _cvk, the place of ``cv`` within ``top``.
+
+    With ``clonotypes`` also _c, the rank of the last column of ``top`` (null has none) within the others. One shuffle of the rows
+    by ``top`` serves all, so the rows should be narrow; keys are compared as one struct, null to null.
+    """
+    df = df.withColumn("_top", F.struct(*top)).repartition("_top")
+    w = lambda *keys: Window.partitionBy("_top", *keys)
+    df = df.withColumn("_n2", F.count(F.lit(1)).over(w(cv, sub))).withColumn("_n1", F.count(F.lit(1)).over(w(cv))).withColumn("_cvk", F.dense_rank().over(w().orderBy(cv)))
+    df = df.withColumn("_s", F.dense_rank().over(w(cv).orderBy(F.col("_n2").desc(), sub))).withColumn("_v", F.dense_rank().over(w().orderBy(F.col("_n1").desc(), cv))).drop("_n1", "_n2")
+    if clonotypes:
+        last = F.col(f"_top.{top[-1]}")
+        place = F.dense_rank().over(Window.partitionBy(*[f"_top.{c}" for c in top[:-1]]).orderBy(last.isNull(), F.col("_n").desc(), last))
+        sizes = df.groupBy("_top").agg(F.count(F.lit(1)).alias("_n"))
+        df = df.join(sizes.withColumn("_c", F.when(last.isNotNull(), place)).drop("_n"), "_top", "left")
+    return df.drop("_top")
+
+
 def rank_ids(df: DataFrame, parent: list[str], key: str, name: str, prefix: str, by: str | None = None) -> DataFrame:
     """Rows with one rank; see ``rank_set``."""
     return rank_set(df, [(parent, key, name, prefix)], by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repspark.functions.missing import na_text
 from repspark.functions.sequences import locus
-from repspark.operators.clonotypes import dotted, rank_set
+from repspark.operators.clonotypes import dotted, nested_ranks, rank_set
 from repspark.operators.ranks import join_same, numbered
 from repspark.runtime import written
 
@@ -52,3 +52,15 @@ def cell_ids(df: DataFrame, unit: str = "unit", clonotype: str = "CorrectClt") -
     df = rank_set(df, [(scope, clonotype, "_c", "C"), ([*scope, clonotype], "_cv", "_v", "CV"), ([*scope, clonotype, "_cv"], "_sub", "_s", "S")])
     df = df.withColumn("clonotypeID", dotted("_locus", "_c")).withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s"))
     return df.drop("_locus", "_cv", "_sub", "_c", "_v", "_s")
+
+
+def numbered_cell_ids(df: DataFrame, sub: str, unit: str = "unit", clonotype: str = "CorrectClt") -> DataFrame:
+    """As ``cell_ids``, of narrow rows: ``sub`` is a number in the order of the subclones' sequences and indels, and _cvk numbers the variants of a clonotype in their order."""
+    df = df.withColumn("_locus", locus("v_cluster")).withColumn("_cv", F.concat_ws("_", "v_cluster", "cdr3_aa"))
+    return dotted_ids(nested_ranks(df, [unit, "_locus", clonotype], "_cv", sub, True).withColumn("clonotypeID", F.concat("_locus", F.lit(".C"), F.col("_c").cast("string"))).drop("_locus", "_cv", "_c"))
+
+
+def dotted_ids(df: DataFrame) -> DataFrame:
+    """Rows with the variant's and subclone's id from the clonotype's and the ranks _v and _s."""
+    df = df.withColumn("clonotypeVariantID_in_Cltp", F.concat("clonotypeID", F.lit(".CV"), F.col("_v").cast("string")))
+    return df.withColumn("Unique_SequenceID", F.concat("clonotypeVariantID_in_Cltp", F.lit(".S"), F.col("_s").cast("string"))).drop("_v", "_s")

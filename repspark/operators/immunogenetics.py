@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repspark.functions.sequences import glycosylation_sites, r110, translate_nt, v_genes
 from repspark.functions.subsets import stereotype_subset
-from repspark.kernels.codons import agreement
+from repspark.kernels.codons import agreement, translate
 from repspark.kernels.indels import correct, match_consensus
 from repspark.kernels.subset_labels import labels
 from repspark.runtime import map_groups, ship
@@ -102,22 +104,28 @@ def clonotype_subset(functional: Column, vdj: Column | str, consensus: Column |
     return find(functional, v_genes(vdj), F.col(consensus) if isinstance(consensus, str) else consensus)
 
 
+def _compare(spark: SparkSession):
+    """The function that tells how far a germline agrees with a sequence, and fills it."""
+    ship(spark)
+
+    @F.arrow_udf("struct<agree: double, missing: bigint, filled: string>")
+    def compare(s: pa.Array, g: pa.Array) -> pa.Array:
+        share, missing, filled = agreement(s, g)
+        return pa.StructArray.from_arrays([pa.array(share), pa.array(missing), filled], names=["agree", "missing", "filled"])
+
+    return compare
+
+
 def consensus_germline(df: DataFrame, keys: list[str], seq: str, germline: str, cdr3: str, order: str) -> DataFrame:
     """(keys, consensus_germline, modal_cdr3): germline of the row of modal CDR3 length that agrees best with it, its N replaced by the row's bases, and that length.
 
     Agreement ignores germline N; then fewest N, then the smallest ``order``. Equal pairs of a key are compared once.
     """
-    ship(df.sparkSession)
     base = df.where(F.col(germline).isNotNull() & F.col(seq).isNotNull())
     pairs = base.groupBy(*keys, F.length(cdr3).alias("_len"), F.col(seq).alias("_s"), F.col(germline).alias("_g")).agg(F.count(F.lit(1)).alias("_t"), F.min(order).alias("_o"))
     modal = pairs.groupBy(*keys, "_len").agg(F.sum("_t").alias("_t")).groupBy(*keys).agg(F.max_by("_len", F.struct("_t", -F.col("_len"))).alias("modal_cdr3"))
 
-    @F.arrow_udf("struct<agree: double, missing: bigint, filled: string>")
-    def compare(s: pa.Array, g: pa.Array) -> pa.Array:
-        share, missing, filled = agreement(s, g)
-        return pa.StructArray.from_arrays([pa.array(share), pa.array(missing), filled], names=["agree", "missing", "filled"])
-
-    rows = pairs.join(modal, keys).where(F.col("_len") == F.col("modal_cdr3")).withColumn("_x", compare("_s", "_g"))
+    rows = pairs.join(modal, keys).where(F.col("_len") == F.col("modal_cdr3")).withColumn("_x", _compare(df.sparkSession)("_s", "_g"))
     best = F.min_by("_x.filled", F.struct(-F.col("_x.agree"), F.col("_x.missing"), F.col("_o"), F.col("_x.filled")))
     return rows.groupBy(*keys).agg(best.alias("consensus_germline"), F.max("modal_cdr3").alias("modal_cdr3"))
 
@@ -143,6 +151,34 @@ def correct_cdr3_length(df: DataFrame, seq: str, germline: str, consensus: str,
     return df.withColumns({"VDJseq_correctedCDR3": F.when(F.col("_f").isNotNull(), F.col("_f.seq")).otherwise(F.col(seq)), "indel_CDR3": F.col("_f.indel")}).drop("_f")
 
 
+def best_germline(rows: DataFrame, keys: list[str], seq: str, germline: str, order: str) -> DataFrame:
+    """(keys, consensus_germline, modal_cdr3) as ``consensus_germline``, of rows of modal CDR3 length (which ``modal_cdr3`` has) with sequence and germline. No row is shuffled by ``keys``, but the best of each task."""
+    best = F.min_by("_x.filled", F.struct(-F.col("_x.agree"), F.col("_x.missing"), F.col(order), F.col("_x.filled")))
+    return rows.withColumn("_x", _compare(rows.sparkSession)(seq, germline)).groupBy(*keys).agg(best.alias("consensus_germline"), F.max("modal_cdr3").alias("modal_cdr3"))
+
+
+def chain_sequences(chains: Column) -> Column:
+    """Of an array of (seq, germ, cons, differs) an array of (seq, indel, aa, cons_aa): each sequence as ``correct_cdr3_length`` leaves it, the events, and the amino acids of it and of ``cons``."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf("array<struct<seq: string, indel: string, aa: string, cons_aa: string>>")
+    def fix(x: pa.Array) -> pa.Array:
+        seq, germ, cons, differs = x.flatten().flatten()
+        wrong = pc.and_(pc.fill_null(differs, False), pc.and_(seq.is_valid(), pc.and_(germ.is_valid(), cons.is_valid())))
+        at = np.flatnonzero(wrong.to_numpy(zero_copy_only=False)).tolist()
+        events: list[str | None] = [None] * len(seq)
+        if at:
+            new = seq.to_pylist()
+            for i in at:
+                new[i], _, events[i] = match_consensus(new[i], germ[i].as_py(), cons[i].as_py())
+            seq = pa.array(new, pa.string())
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        values = pa.StructArray.from_arrays([seq.cast(pa.string()), pa.array(events, pa.string()), translate(seq), translate(cons)], names=["seq", "indel", "aa", "cons_aa"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+    return fix.asNondeterministic()(chains)  # else the optimizer puts it into the expressions that use it, where Python can't run
+
+
 def joined_events(own: Column | str, more: Column | str) -> Column:
     """Gap events, each once, in order; null if there are none."""
     each = lambda c: F.coalesce(F.split(c, ","), F.array().cast("array<string>"))
@@ -150,11 +186,11 @@ def joined_events(own: Column | str, more: Column | str) -> Column:
 
 
 def annotate_features(df: DataFrame, subsets: bool = True, satellites: bool = True, ags: bool = True) -> DataFrame:
-    """Rows with IGHsubset (if ``subsets``), and the marks of R110 (too) and of acquired glycosylation sites appended to VDJ."""
+    """Rows with IGHsubset (if ``subsets``; kept where it is there already), and the marks of R110 (too) and of acquired glycosylation sites appended to VDJ."""
     ok = F.col("productive") == "productive"
     marks = []
     if subsets:
-        df = df.withColumn("IGHsubset", stereotype_subset(ok, "VDJ", "junction_aa", satellites))
+        df = df if "IGHsubset" in df.columns else df.withColumn("IGHsubset", stereotype_subset(ok, "VDJ", "junction_aa", satellites))
         marks.append(r110("VDJ", "VDJseq"))
     if ags:
         df = df.withColumns({"_aa": translate_nt("VDJseq"), "_germline_aa": translate_nt("germline_alignment")})

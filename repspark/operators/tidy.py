@@ -96,9 +96,9 @@ def unique_sequences(df: DataFrame, unit: list[str], key: list[str], min_reads:
     return out.where(F.col("total_reads_unique_seq") >= min_reads).select("sequence_id", *keys, *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(others)], "total_reads_unique_seq")
 
 
-def modal_length(df: DataFrame, group: list[str], seq: str) -> DataFrame:
-    """Rows whose sequence has the most frequent length of the group; of tied lengths the smallest."""
-    df = df.withColumn("_len", F.length(seq))
+def modal_length(df: DataFrame, group: list[str], seq: str | Column) -> DataFrame:
+    """Rows whose sequence (a column's name, or an expression of its length) has the most frequent length of the group; of tied lengths the smallest."""
+    df = df.withColumn("_len", F.length(seq) if isinstance(seq, str) else seq)
     counts = df.groupBy(*group, "_len").agg(F.count(F.lit(1)).alias("_n"))
     best = counts.groupBy(*group).agg(F.max_by("_len", F.struct("_n", -F.col("_len"))).alias("_len"))
     on = [df[g].eqNullSafe(best[g]) for g in group]

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repspark.config import AnnotateConfig
+from repspark.functions.missing import na_text
 from repspark.functions.sequences import barcode, cdr3_aa, cdr3_nt, junction_from, translate_nt, v_identity
+from repspark.functions.subsets import stereotype_subset
 from repspark.operators import cells as C
 from repspark.operators import ids
-from repspark.operators.clonotypes import automatic_cutoff, dotted, merge_indel_clonotypes, nearest_distances, rank_set, with_clonotypes, with_v_cluster
-from repspark.operators.immunogenetics import annotate_features, clonotype_subset, consensus_cdr3, consensus_germline, correct_cdr3_length, correct_indels, joined_events
+from repspark.operators.clonotypes import automatic_cutoff, merge_indel_clonotypes, nearest_distances, nested_ranks, with_clonotypes, with_v_cluster
+from repspark.operators.immunogenetics import annotate_features, best_germline, chain_sequences, clonotype_subset, consensus_cdr3, consensus_germline, correct_cdr3_length, correct_indels, joined_events
+from repspark.operators.ranks import join_same
 from repspark.operators.tidy import modal_length, tidy, unique_sequences, with_read_counts
-from repspark.runtime import written
+from repspark.runtime import frugal, written
 
 log = logging.getLogger("repspark")
 
@@ -37,6 +41,12 @@ PUBLIC = {
 CARRIED = ["sequence", "raw_VDJseq", "germline_alignment", "VDJ", "c_call", "VDJ_positions"]
 #: Joined per cell in the order of its subclones, as V1 to V9; gap events are joined by '-', the others by '_'.
 CELL_VALUES = ["raw_VDJseq", "VDJseq_correctedCDR3", "VDJseq_correctedCDR3_aa", "consensus_germline", "consensus_germline_aa", "VDJ_positions", "indel", "consensus", "IGHsubset"]
+#: The fields of single cell and mission-bio rows, in order.
+CELL_COLUMNS = [
+    "barcode", "clonotypeID", "sample", "sequence_id", "VDJseq", "indel", "len_no_CDR3", "junction_aa", "junction_aa_length", "productive", "clonotypeVariantID_in_Cltp", "Unique_SequenceID", "completeBCR", "igclonotypeID",
+    "merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID", "igclonotypeVariantID", "igsubcloneID_in_clonotypeVariant", "igsubcloneID_in_clonotype", "sequence", "raw_VDJseq", "germline_alignment", "VDJ", "c_call", "VDJ_positions",
+    "consensus", "consensus_germline", "VDJseq_correctedCDR3", "v_identity", "VDJseq_correctedCDR3_aa", "consensus_germline_aa", "IGHsubset", "Clonotype_Subset", *[f"V{i}" for i in range(1, 10)],
+]
 
 
 def to_public(df: DataFrame) -> DataFrame:
@@ -46,13 +56,20 @@ def to_public(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def cdr3_of(cfg: AnnotateConfig) -> dict[str, Column]:
+    """The CDR3 by cdr3_mode, and its amino acids."""
+    return {"cdr3": cdr3_nt("junction") if cfg.cdr3_mode == "nt" else cdr3_aa("junction_aa"), "cdr3_aa": cdr3_aa("junction_aa")}
+
+
+def with_cdr3(df: DataFrame, cfg: AnnotateConfig, seq: str | Column = "VDJseq") -> DataFrame:
+    """The rows that have a CDR3 and (but for mission-bio) the modal length of sequence among those of their unit, V cluster and CDR3."""
+    df = df.where(F.length("cdr3") > 0)
+    return df if cfg.data_type == "missionbio" else modal_length(df, ["unit", "v_cluster", "cdr3"], seq)
+
+
 def assign_clonotypes(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
-    """Rows with Clonotype and CorrectClt (and the CDR3 by cdr3_mode); the lineage is cut after the Python steps."""
+    """Rows of ``with_cdr3`` with Clonotype and CorrectClt; the lineage is cut after the Python steps."""
     mb = cfg.data_type == "missionbio"
-    df = df.withColumn("cdr3", cdr3_nt("junction") if cfg.cdr3_mode == "nt" else cdr3_aa("junction_aa")).withColumn("cdr3_aa", cdr3_aa("junction_aa"))
-    df = df.where(F.length("cdr3") > 0)
-    if not mb:
-        df = modal_length(df, ["unit", "v_cluster", "cdr3"], "VDJseq")
     cutoff = cfg.hc_similarity_cutoff
     if cutoff == "automatic":
         keyed = df.withColumn("_pre", F.concat_ws("_", "v_cluster", F.length("cdr3").cast("string")))
@@ -62,9 +79,9 @@ def assign_clonotypes(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
 
 
 def immunogenetics(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
-    """Rows with V_identity, consensus CDR3 and germline of their clonotype, corrected CDR3 and, if asked for, subsets and marks.
+    """Bulk rows with V_identity, consensus CDR3 and germline of their clonotype, corrected CDR3 and, if asked for, subsets and marks.
 
-    Identity is over the V positions against the clonotype's consensus germline (mission-bio: the own germline). The
+    Identity is over the V positions against the clonotype's consensus germline. The
     consensus CDR3 is that of the clonotype's productive rows; an unproductive row has it if a productive row of its
     clonotype has the same sequence and gaps.
     """
@@ -76,12 +93,9 @@ def immunogenetics(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
         seen = df.where(ok).select(*[F.col(c).alias(f"_{c}") for c in same]).distinct()
         on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
         df = df.join(seen, on, "left").withColumn("consensus", F.when(ok | F.col("_unit").isNotNull(), F.col("consensus"))).drop(*[f"_{c}" for c in same])
-    if cfg.data_type == "missionbio":
-        df = df.withColumns({"consensus_germline": F.col("germline_alignment"), "VDJseq_correctedCDR3": F.col("VDJseq")})
-    else:
-        df = df.join(consensus_germline(df, keys, "VDJseq", "germline_alignment", "cdr3", "sequence_id"), keys, "left")
-        df = correct_cdr3_length(df, "VDJseq", "germline_alignment", "consensus_germline", F.length("cdr3") != F.col("modal_cdr3"))
-        df = df.withColumn("indel", joined_events("indel", "indel_CDR3")).drop("indel_CDR3", "modal_cdr3")
+    df = df.join(consensus_germline(df, keys, "VDJseq", "germline_alignment", "cdr3", "sequence_id"), keys, "left")
+    df = correct_cdr3_length(df, "VDJseq", "germline_alignment", "consensus_germline", F.length("cdr3") != F.col("modal_cdr3"))
+    df = df.withColumn("indel", joined_events("indel", "indel_CDR3")).drop("indel_CDR3", "modal_cdr3")
     df = df.withColumns({"v_identity": v_identity("VDJseq", "consensus_germline", "len_no_CDR3"), "VDJseq_correctedCDR3_aa": translate_nt("VDJseq_correctedCDR3"), "consensus_germline_aa": translate_nt("consensus_germline")})
     df = annotate_features(df, cfg.annotate_CLL_immGen, cfg.annotate_satellite_subsets, cfg.annotate_ags)
     if cfg.annotate_CLL_immGen:
@@ -95,38 +109,127 @@ def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> Data
     The tidy rows are written once, whole; the steps up to the final ids carry only what they work on and the row's
     number, by which sequences and germline are joined back at the end.
     """
-    mb = cfg.data_type == "missionbio"
-    step = lambda done: log.info("%s annotation: %s", cfg.data_type, done)
     df = correct_indels(tidy(aligned, cfg.material_type, cfg.primer, extra=("unit",)).withColumn("raw_VDJseq", F.regexp_replace("VDJseq", "-", "")))
     df = df.withColumns({"len_no_CDR3": F.aggregate(F.slice("arch", 1, 5), F.lit(0), lambda a, x: a + x), "VDJ_positions": F.array_join(F.col("arch").cast("array<string>"), "-")})
     df = df.withColumn("junction", junction_from("VDJseq", F.col("arch"))).withColumn("junction_aa", translate_nt("junction")).withColumn("junction_aa_length", F.length("junction_aa"))
-    if cfg.data_type == "bulk":
-        scope = ["unit", "sample"] if cfg.dedupe_scope == "sample" else ["unit"]
-        df = unique_sequences(with_read_counts(df, ["unit"]), scope, ["VDJseq", "indel"], cfg.min_reads)
-    kept = ["unit", "sample", "sequence_id", "v_call", "VDJseq", "indel", "arch", "len_no_CDR3", "junction", "junction_aa", "junction_aa_length", "productive", *(["total_reads_unique_seq"] if cfg.data_type == "bulk" else [])]
+    return to_public(_bulk(df, cfg) if cfg.data_type == "bulk" else _cells(df, cfg))
+
+
+def _step(cfg: AnnotateConfig, done: str) -> None:
+    log.info("%s annotation: %s", cfg.data_type, done)
+
+
+#: The fields of the tidy table that the steps need, beside ``CARRIED``.
+KEPT = ["unit", "sample", "sequence_id", "v_call", "VDJseq", "indel", "arch", "len_no_CDR3", "junction", "junction_aa", "junction_aa_length", "productive"]
+
+
+def _bulk(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
+    scope = ["unit", "sample"] if cfg.dedupe_scope == "sample" else ["unit"]
+    df = unique_sequences(with_read_counts(df, ["unit"]), scope, ["VDJseq", "indel"], cfg.min_reads)
+    kept = [*KEPT, "total_reads_unique_seq"]
     whole = written(df.select(F.monotonically_increasing_id().alias("_row"), *kept, *CARRIED), "tidy")
-    step("tidy rows written, clonotypes begin")
-    df = assign_clonotypes(with_v_cluster(whole.select("_row", *kept)).drop("v_call"), cfg)
-    step("clonotypes assigned, ids begin")
-    carried = whole.select("_row", *CARRIED)
-    if cfg.data_type == "bulk":
-        return to_public(immunogenetics(written(ids.bulk_frequencies(ids.bulk_ids(df)).join(carried, "_row"), "ids"), cfg))
-    df = ids.cell_ids(df).withColumn("barcode", barcode("sequence_id", "sample"))
-    df = written(C.drop_repeated_chains(df), "ids")
-    step("ids written, cells begin")
-    cell = C.resolve_classes(C.initial_class(C.merged_ids(df), mb), mission_bio=mb).select("unit", "barcode", "completeBCR", "igclonotypeID")
-    df = written(C.relabel_chains(df.join(cell, ["unit", "barcode"], "left")), "relabelled")
-    df = df.withColumns({"_cv": F.concat_ws("_", "v_cluster", "cdr3_aa"), "_sub": F.concat_ws("_", "VDJseq", F.coalesce("indel", F.lit("NA")))})
-    df = rank_set(df, [(["unit", "clonotypeID"], "_cv", "_v", "CV"), (["unit", "clonotypeID", "_cv"], "_sub", "_s", "S")])
-    df = df.withColumn("clonotypeVariantID_in_Cltp", dotted("clonotypeID", "_v")).withColumn("Unique_SequenceID", dotted("clonotypeVariantID_in_Cltp", "_s")).drop("_cv", "_v", "_sub", "_s")
-    df = written(df, "chains")
-    step("chains labelled, numbers and immunogenetics begin")
-    merged = C.merged_ids(df).select("unit", "barcode", "merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")
-    df = written(C.numbered(df.join(merged, ["unit", "barcode"], "left")).join(carried, "_row"), "cells")
-    df = immunogenetics(df, cfg)
-    values = [c for c in CELL_VALUES if c in df.columns]
-    df = written(df, "annotated")
-    joined = C.chain_values(df, values, separators={"indel": "-"}).withColumnsRenamed({c: f"V{i}" for i, c in enumerate(CELL_VALUES, 1) if c in values})
-    lost = F.col("completeBCR") == "Not_supported"
-    df = df.withColumns({c: F.when(~F.coalesce(lost, F.lit(False)), F.col(c)) for c in ("merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")})
-    return to_public(df.join(joined, ["unit", "barcode"], "left"))
+    _step(cfg, "tidy rows written, clonotypes begin")
+    df = assign_clonotypes(with_cdr3(with_v_cluster(whole.select("_row", *kept)).drop("v_call").withColumns(cdr3_of(cfg)), cfg), cfg)
+    _step(cfg, "clonotypes assigned, ids begin")
+    return immunogenetics(written(ids.bulk_frequencies(ids.bulk_ids(df)).join(whole.select("_row", *CARRIED), "_row"), "ids"), cfg)
+
+
+def _cells(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
+    """Single cell and mission-bio. Between the tidy table and the result no row has a sequence, but numbers in the order of
+    its subclone's sequence and its variant; each step is written, and what it was made from is removed.
+    """
+    mb = cfg.data_type == "missionbio"
+    with frugal(df.sparkSession) as release:
+        # rows of one gene lie together, which makes table and shuffle several times smaller
+        whole = written(df.select(*KEPT, *CARRIED).sortWithinPartitions("v_call", "junction").select(F.monotonically_increasing_id().alias("_row"), "*"), "tidy")
+        _step(cfg, "tidy rows written, clonotypes begin")
+        cell = barcode("sequence_id", "sample").alias("barcode")
+        df = whole.withColumns(cdr3_of(cfg)).select("_row", "unit", "sequence_id", cell, "v_call", "len_no_CDR3", "cdr3", "cdr3_aa", F.length("VDJseq").alias("_length"), F.concat_ws("_", "VDJseq", na_text("indel")).alias("_text"))
+        df = written(df.withColumn("_sub", F.dense_rank().over(Window.partitionBy("unit", "cdr3_aa").orderBy("_text"))).drop("_text"), "rows")
+        df = written(with_cdr3(with_v_cluster(df).drop("v_call"), cfg, F.col("_length")).drop("_length"), "clustered")
+        release(whole, df)
+        df = assign_clonotypes(df, cfg).select("_row", "unit", "sequence_id", "barcode", "v_cluster", "cdr3_aa", "_sub", "CorrectClt")
+        df = written(df, "clonotypes")
+        release(whole, df)
+        _step(cfg, "clonotypes assigned, ids begin")
+        df = ids.numbered_cell_ids(df, "_sub").drop("v_cluster", "cdr3_aa", "CorrectClt")
+        first = F.row_number().over(Window.partitionBy("unit", "barcode", "clonotypeID").orderBy("sequence_id", "_cvk", "_sub", "_row"))
+        df = df.repartition("unit", "barcode").withColumn("_first", first).where(F.col("clonotypeID").isNull() | (F.col("_first") == 1)).drop("_first")
+        df = written(df, "ids")
+        release(whole, df)
+        _step(cfg, "ids written, cells begin")
+        classes = C.resolve_classes(C.initial_class(C.merged_ids(df), mb), mission_bio=mb).select("unit", "barcode", "completeBCR", "igclonotypeID")
+        df = written(C.relabel_chains(df.join(classes, ["unit", "barcode"], "left")), "relabelled")
+        release(whole, df)
+        df = ids.dotted_ids(nested_ranks(df.drop("clonotypeVariantID_in_Cltp", "Unique_SequenceID", "sequence_id").withColumnRenamed("_cvk", "_cv"), ["unit", "clonotypeID"], "_cv", "_sub", False))
+        df = written(df.drop("_cv", "_cvk", "_sub"), "chains")
+        release(whole, df)
+        _step(cfg, "chains labelled, numbers and immunogenetics begin")
+        one = [F.max(c).alias(c) for c in ("completeBCR", "igclonotypeID")]
+        cells = written(C.numbered(C.merged_ids(df, also=(F.count(F.lit(1)).alias("_rows"), *one)).drop("n_chains", "heavy", "light"), by="_rows").drop("_rows"), "numbered")
+        chains = _consensus(df.drop("completeBCR", "igclonotypeID"), whole, cfg, lambda *keep: release(whole, cells, *keep))
+        release(whole, cells, chains)
+    return _annotated(whole, chains, cells, cfg)
+
+
+def _consensus(df: DataFrame, whole: DataFrame, cfg: AnnotateConfig, release: Callable[..., None]) -> DataFrame:
+    """``df`` with the consensus CDR3 and (but for mission-bio) the consensus germline of its clonotypes; as in ``immunogenetics``."""
+    mb, dna, keys = cfg.data_type == "missionbio", cfg.material_type == "dna", ["unit", "clonotypeID"]
+    look = {"_ok": F.col("productive") == "productive", "_n": F.length("cdr3"), "_both": F.col("VDJseq").isNotNull() & F.col("germline_alignment").isNotNull()}
+    if dna:
+        look["_same"] = F.unhex(F.md5(F.concat(F.coalesce("VDJseq", F.lit("\1")), F.lit("\2"), F.coalesce("indel", F.lit("\1")))))
+    df = written(df.join(whole.withColumns(cdr3_of(cfg)).withColumns(look).select("_row", "cdr3_aa", *look), "_row"), "parts")
+    release(df)
+    got = df.join(consensus_cdr3(df.where("_ok"), keys, "cdr3_aa"), keys, "left")
+    if not mb:
+        modal = df.where("_both").groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.max_by("_n", F.struct("_t", -F.col("_n"))).alias("modal_cdr3"))
+        of = df.where("_both").join(modal, keys).where(F.col("_n") == F.col("modal_cdr3")).select("_row", *keys, "modal_cdr3")
+        germline = written(best_germline(whole.select("_row", "sequence_id", "VDJseq", "germline_alignment").join(of, "_row"), keys, "VDJseq", "germline_alignment", "sequence_id"), "germlines")
+        got = got.join(germline, keys, "left").withColumn("_differs", F.col("_n") != F.col("modal_cdr3")).drop("modal_cdr3")
+    if dna:
+        same = [*keys, "_same"]
+        seen = df.where("_ok").select(*same).distinct().withColumn("_seen", F.lit(True))
+        got = join_same(got, seen, same).withColumn("consensus", F.when(F.col("_ok") | F.col("_seen"), F.col("consensus"))).drop("_seen", "_same")
+    return written(got.drop("_ok", "_n", "_both", "cdr3_aa"), "consensus")
+
+
+def _annotated(whole: DataFrame, chains: DataFrame, cells: DataFrame, cfg: AnnotateConfig) -> DataFrame:
+    """The rows of ``chains`` with all fields of their row of ``whole`` and of their cell, and the joined values of the cell.
+
+    Sequences are shuffled once, by cell; all chains of a cell are one row until its values are joined.
+    """
+    mb, ok = cfg.data_type == "missionbio", F.col("productive") == "productive"
+    key = lambda b: F.struct("unit", b).alias("_cell")
+    own = [c for c in chains.columns if c not in ("unit", "barcode")]
+    narrow = chains.select(key("barcode"), F.struct(*own).alias("_n")).repartition("_cell").groupBy("_cell").agg(F.collect_list("_n").alias("_n"))
+    wide = whole if not cfg.annotate_CLL_immGen else whole.withColumn("IGHsubset", stereotype_subset(ok, "VDJ", "junction_aa", cfg.annotate_satellite_subsets))
+    wide = wide.drop("v_call", "junction", "junction_aa_length", *([] if cfg.annotate_ags else ["arch"]))
+    fields = [c for c in wide.columns if c not in ("unit", "_row")]
+    wide = wide.select(key(barcode("sequence_id", "sample").alias("barcode")), F.struct("_row", *fields).alias("_w")).repartition("_cell").groupBy("_cell").agg(F.collect_list("_w").alias("_w"))
+    df = narrow.join(wide, "_cell").join(cells.withColumn("_cell", key("barcode")).drop("unit", "barcode"), "_cell", "left")
+    own.remove("_row")
+    row = lambda n: F.filter("_w", lambda w: w["_row"] == n["_row"])[0]
+    df = df.withColumn("_x", F.transform("_n", lambda n: F.struct(row(n).alias("w"), n.alias("n")))).drop("_w", "_n")
+    germline = (lambda x: x["w"]["germline_alignment"]) if mb else (lambda x: x["n"]["consensus_germline"])
+    differs = (lambda x: F.lit(False)) if mb else (lambda x: x["n"]["_differs"])
+    sent = F.transform("_x", lambda x: F.struct(x["w"]["VDJseq"].alias("seq"), x["w"]["germline_alignment"].alias("germ"), germline(x).alias("cons"), differs(x).alias("differs")))
+    made = lambda x, y: {
+        "consensus_germline": germline(x), "VDJseq_correctedCDR3": y["seq"], "VDJseq_correctedCDR3_aa": y["aa"], "consensus_germline_aa": y["cons_aa"],
+        "indel": x["w"]["indel"] if mb else joined_events(x["w"]["indel"], y["indel"]),
+    }
+    new = ["consensus_germline", "VDJseq_correctedCDR3", "VDJseq_correctedCDR3_aa", "consensus_germline_aa", "indel"]
+    taken = [c for c in fields if c not in new]
+    whole_row = lambda x, y: F.struct(*[x["w"][c].alias(c) for c in taken], *[x["n"][c].alias(c) for c in own if c not in new and c != "_differs"], *[v.alias(c) for c, v in made(x, y).items()])
+    df = df.withColumn("_y", chain_sequences(sent)).withColumn("_x", F.zip_with("_x", "_y", whole_row)).drop("_y")
+    values = [c for c in CELL_VALUES if c in new + taken + own]
+    lost = F.coalesce(F.col("completeBCR") == "Not_supported", F.lit(False))
+    text = lambda x: F.struct(x["Unique_SequenceID"].alias("_s"), *[F.coalesce(x[c].cast("string"), F.lit("NA")).alias(c) for c in values])
+    df = df.withColumn("_v", F.array_sort(F.transform(F.filter("_x", lambda x: x["Unique_SequenceID"].isNotNull()), text)))
+    df = df.withColumns({f"V{i}": F.when(~lost, F.array_join(F.col(f"_v.{c}"), "-" if c == "indel" else "_")) for i, c in enumerate(CELL_VALUES, 1) if c in values})
+    df = df.withColumns({c: F.when(~lost, F.col(c)) for c in ("merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")}).drop("_v")
+    df = df.withColumn("_x", F.explode_outer("_x")).select("_x.*", "_cell.barcode", *[c for c in df.columns if c not in ("_x", "_cell")])
+    df = df.withColumns({"junction_aa_length": F.length("junction_aa"), "v_identity": v_identity("VDJseq", "consensus_germline", "len_no_CDR3")})
+    df = annotate_features(df, cfg.annotate_CLL_immGen, cfg.annotate_satellite_subsets, cfg.annotate_ags)
+    if cfg.annotate_CLL_immGen:
+        df = df.withColumn("Clonotype_Subset", clonotype_subset(ok, "VDJ", "consensus", cfg.annotate_satellite_subsets))
+    return df.select(*[c for c in CELL_COLUMNS if c in df.columns])

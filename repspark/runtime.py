@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -64,12 +65,51 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Paths of the written tables that haven't been released, oldest first; while a ``frugal`` part runs, else none are kept here.
+_held: list[str] = []
+_frugal: list[int] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: its lineage is cut and the loss of an executor loses nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _frugal:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    _held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+@contextmanager
+def frugal(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Within it, shuffle files go as soon as a table is written; calling what it gives removes all tables written within it but those named.
+
+    Only for parts in which each table that is kept stands for all that was read to make it.
+    """
+    since = len(_held)
+    _frugal.append(since)
+
+    def release(*keep: DataFrame) -> None:
+        kept = {d._written for d in keep}
+        for path in [p for p in _held[since:] if p not in kept]:
+            remove(spark, path)
+            _held.remove(path)
+
+    try:
+        yield release
+    finally:
+        _frugal.pop()
+        del _held[since:]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
