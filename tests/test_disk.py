@@ -12,7 +12,7 @@ def tables(spark):
     return {p.name.rpartition("-")[0]: p for p in (Path(shared_dir(spark).removeprefix("file:")) / "repspark").glob("*")}
 
 
-@pytest.mark.parametrize("name", ["annotate_missionbio"])
+@pytest.mark.parametrize("name", ["annotate_missionbio", "annotate_sc_dna"])
 def test_cells_keep_the_tables_of_the_result_only(spark, small, name):
     before = {p for p in tables(spark).values()}
     df = registry.QUERIES[name](spark, small)
