@@ -48,12 +48,15 @@ def correct_indels(df: DataFrame) -> DataFrame:
 def consensus_cdr3(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
     """(keys, consensus): per column the most frequent letter among CDR3 of modal length (ties: the smallest), tied letters as a sorted [class].
 
-    Equal CDR3 of a key are counted first, then the letters of each place within a part of the key's CDR3 (over Arrow, so
-    a hot clonotype is spread over tasks), and only one counter per place and letter of a part meets the others.
+    Equal CDR3 of a key are counted first; a key with one CDR3 of modal length has that. Of the others the letters of each place
+    are counted within a part of the key's CDR3 (over Arrow, so a hot clonotype is spread over tasks), and only one counter per
+    place and letter of a part meets the others.
     """
     n = df.where(F.length(cdr3) > 0).groupBy(*keys, F.col(cdr3).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    by_len = n.groupBy(*keys, F.length("_s").alias("_len")).agg(F.sum("_n").alias("_t"))
-    modal = by_len.groupBy(*keys).agg(F.max_by("_len", F.struct("_t", -F.col("_len"))).alias("_len"))
+    by_len = n.groupBy(*keys, F.length("_s").alias("_len")).agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_d"), F.min("_s").alias("_s"))
+    modal = by_len.groupBy(*keys).agg(F.max_by(F.struct("_len", "_d", "_s"), F.struct("_t", -F.col("_len"))).alias("_m")).select(*keys, "_m.*")
+    alone = modal.where("_d = 1").select(*keys, F.col("_s").alias("consensus"))
+    modal = modal.where("_d > 1").select(*keys, "_len")
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def letters(g: dict[str, list]) -> list[tuple]:
@@ -74,7 +77,7 @@ def consensus_cdr3(df: DataFrame, keys: list[str], cdr3: str) -> DataFrame:
 
     parts = n.join(modal, keys).where(F.length("_s") == F.col("_len")).select(*keys, "_s", "_n", F.pmod(F.xxhash64("_s"), F.lit(PARTS)).cast("int").alias("_part"))
     counted = map_groups(parts, [*keys, "_part"], letters, f"{kinds}, _p int, _c string, _n bigint")
-    return map_groups(counted.groupBy(*keys, "_p", "_c").agg(F.sum("_n").alias("_n")), keys, join, f"{kinds}, consensus string")
+    return alone.unionByName(map_groups(counted.groupBy(*keys, "_p", "_c").agg(F.sum("_n").alias("_n")), keys, join, f"{kinds}, consensus string"))
 
 
 def possible_cdr3(consensus: Column | str) -> Column:
@@ -152,18 +155,21 @@ def correct_cdr3_length(df: DataFrame, seq: str, germline: str, consensus: str,
 
 
 def best_germline(rows: DataFrame, keys: list[str], seq: str, germline: str, order: str) -> DataFrame:
-    """(keys, consensus_germline, modal_cdr3) as ``consensus_germline``, of rows of modal CDR3 length (which ``modal_cdr3`` has) with sequence and germline. No row is shuffled by ``keys``, but the best of each task."""
+    """(keys, consensus_germline) as ``consensus_germline``, of rows of modal CDR3 length with sequence and germline. No row is shuffled by ``keys``, but the best of each task."""
     best = F.min_by("_x.filled", F.struct(-F.col("_x.agree"), F.col("_x.missing"), F.col(order), F.col("_x.filled")))
-    return rows.withColumn("_x", _compare(rows.sparkSession)(seq, germline)).groupBy(*keys).agg(best.alias("consensus_germline"), F.max("modal_cdr3").alias("modal_cdr3"))
+    return rows.withColumn("_x", _compare(rows.sparkSession)(seq, germline)).groupBy(*keys).agg(best.alias("consensus_germline"))
 
 
 def chain_sequences(chains: Column) -> Column:
-    """Of an array of (seq, germ, cons, differs) an array of (seq, indel, aa, cons_aa): each sequence as ``correct_cdr3_length`` leaves it, the events, and the amino acids of it and of ``cons``."""
+    """Of an array of (seq, germ, cons, differs, own) an array of (seq, indel, aa, cons, cons_aa): each sequence as ``correct_cdr3_length`` leaves it, the events, its amino acids, and ``cons`` and its amino acids. Where ``own`` holds, ``cons`` is the row's germline with each N replaced by the row's base."""
     ship(SparkSession.active())
 
-    @F.arrow_udf("array<struct<seq: string, indel: string, aa: string, cons_aa: string>>")
+    @F.arrow_udf("array<struct<seq: string, indel: string, aa: string, cons: string, cons_aa: string>>")
     def fix(x: pa.Array) -> pa.Array:
-        seq, germ, cons, differs = x.flatten().flatten()
+        seq, germ, cons, differs, own = x.flatten().flatten()
+        cons, own = cons.cast(pa.string()), pc.fill_null(own, False)
+        if pc.any(own).as_py():
+            cons = pc.replace_with_mask(cons, own, agreement(seq.filter(own), germ.filter(own))[2])
         wrong = pc.and_(pc.fill_null(differs, False), pc.and_(seq.is_valid(), pc.and_(germ.is_valid(), cons.is_valid())))
         at = np.flatnonzero(wrong.to_numpy(zero_copy_only=False)).tolist()
         events: list[str | None] = [None] * len(seq)
@@ -173,7 +179,7 @@ def chain_sequences(chains: Column) -> Column:
                 new[i], _, events[i] = match_consensus(new[i], germ[i].as_py(), cons[i].as_py())
             seq = pa.array(new, pa.string())
         offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        values = pa.StructArray.from_arrays([seq.cast(pa.string()), pa.array(events, pa.string()), translate(seq), translate(cons)], names=["seq", "indel", "aa", "cons_aa"])
+        values = pa.StructArray.from_arrays([seq.cast(pa.string()), pa.array(events, pa.string()), translate(seq), cons, translate(cons)], names=["seq", "indel", "aa", "cons", "cons_aa"])
         return pa.ListArray.from_arrays(pa.array(offsets), values)
 
     return fix.asNondeterministic()(chains)  # else the optimizer puts it into the expressions that use it, where Python can't run

@@ -16,9 +16,8 @@ from repspark.operators import cells as C
 from repspark.operators import ids
 from repspark.operators.clonotypes import automatic_cutoff, merge_indel_clonotypes, nearest_distances, nested_ranks, with_clonotypes, with_v_cluster
 from repspark.operators.immunogenetics import annotate_features, best_germline, chain_sequences, clonotype_subset, consensus_cdr3, consensus_germline, correct_cdr3_length, correct_indels, joined_events
-from repspark.operators.ranks import join_same
 from repspark.operators.tidy import modal_length, tidy, unique_sequences, with_read_counts
-from repspark.runtime import frugal, written
+from repspark.runtime import bucketed, frugal, written
 
 log = logging.getLogger("repspark")
 
@@ -103,16 +102,25 @@ def immunogenetics(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
     return df
 
 
+def cell_key(unit: Column | str, cell: Column | str) -> Column:
+    """Unit and barcode as one string, by which the tidy table is bucketed."""
+    one = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("\2"))
+    return F.concat(one(unit), F.lit("\1"), one(cell))
+
+
 def annotate(aligned: DataFrame, cfg: AnnotateConfig = AnnotateConfig()) -> DataFrame:
     """Annotated contigs (public names) of aligner rows with ``sample`` and ``unit``.
 
     The tidy rows are written once, whole; the steps up to the final ids carry only what they work on and the row's
     number, by which sequences and germline are joined back at the end.
     """
-    df = correct_indels(tidy(aligned, cfg.material_type, cfg.primer, extra=("unit",)).withColumn("raw_VDJseq", F.regexp_replace("VDJseq", "-", "")))
+    cells = cfg.data_type != "bulk"
+    if cells:  # rows are numbered before they are filtered, so that filters don't spell the regions once more
+        aligned = aligned.withColumn("_row", F.monotonically_increasing_id())
+    df = correct_indels(tidy(aligned, cfg.material_type, cfg.primer, extra=("unit", *["_row"] * cells)).withColumn("raw_VDJseq", F.regexp_replace("VDJseq", "-", "")))
     df = df.withColumns({"len_no_CDR3": F.aggregate(F.slice("arch", 1, 5), F.lit(0), lambda a, x: a + x), "VDJ_positions": F.array_join(F.col("arch").cast("array<string>"), "-")})
     df = df.withColumn("junction", junction_from("VDJseq", F.col("arch"))).withColumn("junction_aa", translate_nt("junction")).withColumn("junction_aa_length", F.length("junction_aa"))
-    return to_public(_bulk(df, cfg) if cfg.data_type == "bulk" else _cells(df, cfg))
+    return to_public(_cells(df, cfg) if cells else _bulk(df, cfg))
 
 
 def _step(cfg: AnnotateConfig, done: str) -> None:
@@ -140,8 +148,8 @@ def _cells(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
     """
     mb = cfg.data_type == "missionbio"
     with frugal(df.sparkSession) as release:
-        # rows of one gene lie together, which makes table and shuffle several times smaller
-        whole = written(df.select(*KEPT, *CARRIED).sortWithinPartitions("v_call", "junction").select(F.monotonically_increasing_id().alias("_row"), "*"), "tidy")
+        # rows of one gene lie together, which makes the table several times smaller; rows of a cell are in one bucket and stay there
+        whole = bucketed(df.select("_row", *KEPT, *CARRIED, cell_key("unit", barcode("sequence_id", "sample")).alias("_cell")), "tidy", "_cell", ["v_call", "junction"])
         _step(cfg, "tidy rows written, clonotypes begin")
         cell = barcode("sequence_id", "sample").alias("barcode")
         df = whole.withColumns(cdr3_of(cfg)).select("_row", "unit", "sequence_id", cell, "v_call", "len_no_CDR3", "cdr3", "cdr3_aa", F.length("VDJseq").alias("_length"), F.concat_ws("_", "VDJseq", na_text("indel")).alias("_text"))
@@ -172,54 +180,68 @@ def _cells(df: DataFrame, cfg: AnnotateConfig) -> DataFrame:
     return _annotated(whole, chains, cells, cfg)
 
 
+def _beside(df: DataFrame, whole: DataFrame) -> DataFrame:
+    """Rows of ``df`` (unit, barcode, _row) with the columns of their row of ``whole`` (_cell, _row, ...); only ``df`` is shuffled."""
+    same = F.col("_row") - F.col("_of") == 0  # not a key of the join, whose keys have to be those of the buckets
+    df = df.withColumnRenamed("_row", "_of").withColumn("_in", cell_key("unit", "barcode"))
+    return df.join(whole.hint("merge"), (F.col("_in") == F.col("_cell")) & same).drop("_of", "_in", "_cell")
+
+
 def _consensus(df: DataFrame, whole: DataFrame, cfg: AnnotateConfig, release: Callable[..., None]) -> DataFrame:
-    """``df`` with the consensus CDR3 and (but for mission-bio) the consensus germline of its clonotypes; as in ``immunogenetics``."""
+    """``df`` with the consensus CDR3 and (but for mission-bio) the consensus germline of its clonotypes; as in ``immunogenetics``.
+
+    Rows are shuffled by clonotype once, without sequences. A clonotype of one row has no germline here, but _own: it's made of the row itself.
+    """
     mb, dna, keys = cfg.data_type == "missionbio", cfg.material_type == "dna", ["unit", "clonotypeID"]
     look = {"_ok": F.col("productive") == "productive", "_n": F.length("cdr3"), "_both": F.col("VDJseq").isNotNull() & F.col("germline_alignment").isNotNull()}
     if dna:
         look["_same"] = F.unhex(F.md5(F.concat(F.coalesce("VDJseq", F.lit("\1")), F.lit("\2"), F.coalesce("indel", F.lit("\1")))))
-    df = written(df.join(whole.withColumns(cdr3_of(cfg)).withColumns(look).select("_row", "cdr3_aa", *look), "_row"), "parts")
+    df = written(_beside(df, whole.withColumns(cdr3_of(cfg)).withColumns(look).select("_cell", "_row", "cdr3_aa", *look)), "parts")
     release(df)
-    got = df.join(consensus_cdr3(df.where("_ok"), keys, "cdr3_aa"), keys, "left")
-    if not mb:
-        modal = df.where("_both").groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.max_by("_n", F.struct("_t", -F.col("_n"))).alias("modal_cdr3"))
-        of = df.where("_both").join(modal, keys).where(F.col("_n") == F.col("modal_cdr3")).select("_row", *keys, "modal_cdr3")
-        germline = written(best_germline(whole.select("_row", "sequence_id", "VDJseq", "germline_alignment").join(of, "_row"), keys, "VDJseq", "germline_alignment", "sequence_id"), "germlines")
-        got = got.join(germline, keys, "left").withColumn("_differs", F.col("_n") != F.col("modal_cdr3")).drop("modal_cdr3")
+    got = df.drop("cdr3_aa").join(consensus_cdr3(df.where("_ok"), keys, "cdr3_aa"), keys, "left")
     if dna:
-        same = [*keys, "_same"]
-        seen = df.where("_ok").select(*same).distinct().withColumn("_seen", F.lit(True))
-        got = join_same(got, seen, same).withColumn("consensus", F.when(F.col("_ok") | F.col("_seen"), F.col("consensus"))).drop("_seen", "_same")
-    return written(got.drop("_ok", "_n", "_both", "cdr3_aa"), "consensus")
+        got = got.withColumn("_seen", F.max("_ok").over(Window.partitionBy(*keys, "_same"))).withColumn("consensus", F.when(F.col("_ok") | F.col("_seen"), F.col("consensus"))).drop("_seen", "_same")
+    if mb:
+        return written(got.drop("_ok", "_n", "_both"), "consensus")
+    of_key = Window.partitionBy(*keys)
+    got = got.withColumn("_t", F.count_if("_both").over(Window.partitionBy(*keys, "_n"))).withColumn("_rows", F.count(F.lit(1)).over(of_key))
+    got = got.withColumn("_modal", F.max(F.when(F.col("_both"), F.struct("_t", (-F.col("_n")).alias("_n")))).over(of_key))
+    got = got.withColumns({"_differs": F.col("_n") != -F.col("_modal._n"), "_own": F.col("_both") & (F.col("_rows") == 1) & F.col("clonotypeID").isNotNull()})
+    got = written(got.drop("_ok", "_t", "_n", "_modal"), "modal")
+    release(got)
+    candidates = got.where("_rows > 1 AND _both AND NOT _differs AND clonotypeID IS NOT NULL").select("_row", "barcode", *keys)
+    germline = written(best_germline(_beside(candidates, whole.select("_cell", "_row", "sequence_id", "VDJseq", "germline_alignment")), keys, "VDJseq", "germline_alignment", "sequence_id"), "germlines")
+    several = F.col("_rows") > 1
+    alone = got.where(~several).withColumn("consensus_germline", F.lit(None).cast("string"))
+    return written(alone.unionByName(got.where(several).join(germline, keys, "left")).drop("_both", "_rows"), "consensus")
 
 
 def _annotated(whole: DataFrame, chains: DataFrame, cells: DataFrame, cfg: AnnotateConfig) -> DataFrame:
     """The rows of ``chains`` with all fields of their row of ``whole`` and of their cell, and the joined values of the cell.
 
-    Sequences are shuffled once, by cell; all chains of a cell are one row until its values are joined.
+    Sequences aren't shuffled: ``whole`` is bucketed by cell. All chains of a cell are one row until its values are joined.
     """
     mb, ok = cfg.data_type == "missionbio", F.col("productive") == "productive"
-    key = lambda b: F.struct("unit", b).alias("_cell")
     own = [c for c in chains.columns if c not in ("unit", "barcode")]
-    narrow = chains.select(key("barcode"), F.struct(*own).alias("_n")).repartition("_cell").groupBy("_cell").agg(F.collect_list("_n").alias("_n"))
+    narrow = chains.select(cell_key("unit", "barcode").alias("_cell"), F.struct(*own).alias("_n")).repartition("_cell").groupBy("_cell").agg(F.collect_list("_n").alias("_n"))
     wide = whole if not cfg.annotate_CLL_immGen else whole.withColumn("IGHsubset", stereotype_subset(ok, "VDJ", "junction_aa", cfg.annotate_satellite_subsets))
     wide = wide.drop("v_call", "junction", "junction_aa_length", *([] if cfg.annotate_ags else ["arch"]))
-    fields = [c for c in wide.columns if c not in ("unit", "_row")]
-    wide = wide.select(key(barcode("sequence_id", "sample").alias("barcode")), F.struct("_row", *fields).alias("_w")).repartition("_cell").groupBy("_cell").agg(F.collect_list("_w").alias("_w"))
-    df = narrow.join(wide, "_cell").join(cells.withColumn("_cell", key("barcode")).drop("unit", "barcode"), "_cell", "left")
+    fields = [c for c in wide.columns if c not in ("unit", "_row", "_cell")]
+    wide = wide.select("_cell", F.struct("_row", *fields).alias("_w")).groupBy("_cell").agg(F.collect_list("_w").alias("_w"))
+    df = narrow.join(wide.hint("merge"), "_cell").join(cells.withColumn("_cell", cell_key("unit", "barcode")).drop("unit"), "_cell", "left")
     own.remove("_row")
     row = lambda n: F.filter("_w", lambda w: w["_row"] == n["_row"])[0]
     df = df.withColumn("_x", F.transform("_n", lambda n: F.struct(row(n).alias("w"), n.alias("n")))).drop("_w", "_n")
     germline = (lambda x: x["w"]["germline_alignment"]) if mb else (lambda x: x["n"]["consensus_germline"])
-    differs = (lambda x: F.lit(False)) if mb else (lambda x: x["n"]["_differs"])
-    sent = F.transform("_x", lambda x: F.struct(x["w"]["VDJseq"].alias("seq"), x["w"]["germline_alignment"].alias("germ"), germline(x).alias("cons"), differs(x).alias("differs")))
+    flag = lambda x, c: F.lit(False) if mb else x["n"][c]
+    sent = F.transform("_x", lambda x: F.struct(x["w"]["VDJseq"].alias("seq"), x["w"]["germline_alignment"].alias("germ"), germline(x).alias("cons"), flag(x, "_differs").alias("differs"), flag(x, "_own").alias("own")))
     made = lambda x, y: {
-        "consensus_germline": germline(x), "VDJseq_correctedCDR3": y["seq"], "VDJseq_correctedCDR3_aa": y["aa"], "consensus_germline_aa": y["cons_aa"],
+        "consensus_germline": y["cons"], "VDJseq_correctedCDR3": y["seq"], "VDJseq_correctedCDR3_aa": y["aa"], "consensus_germline_aa": y["cons_aa"],
         "indel": x["w"]["indel"] if mb else joined_events(x["w"]["indel"], y["indel"]),
     }
     new = ["consensus_germline", "VDJseq_correctedCDR3", "VDJseq_correctedCDR3_aa", "consensus_germline_aa", "indel"]
     taken = [c for c in fields if c not in new]
-    whole_row = lambda x, y: F.struct(*[x["w"][c].alias(c) for c in taken], *[x["n"][c].alias(c) for c in own if c not in new and c != "_differs"], *[v.alias(c) for c, v in made(x, y).items()])
+    whole_row = lambda x, y: F.struct(*[x["w"][c].alias(c) for c in taken], *[x["n"][c].alias(c) for c in own if c not in (*new, "_differs", "_own")], *[v.alias(c) for c, v in made(x, y).items()])
     df = df.withColumn("_y", chain_sequences(sent)).withColumn("_x", F.zip_with("_x", "_y", whole_row)).drop("_y")
     values = [c for c in CELL_VALUES if c in new + taken + own]
     lost = F.coalesce(F.col("completeBCR") == "Not_supported", F.lit(False))
@@ -227,7 +249,7 @@ def _annotated(whole: DataFrame, chains: DataFrame, cells: DataFrame, cfg: Annot
     df = df.withColumn("_v", F.array_sort(F.transform(F.filter("_x", lambda x: x["Unique_SequenceID"].isNotNull()), text)))
     df = df.withColumns({f"V{i}": F.when(~lost, F.array_join(F.col(f"_v.{c}"), "-" if c == "indel" else "_")) for i, c in enumerate(CELL_VALUES, 1) if c in values})
     df = df.withColumns({c: F.when(~lost, F.col(c)) for c in ("merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")}).drop("_v")
-    df = df.withColumn("_x", F.explode_outer("_x")).select("_x.*", "_cell.barcode", *[c for c in df.columns if c not in ("_x", "_cell")])
+    df = df.withColumn("_x", F.explode_outer("_x")).select("_x.*", *[c for c in df.columns if c not in ("_x", "_cell")])
     df = df.withColumns({"junction_aa_length": F.length("junction_aa"), "v_identity": v_identity("VDJseq", "consensus_germline", "len_no_CDR3")})
     df = annotate_features(df, cfg.annotate_CLL_immGen, cfg.annotate_satellite_subsets, cfg.annotate_ags)
     if cfg.annotate_CLL_immGen:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repspark.config import AnnotateConfig
-from repspark.functions.sequences import v_genes
+from repspark.functions.sequences import barcode
 from repspark.operators.immunogenetics import correct_indels
 from repspark.operators.tidy import REGIONS, tidy
-from repspark.plans.annotate import annotate
+from repspark.plans.annotate import annotate, cell_key
 from repspark.plans.base import ALIGNED_SQL, GENES_SQL, aligned
 from repspark.plans.cell_sql import CLASSES, RELABELLED, RESOLVED, numbered, one_per_chain
 from repspark.plans.sequence_queries import CODONS_SQL, VDJ_SQL, aa_sql, rules_sql
@@ -18,9 +18,9 @@ from repspark.runtime import table
 MAX_DIFF = 0.2
 
 
-def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gapped(spark: SparkSession, sf_dir: str, together: Column | None = None) -> DataFrame:
     """``aligned`` with gaps: by the hash of their id, rows lack three bases in FR3 (0, 1) or in the CDR3 (3), or have three more in FR2 (2)."""
-    df = aligned(spark, sf_dir)
+    df = aligned(spark, sf_dir, together)
     mark = F.substring(F.md5("sequence_id"), 1, 1)
     before = lambda n: sum((F.length(r) for r in REGIONS[1:n]), F.length(REGIONS[0])) if n else F.lit(0)
     fr3, fr2, cdr3 = before(4) + 10, before(2) + 10, before(5) + 4
@@ -56,7 +56,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(bulk: bool, cfg: AnnotateConfig, joint: bool = False, mission_bio: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = gapped(spark, sf_dir).where(F.col("n_reads").isNotNull() if bulk else F.col("n_reads").isNull())
+        df = gapped(spark, sf_dir, None if bulk else cell_key("sample", barcode("sequence_id", "sample"))).where(F.col("n_reads").isNotNull() if bulk else F.col("n_reads").isNull())
         if joint:
             df = df.drop("unit").join(_cases(spark, sf_dir), "sample")
         return _rounded(annotate(df, cfg))

@@ -12,14 +12,17 @@ from repspark.runtime import table
 _HEX, _NT = "0123456789abcdef", "ACGTACGTACGTACGT"
 
 
-def latest_contigs(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+def latest_contigs(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, together: Column | None = None) -> DataFrame:
     """tidy_contigs (with those ``columns`` only) with one row per (sample, sequence_id), that loaded last (of equal times the greatest); rows without a sample or id are left out.
 
-    Aggregated, not sorted: the row travels as one struct behind its load time.
+    Aggregated, not sorted: the row travels as one struct behind its load time. With ``together``, an expression of sample and
+    sequence_id, the one shuffle is by it.
     """
     df = table(spark, sf_dir, "tidy_contigs").where(F.col("sample").isNotNull() & F.col("sequence_id").isNotNull())
     rest = columns or [c for c in df.columns if c not in ("sample", "sequence_id")]
-    best = df.groupBy("sample", "sequence_id").agg(F.max(F.struct("loaded_at", *[c for c in rest if c != "loaded_at"])).alias("r"))
+    if together is not None:
+        df = df.withColumn("_together", together).repartition("_together")
+    best = df.groupBy(*["_together"] * (together is not None), "sample", "sequence_id").agg(F.max(F.struct("loaded_at", *[c for c in rest if c != "loaded_at"])).alias("r"))
     return best.select("sample", "sequence_id", *[f"r.{c}" for c in rest])
 
 
@@ -27,12 +30,12 @@ def _nt(*parts: Column | str) -> Column:
     return F.translate(F.md5(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])), _HEX, _NT)
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aligned(spark: SparkSession, sf_dir: str, together: Column | None = None) -> DataFrame:
     """Aligner-like rows of the contigs that have a junction: regions spelled from the V gene and the junction.
 
     One base of FR1 is changed, so that identities differ; incomplete rows lack none, two or four regions.
     """
-    df = latest_contigs(spark, sf_dir).where(F.length("junction") >= 9).withColumn("unit", F.col("sample"))
+    df = latest_contigs(spark, sf_dir, together=together).where(F.length("junction") >= 9).withColumn("unit", F.col("sample"))
     g = F.coalesce(F.try_element_at(v_genes("v_call"), F.lit(1)), F.lit("NA"))
     j, n = F.col("junction"), F.length("sequence_id")
     whole = F.upper("complete_vdj").isin("T", "TRUE")

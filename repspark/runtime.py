@@ -67,6 +67,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 #: Paths of the written tables that haven't been released, oldest first; while a ``frugal`` part runs, else none are kept here.
 _held: list[str] = []
+#: Names of the bucketed tables by their paths.
+_tables: dict[str, str] = {}
 _frugal: list[int] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -90,6 +92,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, by: str, order: list[str]) -> DataFrame:
+    """``df`` as a table written within ``frugal``, bucketed by the hash of ``by`` as a shuffle is partitioned, so that joins and groups by it don't move its rows.
+
+    Each task writes a file for each bucket that it has rows of, sorted by ``order``: few, where rows with the same ``by`` lie together already.
+    """
+    spark = df.sparkSession
+    path, buckets = scratch(spark, name), spark.conf.get("spark.sql.shuffle.partitions")
+    of = f"repspark_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"CREATE TABLE {of} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.insertInto(of)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {of}")
+        except Exception:  # the session may be gone
+            pass
+
+    atexit.register(drop)
+    _held.append(path)
+    _tables[path] = of
+    out = spark.table(of)
+    out._written = path
+    return out
+
+
 @contextmanager
 def frugal(spark: SparkSession) -> Iterator[Callable[..., None]]:
     """Within it, shuffle files go as soon as a table is written; calling what it gives removes all tables written within it but those named.
@@ -102,6 +135,8 @@ def frugal(spark: SparkSession) -> Iterator[Callable[..., None]]:
     def release(*keep: DataFrame) -> None:
         kept = {d._written for d in keep}
         for path in [p for p in _held[since:] if p not in kept]:
+            if path in _tables:
+                spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
             remove(spark, path)
             _held.remove(path)
 
@@ -109,6 +144,8 @@ def frugal(spark: SparkSession) -> Iterator[Callable[..., None]]:
         yield release
     finally:
         _frugal.pop()
+        for path in _held[since:]:
+            _tables.pop(path, None)
         del _held[since:]
 
 

@@ -4,8 +4,9 @@ from pathlib import Path
 
 import pytest
 
+from repspark.operators import immunogenetics as I
 from repspark.plans import registry
-from repspark.runtime import frugal, shared_dir, written
+from repspark.runtime import bucketed, frugal, shared_dir, written
 
 
 def tables(spark):
@@ -30,3 +31,43 @@ def test_frugal_removes_what_is_not_named_and_leaves_the_session_as_it_was(spark
         release(b)
         assert "a" not in tables(spark) and {"b", "other"} <= set(tables(spark))
     assert spark.conf.get(key) == was and b.count() == 7 and other.count() == 3 and a is not b
+
+
+def shuffled(df):
+    """The plan below each shuffle of ``df``."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [next((i for i, c in enumerate(x) if c.isalnum() or c == "*"), 0) for x in lines]
+    for i, x in enumerate(lines):
+        if "Exchange" in x:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:below])
+
+
+@pytest.mark.parametrize("name", ["annotate_missionbio", "annotate_sc_dna"])
+def test_sequences_are_not_shuffled_for_the_result(spark, small, name):
+    below = list(shuffled(registry.QUERIES[name](spark, small)))
+    assert below and not [x for x in below if "germline_alignment" in x or "VDJseq" in x]
+
+
+def test_only_cdr3_that_differ_within_a_key_are_taken_apart(spark):
+    rows = [("a", "CARD")] * 3 + [("a", "CAR"), ("b", "CAR"), ("b", "CAT"), ("c", "CW"), ("c", "CAWW"), (None, "CQ")]
+    seen, whole = [], I.map_groups
+    try:
+        I.map_groups = lambda df, *more: (seen.append(df), whole(df, *more))[1]
+        got = {r["k"]: r["consensus"] for r in I.consensus_cdr3(spark.createDataFrame(rows, "k string, s string"), ["k"], "s").collect()}
+    finally:
+        I.map_groups = whole
+    assert {k: v for k, v in got.items() if k} == {"a": "CARD", "b": "CA[RT]", "c": "CW"}
+    assert sorted({r["k"] for r in seen[0].collect()}) == ["b"]
+
+
+def test_bucketed_rows_stay_and_their_table_is_dropped(spark):
+    rows = spark.range(200).selectExpr("concat('k', id % 9) AS _cell", "id AS x")
+    with frugal(spark) as release:
+        t = bucketed(rows, "buckets", "_cell", ["x"])
+        assert sorted(map(tuple, t.collect())) == sorted(map(tuple, rows.collect()))
+        assert not list(shuffled(t.groupBy("_cell").count()))
+        name = t._written.rpartition("/")[2]
+        known = len(spark.catalog.listTables())
+        release()
+        assert len(spark.catalog.listTables()) == known - 1 and name not in {p.name for p in tables(spark).values()}
