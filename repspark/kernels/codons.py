@@ -44,6 +44,18 @@ def translate(col: pa.Array) -> pa.Array:
     return _strings(_RESIDUE[code], n, col)
 
 
+def agreeing(a: pa.Array, b: pa.Array, upto: np.ndarray) -> np.ndarray:
+    """Per pair: places among the first ``upto`` at which both agree; a null agrees in none."""
+    (x, nx), (y, ny) = _flat(a), _flat(b)
+    if len(x) and x.max() > 127 or len(y) and y.max() > 127:
+        return np.array([sum(p == q for p, q in zip((s or "")[:n], t or "")) for s, t, n in zip(a.to_pylist(), b.to_pylist(), upto.tolist())], dtype=np.int64)
+    n = np.minimum(np.minimum(nx, ny), np.maximum(upto, 0)).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    same = x[(np.cumsum(nx) - nx)[row] + place] == y[(np.cumsum(ny) - ny)[row] + place]
+    return np.bincount(row[same], minlength=len(n))
+
+
 def agreement(seq: pa.Array, germline: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Per pair: share of the germline's known bases (not N) that the sequence has, number of N, and the germline with each N replaced.
 

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from repspark.functions.sequences import glycosylation_sites, r110, translate_nt, v_genes
 from repspark.functions.subsets import stereotype_subset
-from repspark.kernels.codons import agreement, translate
+from repspark.kernels.codons import agreeing, agreement, translate
 from repspark.kernels.indels import correct, match_consensus
 from repspark.kernels.subset_labels import labels
 from repspark.runtime import map_groups, ship
 
 #: A clonotype's distinct CDR3 are counted in so many parts.
 PARTS = 16
+#: Cells whose chains are worked on at once.
+CELLS = 1000
 _FIXED = pa.struct([("seq", pa.string()), ("germ", pa.string()), ("arch", pa.list_(pa.int32())), ("indel", pa.string())])
 _MATCHED = pa.struct([("seq", pa.string()), ("indel", pa.string())])
 
@@ -161,15 +163,17 @@ def best_germline(rows: DataFrame, keys: list[str], seq: str, germline: str, ord
 
 
 def chain_sequences(chains: Column) -> Column:
-    """Of an array of (seq, germ, cons, differs, own) an array of (seq, indel, aa, cons, cons_aa): each sequence as ``correct_cdr3_length`` leaves it, the events, its amino acids, and ``cons`` and its amino acids. Where ``own`` holds, ``cons`` is the row's germline with each N replaced by the row's base."""
+    """Of an array of (seq, germ, cons, differs, own, n) an array of (seq, indel, aa, cons, cons_aa, identity): each sequence as ``correct_cdr3_length`` leaves it, the events, its amino acids, and ``cons`` and its amino acids. Where ``own`` holds, ``cons`` is the row's germline with each N replaced by the row's base. ``identity`` is as ``v_identity`` has it, over the first ``n`` bases. A batch is done in slices of ``CELLS``, to bound memory."""
     ship(SparkSession.active())
 
-    @F.arrow_udf("array<struct<seq: string, indel: string, aa: string, cons: string, cons_aa: string>>")
-    def fix(x: pa.Array) -> pa.Array:
-        seq, germ, cons, differs, own = x.flatten().flatten()
+    def part(x: pa.Array) -> pa.Array:
+        seq, germ, cons, differs, own, n = x.flatten().flatten()
         cons, own = cons.cast(pa.string()), pc.fill_null(own, False)
         if pc.any(own).as_py():
             cons = pc.replace_with_mask(cons, own, agreement(seq.filter(own), germ.filter(own))[2])
+        upto = pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.and_(pc.greater(pa.array(upto), 0), pc.and_(seq.is_valid(), cons.is_valid()))
+        identity = pc.if_else(known, pa.array(agreeing(seq, cons, upto) * 100.0 / np.maximum(upto, 1)), pa.scalar(None, pa.float64()))
         wrong = pc.and_(pc.fill_null(differs, False), pc.and_(seq.is_valid(), pc.and_(germ.is_valid(), cons.is_valid())))
         at = np.flatnonzero(wrong.to_numpy(zero_copy_only=False)).tolist()
         events: list[str | None] = [None] * len(seq)
@@ -179,9 +183,13 @@ def chain_sequences(chains: Column) -> Column:
                 new[i], _, events[i] = match_consensus(new[i], germ[i].as_py(), cons[i].as_py())
             seq = pa.array(new, pa.string())
         offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        values = pa.StructArray.from_arrays([seq.cast(pa.string()), pa.array(events, pa.string()), translate(seq), cons, translate(cons)], names=["seq", "indel", "aa", "cons", "cons_aa"])
+        values = pa.StructArray.from_arrays([seq.cast(pa.string()), pa.array(events, pa.string()), translate(seq), cons, translate(cons), identity], names=["seq", "indel", "aa", "cons", "cons_aa", "identity"])
         return pa.ListArray.from_arrays(pa.array(offsets), values)
 
+    @F.arrow_udf("array<struct<seq: string, indel: string, aa: string, cons: string, cons_aa: string, identity: double>>")
+    def fix(x: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(x.slice(i, CELLS)) for i in range(0, max(1, len(x)), CELLS)])
+
     return fix.asNondeterministic()(chains)  # else the optimizer puts it into the expressions that use it, where Python can't run
 
 

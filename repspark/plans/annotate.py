@@ -234,12 +234,12 @@ def _annotated(whole: DataFrame, chains: DataFrame, cells: DataFrame, cfg: Annot
     df = df.withColumn("_x", F.transform("_n", lambda n: F.struct(row(n).alias("w"), n.alias("n")))).drop("_w", "_n")
     germline = (lambda x: x["w"]["germline_alignment"]) if mb else (lambda x: x["n"]["consensus_germline"])
     flag = lambda x, c: F.lit(False) if mb else x["n"][c]
-    sent = F.transform("_x", lambda x: F.struct(x["w"]["VDJseq"].alias("seq"), x["w"]["germline_alignment"].alias("germ"), germline(x).alias("cons"), flag(x, "_differs").alias("differs"), flag(x, "_own").alias("own")))
+    sent = F.transform("_x", lambda x: F.struct(x["w"]["VDJseq"].alias("seq"), x["w"]["germline_alignment"].alias("germ"), germline(x).alias("cons"), flag(x, "_differs").alias("differs"), flag(x, "_own").alias("own"), x["w"]["len_no_CDR3"].alias("n")))
     made = lambda x, y: {
-        "consensus_germline": y["cons"], "VDJseq_correctedCDR3": y["seq"], "VDJseq_correctedCDR3_aa": y["aa"], "consensus_germline_aa": y["cons_aa"],
+        "consensus_germline": y["cons"], "VDJseq_correctedCDR3": y["seq"], "VDJseq_correctedCDR3_aa": y["aa"], "consensus_germline_aa": y["cons_aa"], "v_identity": y["identity"],
         "indel": x["w"]["indel"] if mb else joined_events(x["w"]["indel"], y["indel"]),
     }
-    new = ["consensus_germline", "VDJseq_correctedCDR3", "VDJseq_correctedCDR3_aa", "consensus_germline_aa", "indel"]
+    new = ["consensus_germline", "VDJseq_correctedCDR3", "VDJseq_correctedCDR3_aa", "consensus_germline_aa", "v_identity", "indel"]
     taken = [c for c in fields if c not in new]
     whole_row = lambda x, y: F.struct(*[x["w"][c].alias(c) for c in taken], *[x["n"][c].alias(c) for c in own if c not in (*new, "_differs", "_own")], *[v.alias(c) for c, v in made(x, y).items()])
     df = df.withColumn("_y", chain_sequences(sent)).withColumn("_x", F.zip_with("_x", "_y", whole_row)).drop("_y")
@@ -250,7 +250,7 @@ def _annotated(whole: DataFrame, chains: DataFrame, cells: DataFrame, cfg: Annot
     df = df.withColumns({f"V{i}": F.when(~lost, F.array_join(F.col(f"_v.{c}"), "-" if c == "indel" else "_")) for i, c in enumerate(CELL_VALUES, 1) if c in values})
     df = df.withColumns({c: F.when(~lost, F.col(c)) for c in ("merge_clonotypeID", "merge_clonotypeVariantID", "merge_subcloneID")}).drop("_v")
     df = df.withColumn("_x", F.explode_outer("_x")).select("_x.*", *[c for c in df.columns if c not in ("_x", "_cell")])
-    df = df.withColumns({"junction_aa_length": F.length("junction_aa"), "v_identity": v_identity("VDJseq", "consensus_germline", "len_no_CDR3")})
+    df = df.withColumn("junction_aa_length", F.length("junction_aa"))
     df = annotate_features(df, cfg.annotate_CLL_immGen, cfg.annotate_satellite_subsets, cfg.annotate_ags)
     if cfg.annotate_CLL_immGen:
         df = df.withColumn("Clonotype_Subset", clonotype_subset(ok, "VDJ", "consensus", cfg.annotate_satellite_subsets))

@@ -4,6 +4,9 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from repspark.functions.sequences import v_identity
 from repspark.operators import immunogenetics as I
 from repspark.plans import registry
 from repspark.runtime import bucketed, frugal, shared_dir, written
@@ -61,6 +64,14 @@ def test_only_cdr3_that_differ_within_a_key_are_taken_apart(spark):
     assert sorted({r["k"] for r in seen[0].collect()}) == ["b"]
 
 
+def test_identity_of_the_kernel_is_that_of_the_expression(spark):
+    rows = [("ACGT", "ACGA", 4), ("ACGT", "AC", 4), ("ACGTAC", "TCGTAC", 3), ("ÄCGT", "ÄCTT", 4), (None, "A", 1), ("A", None, 1), ("A", "A", 0)]
+    df = spark.createDataFrame(rows, "a string, b string, n int")
+    want = [r[0] for r in df.select(v_identity("a", "b", "n")).collect()]
+    x = F.array(F.struct(F.col("a").alias("seq"), F.col("b").alias("germ"), F.col("b").alias("cons"), F.lit(False).alias("differs"), F.lit(False).alias("own"), "n"))
+    assert [r[0][0]["identity"] for r in df.select(I.chain_sequences(x)).collect()] == want
+
+
 def test_bucketed_rows_stay_and_their_table_is_dropped(spark):
     rows = spark.range(200).selectExpr("concat('k', id % 9) AS _cell", "id AS x")
     with frugal(spark) as release:
